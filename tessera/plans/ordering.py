@@ -17,6 +17,9 @@ broadcast only when its measured size is below the bound.
 
 from __future__ import annotations
 
+import math
+import os
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +28,11 @@ from pyspark.sql import functions as F
 from .joins import join_small
 
 RANK = "_rank"
+
+
+def _log(what, t0):
+    if os.environ.get("TESSERA_TRACE"):
+        print(f"[trace] {what} {time.time() - t0:.2f}s")
 GROUP_N = "_group_n"
 
 
@@ -38,12 +46,15 @@ def default_partitions(df: DataFrame) -> int:
 
 
 def ranked(df: DataFrame, order: Sequence, by: Sequence[str] = (),
-           num_partitions: int | None = None, with_group_size: bool = True) -> DataFrame:
+           num_partitions: int | None = None, with_group_size: bool = True,
+           max_groups: int | None = None) -> DataFrame:
     """Add ``_rank`` (1-based, dense over rows, ties broken by input order of
     ``order``) within each ``by`` group, and ``_group_n`` (rows in the group).
 
     ``order`` should be a total order (end it with a unique key) so that the
     result is repeatable under any partitioning and after task retries.
+    ``max_groups`` (a proven bound on distinct ``by`` values) sizes the count
+    table without running a job: it has at most ``partitions + groups`` rows.
     """
     by = list(by)
     order_cols = _as_cols(order)
@@ -63,7 +74,12 @@ def ranked(df: DataFrame, order: Sequence, by: Sequence[str] = (),
         wg = Window.partitionBy(*by) if by else Window.partitionBy()
         counts = counts.withColumn(GROUP_N, F.sum("_cnt").over(wg))
     counts = counts.drop("_cnt")
-    out = join_small(d, counts, on=["_pid", *by], how="inner")
+    bound = None
+    if not by:
+        bound = parts
+    elif max_groups is not None:
+        bound = parts + max_groups
+    out = join_small(d, counts, on=["_pid", *by], how="inner", known_rows=bound)
     out = out.withColumn(RANK, F.col("_off") + (F.col("_mid") - F.col("_mid0")) + F.lit(1))
     return out.drop("_pid", "_mid", "_mid0", "_off")
 
@@ -76,47 +92,187 @@ def long_values(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
     return df.select(*keep, F.inline(arr))
 
 
+def _target_ranks(n: int, q: float, interpolation: str) -> tuple[int, int, float]:
+    """1-based ranks (lo, hi) and interpolation weight for quantile ``q`` of n."""
+    pos = (n - 1) * q
+    if interpolation == "nearest":
+        r = int(math.floor(pos + 0.5)) + 1  # half away from zero (pos ≥ 0)
+        return r, r, 0.0
+    lo = int(math.floor(pos))
+    return lo + 1, min(int(math.ceil(pos)), n - 1) + 1, pos - lo
+
+
+# Rows we accept inside one bracket before collecting its distinct values.
+BRACKET_LIMIT = 200_000
+
+
+def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: int = 1024,
+                limit: int = BRACKET_LIMIT, max_rounds: int = 8, minmax: dict | None = None) -> dict:
+    """Exact value at given 1-based ranks of ``value`` within each ``by_col`` group.
+
+    ``wants``: ``{group: (n, [rank, ...])}`` (nulls already removed).
+    Distributed selection without sorting: every round is one partial
+    aggregate that histograms the current bracket of each wanted rank into
+    ``bins`` equal-width bins; the bin holding the rank becomes the next
+    bracket.  When a bracket holds ≤ ``limit`` rows its distinct values (with
+    counts: a hot value is one row) are collected and walked exactly.
+    Brackets of one round are identical or disjoint, so each row is counted
+    once per round.  Nothing but histograms and small brackets leaves the
+    executors.
+    """
+    spark = lv.sparkSession
+    groups = list(wants)
+    g = F.col(by_col)
+    mm = minmax or {r[by_col]: (r["_mn"], r["_mx"]) for r in
+                    lv.where(g.isin(groups)).groupBy(by_col)
+                      .agg(F.min("value").alias("_mn"), F.max("value").alias("_mx")).collect()}
+    # bracket state per (group, rank): steps [(lo, hi, bin)], rows below, rows inside
+    state = {}
+    for grp, (n, ranks) in wants.items():
+        for r in ranks:
+            state[(grp, r)] = {"steps": [], "below": 0, "inside": n}
+
+    def cond(grp, steps):
+        c = g == F.lit(grp)
+        for lo, hi, b in steps:
+            c = c & (_bin(lo, hi) == b)
+        return c
+
+    def _bin(lo, hi):
+        if hi <= lo:
+            return F.lit(0)
+        return F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(hi - lo) * bins)
+                       .cast("int"), F.lit(bins - 1))
+
+    def bounds(grp, steps):
+        lo, hi = mm[grp]
+        for slo, shi, b in steps:
+            w = (shi - slo) / bins
+            lo, hi = slo + b * w, (slo + (b + 1) * w if b < bins - 1 else shi)
+        return lo, hi
+
+    for _ in range(max_rounds):
+        big = [k for k, st in state.items() if st["inside"] > limit]
+        if not big:
+            break
+        keys = sorted({(k[0], tuple(state[k]["steps"])) for k in big}, key=repr)
+        ids = {kk: i for i, kk in enumerate(keys)}
+        bid = F.lit(None).cast("int")
+        bexpr = F.lit(None).cast("int")
+        for (grp, steps), i in reversed(list(ids.items())):
+            lo, hi = bounds(grp, list(steps))
+            c = cond(grp, list(steps))
+            bid = F.when(c, F.lit(i)).otherwise(bid)
+            bexpr = F.when(c, _bin(lo, hi)).otherwise(bexpr)
+        _t = time.time()
+        hist = (lv.select(bid.alias("_b"), bexpr.alias("_bin")).where(F.col("_b").isNotNull())
+                  .groupBy("_b", "_bin").agg(F.count(F.lit(1)).alias("_c")).collect())
+        _log("hist", _t)
+        per: dict = {}
+        for row in hist:
+            per.setdefault(row["_b"], {})[row["_bin"]] = row["_c"]
+        progressed = False
+        for k in big:
+            st = state[k]
+            grp = k[0]
+            i = ids[(grp, tuple(st["steps"]))]
+            lo, hi = bounds(grp, st["steps"])
+            if hi <= lo:
+                st["inside"] = 0 if False else st["inside"]
+                st["degenerate"] = True
+                continue
+            acc = st["below"]
+            for b in range(bins):
+                c = per.get(i, {}).get(b, 0)
+                if acc + c >= k[1]:
+                    st["steps"] = st["steps"] + [(lo, hi, b)]
+                    st["below"] = acc
+                    st["inside"] = c
+                    progressed = True
+                    break
+                acc += c
+        if not progressed:
+            break
+    # final pass: distinct values (with counts) inside every bracket
+    keys = sorted({(k[0], tuple(st["steps"])) for k, st in state.items()}, key=repr)
+    ids = {kk: i for i, kk in enumerate(keys)}
+    bid = F.lit(None).cast("int")
+    for (grp, steps), i in reversed(list(ids.items())):
+        bid = F.when(cond(grp, list(steps)), F.lit(i)).otherwise(bid)
+    # brackets of different depth may nest: evaluate each bracket separately
+    # only when they overlap; same-depth brackets are identical or disjoint.
+    depth = {len(kk[1]) for kk in keys}
+    vals: dict = {}
+    for dpt in sorted(depth):
+        sub = {kk: i for kk, i in ids.items() if len(kk[1]) == dpt}
+        b2 = F.lit(None).cast("int")
+        for (grp, steps), i in reversed(list(sub.items())):
+            b2 = F.when(cond(grp, list(steps)), F.lit(i)).otherwise(b2)
+        _t = time.time()
+        rows = (lv.select(b2.alias("_b"), "value").where(F.col("_b").isNotNull())
+                  .groupBy("_b", "value").agg(F.count(F.lit(1)).alias("_c")).collect())
+        _log("final", _t)
+        for row in rows:
+            vals.setdefault(row["_b"], []).append((row["value"], row["_c"]))
+    result = {}
+    for k, st in state.items():
+        i = ids[(k[0], tuple(st["steps"]))]
+        acc = st["below"]
+        found = None
+        for v, c in sorted(vals.get(i, [])):
+            acc += c
+            if acc >= k[1]:
+                found = v
+                break
+        result[k] = found
+    return result
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              interpolation: str = "linear", by: Sequence[str] = (),
-              approx: bool = False, accuracy: int = 100000) -> DataFrame:
-    """Exact quantiles of many numeric columns in one range shuffle.
+              interpolation: str = "linear", approx: bool = False,
+              accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles of many numeric columns without sorting the data.
 
-    Returns long form ``(by..., column, prob, value)``.  ``interpolation`` is
+    Returns long form ``(column_name, prob, value)``.  ``interpolation`` is
     ``linear`` (pandas / Spark ``percentile`` / DuckDB ``quantile_cont``) or
     ``nearest`` (element at ``round((n-1)·q)``, half away from zero).  Nulls and
-    NaN are ignored.  ``approx=True`` uses mergeable ``percentile_approx``
-    sketches instead of a sort.
+    NaN are ignored.  ``approx=True`` returns the mergeable sketch directly.
     """
-    by = list(by)
+    spark = df.sparkSession
     probs = [float(p) for p in probs]
-    lv = long_values(df, cols, keep=by).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    schema = "column_name string, prob double, value double"
+    lv = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     if approx:
         pa = F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), accuracy)
-        agg = lv.groupBy(*by, "column_name").agg(pa.alias("_q"))
-        return agg.select(*by, "column_name", F.posexplode("_q").alias("_i", "value")).select(
-            *by, "column_name", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
+        agg = lv.groupBy("column_name").agg(pa.alias("_q"))
+        return agg.select("column_name", F.posexplode("_q").alias("_i", "value")).select(
+            "column_name", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
             .alias("prob"), "value")
-    r = ranked(lv, ["value"], by=[*by, "column_name"])
-    # wanted 1-based ranks for every prob; linear needs floor and ceil positions
-    p_arr = F.array(*[F.lit(p) for p in probs])
-    n1 = F.col(GROUP_N) - 1
-    if interpolation == "nearest":
-        want = F.transform(p_arr, lambda p: F.struct(
-            p.alias("prob"), (F.round(n1 * p, 0) + 1).cast("long").alias("lo"),
-            (F.round(n1 * p, 0) + 1).cast("long").alias("hi"), F.lit(0.0).alias("frac")))
-    else:
-        want = F.transform(p_arr, lambda p: F.struct(
-            p.alias("prob"), (F.floor(n1 * p) + 1).cast("long").alias("lo"),
-            (F.ceil(n1 * p) + 1).cast("long").alias("hi"),
-            (n1 * p - F.floor(n1 * p)).alias("frac")))
-    hits = (r.select(*by, "column_name", "value", RANK, F.inline(want))
-             .where((F.col(RANK) == F.col("lo")) | (F.col(RANK) == F.col("hi"))))
-    res = hits.groupBy(*by, "column_name", "prob").agg(
-        F.max(F.when(F.col(RANK) == F.col("lo"), F.col("value"))).alias("_lo"),
-        F.max(F.when(F.col(RANK) == F.col("hi"), F.col("value"))).alias("_hi"),
-        F.first("frac").alias("_frac"))
-    return res.select(*by, "column_name", "prob",
-                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+    stats = lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"),
+                                          F.max("value").alias("mx")).collect()
+    counts = {r["column_name"]: r["n"] for r in stats}
+    minmax = {r["column_name"]: (r["mn"], r["mx"]) for r in stats}
+    plan = {}
+    wants = {}
+    for c in cols:
+        n = counts.get(c, 0)
+        if not n:
+            continue
+        for p in probs:
+            lo, hi, frac = _target_ranks(n, p, interpolation)
+            plan[(c, p)] = (lo, hi, frac)
+            wants.setdefault(c, (n, set()))[1].update({lo, hi})
+    got = exact_ranks(lv, {g: (n, sorted(rs)) for g, (n, rs) in wants.items()}, minmax=minmax)
+    out = []
+    for c in cols:
+        for p in probs:
+            if (c, p) not in plan:
+                out.append((c, p, None))
+                continue
+            lo, hi, frac = plan[(c, p)]
+            a, b = got[(c, lo)], got[(c, hi)]
+            out.append((c, p, a + (b - a) * frac if frac else a))
+    return spark.createDataFrame(out, schema)
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
