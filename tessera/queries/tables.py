@@ -31,3 +31,37 @@ ORDERS_GAPS_SQL = """(SELECT o_orderkey, o_custkey,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
   CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 100 END AS o_rebate
  FROM orders)"""
+
+
+def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round every double column (engines differ in the last bits of sums)."""
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+                       if f.dataType.simpleString() in ("double", "float") else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def unpivot(df: DataFrame, keys: list[str], cols: list[str], value_type: str = "double") -> DataFrame:
+    """Wide → long ``(keys..., feature, value)``."""
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast(value_type).alias("value"))
+                    for c in cols])
+    return df.select(*keys, F.inline(arr))
+
+
+def customer_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` with nulls injected by key, nation as a category."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        "c_custkey",
+        F.when(k % 9 == 0, None).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+        F.col("c_nationkey").cast("double").alias("c_nationkey"),
+        F.when(k % 10 == 0, None).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("c_nation"))
+
+
+CUSTOMER_GAPS_SQL = """(SELECT c_custkey,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+  CAST(c_nationkey AS DOUBLE) AS c_nationkey,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+  'N' || CAST(c_nationkey AS VARCHAR) AS c_nation
+ FROM customer)"""
