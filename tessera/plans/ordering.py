@@ -284,3 +284,26 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for row in quantiles(df, cols, probs, interpolation, approx=approx).collect():
         out[row["column_name"]][round(row["prob"], 12)] = row["value"]
     return out
+
+
+def prefix_sums(df: DataFrame, order: Sequence, cols: Sequence[str], descending: bool = False,
+                num_partitions: int | None = None) -> DataFrame:
+    """Running totals ``cum_<col>`` of ``cols`` in ``order`` over the whole table
+    (inclusive of the current row), without an unpartitioned window.
+
+    Range partition → per-partition totals (one row per partition) prefix-summed
+    on the driver side of a tiny table → local running sums per partition →
+    add the partition's offset.
+    """
+    parts = num_partitions or default_partitions(df)
+    okeys = [F.col(o).desc() if descending else F.col(o) for o in order]
+    d = df.repartitionByRange(parts, *okeys).withColumn("_pid", F.spark_partition_id())
+    tot = d.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}")
+                               for c in cols])
+    lw = Window.partitionBy("_pid").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[F.sum(c).over(lw).alias(f"_l_{c}") for c in cols])
+    out = join_small(local, off, on="_pid", how="inner", known_rows=parts)
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}")
+                                     for c in cols])
