@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import numeric_cols, string_cols
 from ..plans.joins import join_small
-from ..plans.ordering import long_values, quantile_table
+from ..plans.ordering import long_values, quantile_table, range_bucket
 
 
 def _null_counts(df: DataFrame, cols: Sequence[str]) -> dict:
@@ -131,33 +131,32 @@ def fill_directional(df: DataFrame, cols: Sequence[str], order: Sequence[str],
     """Forward (last non-null before) or backward (next non-null after) fill in
     ``order`` within ``by`` groups, without putting a group into one task.
 
-    Rows are range-partitioned on ``(by, order)``; each partition fills locally
-    (window on ``(by, partition)``), and a carry table with the last non-null
-    value of every (group, partition) — at most partitions + groups rows —
-    fills the head of the next partitions.  ``order`` should end with a unique
+    Rows get deterministic range buckets on ``(by, order)``; each bucket fills
+    locally (window on ``(by, bucket)``), and a carry table with the last
+    non-null value of every (group, bucket) — at most buckets + groups rows —
+    fills the head of the next buckets.  ``order`` should end with a unique
     key so results repeat exactly.
     """
     by = list(by)
     cols = list(cols)
     fwd = direction == "forward"
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     okeys = [F.col(o) for o in order]
-    d = df.repartitionByRange(parts, *[F.col(b) for b in by], *okeys) \
-          .withColumn("_pid", F.spark_partition_id())
+    bucket, nb = range_bucket(df, [F.col(b) for b in by] + okeys, num_partitions)
+    d = df.withColumn("_b", bucket)
     oc = okeys if fwd else [k.desc() for k in okeys]
-    w = Window.partitionBy(*by, "_pid").orderBy(*oc).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "_b").orderBy(*oc).rowsBetween(Window.unboundedPreceding, 0)
     local = d.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_f_{c}") for c in cols])
-    # carry: last non-null value per (group, partition) in fill direction
+    # carry: last non-null value per (group, bucket) in fill direction
     ostruct = F.struct(*[F.col(o) for o in order])
     pick = F.max_by if fwd else F.min_by
-    carry = d.groupBy(*by, "_pid").agg(*[
+    carry = d.groupBy(*by, "_b").agg(*[
         pick(F.col(c), F.when(F.col(c).isNotNull(), ostruct)).alias(f"_c_{c}") for c in cols])
-    cw = Window.partitionBy(*by).orderBy(F.col("_pid") if fwd else F.col("_pid").desc()) \
+    cw = Window.partitionBy(*by).orderBy(F.col("_b") if fwd else F.col("_b").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select(*by, "_pid", *[F.last(f"_c_{c}", ignorenulls=True).over(cw)
-                                        .alias(f"_p_{c}") for c in cols])
-    out = join_small(local, carry, on=[*by, "_pid"], how="left",
-                     known_rows=parts if not by else None)
+    carry = carry.select(*by, "_b", *[F.last(f"_c_{c}", ignorenulls=True).over(cw)
+                                      .alias(f"_p_{c}") for c in cols])
+    out = join_small(local, carry, on=[*by, "_b"], how="left",
+                     known_rows=nb if not by else None)
     res = [F.coalesce(F.col(f"_f_{c}"), F.col(f"_p_{c}")).alias(c) if c in cols else F.col(c)
            for c in df.columns]
     return out.select(*res)

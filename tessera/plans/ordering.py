@@ -45,28 +45,77 @@ def default_partitions(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _sort_key(t):
+    return tuple((v is not None, v) for v in t)
+
+
+def range_bucket(df: DataFrame, keys: Sequence, num_buckets: int | None = None,
+                 per_bucket_sample: int = 64, seed: int = 17) -> tuple[Column, int]:
+    """A deterministic bucket column, monotone in the ``keys`` tuple.
+
+    Boundaries are picked once on the driver from a small sample of the key
+    tuples (at most ``num_buckets × per_bucket_sample`` rows), and the bucket
+    is assigned by a binary search of ``struct`` comparisons against those
+    literal boundaries.  Unlike ``spark_partition_id()`` after a range
+    shuffle, the bucket is a pure function of the row, so every branch of a
+    plan (counts, data, retries after executor loss) agrees on it.  A hot key
+    value is split as long as the trailing keys (e.g. a unique id) differ.
+    """
+    keys = _as_cols(keys)
+    parts = num_buckets or default_partitions(df)
+    n = df.count()
+    if n == 0 or parts <= 1:
+        return F.lit(0), 1
+    frac = min(1.0, parts * per_bucket_sample / n)
+    names = [f"_k{i}" for i in range(len(keys))]
+    sample = df.select(*[k.alias(nm) for k, nm in zip(keys, names)])
+    if frac < 1.0:
+        sample = sample.sample(fraction=frac, seed=seed)
+    pts = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
+    if not pts:
+        return F.lit(0), 1
+    bounds = []
+    for i in range(1, parts):
+        b = pts[min(len(pts) - 1, (i * len(pts)) // parts)]
+        if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
+            bounds.append(b)
+    row = F.struct(*[k.alias(nm) for k, nm in zip(keys, names)])
+
+    def lit_struct(b):
+        return F.struct(*[F.lit(v).cast(df.select(k).schema[0].dataType).alias(nm)
+                          for v, k, nm in zip(b, keys, names)])
+
+    # bucket = number of boundaries ≤ row, by binary search (depth log2 B)
+    def search(lo, hi):
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(row >= lit_struct(bounds[mid]), search(mid + 1, hi)).otherwise(
+            search(lo, mid))
+
+    return search(0, len(bounds)), len(bounds) + 1
+
+
 def ranked(df: DataFrame, order: Sequence, by: Sequence[str] = (),
            num_partitions: int | None = None, with_group_size: bool = True,
            max_groups: int | None = None) -> DataFrame:
-    """Add ``_rank`` (1-based, dense over rows, ties broken by input order of
-    ``order``) within each ``by`` group, and ``_group_n`` (rows in the group).
+    """Add ``_rank`` (1-based row number in ``order``) within each ``by`` group,
+    and ``_group_n`` (rows in the group).
 
     ``order`` should be a total order (end it with a unique key) so that the
-    result is repeatable under any partitioning and after task retries.
-    ``max_groups`` (a proven bound on distinct ``by`` values) sizes the count
-    table without running a job: it has at most ``partitions + groups`` rows.
+    result is repeatable.  Rows go to deterministic range buckets of
+    ``(by, order)``; a window numbers rows inside each (bucket, group) — a
+    bounded partition even when one group holds a third of the table — and a
+    small (bucket, group) count table supplies each bucket's offset.
+    ``max_groups`` (a proven bound on distinct ``by`` values) sizes that table
+    without a job: it has at most ``buckets + groups`` rows.
     """
     by = list(by)
     order_cols = _as_cols(order)
-    parts = num_partitions or default_partitions(df)
-    keys = [F.col(b) for b in by] + order_cols
-    d = (df.repartitionByRange(parts, *keys)
-           .sortWithinPartitions(*keys)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = d.groupBy("_pid", *by).agg(F.min("_mid").alias("_mid0"),
-                                         F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
+    bucket, nb = range_bucket(df, [F.col(b) for b in by] + order_cols, num_partitions)
+    d = df.withColumn("_b", bucket)
+    counts = d.groupBy("_b", *by).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
     counts = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
@@ -74,14 +123,12 @@ def ranked(df: DataFrame, order: Sequence, by: Sequence[str] = (),
         wg = Window.partitionBy(*by) if by else Window.partitionBy()
         counts = counts.withColumn(GROUP_N, F.sum("_cnt").over(wg))
     counts = counts.drop("_cnt")
-    bound = None
-    if not by:
-        bound = parts
-    elif max_groups is not None:
-        bound = parts + max_groups
-    out = join_small(d, counts, on=["_pid", *by], how="inner", known_rows=bound)
-    out = out.withColumn(RANK, F.col("_off") + (F.col("_mid") - F.col("_mid0")) + F.lit(1))
-    return out.drop("_pid", "_mid", "_mid0", "_off")
+    lw = Window.partitionBy("_b", *by).orderBy(*order_cols)
+    local = d.withColumn("_local", F.row_number().over(lw))
+    bound = nb if not by else (nb + max_groups if max_groups is not None else None)
+    out = join_small(local, counts, on=["_b", *by], how="inner", known_rows=bound)
+    out = out.withColumn(RANK, (F.col("_off") + F.col("_local")).cast("long"))
+    return out.drop("_b", "_local", "_off")
 
 
 def long_values(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
@@ -291,19 +338,23 @@ def prefix_sums(df: DataFrame, order: Sequence, cols: Sequence[str], descending:
     """Running totals ``cum_<col>`` of ``cols`` in ``order`` over the whole table
     (inclusive of the current row), without an unpartitioned window.
 
-    Range partition → per-partition totals (one row per partition) prefix-summed
-    on the driver side of a tiny table → local running sums per partition →
-    add the partition's offset.
+    Deterministic range buckets → per-bucket totals (one row per bucket)
+    prefix-summed on a tiny table → running sums inside each bucket → plus the
+    bucket's offset.  ``order`` should be unique (ties are summed in an
+    arbitrary but consistent order).
     """
-    parts = num_partitions or default_partitions(df)
-    okeys = [F.col(o).desc() if descending else F.col(o) for o in order]
-    d = df.repartitionByRange(parts, *okeys).withColumn("_pid", F.spark_partition_id())
-    tot = d.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}")
-                               for c in cols])
-    lw = Window.partitionBy("_pid").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
+    ocols = _as_cols(order)
+    bucket, nb = range_bucket(df, ocols, num_partitions)
+    if descending:
+        bucket = F.lit(nb - 1) - bucket
+    d = df.withColumn("_b", bucket)
+    okeys = [c.desc() for c in ocols] if descending else ocols
+    tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}")
+                             for c in cols])
+    lw = Window.partitionBy("_b").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
     local = d.select("*", *[F.sum(c).over(lw).alias(f"_l_{c}") for c in cols])
-    out = join_small(local, off, on="_pid", how="inner", known_rows=parts)
+    out = join_small(local, off, on="_b", how="inner", known_rows=nb)
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}")
                                      for c in cols])

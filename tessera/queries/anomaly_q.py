@@ -1,3 +1,73 @@
-"""Queries."""
+"""Outlier and anomaly queries (§2.16)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import anomaly as A
+from . import query
+from .sqlgen import union_all
+from .tables import round_doubles, table
+
+OUT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _iqr_sql(t: float = 1.5) -> str:
+    parts = []
+    for c in OUT_COLS:
+        parts.append(f"""SELECT '{c}' AS column_name,
+  count(*) FILTER (WHERE {c} < q1 - {t} * (q3 - q1) OR {c} > q3 + {t} * (q3 - q1)) AS outlier_count,
+  round(count(*) FILTER (WHERE {c} < q1 - {t} * (q3 - q1) OR {c} > q3 + {t} * (q3 - q1))
+    / count({c}) * 100.0, 6) AS outlier_pct
+FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem) q""")
+    return union_all(parts)
+
+
+def _z_sql(t: float = 1.5) -> str:
+    parts = []
+    for c in OUT_COLS:
+        cond = f"abs(({c} - m) / s) > {t}"
+        parts.append(f"""SELECT '{c}' AS column_name, count(*) FILTER (WHERE {cond}) AS outlier_count,
+  round(count(*) FILTER (WHERE {cond}) / count({c}) * 100.0, 6) AS outlier_pct
+FROM lineitem, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM lineitem) q""")
+    return union_all(parts)
+
+
+@query("outliers_iqr", _iqr_sql())
+def outliers_iqr(spark, sf):
+    return round_doubles(A.outliers(table(spark, sf, "lineitem"), "iqr", 1.5, OUT_COLS), 6)
+
+
+@query("outliers_zscore", _z_sql())
+def outliers_zscore(spark, sf):
+    return round_doubles(A.outliers(table(spark, sf, "lineitem"), "zscore", 1.5, OUT_COLS), 6)
+
+
+def _keyed_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("li_key"),
+                     "l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf):
+    out = A.isolation_forest(_keyed_lineitem(spark, sf),
+                             ["l_quantity", "l_extendedprice", "l_discount"], "li_key")
+    return out.select("li_key", "anomaly_score", "is_anomaly")
+
+
+@query("one_class_svm")
+def one_class_svm(spark, sf):
+    c = table(spark, sf, "customer")
+    out = A.one_class_svm(c, ["c_acctbal", "c_nationkey"], "c_custkey")
+    return out.select("c_custkey", "decision", "is_anomaly")
+
+
+@query("series_anomalies")
+def series_anomalies(spark, sf):
+    """Univariate forest over the daily order total, contamination 0.05."""
+    o = table(spark, sf, "orders")
+    d = o.groupBy("o_orderdate").agg(F.sum("o_totalprice").alias("total")) \
+        .withColumn("day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01")))
+    out = A.isolation_forest(d, ["total"], "day", contamination=0.05)
+    return out.where("is_anomaly").select("day", "o_orderdate", "total", "anomaly_score")
