@@ -225,7 +225,7 @@ def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: i
             i = ids[(grp, tuple(st["steps"]))]
             lo, hi = bounds(grp, st["steps"])
             if hi <= lo:
-                st["inside"] = 0 if False else st["inside"]
+                # degenerate bracket (one value): finished by the final pass
                 st["degenerate"] = True
                 continue
             acc = st["below"]
