@@ -115,8 +115,8 @@ def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 def cluster_summary(df: DataFrame, label: str = "cluster") -> dict:
     rows = cluster_sizes(df, label).collect()
-    sizes = [r["size"] for r in rows if r["cluster"] != -1]
-    noise = sum(r["size"] for r in rows if r["cluster"] == -1)
+    sizes = [r["size"] for r in rows if str(r["cluster"]) != "-1"]
+    noise = sum(r["size"] for r in rows if str(r["cluster"]) == "-1")
     out = {"n_clusters": len(sizes), "n_noise": noise,
            "mean_size": float(np.mean(sizes)) if sizes else 0.0,
            "std_size": float(np.std(sizes)) if sizes else 0.0}
@@ -126,7 +126,7 @@ def cluster_summary(df: DataFrame, label: str = "cluster") -> dict:
 
 
 def _cluster_stats(df: DataFrame, cols: Sequence[str], label: str):
-    d = df.where(F.col(label) != -1)
+    d = df.where(F.col(label).cast("string") != F.lit("-1"))
     x = [F.col(c).cast("double") for c in cols]
     g = d.groupBy(F.col(label).alias("c")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)],

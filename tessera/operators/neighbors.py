@@ -102,11 +102,12 @@ def knn_pairs(queries: DataFrame, points: DataFrame, key: str, feats: Sequence[s
             total = points.count() - (0 if include_self else 1)
             want = F.lit(min(k, total))
         done_q = cnt.where(F.col("_m") >= want).select(*by, "q")
-        done = top.join(done_q, [*by, "q"], "left_semi")
-        done = cut(done)
+        done = cut(top.join(done_q, [*by, "q"], "left_semi"))
         found = done if found is None else found.unionByName(done)
-        need = need.join(done_q.withColumnRenamed("q", key), [*by, key], "left_anti")
-        if need.limit(1).count() == 0:
+        # unresolved queries, materialised so the next round's plan stays short
+        need = cut(need.join(done.select(*by, F.col("q").alias(key)).distinct(),
+                             [*by, key], "left_anti"))
+        if need.count() == 0:
             break
         r *= 2.0
     return found

@@ -251,3 +251,14 @@ def text_risk_report(spark, sf):
 @query("text_risk_report_pages", _risk_sql("pages", "html", None))
 def text_risk_report_pages(spark, sf):
     return C.text_risk_report(table(spark, sf, "pages"), "html")
+
+
+@query("stream_sanitize_string",
+       f"SELECT doc_id, {SANITIZE_SQL.format(c='text')} AS text FROM documents")
+def stream_sanitize_string(spark, sf):
+    """The sanitiser applied to ``documents`` read as a stream."""
+    from ..streaming.score import read_stream, run_to_table
+    src = f"{sf.rstrip('/')}/documents.parquet"
+    schema = spark.read.parquet(src).schema
+    s = read_stream(spark, src, schema).select("doc_id", TX.sanitize_string("text").alias("text"))
+    return run_to_table(s)
