@@ -1,9 +1,9 @@
 """Outliers and anomalies.
 
 * ``outliers`` (iqr / zscore): one quantile pass + one conditional-sum pass.
-* ``isolation_forest``: per-tree samples of ≤ 256 rows chosen by a seeded
-  hash (candidates filtered by hash first, so no tree's sample scales with the
-  table), trees grown in ``applyInPandas`` (one group per tree), then a
+* ``isolation_forest``: per-tree samples of ≤ 256 rows chosen by seeded
+  hashes (candidates filtered by hash first, so no tree's sample scales with
+  the table), trees grown in ``applyInPandas`` (one group per tree), then a
   vectorised ``mapInPandas`` scoring pass over all rows.  Threshold = exact
   score quantile at the contamination rate.
 * ``one_class_svm``: random Fourier features (Rahimi & Recht 2007) and a
@@ -143,14 +143,25 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int
     feats = df.select(key, *fx)
     n = df.count()
     psi = int(min(sample_size, n))
-    # candidates: each row joins a tree when its seeded hash is in the lowest
-    # ~3ψ/n fraction, so the per-tree candidate set is O(ψ), not O(n)
-    frac = min(1.0, 3.0 * psi / max(n, 1))
-    cut = int(frac * (2 ** 31))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree")
-    cand = feats.select("*", trees).withColumn(
-        "_h", F.pmod(F.xxhash64(F.col(key), F.col("_tree"), F.lit(seed)), F.lit(2 ** 31)))
-    cand = cand.where(F.col("_h") < cut) if frac < 1.0 else cand
+    # candidates: one seeded hash keeps ~3ψ rows per tree in total and a second
+    # hash assigns each kept row its tree, so the per-tree sample is O(ψ) and
+    # each row costs two hashes — rows are replicated only when the table is
+    # smaller than trees × 3ψ (then every row lands in several trees)
+    want = n_trees * 3.0 * psi
+    copies = max(1, int(math.ceil(want / max(n, 1))))
+    frac = min(1.0, want / max(n, 1) / copies)
+    cand = feats
+    if frac < 1.0:
+        cand = cand.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2 ** 31))
+                          < F.lit(int(frac * 2 ** 31)))
+    if copies > 1:
+        cand = cand.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("_copy"))
+    else:
+        cand = cand.withColumn("_copy", F.lit(1))
+    cand = cand.withColumn("_tree", F.pmod(F.xxhash64(F.col(key), F.col("_copy"),
+                                                      F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
+    cand = cand.dropDuplicates(["_tree", key]).withColumn(
+        "_h", F.pmod(F.xxhash64(F.col(key), F.col("_tree"), F.lit(seed + 2)), F.lit(2 ** 31)))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     tree_schema = ("_tree int, feat array<int>, thr array<double>, left array<int>, "
                    "right array<int>, size array<int>")

@@ -255,7 +255,7 @@ def pca(df: DataFrame, cols: Sequence[str], key: str, n_components: int = 2):
     P = m.pc.toArray()
     signs = [1.0 if P[np.argmax(np.abs(P[:, j])), j] >= 0 else -1.0 for j in range(n_components)]
     arr = vector_to_array("_pc")
-    scores = z.select(key, *[(arr[j] * F.lit(signs[j])).alias(f"pc{j + 1}")
+    scores = m.transform(z).select(key, *[(arr[j] * F.lit(signs[j])).alias(f"pc{j + 1}")
                              for j in range(n_components)])
     ratios = [float(v) for v in m.explainedVariance.toArray()]
     return scores, ratios

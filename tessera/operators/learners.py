@@ -27,6 +27,7 @@ from . import evaluate as EV
 from .split import FOLD, assign_folds
 
 LABEL = "_label"
+MAX_CLASSES = 10_000   # class lists are collected; larger label sets are refused
 FEATURES = "_features"
 PRED = "prediction"
 
@@ -180,7 +181,10 @@ def prepare_label(df: DataFrame, label: str, problem: str):
     Rows with a null label are dropped (and counted)."""
     d = df.where(F.col(label).isNotNull())
     if problem.lower().startswith("class"):
-        classes = sorted(r[0] for r in d.select(F.col(label).cast("string")).distinct().collect())
+        distinct = d.select(F.col(label).cast("string")).distinct().limit(MAX_CLASSES + 1).collect()
+        if len(distinct) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes: not a classification target")
+        classes = sorted(r[0] for r in distinct)
         mapping = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
         return d.withColumn(LABEL, mapping[F.col(label).cast("string")]), classes
     return d.withColumn(LABEL, F.col(label).cast("double")), None

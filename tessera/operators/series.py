@@ -189,17 +189,25 @@ def _nelder_mead(f, x0, iters=400, step=0.1):
 
 def _arma_css(w, p_ar, p_ma, params):
     """Conditional sum of squares of a (seasonal) ARMA on w.  params =
-    [c, ar coefs (lags in p_ar), ma coefs (lags in p_ma)]."""
+    [c, ar coefs (lags in p_ar), ma coefs (lags in p_ma)].  The AR part is
+    vectorised; only the MA recursion runs as a loop."""
     c = params[0]
     ar = params[1:1 + len(p_ar)]
     ma = params[1 + len(p_ar):]
     start = max(p_ar + p_ma + [0])
-    e = np.zeros(len(w))
-    for t in range(start, len(w)):
-        pred = c + sum(a * w[t - L] for a, L in zip(ar, p_ar)) \
-            + sum(m * e[t - L] for m, L in zip(ma, p_ma))
-        e[t] = w[t] - pred
-    return e, start
+    n = len(w)
+    r = np.asarray(w, dtype=float) - c
+    for a, lag in zip(ar, p_ar):
+        r[lag:] -= a * np.asarray(w[:n - lag], dtype=float)
+    e = [0.0] * n
+    rl = r.tolist()
+    terms = list(zip(ma, p_ma))
+    for t in range(start, n):
+        v = rl[t]
+        for m, lag in terms:
+            v -= m * e[t - lag]
+        e[t] = v
+    return np.asarray(e), start
 
 
 def _poly_lags(nonseasonal: int, seasonal: int, s: int):

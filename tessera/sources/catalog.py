@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import local_path
+
 from ..functions.columns import categorical_cols, datetime_cols, numeric_cols
 from .readers import read_any, write_dataset
 
@@ -62,9 +64,9 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root
-        os.makedirs(os.path.join(root, "data"), exist_ok=True)
-        os.makedirs(os.path.join(root, "meta"), exist_ok=True)
+        self.root = local_path(root)
+        os.makedirs(os.path.join(self.root, "data"), exist_ok=True)
+        os.makedirs(os.path.join(self.root, "meta"), exist_ok=True)
 
     def _data(self, dataset_id: str) -> str:
         return os.path.join(self.root, "data", dataset_id)

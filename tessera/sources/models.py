@@ -13,6 +13,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import local_path
+
 MODEL_META_SCHEMA = T.StructType([
     T.StructField("model_id", T.StringType()),
     T.StructField("model_type", T.StringType()),
@@ -28,8 +30,8 @@ MODEL_META_SCHEMA = T.StructType([
 class ModelStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root
-        os.makedirs(root, exist_ok=True)
+        self.root = local_path(root)
+        os.makedirs(self.root, exist_ok=True)
 
     def _dir(self, model_id: str) -> str:
         return os.path.join(self.root, model_id)

@@ -27,14 +27,16 @@ def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A JSON array of objects (multi-line) or JSON lines."""
-    r = spark.read.option("multiLine", True)
+    """A JSON array of objects (read multi-line) or JSON lines (split by line,
+    so a large file is read in parallel).  The form is decided by the first
+    non-blank character of the input."""
+    head = spark.read.text(path).where(F.trim("value") != "").select(
+        F.substring(F.trim("value"), 1, 1).alias("c")).first()
+    multiline = head is not None and head["c"] == "["
+    r = spark.read.option("multiLine", multiline)
     if schema is not None:
         r = r.schema(schema)
-    df = r.json(path)
-    if "_corrupt_record" in df.columns and len(df.columns) == 1:
-        df = spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)
-    return df
+    return r.json(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -13,13 +13,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, local_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
-    """A Parquet folder as a stream (new files are new micro-batches)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(path))
+    """A Parquet folder as a stream (new files are new micro-batches).  A single
+    file is streamed as its folder filtered to that file name."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if os.path.isfile(path):
+        r = r.option("pathGlobFilter", os.path.basename(path))
+        path = os.path.dirname(path)
+    return r.parquet(path)
 
 
 def score_stream(model, stream: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:
     as a batch DataFrame (for tests and small demonstrations)."""
     spark = stream.sparkSession
     name = name or f"tessera_stream_{uuid.uuid4().hex[:8]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    ckpt = os.path.join(local_path(ensure_checkpoint_dir(spark)), "streams", name)
     q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.processAllAvailable()
