@@ -149,8 +149,8 @@ def rff_stage(n_in: int, n_out: int = 200, gamma: float | None = None, seed: int
     s = math.sqrt(2.0 / n_out)
     terms = []
     for k in range(n_out):
-        lin = " + ".join(f"({W[k, i]!r}) * _x_{i}" for i in range(n_in))
-        terms.append(f"{s!r} * cos({lin} + ({b[k]!r})) AS `_k_{k}`")
+        lin = " + ".join(f"({float(W[k, i])!r}) * _x_{i}" for i in range(n_in))
+        terms.append(f"{float(s)!r} * cos({lin} + ({float(b[k])!r})) AS `_k_{k}`")
     return SQLTransformer(statement="SELECT *, " + ", ".join(terms) + " FROM __THIS__")
 
 
@@ -237,12 +237,18 @@ class Ensemble:
             return self.final.transform(t)
         if not cls:
             return t.withColumn(PRED, sum(F.col(f"_p{i}") for i in range(k)) / k)
-        if self.voting == "soft" and isinstance(t.schema["_p0"].dataType.__class__, type) and \
-                t.schema["_p0"].dataType.simpleString().startswith("array"):
+        is_arr = [t.schema[f"_p{i}"].dataType.simpleString().startswith("array")
+                  for i in range(k)]
+        if self.voting == "soft" and all(is_arr):
             avg = F.zip_with(F.col("_p0"), F.col("_p1"), lambda a, b: a + b)
             for i in range(2, k):
                 avg = F.zip_with(avg, F.col(f"_p{i}"), lambda a, b: a + b)
             return t.withColumn(PRED, F.array_position(avg, F.array_max(avg)).cast("double") - 1)
+        # a base without class probabilities: probability rows become class votes
+        for i in range(k):
+            if is_arr[i]:
+                t = t.withColumn(f"_p{i}", (F.array_position(F.col(f"_p{i}"), F.array_max(
+                    F.col(f"_p{i}"))) - 1).cast("double"))
         votes = F.array(*[F.col(f"_p{i}") for i in range(k)])
         # hard vote: most frequent prediction, ties → smallest class index
         best = F.aggregate(F.array_distinct(votes), F.struct(F.lit(-1).alias("c"),

@@ -150,7 +150,7 @@ def _target_ranks(n: int, q: float, interpolation: str) -> tuple[int, int, float
 
 
 # Rows we accept inside one bracket before collecting its distinct values.
-BRACKET_LIMIT = 200_000
+BRACKET_LIMIT = 20_000
 
 
 def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: int = 1024,
