@@ -280,15 +280,21 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, n_rows,
             train_df.columns else assign_folds(
                 train_df.withColumn("_row_key", F.xxhash64(*[F.col(c) for c in features])),
                 "_row_key", "kfold", 3)
-        oof = None
-        for f in range(k):
+        base_types = ("random_forest", "gradient_boosting",
+                      "logistic_regression" if problem.lower().startswith("class")
+                      else "linear_regression")
+
+        def fold_preds(f):
             tr, te = folds.where(F.col(FOLD) != f), folds.where(F.col(FOLD) == f)
             ms = [build_pipeline(features, m, problem, None, n_classes, n_rows, seed=seed).fit(tr)
-                  for m in ("random_forest", "gradient_boosting",
-                            "logistic_regression" if problem.lower().startswith("class")
-                            else "linear_regression")]
-            part = Ensemble("voting", ms, problem, voting="hard")._base_preds(te)
-            oof = part if oof is None else oof.unionByName(part)
+                  for m in base_types]
+            return Ensemble("voting", ms, problem, voting="hard")._base_preds(te)
+
+        with ThreadPoolExecutor(max_workers=k) as ex:
+            parts = list(ex.map(fold_preds, range(k)))
+        oof = parts[0]
+        for part in parts[1:]:
+            oof = oof.unionByName(part)
         final_type = "logistic_regression" if problem.lower().startswith("class") else \
             "linear_regression"
         final = build_pipeline([f"_p{i}" for i in range(3)], final_type, problem, None,

@@ -32,6 +32,14 @@ def lineitem_cls(spark, sf):
                      "l_extendedprice")
 
 
+def labels_cls(spark, sf):
+    """Labelled documents: toxicity from length features and quality."""
+    lab = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return lab.join(docs, "doc_id").select("doc_id", "toxic", "quality", "n_chars",
+                                           F.log1p("n_chars").alias("len_log"))
+
+
 def customer_cls(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey",
                                                "c_mktsegment")
@@ -51,6 +59,9 @@ def _train_query(model_type, problem="classification", params=None, source="line
         if source == "lineitem":
             df, key, feats = lineitem_cls(spark, sf), "li_key", LI_FEATS
             label = "big" if problem == "classification" else "l_extendedprice"
+        elif source == "labels":
+            df, key, feats, label = labels_cls(spark, sf), "doc_id", \
+                ["n_chars", "len_log", "quality"], "toxic"
         else:
             df, key, feats, label = customer_cls(spark, sf), "c_custkey", \
                 ["c_acctbal", "c_nationkey"], "c_mktsegment"
@@ -67,11 +78,11 @@ query("train_decision_tree")(_train_query("decision_tree", params={"max_depth":
 query("train_random_forest_regression")(_train_query("random_forest", "regression",
                                                      {"n_estimators": 20}))
 query("train_svm")(_train_query("svm"))
-query("train_svm_rbf")(_train_query("svm", params={"kernel": "rbf"}, source="customer"))
+query("train_svm_rbf")(_train_query("svm", params={"kernel": "rbf"}, source="labels"))
 query("train_xgboost_preset")(_train_query("xgboost", params={"n_estimators": 10}))
 query("train_knn")(_train_query("knn", params={"n_neighbors": 5}, source="customer"))
-query("train_voting")(_train_query("voting", source="customer"))
-query("train_stacking")(_train_query("stacking", source="customer"))
+query("train_voting")(_train_query("voting", source="labels"))
+query("train_stacking")(_train_query("stacking", source="labels"))
 
 
 @query("predict_saved_model")

@@ -38,3 +38,52 @@ def test_smote_grows_minority(spark):
     out = NB.smote(df, "y", "id", ["a", "b"])
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 144, 1: 144}
+
+
+def _dbscan_brute(pts, eps, min_samples):
+    n = len(pts)
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    nb = [set(np.where(d2[i] <= eps * eps)[0]) for i in range(n)]
+    core = {i for i in range(n) if len(nb[i]) >= min_samples}
+    comp = {}
+    for c in sorted(core):
+        if c in comp:
+            continue
+        stack, comp[c] = [c], c
+        while stack:
+            u = stack.pop()
+            for v in nb[u]:
+                if v in core and v not in comp:
+                    comp[v] = c
+                    stack.append(v)
+    ids = {r: i for i, r in enumerate(sorted(set(comp.values())))}
+    lab = {}
+    for i in range(n):
+        if i in core:
+            lab[i] = ids[comp[i]]
+        else:
+            cs = [ids[comp[j]] for j in nb[i] if j in core]
+            lab[i] = min(cs) if cs else -1
+    return lab
+
+
+def test_dbscan_matches_brute_force(spark):
+    rng = np.random.default_rng(7)
+    pts = np.concatenate([rng.normal(0, 0.3, size=(60, 2)), rng.normal(3, 0.3, size=(60, 2)),
+                          rng.uniform(-2, 5, size=(20, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)],
+                               "k long, x double, y double")
+    got = {r["k"]: r["cluster"] for r in NB.dbscan(df, "k", ["x", "y"], 0.4, 5).collect()}
+    assert got == _dbscan_brute(pts, 0.4, 5)
+
+
+def test_isolation_forest_flags_contamination(spark):
+    from tessera.operators.anomaly import isolation_forest
+    rng = np.random.default_rng(9)
+    pts = np.concatenate([rng.normal(size=(400, 2)), rng.normal(8, 0.5, size=(10, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)],
+                               "k long, x double, y double")
+    out = isolation_forest(df, ["x", "y"], "k", n_trees=30, contamination=0.05)
+    flagged = {r["k"] for r in out.where("is_anomaly").collect()}
+    assert abs(len(flagged) - 0.05 * 410) <= 2
+    assert len(flagged & set(range(400, 410))) >= 8
