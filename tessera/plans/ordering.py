@@ -199,7 +199,7 @@ def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: i
         return lo, hi
 
     for _ in range(max_rounds):
-        big = [k for k, st in state.items() if st["inside"] > limit]
+        big = [k for k, st in state.items() if st["inside"] > limit and "value" not in st]
         if not big:
             break
         keys = sorted({(k[0], tuple(state[k]["steps"])) for k in big}, key=repr)
@@ -212,12 +212,17 @@ def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: i
             bid = F.when(c, F.lit(i)).otherwise(bid)
             bexpr = F.when(c, _bin(lo, hi)).otherwise(bexpr)
         _t = time.time()
-        hist = (lv.select(bid.alias("_b"), bexpr.alias("_bin")).where(F.col("_b").isNotNull())
-                  .groupBy("_b", "_bin").agg(F.count(F.lit(1)).alias("_c")).collect())
+        hist = (lv.select(bid.alias("_b"), bexpr.alias("_bin"), "value")
+                  .where(F.col("_b").isNotNull())
+                  .groupBy("_b", "_bin").agg(F.count(F.lit(1)).alias("_c"),
+                                             F.min("value").alias("_mn"),
+                                             F.max("value").alias("_mx")).collect())
         _log("hist", _t)
         per: dict = {}
+        ext: dict = {}
         for row in hist:
             per.setdefault(row["_b"], {})[row["_bin"]] = row["_c"]
+            ext[(row["_b"], row["_bin"])] = (row["_mn"], row["_mx"])
         progressed = False
         for k in big:
             st = state[k]
@@ -232,16 +237,21 @@ def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: i
             for b in range(bins):
                 c = per.get(i, {}).get(b, 0)
                 if acc + c >= k[1]:
-                    st["steps"] = st["steps"] + [(lo, hi, b)]
-                    st["below"] = acc
-                    st["inside"] = c
-                    progressed = True
+                    mn, mx = ext[(i, b)]
+                    if mn == mx:          # one distinct value: the rank is found
+                        st["value"] = mn
+                    else:
+                        st["steps"] = st["steps"] + [(lo, hi, b)]
+                        st["below"] = acc
+                        st["inside"] = c
+                        progressed = True
                     break
                 acc += c
         if not progressed:
             break
-    # final pass: distinct values (with counts) inside every bracket
-    keys = sorted({(k[0], tuple(st["steps"])) for k, st in state.items()}, key=repr)
+    # final pass: distinct values (with counts) inside every unfinished bracket
+    keys = sorted({(k[0], tuple(st["steps"])) for k, st in state.items()
+                   if "value" not in st}, key=repr)
     ids = {kk: i for i, kk in enumerate(keys)}
     bid = F.lit(None).cast("int")
     for (grp, steps), i in reversed(list(ids.items())):
@@ -263,6 +273,9 @@ def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: i
             vals.setdefault(row["_b"], []).append((row["value"], row["_c"]))
     result = {}
     for k, st in state.items():
+        if "value" in st:
+            result[k] = st["value"]
+            continue
         i = ids[(k[0], tuple(st["steps"]))]
         acc = st["below"]
         found = None
