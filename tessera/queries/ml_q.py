@@ -292,3 +292,12 @@ def knn_neighbors(spark, sf):
     e = embeddings(spark, sf)
     return NB.knn_pairs(e, e, "vec_id", EMB_COLS, 5).select("q", "p", "nn_rank",
                                                             F.sqrt("d2").alias("distance"))
+
+
+@query("kernel_shap")
+def kernel_shap(spark, sf):
+    """Exact Shapley values of a decision tree for every lineitem row."""
+    df = lineitem_cls(spark, sf)
+    model, *_ = L.train(df, LI_FEATS, "big", "decision_tree", "classification",
+                        {"max_depth": 5}, key="li_key")
+    return EX.shap_summary(EX.kernel_shap(model, df, LI_FEATS, "li_key"))

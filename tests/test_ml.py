@@ -87,3 +87,20 @@ def test_isolation_forest_flags_contamination(spark):
     flagged = {r["k"] for r in out.where("is_anomaly").collect()}
     assert abs(len(flagged) - 0.05 * 410) <= 2
     assert len(flagged & set(range(400, 410))) >= 8
+
+
+def test_kernel_shap_matches_linear_closed_form(spark):
+    from tessera.operators import explain as EXP
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(200, 3))
+    y = X @ np.array([2.0, -1.0, 0.5]) + 0.1 * rng.normal(size=200)
+    rows = [(i, *map(float, X[i]), float(y[i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    model, *_ = L.train(df, ["a", "b", "c"], "y", "linear_regression", "regression", key="id")
+    coef = model.stages[-1].coefficients.toArray()
+    means = X.mean(axis=0)
+    got = {(r["id"], r["feature"]): r["shap"]
+           for r in EXP.kernel_shap(model, df, ["a", "b", "c"], "id").collect()}
+    for i in range(0, 200, 37):
+        for j, f in enumerate("abc"):
+            assert abs(got[(i, f)] - coef[j] * (X[i, j] - means[j])) < 1e-6
