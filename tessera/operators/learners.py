@@ -332,6 +332,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, model_type: str =
     if cv != "none" and key is not None:
         cv_df = cross_val_score(train_df.drop("split"), features, model_type, problem, params,
                                 key, cv, folds, n_classes, seed)
+        cv_df = d.sparkSession.createDataFrame(cv_df.collect(), cv_df.schema)
+    d.unpersist()   # metrics and fold scores are already computed
     return model, metrics, cv_df, classes
 
 
