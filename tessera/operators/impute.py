@@ -128,38 +128,52 @@ def drop_sparse_columns(df: DataFrame, threshold: float = 0.5) -> tuple[DataFram
 def fill_directional(df: DataFrame, cols: Sequence[str], order: Sequence[str],
                      by: Sequence[str] = (), direction: str = "forward",
                      num_partitions: int | None = None) -> DataFrame:
-    """Forward (last non-null before) or backward (next non-null after) fill in
-    ``order`` within ``by`` groups, without putting a group into one task.
+    """Forward (last non-null before), backward (next non-null after) or
+    ``both`` (forward, then backward for the leading nulls) fill in ``order``
+    within ``by`` groups, without putting a group into one task.
 
     Rows get deterministic range buckets on ``(by, order)``; each bucket fills
-    locally (window on ``(by, bucket)``), and a carry table with the last
-    non-null value of every (group, bucket) — at most buckets + groups rows —
-    fills the head of the next buckets.  ``order`` should end with a unique
-    key so results repeat exactly.
+    locally (windows on ``(by, bucket)``), and a carry table with the last /
+    first non-null value of every (group, bucket) — at most buckets + groups
+    rows — fills the head (tail) of the neighbouring buckets.  ``order``
+    should end with a unique key so results repeat exactly.
     """
     by = list(by)
     cols = list(cols)
-    fwd = direction == "forward"
+    dirs = ["forward", "backward"] if direction == "both" else [direction]
     okeys = [F.col(o) for o in order]
     bucket, nb = range_bucket(df, [F.col(b) for b in by] + okeys, num_partitions)
     d = df.withColumn("_b", bucket)
-    oc = okeys if fwd else [k.desc() for k in okeys]
-    w = Window.partitionBy(*by, "_b").orderBy(*oc).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_f_{c}") for c in cols])
-    # carry: last non-null value per (group, bucket) in fill direction
     ostruct = F.struct(*[F.col(o) for o in order])
-    pick = F.max_by if fwd else F.min_by
-    carry = d.groupBy(*by, "_b").agg(*[
-        pick(F.col(c), F.when(F.col(c).isNotNull(), ostruct)).alias(f"_c_{c}") for c in cols])
-    cw = Window.partitionBy(*by).orderBy(F.col("_b") if fwd else F.col("_b").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select(*by, "_b", *[F.last(f"_c_{c}", ignorenulls=True).over(cw)
-                                      .alias(f"_p_{c}") for c in cols])
+    local_cols, carry_aggs = [], []
+    for dr in dirs:
+        fwd = dr == "forward"
+        oc = okeys if fwd else [k.desc() for k in okeys]
+        w = Window.partitionBy(*by, "_b").orderBy(*oc).rowsBetween(Window.unboundedPreceding, 0)
+        local_cols += [F.last(c, ignorenulls=True).over(w).alias(f"_f{dr[0]}_{c}") for c in cols]
+        pick = F.max_by if fwd else F.min_by
+        carry_aggs += [pick(F.col(c), F.when(F.col(c).isNotNull(), ostruct)).alias(f"_c{dr[0]}_{c}")
+                       for c in cols]
+    local = d.select("*", *local_cols)
+    carry = d.groupBy(*by, "_b").agg(*carry_aggs)
+    carry_out = []
+    for dr in dirs:
+        fwd = dr == "forward"
+        cw = Window.partitionBy(*by).orderBy(F.col("_b") if fwd else F.col("_b").desc()) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        carry_out += [F.last(f"_c{dr[0]}_{c}", ignorenulls=True).over(cw).alias(f"_p{dr[0]}_{c}")
+                      for c in cols]
+    carry = carry.select(*by, "_b", *carry_out)
     out = join_small(local, carry, on=[*by, "_b"], how="left",
                      known_rows=nb if not by else None)
-    res = [F.coalesce(F.col(f"_f_{c}"), F.col(f"_p_{c}")).alias(c) if c in cols else F.col(c)
-           for c in df.columns]
-    return out.select(*res)
+
+    def filled(c):
+        parts = []
+        for dr in dirs:
+            parts += [F.col(f"_f{dr[0]}_{c}"), F.col(f"_p{dr[0]}_{c}")]
+        return F.coalesce(*parts).alias(c)
+
+    return out.select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def handle_missing(df: DataFrame, strategy: str = "auto", numeric_strategy: str = "mean",

@@ -148,8 +148,7 @@ def regularize(df: DataFrame, date: str, values: Sequence[str], by: Sequence[str
     grid = span.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}")))
                        .alias("_p"))
     full = grid.join(last, [*by, "_p"], "left").withColumnRenamed("_p", date)
-    ff = fill_directional(full, values, [date], by=by, direction="forward")
-    return fill_directional(ff, values, [date], by=by, direction="backward")
+    return fill_directional(full, values, [date], by=by, direction="both")
 
 
 # ---------------------------------------------------------------------------
