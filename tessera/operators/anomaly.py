@@ -35,7 +35,18 @@ def outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
     (interpolated quartiles); zscore: |x − mean| / sample std > t."""
     cols = list(cols) if cols else numeric_cols(df, exclude=[key] if key else [])
     if method == "isolation_forest":
-        raise ValueError("use isolation_forest() for the forest variant")
+        # per-column univariate forest (contamination 0.1); needs a row key
+        if key is None:
+            raise ValueError("the forest variant needs a key column")
+        rows = []
+        for c in cols:
+            sub = df.select(key, c).where(F.col(c).isNotNull())
+            flagged = isolation_forest(sub, [c], key, contamination=0.1)
+            r = flagged.agg(F.sum(F.col("is_anomaly").cast("long")).alias("m"),
+                            F.count(F.lit(1)).alias("n")).first()
+            rows.append((c, int(r["m"] or 0), (r["m"] or 0) / r["n"] * 100.0 if r["n"] else 0.0))
+        return df.sparkSession.createDataFrame(
+            rows, "column_name string, outlier_count long, outlier_pct double")
     conds = {}
     if method == "iqr":
         qt = quantile_table(df, cols, [0.25, 0.75], "linear")

@@ -71,3 +71,10 @@ def series_anomalies(spark, sf):
         .withColumn("day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01")))
     out = A.isolation_forest(d, ["total"], "day", contamination=0.05)
     return out.where("is_anomaly").select("day", "o_orderdate", "total", "anomaly_score")
+
+
+@query("outliers_isolation_forest")
+def outliers_isolation_forest(spark, sf):
+    """Per-column univariate forests over two lineitem columns."""
+    return A.outliers(_keyed_lineitem(spark, sf), "isolation_forest",
+                      cols=["l_quantity", "l_extendedprice"], key="li_key")

@@ -456,3 +456,10 @@ SELECT doc_id, toxic FROM r WHERE rn <= (SELECT min(n) FROM c)""")
 def balance_undersample(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", "toxic")
     return B.undersample(lab, "toxic", "doc_id", "auto", 42, portable=True)
+
+
+@query("folds_loo", f"""SELECT c_custkey, CAST(row_number() OVER (ORDER BY
+  {H.format(k='c_custkey')}, c_custkey) - 1 AS INTEGER) AS fold FROM customer""")
+def folds_loo(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    return SP.assign_folds(c, "c_custkey", "loo", portable=True)[0]

@@ -80,3 +80,13 @@ def catalog_roundtrip(spark, sf):
     assert cat.list().where(F.col("dataset_id") == meta["dataset_id"]).count() == 1
     cat.rebuild(meta["dataset_id"])
     return cat.get(meta["dataset_id"])
+
+
+@query("read_unknown_extension", ROUNDTRIP_SQL)
+def read_unknown_extension(spark, sf):
+    """A ``.txt`` folder of delimited text is tried as CSV."""
+    path = _scratch(spark, "orders.txt")
+    _orders(spark, sf).write.option("header", True).csv(path)
+    return R.read_any(spark, path).select(
+        F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus",
+        F.col("o_totalprice").cast("double"), "o_orderpriority")
