@@ -262,3 +262,12 @@ def stream_sanitize_string(spark, sf):
     schema = spark.read.parquet(src).schema
     s = read_stream(spark, src, schema).select("doc_id", TX.sanitize_string("text").alias("text"))
     return run_to_table(s)
+
+
+@query("mask_nested", f"""SELECT conv_id, turn, {_mask_sql('role', 'confidential')} AS role,
+  {_mask_sql('text', 'confidential')} AS text FROM conversations""")
+def mask_nested(spark, sf):
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.struct("role", "text").alias("msg"))
+    return c.select("conv_id", "turn", TX.mask_nested(c, "msg", "confidential")).select(
+        "conv_id", "turn", "msg.role", "msg.text")
