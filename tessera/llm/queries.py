@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .minhash import op7_minhash
+from .mixing import OP8_SQL, op8_mixing
+from .pii import op9_pii
+from .substring import OP1_SQL, op1_substring
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_substring": op1_substring,
+    "op3_decontaminate": op3_decontaminate,
     "op7_minhash": op7_minhash,
+    "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_substring": OP1_SQL,
+    "op8_mixing": OP8_SQL,
+}
