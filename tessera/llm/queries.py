@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .chat import OP6_SQL, op6_chat
 from .decontaminate import op3_decontaminate
+from .egojoin import OP5_SQL, op5_embedding
+from .licenses import op4_licences
+from .lm import op2_lm
 from .minhash import op7_minhash
 from .mixing import OP8_SQL, op8_mixing
 from .pii import op9_pii
@@ -11,7 +15,11 @@ from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_substring": op1_substring,
+    "op2_lm": op2_lm,
     "op3_decontaminate": op3_decontaminate,
+    "op4_licences": op4_licences,
+    "op5_embedding": op5_embedding,
+    "op6_chat": op6_chat,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
@@ -19,5 +27,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_substring": OP1_SQL,
+    "op5_embedding": OP5_SQL,
+    "op6_chat": OP6_SQL,
     "op8_mixing": OP8_SQL,
 }
