@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ints, pack, store, table
-from .links import components
+from .links import components, roots
 
 COSINE, BLOCK, LEAF, CELLS = 0.93, 512, 48, 6
 #: Slack for rounding: what is nearer to eps than this is compared, not assumed.
@@ -191,25 +191,8 @@ class Join:
         """For each vertex (places of x, then of y; only x if the same) the smallest
         place it is connected with."""
         off = 0 if self.same else len(self.x)
-        root = np.arange(len(self.x) + (0 if self.same else len(self.y)))
-        if not self.edges:
-            return root
-        e = np.concatenate(self.edges)
-        i, j = e[:, 0], e[:, 1] + off
-        while True:
-            low = np.minimum(root[i], root[j])
-            new = root.copy()
-            np.minimum.at(new, root[i], low)
-            np.minimum.at(new, root[j], low)
-            while True:
-                hop = new[new]
-                if (hop == new).all():
-                    break
-                new = hop
-            new = new[root]
-            if (new == root).all():
-                return root
-            root = new
+        e = np.concatenate([np.zeros((0, 2), np.int64), *self.edges])
+        return roots(off + len(self.y), e[:, 0], e[:, 1] + off)
 
 
 def _join(cosine: float, dims: int):

@@ -1,7 +1,7 @@
 """Licence scans: a paragraph classifier confirmed by template comparison.
 
-A paragraph is a line; a line of more than 64 words is read as overlapping pieces
-of 64 words, half a piece apart, so a notice inside a long line is not drowned.  Its
+A paragraph is a line; a line of more than 16 words is read as overlapping pieces
+of 16 words, half a piece apart, so a notice inside a long line is not drowned.  Its
 hashed word one-, two- and three-grams (letters and digits, A-Z lowered) enter a
 multinomial logistic regression over the licence families and "unknown".
 
@@ -11,9 +11,10 @@ paragraphs that share no run of four words with a template.  A quarter is kept b
 to fit the temperature of the probabilities and the probability from which at most
 0.1 % of unknown paragraphs are taken for a licence; below it a paragraph is unknown.
 
-A predicted family is confirmed against its templates: the paragraph must hold
-enough of one template's three-grams; the span reported runs from the first to the
-last of them.  Neighbouring pieces that confirm the same notice give one span.
+A predicted family is confirmed against its templates: the line, as far as twice the
+longest template reaches around the piece, must hold enough of one template's
+three-grams; the span reported runs from the first to the last of them.  Of
+overlapping spans the one that holds most of its template stays.
 
 Inputs and results: null and empty texts have no paragraph and no licence; ids are
 carried along, null or repeated; an empty table gives an empty one, and without any
@@ -57,7 +58,7 @@ TEMPLATES = {
 }
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
-ROWS, PIECE, HOLDS, SAMPLE = 1 << 15, 64, 0.6, 1500
+ROWS, PIECE, HOLDS, SAMPLE = 1 << 15, 16, 0.6, 1500
 _GAP = np.zeros(256, bool)
 _GAP[:128] = [not chr(c).isalnum() for c in range(128)]
 
@@ -79,6 +80,7 @@ class Paragraphs:
         last = np.repeat(head + size, more + 1)
         self.begin = self.begin + k * (PIECE // 2)
         self.end = np.minimum(self.begin + PIECE, last)
+        self.line = np.repeat(head, more + 1), last  # the words of each piece's line
         self.text = text[self.begin] if len(self.begin) else np.zeros(0, np.int64)
 
 
@@ -139,19 +141,29 @@ def template_grams() -> list[list[np.ndarray]]:
     return [[grams(_hashes(t), min(3, len(_hashes(t)))) for t in TEMPLATES[f]] for f in FAMILIES]
 
 
-def confirm(hashes: np.ndarray, begin: int, end: int, family: int, templates) -> tuple[int, int] | None:
-    """Word range of the best template of the family in the piece, if enough of it is there."""
+def confirm(hashes: np.ndarray, begin: int, end: int, family: int, templates) -> tuple[float, int, int] | None:
+    """Share and word range of the family's best template in a range, if enough of it is there."""
     own = grams(hashes[begin:end], 3)
     best, span = 0.0, None
     for t in templates[family]:
         here = np.flatnonzero(np.isin(own, t))
         share = len(np.unique(own[here])) / max(1, len(np.unique(t)))
         if len(here) and share >= HOLDS and share > best:
-            best, span = share, (begin + int(here[0]), begin + int(here[-1]) + 3)
+            best, span = share, (share, begin + int(here[0]), begin + int(here[-1]) + 3)
     return span
 
 
-def fit(foreign: list[np.ndarray], epochs: int = 6, rate: float = 0.3, copies: int = 60, seed: int = 13) -> Classifier:
+def best_spans(hits: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping hits ``(share, begin, end, family)`` that of the largest share,
+    then the longest, then the first by place and name."""
+    out: list[tuple[int, int, int]] = []
+    for _, a, b, f in sorted(set(hits), key=lambda h: (-h[0], h[1] - h[2], h[1], h[3])):
+        if all(b <= x or y <= a for x, y, _ in out):
+            out.append((a, b, f))
+    return sorted(out)
+
+
+def fit(foreign: list[np.ndarray], epochs: int = 12, rate: float = 0.5, copies: int = 120, seed: int = 13) -> Classifier:
     """From templates and ``foreign`` paragraphs (word hashes)."""
     r = np.random.default_rng(seed)
     templates = [[_hashes(t) for t in TEMPLATES[f]] for f in FAMILIES]
@@ -165,10 +177,13 @@ def fit(foreign: list[np.ndarray], epochs: int = 6, rate: float = 0.3, copies: i
         for t in family:
             for c in range(copies):
                 words = t[r.random(len(t)) > (0.08 if c % 3 == 1 else 0)]
-                if c % 4 == 2 and len(words) > 20:
-                    words = words[:len(words) * 2 // 3]
-                if c % 2:
-                    words = np.concatenate([r.choice(loose, r.integers(0, 25)), words, r.choice(loose, r.integers(0, 25))])
+                if len(words) > PIECE:
+                    at = r.integers(0, len(words) - PIECE + 1)
+                    words = words[at:at + PIECE]
+                elif c % 2:
+                    extra = r.integers(0, PIECE - len(words) + 1)
+                    before = r.integers(0, extra + 1)
+                    words = np.concatenate([r.choice(loose, before), words, r.choice(loose, extra - before)])
                 x.append(words)
                 y.append(k)
     y = np.array(y)
@@ -238,12 +253,15 @@ def scan(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "tex
 
     def run(batches):
         net, templates = Classifier.from_bytes(shared.value), template_grams()
+        reach = 2 + max(len(t) for f in templates for t in f)
         for batch in batches:
             for part in slices(batch, text):
                 p = Paragraphs(part.column(text))
                 found: dict[int, list] = {}
                 for piece, family in zip(*net.families(p)):
-                    got = confirm(p.hashes, int(p.begin[piece]), int(p.end[piece]), int(family), templates)
+                    lo = max(int(p.line[0][piece]), int(p.begin[piece]) - reach)
+                    hi = min(int(p.line[1][piece]), int(p.end[piece]) + reach)
+                    got = confirm(p.hashes, lo, hi, int(family), templates)
                     if got:
                         found.setdefault(int(p.text[piece]), []).append((*got, int(family)))
                 spans, families, n = [""] * part.num_rows, [""] * part.num_rows, np.zeros(part.num_rows, np.int64)
@@ -251,12 +269,7 @@ def scan(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "tex
                     raw = p.words.data[p.words.offsets[r]:p.words.offsets[r + 1]]
                     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                     at = p.words.offsets[r]
-                    merged: list = []
-                    for a, b, f in sorted(set(hits)):
-                        if merged and merged[-1][2] == f and a < merged[-1][1]:
-                            merged[-1] = (merged[-1][0], max(b, merged[-1][1]), f)
-                        else:
-                            merged.append((a, b, f))
+                    merged = best_spans(hits)
                     spans[r] = ",".join(f"{FAMILIES[f]}:{point[p.words.start[a] - at]}:{point[p.words.end[b - 1] - at]}" for a, b, f in merged)
                     families[r] = ",".join(sorted({FAMILIES[f] for _, _, f in merged}))
                     n[r] = len(merged)

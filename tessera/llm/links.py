@@ -8,6 +8,7 @@ Each round is cut by a checkpoint; links are never collected.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e, mark = new, now
     return e.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")).unionAll(
         e.select("lo", "lo").distinct())
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Within a task: the smallest of ``range(n)`` that each is connected with by ``i - j``."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        up = np.arange(n)
+        np.minimum.at(up, root[i], low)
+        np.minimum.at(up, root[j], low)
+        while (up[up] != up).any():
+            up = up[up]
+        new = up[root]
+        if (new == root).all():
+            break
+        root = new
+    return root
