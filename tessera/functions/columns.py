@@ -69,6 +69,6 @@ def wide_agg(df: DataFrame, exprs: list[Column], size: int = 200) -> dict:
 
 
 def sample_skew(col) -> Column:
-    """Bias-corrected sample skewness (pandas / DuckDB form)."""
+    """Bias-corrected sample skewness (pandas / DuckDB form); null below three rows."""
     n = F.count(col)
-    return F.skewness(col) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.try_divide(F.skewness(col) * F.sqrt(n * (n - 1)), F.when(n > 2, n - 2))

@@ -137,8 +137,9 @@ def _nested(col: Column, dtype: T.DataType, leaf) -> Column:
     if isinstance(dtype, T.MapType):
         return F.transform_values(col, lambda k, v: _nested(v, dtype.valueType, leaf))
     if isinstance(dtype, T.StructType):
-        return F.struct(*[_nested(col.getField(f.name), f.dataType, leaf).alias(f.name)
-                          for f in dtype.fields])
+        inner = F.struct(*[_nested(col.getField(f.name), f.dataType, leaf).alias(f.name)
+                           for f in dtype.fields])
+        return F.when(col.isNotNull(), inner)
     return col
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import coerce_numeric, numeric_cols
+from ..plans.lineage import cut
 from ..plans.ordering import quantile_table
 from .scale import fit_scale
 
@@ -72,7 +73,7 @@ def outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
         cnt = F.sum(F.when(conds[c], 1).otherwise(0)).cast("long")
         nn = F.count(F.col(c))
         structs.append(F.struct(F.lit(c).alias("column_name"), cnt.alias("outlier_count"),
-                                (cnt / nn * 100.0).alias("outlier_pct")))
+                                F.coalesce(F.try_divide(cnt, nn) * 100.0, F.lit(0.0)).alias("outlier_pct")))
     out = df.agg(F.array(*structs).alias("_a")).select(F.inline("_a"))
     if key is None:
         return out
@@ -202,7 +203,8 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int
 
     # rows pass straight through the scorer: no join back on the key
     out_schema = T.StructType(df.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = df.select("*", *fx).mapInPandas(score, out_schema)
+    # scored once: the quantile's passes and the output read the checkpoint
+    scored = cut(df.select("*", *fx).mapInPandas(score, out_schema))
     thr = quantile_table(scored, ["anomaly_score"], [1 - contamination], "linear")
     t = thr["anomaly_score"].get(round(1 - contamination, 12))
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(t))
@@ -251,19 +253,26 @@ def one_class_svm(df: DataFrame, cols: Sequence[str], key: str, nu: float = 0.1,
     for it in range(iters):
         lr = 1.0 / (1 + it)
         m, sz = stats_for(w, rho)
-        w = w - lr * (w - sz / (nu * n))
-        rho = rho - lr * (-1.0 + m / (nu * n))
+        step = w - sz / max(nu * n, 1.0)
+        w = w - lr * step
+        rho = rho - lr * (-1.0 + m / max(nu * n, 1.0))
+        if lr * np.linalg.norm(step) < 1e-3 * max(np.linalg.norm(w), 1e-12):
+            break
     X.unpersist()
-    w_f, rho_f = w.copy(), float(rho)
+    w_f = w.copy()
 
     def decide(it):
         for pdf in it:
             Z = np.cos(pdf[fcols].to_numpy(dtype=float) @ W.T + b) * scale
             out = pdf.drop(columns=fcols)
-            out["decision"] = Z @ w_f - rho_f
+            out["decision"] = Z @ w_f
             yield out
 
     out_schema = T.StructType(df.schema.fields + [T.StructField("decision", T.DoubleType())])
     fx = [coerce_numeric(spec.expr(c)).alias(f) for c, f in zip(cols, fcols)]
-    scored = df.select("*", *fx).mapInPandas(decide, out_schema)
-    return scored.withColumn("is_anomaly", F.col("decision") < 0)
+    scored = cut(df.select("*", *fx).mapInPandas(decide, out_schema))
+    # ρ is the ν-quantile of w·z: that share of the rows lies beyond the boundary,
+    # however far the descent has come
+    rho = quantile_table(scored, ["decision"], [nu], "linear")["decision"].get(round(nu, 12))
+    return scored.withColumn("decision", F.col("decision") - F.lit(rho)) \
+        .withColumn("is_anomaly", F.col("decision") < 0)

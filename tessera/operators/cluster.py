@@ -202,7 +202,8 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], label: str = "cluster") ->
         other = b_term if other is None else F.least(other, b_term)
     sizes = {c: n_c for c, n_c, _ in parts}
     singleton = F.col(label).isin([c for c, n_c in sizes.items() if n_c == 1] or [None])
-    sil = F.when(singleton, 0.0).otherwise((other - own) / F.greatest(other, own))
+    sil = F.when(singleton, 0.0).otherwise(
+        F.coalesce(F.try_divide(other - own, F.greatest(other, own)), F.lit(0.0)))
     return d.agg(F.avg(sil)).first()[0]
 
 

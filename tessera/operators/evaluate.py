@@ -89,20 +89,17 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
         rows, "class string, precision double, recall double, f1 double, support long")
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str,
-                     max_classes: int = 10_000) -> DataFrame:
-    """label × prediction counts, zero-filled over the union of classes."""
+def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """label × prediction counts, zero-filled over the union of classes.  Classes are
+    joined with classes (a row per cell is the result), the counts by their keys."""
     counts = df.groupBy(F.col(label).cast("string").alias("label"),
                         F.col(prediction).cast("string").alias("prediction")).count()
-    classes = sorted({r[0] for r in counts.select("label").union(counts.select("prediction"))
-                      .distinct().limit(max_classes + 1).collect()}, key=lambda v: (v is None, v))
-    if len(classes) > max_classes:
-        raise ValueError("too many classes for a dense confusion matrix")
-    arr = F.array(*[F.lit(c) for c in classes])
-    grid = df.sparkSession.range(1).select(F.explode(arr).alias("label")) \
-        .select("label", F.explode(arr).alias("prediction"))
-    return grid.join(F.broadcast(counts), ["label", "prediction"], "left") \
-        .select("label", "prediction", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    classes = counts.select(F.explode(F.array("label", "prediction")).alias("class")).distinct()
+    cells = classes.select(F.col("class").alias("label"), F.lit(1).alias("one")).join(
+        classes.select(F.col("class").alias("prediction"), F.lit(1).alias("one")), "one")
+    same = cells["label"].eqNullSafe(counts["label"]) & cells["prediction"].eqNullSafe(counts["prediction"])
+    return cells.join(counts, same, "left").select(
+        cells["label"], cells["prediction"], F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def _score_table(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
@@ -114,21 +111,31 @@ def _score_table(df: DataFrame, label: str, score: str, positive=1) -> DataFrame
 
 def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, predicting positive when
-    score ≥ threshold."""
+    score ≥ threshold, and the origin (threshold infinity).  A rate over no rows
+    is null."""
     st = _score_table(df, label, score, positive)
     tot = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    p, n = F.lit(float(tot["P"] or 0)), F.lit(float(tot["N"] or 0))
     cum = prefix_sums(st, ["threshold"], ["pos", "neg"], descending=True)
-    return cum.select("threshold", (F.col("cum_neg") / F.lit(float(tot["N"]))).alias("fpr"),
-                      (F.col("cum_pos") / F.lit(float(tot["P"]))).alias("tpr"))
+    out = cum.select("threshold", F.try_divide("cum_neg", n).alias("fpr"),
+                     F.try_divide("cum_pos", p).alias("tpr"))
+    zero = F.lit(0.0)
+    return out.unionAll(df.sparkSession.range(1).select(
+        F.lit(float("inf")), F.try_divide(zero, n), F.try_divide(zero, p)))
 
 
 def precision_recall_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
+    """(threshold, precision, recall) for every distinct score, and the end point
+    (threshold null, precision 1, recall 0).  Recall over no positives is null."""
     st = _score_table(df, label, score, positive)
     tot = st.agg(F.sum("pos").alias("P")).first()
     cum = prefix_sums(st, ["threshold"], ["pos", "neg"], descending=True)
-    return cum.select("threshold",
-                      (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                      (F.col("cum_pos") / F.lit(float(tot["P"]))).alias("recall"))
+    p = F.lit(float(tot["P"] or 0))
+    out = cum.select("threshold",
+                     F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
+                     F.try_divide("cum_pos", p).alias("recall"))
+    return out.unionAll(df.sparkSession.range(1).select(
+        F.lit(None).cast("double"), F.lit(1.0), F.try_divide(F.lit(0.0), p)))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> float:
@@ -143,7 +150,9 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> float:
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """rmse, mae, r2, mape, medae, explained_variance (population variances)."""
+    """rmse, mae, r2, mape, medae, explained_variance (population variances) over the
+    rows where both values are present; ``n`` counts these."""
+    df = df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
     y = F.col(label).cast("double")
     p = F.col(prediction).cast("double")
     e = y - p
@@ -159,7 +168,9 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
         got = exact_ranks(lv, {"abs_err": (n, sorted({lo, hi}))})
         medae = (got[("abs_err", lo)] + got[("abs_err", hi)]) / 2
     else:
-        medae = None
+        return df.sparkSession.createDataFrame(
+            [(None,) * 6 + (0,)], "rmse double, mae double, r2 double, mape double, medae double, "
+            "explained_variance double, n long")
     vy = row["vy"]
     r2 = 1 - row["mse"] / vy if vy else 0.0
     ev = 1 - row["ve"] / vy if vy else 0.0

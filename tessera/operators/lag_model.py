@@ -29,8 +29,15 @@ def forecast_lag_model(df: DataFrame, order: Sequence[str], value: str, by: Sequ
     idx = indexed(src, order, value, by).withColumn("_v", F.col(value).cast("double"))
     st = idx.groupBy(*by).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
                               F.first("_n").alias("_n"))
-    min_n = st.agg(F.min("_n")).first()[0] or 0
-    L = max(1, min(max_lookback, min_n // 2))
+    L = max(1, int(max_lookback))
+    # a series of fewer than two lookbacks neither trains nor is forecast; it says so
+    least = max(2 * L, horizon + 2)
+    short = st.where(F.col("_n") < least).select(
+        *user_by, F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("forecast"),
+        F.lit("too_short").alias("status"))
+    st = st.where(F.col("_n") >= least)
+    if st.isEmpty():
+        return short
     sc = idx.join(st.drop("_n"), by, "inner")
     rng = F.when(F.col("_mx") > F.col("_mn"), F.col("_mx") - F.col("_mn")).otherwise(F.lit(1.0))
     sc = sc.withColumn("_s", (F.col("_v") - F.col("_mn")) / rng)
@@ -62,7 +69,7 @@ def forecast_lag_model(df: DataFrame, order: Sequence[str], value: str, by: Sequ
     folded = last.select(*by, "_mn", "_mx", "_n", F.aggregate(
         F.sequence(F.lit(1), F.lit(horizon)), init, step).alias("_acc"))
     rng2 = F.when(F.col("_mx") > F.col("_mn"), F.col("_mx") - F.col("_mn")).otherwise(F.lit(1.0))
-    out = folded.where(F.col("_n") >= horizon + 2).select(
-        *by, "_mn", rng2.alias("_r"), F.posexplode("_acc.p").alias("_k", "_p"))
+    out = folded.select(*by, "_mn", rng2.alias("_r"), F.posexplode("_acc.p").alias("_k", "_p"))
     return out.select(*user_by, (F.col("_k") + 1).alias("step"),
-                      (F.col("_p") * F.col("_r") + F.col("_mn")).alias("forecast"))
+                      (F.col("_p") * F.col("_r") + F.col("_mn")).alias("forecast"),
+                      F.lit("ok").alias("status")).unionAll(short)

@@ -168,7 +168,7 @@ def infer_types(df: DataFrame, digits: int = 4, with_samples: bool = True) -> Da
         if lt is None:
             parsed = F.count(F.try_to_timestamp(c))
             lt_expr = (F.when((F.count(c) > 0) & (parsed == F.count(c)), "datetime")
-                        .when(F.count_distinct(c) / n < 0.5, "categorical")
+                        .when(F.try_divide(F.count_distinct(c), n) < 0.5, "categorical")
                         .otherwise("text"))
         else:
             lt_expr = F.lit(lt)
@@ -178,7 +178,7 @@ def infer_types(df: DataFrame, digits: int = 4, with_samples: bool = True) -> Da
             F.lit(f.dataType.simpleString()).alias("storage_type"),
             lt_expr.alias("logical_type"),
             miss.alias("missing_count"),
-            F.round(miss / n * 100.0, digits).alias("missing_pct"),
+            F.round(F.try_divide(miss, n) * 100.0, digits).alias("missing_pct"),
             F.count_distinct(c).alias("unique_count")))
     out = _structs_agg(df, structs)
     if not with_samples:

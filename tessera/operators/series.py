@@ -4,27 +4,21 @@ Simple forecasts (naive, mean, drift, linear, moving average), profiles,
 regularisation and rolling bounds are Spark aggregates / windows whose
 partitions are bounded (ranks come from the skew-safe range rank; rolling
 windows run in fixed-size rank buckets with a halo of ``window − 1`` rows).
-Statistical fits (ARIMA, SARIMA, trend + seasonality) run per series in
-``groupBy(...).applyInPandas`` — in parallel across series — on numpy, with an
-explicit guard on series length (a series above the guard is an error, never
-truncated).
+Statistical fits (ARIMA, SARIMA, trend + seasonality, ADF) are normal equations
+summed over blocks of rows (``series_fit``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ordering import GROUP_N, RANK, ranked
 from .impute import fill_directional
-
-MAX_SERIES_LEN = 2_000_000   # rows one grouped numpy fit may hold
+from .series_fit import adf_test, forecast_arma, forecast_trend  # noqa: F401
 
 
 def detect_date_column(df: DataFrame, sample: int = 20) -> str | None:
@@ -63,18 +57,14 @@ def indexed(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] =
     return r.withColumn("_i", F.col(RANK) - 1).withColumnRenamed(GROUP_N, "_n").drop(RANK)
 
 
-def _steps(h: int):
-    return F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
-
-
 def forecast_simple(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = (),
                     horizon: int = 10, method: str = "naive") -> DataFrame:
     """``(by..., step, forecast)`` for step 1..h.
 
     naive/simple: last value; mean: mean; moving_avg: mean of the last
     min(5, n); linear: least-squares line on the row index at n … n+h−1;
-    drift: the same line at n+1 … n+h.  Series with n < h + 2 are skipped;
-    h is clamped to [1, n].
+    drift: the same line at n+1 … n+h.  A series with n < h + 2 returns one row
+    with ``status`` ``too_short`` and nulls; the others ``ok``.
     """
     by = list(by)
     v = F.col(value).cast("double")
@@ -87,15 +77,17 @@ def forecast_simple(df: DataFrame, order: Sequence[str], value: str, by: Sequenc
          .alias("_ma"),
         F.regr_slope(v, F.col("_i").cast("double")).alias("_slope"),
         F.regr_intercept(v, F.col("_i").cast("double")).alias("_icpt"))
-    stats = stats.where(F.col("_n") >= horizon + 2)
-    out = stats.select(*by, "_n", "_last", "_mean", "_ma", "_slope", "_icpt", _steps(horizon))
-    out = out.where(F.col("step") <= F.col("_n"))
+    enough = F.col("_n") >= horizon + 2
+    steps = F.when(enough, F.sequence(F.lit(1), F.lit(horizon))).otherwise(F.array(F.lit(None).cast("int")))
+    out = stats.select(*by, "_n", "_last", "_mean", "_ma", "_slope", "_icpt", F.explode(steps).alias("step"))
     x = F.col("_n").cast("double") + F.col("step")
     f = {"naive": F.col("_last"), "simple": F.col("_last"), "mean": F.col("_mean"),
          "moving_avg": F.col("_ma"),
          "linear": F.col("_icpt") + F.col("_slope") * (x - 1),
          "drift": F.col("_icpt") + F.col("_slope") * x}[method]
-    return out.select(*by, "step", f.alias("forecast"))
+    short = F.col("step").isNull()
+    return out.select(*by, "step", F.when(~short, f).alias("forecast"),
+                      F.when(short, "too_short").otherwise("ok").alias("status"))
 
 
 def rolling_bounds(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = (),
@@ -103,11 +95,12 @@ def rolling_bounds(df: DataFrame, order: Sequence[str], value: str, by: Sequence
     """Rolling mean ± k·(sample) std over the last ``window`` rows; null until a
     full window exists.  Adds ``roll_mean``, ``lower``, ``upper``, ``outside``.
 
-    Rows are bucketed by rank into blocks of ``bucket``; each block also gets
+    Rows are bucketed by rank into blocks of ``bucket`` (at least two windows); each block also gets
     the last ``window − 1`` rows of the previous block (halo), so every window
     partition is bounded regardless of series size.
     """
     by = list(by)
+    bucket = max(bucket, 2 * window)
     idx = indexed(df, order, value, by)
     b = (F.col("_i") / bucket).cast("long")
     main = idx.withColumn("_b", b).withColumn("_halo", F.lit(False))
@@ -151,296 +144,18 @@ def regularize(df: DataFrame, date: str, values: Sequence[str], by: Sequence[str
     return fill_directional(full, values, [date], by=by, direction="both")
 
 
-# ---------------------------------------------------------------------------
-# Per-series statistical fits (numpy inside applyInPandas)
-
-def _nelder_mead(f, x0, iters=400, step=0.1):
-    x0 = np.asarray(x0, dtype=float)
-    n = len(x0)
-    pts = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
-    vals = [f(p) for p in pts]
-    for _ in range(iters):
-        order = np.argsort(vals)
-        pts = [pts[i] for i in order]
-        vals = [vals[i] for i in order]
-        c = np.mean(pts[:-1], axis=0)
-        xr = c + (c - pts[-1])
-        fr = f(xr)
-        if fr < vals[0]:
-            xe = c + 2 * (c - pts[-1])
-            fe = f(xe)
-            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            pts[-1], vals[-1] = xr, fr
-        else:
-            xc = c + 0.5 * (pts[-1] - c)
-            fc = f(xc)
-            if fc < vals[-1]:
-                pts[-1], vals[-1] = xc, fc
-            else:
-                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                vals = [vals[0]] + [f(p) for p in pts[1:]]
-        if np.std(vals) < 1e-10:
-            break
-    i = int(np.argmin(vals))
-    return pts[i], vals[i]
-
-
-def _arma_css(w, p_ar, p_ma, params):
-    """Conditional sum of squares of a (seasonal) ARMA on w.  params =
-    [c, ar coefs (lags in p_ar), ma coefs (lags in p_ma)].  The AR part is
-    vectorised; only the MA recursion runs as a loop."""
-    c = params[0]
-    ar = params[1:1 + len(p_ar)]
-    ma = params[1 + len(p_ar):]
-    start = max(p_ar + p_ma + [0])
-    n = len(w)
-    r = np.asarray(w, dtype=float) - c
-    for a, lag in zip(ar, p_ar):
-        r[lag:] -= a * np.asarray(w[:n - lag], dtype=float)
-    e = [0.0] * n
-    rl = r.tolist()
-    terms = list(zip(ma, p_ma))
-    for t in range(start, n):
-        v = rl[t]
-        for m, lag in terms:
-            v -= m * e[t - lag]
-        e[t] = v
-    return np.asarray(e), start
-
-
-def _poly_lags(nonseasonal: int, seasonal: int, s: int):
-    """Lags of (1 − φB)(1 − ΦB^s) expanded: returns lag list for the product."""
-    lags = []
-    if nonseasonal:
-        lags.append(1)
-    if seasonal:
-        lags.append(s)
-    if nonseasonal and seasonal:
-        lags.append(s + 1)
-    return lags
-
-
-def fit_arima(y: np.ndarray, seasonal: int = 0, horizon: int = 10) -> dict:
-    """ARIMA(1,1,1) (or ×(1,1,1)_s when ``seasonal``) by conditional least
-    squares; forecasts by running the recursion forward and integrating."""
-    y = np.asarray(y, dtype=float)
-    w = np.diff(y)
-    if seasonal:
-        w = w[seasonal:] - w[:-seasonal]
-    s = seasonal
-    p_ar = _poly_lags(1, 1 if s else 0, s)
-    p_ma = _poly_lags(1, 1 if s else 0, s)
-
-    def expand(q):
-        c, phi, theta = q[0], q[1], q[2]
-        if not s:
-            return np.array([c, phi, theta])
-        Phi, Theta = q[3], q[4]
-        # (1 − φB)(1 − ΦB^s) = 1 − φB − ΦB^s + φΦB^{s+1}; MA with + signs
-        return np.array([c, phi, Phi, -phi * Phi, theta, Theta, theta * Theta])
-
-    def loss(q):
-        if np.any(np.abs(q[1:]) >= 0.999):
-            return 1e300
-        e, start = _arma_css(w, p_ar, p_ma, expand(q))
-        return float(np.sum(e[start:] ** 2))
-
-    x0 = np.zeros(5 if s else 3)
-    x0[0] = float(np.mean(w)) if len(w) else 0.0
-    q, sse = _nelder_mead(loss, x0)
-    params = expand(q)
-    e, start = _arma_css(w, p_ar, p_ma, params)
-    n_eff = max(len(w) - start, 1)
-    sigma2 = sse / n_eff
-    k = len(q) + 1
-    aic = n_eff * math.log(max(sigma2, 1e-300)) + 2 * k
-    # forecast w, then integrate back to y
-    wf = list(w)
-    ef = list(e)
-    for _ in range(horizon):
-        t = len(wf)
-        c = params[0]
-        ar = params[1:1 + len(p_ar)]
-        ma = params[1 + len(p_ar):]
-        pred = c + sum(a * wf[t - L] for a, L in zip(ar, p_ar)) \
-            + sum(m * ef[t - L] for m, L in zip(ma, p_ma))
-        wf.append(pred)
-        ef.append(0.0)
-    wnew = np.array(wf[len(w):])
-    d1 = list(np.diff(y))
-    if s:
-        for v in wnew:
-            d1.append(v + d1[-s])
-        d1new = np.array(d1[len(np.diff(y)):])
-    else:
-        d1new = wnew
-    fc = y[-1] + np.cumsum(d1new)
-    return {"forecast": fc, "aic": aic, "params": q.tolist(), "sigma2": sigma2}
-
-
-def fit_trend_seasonal(y: np.ndarray, horizon: int, n_changepoints: int = 25,
-                       penalty: float = 10.0, periods=((7.0, 3), (365.25, 10))) -> dict:
-    """Additive piecewise-linear trend + Fourier seasonality on synthetic daily
-    dates, by ridge-penalised least squares on the changepoint slopes."""
-    n = len(y)
-    t = np.arange(n + horizon, dtype=float)
-    scale = max(n - 1, 1)
-    ts = t / scale
-    cps = np.linspace(0, 0.8, n_changepoints + 2)[1:-1] if n > 10 else np.array([])
-    cols = [np.ones_like(ts), ts] + [np.maximum(ts - c, 0.0) for c in cps]
-    pen = [0.0, 0.0] + [penalty] * len(cps)
-    for period, order in periods:
-        for k in range(1, order + 1):
-            cols.append(np.sin(2 * np.pi * k * t / period))
-            cols.append(np.cos(2 * np.pi * k * t / period))
-            pen += [1.0, 1.0]
-    X = np.column_stack(cols)
-    Xf, Xh = X[:n], X[n:]
-    ys = np.std(y) or 1.0
-    A = Xf.T @ Xf + np.diag(pen)
-    beta = np.linalg.solve(A, Xf.T @ (y / ys))
-    trend_cols = 2 + len(cps)
-    fc = (Xh @ beta) * ys
-    trend = (Xh[:, :trend_cols] @ beta[:trend_cols]) * ys
-    return {"forecast": fc, "trend": trend}
-
-
-FORECAST_SCHEMA = "step int, forecast double, aic double"
-
-
-def forecast_model(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = (),
-                   horizon: int = 10, method: str = "arima",
-                   max_len: int = MAX_SERIES_LEN) -> DataFrame:
-    """``arima`` (1,1,1), ``sarima`` (1,1,1)(1,1,1,12) or ``prophet`` (trend +
-    seasonality) per series, in parallel across series."""
-    by = list(by)
-    keys_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields
-                            if f.name in by)
-    schema = (keys_schema + ", " if keys_schema else "") + FORECAST_SCHEMA
-    order = list(order)
-    val = value
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[val]).sort_values(order)
-        y = pdf[val].to_numpy(dtype=float)
-        n = len(y)
-        if n > max_len:
-            raise ValueError(f"series of {n} rows exceeds the per-series fit guard {max_len}")
-        key = {b: pdf[b].iloc[0] for b in by} if n else {}
-        h = int(max(1, min(horizon, n)))
-        if n < h + 2 or n < 4:
-            return pd.DataFrame(columns=[*by, "step", "forecast", "aic"])
-        if method == "prophet":
-            res = fit_trend_seasonal(y, h)
-            aic = float("nan")
-        else:
-            s = 12 if method == "sarima" else 0
-            if s and n < 2 * s + 4:
-                return pd.DataFrame(columns=[*by, "step", "forecast", "aic"])
-            res = fit_arima(y, s, h)
-            aic = res["aic"]
-        out = pd.DataFrame({"step": np.arange(1, h + 1, dtype="int32"),
-                            "forecast": np.asarray(res["forecast"], dtype=float),
-                            "aic": aic})
-        for b in by:
-            out.insert(0, b, key[b])
-        return out[[*by, "step", "forecast", "aic"]]
-
-    d = df.select(*by, *order, value)
-    if by:
-        return d.groupBy(*by).applyInPandas(fit, schema)
-    return d.groupBy(F.lit(0).alias("_one")).applyInPandas(fit, schema)
-
-
 def forecast(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = (),
              horizon: int = 10, method: str = "naive") -> DataFrame:
-    horizon = min(int(horizon), 500)
+    """``(by..., step, forecast, ..., status)`` for every series and any horizon; a
+    series too short for the method has one row with ``status`` ``too_short``."""
+    horizon = int(horizon)
     if method in ("naive", "simple", "mean", "moving_avg", "linear", "drift"):
         return forecast_simple(df, order, value, by, horizon, method)
-    if method in ("arima", "sarima", "prophet"):
-        return forecast_model(df, order, value, by, horizon, method)
+    if method in ("arima", "sarima"):
+        return forecast_arma(df, order, value, by, horizon, 12 if method == "sarima" else 0)
+    if method == "prophet":
+        return forecast_trend(df, order, value, by, horizon)
     if method in ("lag_model", "lstm"):
         from .lag_model import forecast_lag_model
         return forecast_lag_model(df, order, value, by, horizon)
     raise ValueError(f"unknown forecast method {method}")
-
-
-# MacKinnon (1994) response-surface coefficients for the ADF test with a
-# constant (one series).  Fixed published values.
-_TAU_MAX, _TAU_MIN, _TAU_STAR = 2.74, -18.83, -1.61
-_SMALLP = [2.1659, 1.4412, 0.038269]
-_LARGEP = [1.7339, 0.93202, -0.12745, -0.010368]
-
-
-def _norm_cdf(x: float) -> float:
-    return 0.5 * (1 + math.erf(x / math.sqrt(2)))
-
-
-def adf_pvalue(stat: float) -> float:
-    if stat > _TAU_MAX:
-        return 1.0
-    if stat < _TAU_MIN:
-        return 0.0
-    coefs = _SMALLP if stat <= _TAU_STAR else _LARGEP
-    return _norm_cdf(sum(c * stat ** i for i, c in enumerate(coefs)))
-
-
-def adf_statistic(y: np.ndarray, max_lag: int | None = None) -> tuple[float, int]:
-    """ADF t-statistic with a constant, lag chosen by AIC (12·(n/100)^¼ max)."""
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    if max_lag is None:
-        max_lag = int(math.ceil(12 * (n / 100) ** 0.25))
-    max_lag = max(0, min(max_lag, n // 2 - 2))
-    dy = np.diff(y)
-    best = None
-    for lag in range(max_lag + 1):
-        rows = len(dy) - max_lag
-        Y = dy[max_lag:]
-        cols = [np.ones(rows), y[max_lag:-1]]
-        for j in range(1, lag + 1):
-            cols.append(dy[max_lag - j:len(dy) - j])
-        X = np.column_stack(cols)
-        beta, res, *_ = np.linalg.lstsq(X, Y, rcond=None)
-        resid = Y - X @ beta
-        sse = float(resid @ resid)
-        k = X.shape[1]
-        aic = rows * math.log(max(sse / rows, 1e-300)) + 2 * k
-        if best is None or aic < best[0]:
-            sigma2 = sse / max(rows - k, 1)
-            cov = sigma2 * np.linalg.pinv(X.T @ X)
-            t = beta[1] / math.sqrt(max(cov[1, 1], 1e-300))
-            best = (aic, t, lag)
-    return best[1], best[2]
-
-
-def adf_test(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = (),
-             max_len: int = MAX_SERIES_LEN) -> DataFrame:
-    """Per series: ADF statistic, p-value, lag used, stationary (p < 0.05)."""
-    by = list(by)
-    order = list(order)
-    keys_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields
-                            if f.name in by)
-    schema = (keys_schema + ", " if keys_schema else "") + \
-        "n long, adf_statistic double, adf_pvalue double, used_lag int, is_stationary boolean"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values(order)
-        y = pdf[value].to_numpy(dtype=float)
-        if len(y) > max_len:
-            raise ValueError(f"series of {len(y)} rows exceeds the per-series fit guard")
-        row = {b: pdf[b].iloc[0] for b in by}
-        if len(y) < 10:
-            stat, p, lag = float("nan"), float("nan"), -1
-        else:
-            stat, lag = adf_statistic(y)
-            p = adf_pvalue(stat)
-        row.update({"n": len(y), "adf_statistic": stat, "adf_pvalue": p, "used_lag": lag,
-                    "is_stationary": bool(p < 0.05) if not math.isnan(p) else False})
-        return pd.DataFrame([row])[[*by, "n", "adf_statistic", "adf_pvalue", "used_lag",
-                                    "is_stationary"]]
-
-    d = df.select(*by, *order, value)
-    g = d.groupBy(*by) if by else d.groupBy(F.lit(0).alias("_one"))
-    return g.applyInPandas(fit, schema)

@@ -17,22 +17,19 @@ broadcast only when its measured size is below the bound.
 
 from __future__ import annotations
 
+import json
 import math
-import os
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import join_small
 
 RANK = "_rank"
 
 
-def _log(what, t0):
-    if os.environ.get("TESSERA_TRACE"):
-        print(f"[trace] {what} {time.time() - t0:.2f}s")
 GROUP_N = "_group_n"
 
 
@@ -49,6 +46,19 @@ def _sort_key(t):
     return tuple((v is not None, v) for v in t)
 
 
+def _plain(key: Column, kind: T.DataType) -> Column:
+    """``key`` as a number or string that sorts alike and survives JSON unchanged."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), key)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(key)
+    return key
+
+
 def range_bucket(df: DataFrame, keys: Sequence, num_buckets: int | None = None,
                  per_bucket_sample: int = 64, seed: int = 17) -> tuple[Column, int]:
     """A deterministic bucket column, monotone in the ``keys`` tuple.
@@ -66,8 +76,9 @@ def range_bucket(df: DataFrame, keys: Sequence, num_buckets: int | None = None,
     n = df.count()
     if n == 0 or parts <= 1:
         return F.lit(0), 1
-    frac = min(1.0, parts * per_bucket_sample / n)
     names = [f"_k{i}" for i in range(len(keys))]
+    keys = [_plain(k, f.dataType) for k, f in zip(keys, df.select(*keys).schema.fields)]
+    frac = min(1.0, parts * per_bucket_sample / n)
     sample = df.select(*[k.alias(nm) for k, nm in zip(keys, names)])
     if frac < 1.0:
         sample = sample.sample(fraction=frac, seed=seed)
@@ -79,21 +90,25 @@ def range_bucket(df: DataFrame, keys: Sequence, num_buckets: int | None = None,
         b = pts[min(len(pts) - 1, (i * len(pts)) // parts)]
         if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
             bounds.append(b)
+    if not bounds:
+        return F.lit(0), 1
     row = F.struct(*[k.alias(nm) for k, nm in zip(keys, names)])
+    # one literal, whatever the number of boundaries
+    table = F.from_json(F.lit(json.dumps([dict(zip(names, b)) for b in bounds], default=str)),
+                        T.ArrayType(sample.schema))
+    # bucket = number of boundaries ≤ row, by halving
+    steps = max(1, math.ceil(math.log2(len(bounds) + 1)))
+    key = F.struct(row.alias("r"), table.alias("b"))
 
-    def lit_struct(b):
-        return F.struct(*[F.lit(v).cast(df.select(k).schema[0].dataType).alias(nm)
-                          for v, k, nm in zip(b, keys, names)])
-
-    # bucket = number of boundaries ≤ row, by binary search (depth log2 B)
-    def search(lo, hi):
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(row >= lit_struct(bounds[mid]), search(mid + 1, hi)).otherwise(
-            search(lo, mid))
+    def halve(acc, _):
+        mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = (acc["lo"] < acc["hi"]) & (acc["k"]["r"] >= F.get(acc["k"]["b"], mid))
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(right, acc["hi"]).otherwise(F.least(mid, acc["hi"])).alias("hi"),
+                        acc["k"].alias("k"))
 
-    return search(0, len(bounds)), len(bounds) + 1
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), key.alias("k"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"]), len(bounds) + 1
 
 
 def ranked(df: DataFrame, order: Sequence, by: Sequence[str] = (),
@@ -151,140 +166,107 @@ def _target_ranks(n: int, q: float, interpolation: str) -> tuple[int, int, float
 
 # Rows we accept inside one bracket before collecting its distinct values.
 BRACKET_LIMIT = 20_000
+# Accuracy of the sketch that narrows a bracket: its ranks err by at most n / SKETCH.
+SKETCH = 10_000
 
 
-def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name", bins: int = 1024,
-                limit: int = BRACKET_LIMIT, max_rounds: int = 8, minmax: dict | None = None) -> dict:
+def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name",
+                limit: int = BRACKET_LIMIT, accuracy: int = SKETCH) -> dict:
     """Exact value at given 1-based ranks of ``value`` within each ``by_col`` group.
 
     ``wants``: ``{group: (n, [rank, ...])}`` (nulls already removed).
-    Distributed selection without sorting: every round is one partial
-    aggregate that histograms the current bracket of each wanted rank into
-    ``bins`` equal-width bins; the bin holding the rank becomes the next
-    bracket.  When a bracket holds ≤ ``limit`` rows its distinct values (with
-    counts: a hot value is one row) are collected and walked exactly.
-    Brackets of one round are identical or disjoint, so each row is counted
-    once per round.  Nothing but histograms and small brackets leaves the
-    executors.
+    Distributed selection without sorting, by rank and so indifferent to the
+    values' scale: a mergeable sketch of the open bracket of each wanted rank
+    names two values around it, one aggregate counts exactly what lies below,
+    at and between them, and the rank is at one of them or in the new, open
+    bracket, which holds at most about 8 / ``accuracy`` of the rows.  When a
+    bracket holds ≤ ``limit`` rows its distinct values (with counts) are
+    collected.  At most ``limit`` rows per wanted rank ever reach the driver.
     """
-    spark = lv.sparkSession
-    groups = list(wants)
-    g = F.col(by_col)
-    mm = minmax or {r[by_col]: (r["_mn"], r["_mx"]) for r in
-                    lv.where(g.isin(groups)).groupBy(by_col)
-                      .agg(F.min("value").alias("_mn"), F.max("value").alias("_mx")).collect()}
-    # bracket state per (group, rank): steps [(lo, hi, bin)], rows below, rows inside
-    state = {}
-    for grp, (n, ranks) in wants.items():
-        for r in ranks:
-            state[(grp, r)] = {"steps": [], "below": 0, "inside": n}
-
-    def cond(grp, steps):
-        c = g == F.lit(grp)
-        for lo, hi, b in steps:
-            c = c & (_bin(lo, hi) == b)
+    g, v = F.col(by_col), F.col("value")
+    result: dict = {}
+    # open brackets: (group, low, high, rows below, rows inside, ranks)
+    todo = [(grp, None, None, 0, n, sorted(ranks)) for grp, (n, ranks) in wants.items()]
+
+    def inside(b):
+        c = g.eqNullSafe(F.lit(b[0]))
+        if b[1] is not None:
+            c = c & (v > F.lit(b[1]))
+        if b[2] is not None:
+            c = c & (v < F.lit(b[2]))
         return c
 
-    def _bin(lo, hi):
-        if hi <= lo:
-            return F.lit(0)
-        return F.least(F.floor((F.col("value") - F.lit(lo)) / F.lit(hi - lo) * bins)
-                       .cast("int"), F.lit(bins - 1))
-
-    def bounds(grp, steps):
-        lo, hi = mm[grp]
-        for slo, shi, b in steps:
-            w = (shi - slo) / bins
-            lo, hi = slo + b * w, (slo + (b + 1) * w if b < bins - 1 else shi)
-        return lo, hi
-
-    for _ in range(max_rounds):
-        big = [k for k, st in state.items() if st["inside"] > limit and "value" not in st]
-        if not big:
-            break
-        keys = sorted({(k[0], tuple(state[k]["steps"])) for k in big}, key=repr)
-        ids = {kk: i for i, kk in enumerate(keys)}
-        bid = F.lit(None).cast("int")
-        bexpr = F.lit(None).cast("int")
-        for (grp, steps), i in reversed(list(ids.items())):
-            lo, hi = bounds(grp, list(steps))
-            c = cond(grp, list(steps))
-            bid = F.when(c, F.lit(i)).otherwise(bid)
-            bexpr = F.when(c, _bin(lo, hi)).otherwise(bexpr)
-        _t = time.time()
-        hist = (lv.select(bid.alias("_b"), bexpr.alias("_bin"), "value")
-                  .where(F.col("_b").isNotNull())
-                  .groupBy("_b", "_bin").agg(F.count(F.lit(1)).alias("_c"),
-                                             F.min("value").alias("_mn"),
-                                             F.max("value").alias("_mx")).collect())
-        _log("hist", _t)
-        per: dict = {}
-        ext: dict = {}
-        for row in hist:
-            per.setdefault(row["_b"], {})[row["_bin"]] = row["_c"]
-            ext[(row["_b"], row["_bin"])] = (row["_mn"], row["_mx"])
-        progressed = False
-        for k in big:
-            st = state[k]
-            grp = k[0]
-            i = ids[(grp, tuple(st["steps"]))]
-            lo, hi = bounds(grp, st["steps"])
-            if hi <= lo:
-                # degenerate bracket (one value): finished by the final pass
-                st["degenerate"] = True
-                continue
-            acc = st["below"]
-            for b in range(bins):
-                c = per.get(i, {}).get(b, 0)
-                if acc + c >= k[1]:
-                    mn, mx = ext[(i, b)]
-                    if mn == mx:          # one distinct value: the rank is found
-                        st["value"] = mn
-                    else:
-                        st["steps"] = st["steps"] + [(lo, hi, b)]
-                        st["below"] = acc
-                        st["inside"] = c
-                        progressed = True
-                    break
+    def numbered(brackets, other=None):
+        out = F.lit(None).cast("int")
+        for i in reversed(range(len(brackets))):
+            out = F.when(inside(brackets[i]), F.lit(i)).otherwise(out)
+        cols = [out.alias("_b"), "value"] if other is None else [out.alias("_b"), other.alias("_z"), "value"]
+        return lv.select(*cols).where(F.col("_b").isNotNull())
+
+    while any(b[4] > limit for b in todo):
+        big = [b for b in todo if b[4] > limit]
+        todo = [b for b in todo if b[4] <= limit]
+        probs: list[float] = []
+        spans = []  # for each bracket and rank the positions of its two probes
+        for _, _, _, below, n, ranks in big:
+            slack = 2 * n / accuracy + 1
+            spans.append([])
+            for r in ranks:
+                spans[-1].append((r, len(probs)))
+                probs += [min(1.0, max(0.0, (r - below + d * slack) / n)) for d in (-1, 1)]
+        sketch = {r["_b"]: r["_q"] for r in numbered(big).groupBy("_b").agg(
+            F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), accuracy)
+            .alias("_q")).collect()}
+        cuts = []  # disjoint [a, b] per bracket with their ranks
+        for i, span in enumerate(spans):
+            merged: list = []
+            for r, k in span:
+                lo, hi = sketch[i][k], sketch[i][k + 1]
+                if merged and lo <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(hi, merged[-1][1]), merged[-1][2] + [r])
+                else:
+                    merged.append((lo, hi, [r]))
+            cuts.append(merged)
+        # zone: 4 per interval — below a, at a, between, at b (equal ends: at a is skipped)
+        zone = F.lit(0)
+        for i, b in reversed(list(enumerate(big))):
+            z = sum(((v >= F.lit(x)).cast("int") + (v > F.lit(x)).cast("int")
+                     for lo, hi, _ in cuts[i] for x in (lo, hi)), F.lit(0))
+            zone = F.when(inside(b), z).otherwise(zone)
+        counts: dict = {}
+        for r in numbered(big, zone).groupBy("_b", "_z").count().collect():
+            counts[(r["_b"], r["_z"])] = r["count"]
+        for i, (grp, low, high, below, n, ranks) in enumerate(big):
+            width = 4 * len(cuts[i])
+            acc = [below]
+            for z in range(width + 1):
+                acc.append(acc[-1] + counts.get((i, z), 0))
+            edges = [x for lo, hi, _ in cuts[i] for x in (lo, hi)]
+            opened: dict = {}
+            for r in ranks:
+                z = next(z for z in range(width + 1) if acc[z + 1] >= r)
+                if z % 2:                     # at a probe
+                    result[(grp, r)] = edges[(z - 1) // 2]
+                elif z and edges[z // 2 - 1] == (edges[z // 2] if z < width else None):
+                    result[(grp, r)] = edges[z // 2]
+                else:
+                    opened.setdefault(z, []).append(r)
+            for z, rs in opened.items():
+                lo = edges[z // 2 - 1] if z else low
+                hi = edges[z // 2] if z < width else high
+                todo.append((grp, lo, hi, acc[z], acc[z + 1] - acc[z], rs))
+    if todo:
+        vals: dict = {}
+        for r in numbered(todo).groupBy("_b", "value").agg(F.count(F.lit(1)).alias("_c")).collect():
+            vals.setdefault(r["_b"], []).append((r["value"], r["_c"]))
+        for i, (grp, _, _, below, _, ranks) in enumerate(todo):
+            acc, at = below, {}
+            for value, c in sorted(vals.get(i, [])):
+                for r in ranks:
+                    if acc < r <= acc + c:
+                        at[r] = value
                 acc += c
-        if not progressed:
-            break
-    # final pass: distinct values (with counts) inside every unfinished bracket
-    keys = sorted({(k[0], tuple(st["steps"])) for k, st in state.items()
-                   if "value" not in st}, key=repr)
-    ids = {kk: i for i, kk in enumerate(keys)}
-    bid = F.lit(None).cast("int")
-    for (grp, steps), i in reversed(list(ids.items())):
-        bid = F.when(cond(grp, list(steps)), F.lit(i)).otherwise(bid)
-    # brackets of different depth may nest: evaluate each bracket separately
-    # only when they overlap; same-depth brackets are identical or disjoint.
-    depth = {len(kk[1]) for kk in keys}
-    vals: dict = {}
-    for dpt in sorted(depth):
-        sub = {kk: i for kk, i in ids.items() if len(kk[1]) == dpt}
-        b2 = F.lit(None).cast("int")
-        for (grp, steps), i in reversed(list(sub.items())):
-            b2 = F.when(cond(grp, list(steps)), F.lit(i)).otherwise(b2)
-        _t = time.time()
-        rows = (lv.select(b2.alias("_b"), "value").where(F.col("_b").isNotNull())
-                  .groupBy("_b", "value").agg(F.count(F.lit(1)).alias("_c")).collect())
-        _log("final", _t)
-        for row in rows:
-            vals.setdefault(row["_b"], []).append((row["value"], row["_c"]))
-    result = {}
-    for k, st in state.items():
-        if "value" in st:
-            result[k] = st["value"]
-            continue
-        i = ids[(k[0], tuple(st["steps"]))]
-        acc = st["below"]
-        found = None
-        for v, c in sorted(vals.get(i, [])):
-            acc += c
-            if acc >= k[1]:
-                found = v
-                break
-        result[k] = found
+            result.update({(grp, r): at.get(r) for r in ranks})
     return result
 
 
@@ -308,10 +290,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return agg.select("column_name", F.posexplode("_q").alias("_i", "value")).select(
             "column_name", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
             .alias("prob"), "value")
-    stats = lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"),
-                                          F.max("value").alias("mx")).collect()
-    counts = {r["column_name"]: r["n"] for r in stats}
-    minmax = {r["column_name"]: (r["mn"], r["mx"]) for r in stats}
+    counts = {r["column_name"]: r["n"] for r in
+              lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = {}
     wants = {}
     for c in cols:
@@ -322,7 +302,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             lo, hi, frac = _target_ranks(n, p, interpolation)
             plan[(c, p)] = (lo, hi, frac)
             wants.setdefault(c, (n, set()))[1].update({lo, hi})
-    got = exact_ranks(lv, {g: (n, sorted(rs)) for g, (n, rs) in wants.items()}, minmax=minmax)
+    got = exact_ranks(lv, {g: (n, sorted(rs)) for g, (n, rs) in wants.items()})
     out = []
     for c in cols:
         for p in probs:

@@ -116,7 +116,8 @@ SELECT threshold,
   round(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) / (SELECT sum(neg) FROM st), 6)
     AS fpr,
   round(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) / (SELECT sum(pos) FROM st), 6)
-    AS tpr FROM st""")
+    AS tpr FROM st
+UNION ALL SELECT CAST('infinity' AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE""")
 def roc_curve(spark, sf):
     return round_doubles(EV.roc_curve(binary(spark, sf), "y", "s"), 6)
 
@@ -127,7 +128,8 @@ c AS (SELECT threshold,
   sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS tp,
   sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp FROM st)
 SELECT threshold, round(tp / (tp + fp), 6) AS precision,
-  round(tp / (SELECT sum(pos) FROM st), 6) AS recall FROM c""")
+  round(tp / (SELECT sum(pos) FROM st), 6) AS recall FROM c
+UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE""")
 def precision_recall_curve(spark, sf):
     return round_doubles(EV.precision_recall_curve(binary(spark, sf), "y", "s"), 6)
 

@@ -27,8 +27,9 @@ i AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_order
 s AS (SELECT o_orderpriority, any_value(n) AS n, arg_max(total, i) AS last, avg(total) AS mean,
   avg(total) FILTER (WHERE i >= n - least(n, 5)) AS ma, regr_slope(total, i) AS slope,
   regr_intercept(total, i) AS icpt FROM i GROUP BY 1)
-SELECT o_orderpriority, CAST(step AS INTEGER) AS step, round({expr}, 4) AS forecast
-FROM s, range(1, {H + 1}) t(step) WHERE n >= {H + 2} AND step <= n"""
+SELECT o_orderpriority, CAST(step AS INTEGER) AS step, round({expr}, 4) AS forecast, 'ok' AS status
+FROM s, range(1, {H + 1}) t(step) WHERE n >= {H + 2}
+UNION ALL SELECT o_orderpriority, NULL, NULL, 'too_short' FROM s WHERE n < {H + 2}"""
 
 
 def _fc(method):

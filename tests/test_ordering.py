@@ -41,3 +41,29 @@ def test_prefix_sums(spark):
     for i in range(1000):
         acc += i % 5
         assert got[i] == acc
+
+
+def test_exact_ranks_ignore_scale_and_hot_values(spark):
+    """100,000 distinct values and one of 1e30, and a value that holds half the rows."""
+    from pyspark.sql import functions as F
+    from tessera.plans.ordering import exact_ranks
+    a = [k / 100_000 for k in range(100_000)] + [1e30]
+    b = [5.0] * 50_000 + [float(k) for k in range(50_001)]
+    df = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b], "column_name string, value double").repartition(7)
+    wants = {"a": (len(a), [1, 25_000, 50_000, 50_001, len(a)]), "b": (len(b), [1, 6, 30_000, 50_007, 99_000])}
+    want = {(g, r): sorted(v)[r - 1] for g, v in (("a", a), ("b", b)) for r in wants[g][1]}
+    assert exact_ranks(df, wants) == want
+    assert exact_ranks(df, wants, limit=10, accuracy=100) == want
+    assert F is not None
+
+
+def test_many_buckets_build_fast(spark):
+    import time
+    from tessera.plans.ordering import range_bucket
+    df = spark.range(20_000).selectExpr("id", "id % 7 as g", "cast(id as timestamp) as t")
+    start = time.time()
+    bucket, n = range_bucket(df, ["g", "t", "id"], num_buckets=2000)
+    got = df.withColumn("b", bucket).groupBy("b").agg({"*": "count"}).collect()
+    assert time.time() - start < 60 and 1900 <= n <= 2000 and max(r[1] for r in got) < 200
+    order = df.withColumn("b", bucket).orderBy("g", "t", "id").select("b").collect()
+    assert [r.b for r in order] == sorted(r.b for r in order)
