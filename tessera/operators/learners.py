@@ -17,12 +17,14 @@ import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from . import evaluate as EV
 from .split import FOLD, assign_folds
 
@@ -94,10 +96,10 @@ def make_estimator(model_type: str, problem: str, params: dict | None = None,
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     if mt == "random_forest":
         c = RandomForestClassifier if cls else RandomForestRegressor
-        return c(seed=seed, **common, **_translate(c, params, problem))
+        return c(seed=seed, **common, **{"numTrees": 100} | _translate(c, params, problem))
     if mt in ("gradient_boosting", "xgboost", "lightgbm", "catboost"):
         c = GBTClassifier if cls else GBTRegressor
-        p = dict(PRESETS.get(mt, {}))
+        p = dict(PRESETS.get(mt, {"maxIter": 100}))
         p.update(_translate(c, params, problem))
         est = c(seed=seed, **common, **p)
         if cls and n_classes > 2:
@@ -178,7 +180,7 @@ def build_pipeline(features: Sequence[str], model_type: str, problem: str, param
 
 def prepare_label(df: DataFrame, label: str, problem: str):
     """Classification labels → 0..k−1 doubles (alphabetical); regression → double.
-    Rows with a null label are dropped (and counted)."""
+    Rows with a null label have no class and are left out."""
     d = df.where(F.col(label).isNotNull())
     if problem.lower().startswith("class"):
         distinct = d.select(F.col(label).cast("string")).distinct().limit(MAX_CLASSES + 1).collect()
@@ -210,7 +212,8 @@ class Ensemble:
     """Voting / stacking over fitted base pipelines (rf + gb + lr)."""
 
     def __init__(self, kind: str, bases: list[PipelineModel], problem: str, classes=None,
-                 final: PipelineModel | None = None, voting: str = "soft"):
+                 final: PipelineModel | None = None, voting: str = "soft", n_classes: int = 0):
+        self.n_classes = n_classes
         self.kind, self.bases, self.problem = kind, bases, problem
         self.classes, self.final, self.voting = classes, final, voting
 
@@ -220,8 +223,7 @@ class Ensemble:
             t = m.transform(out)
             col = PRED
             if self.problem.lower().startswith("class") and "probability" in t.columns \
-                    and self.kind == "voting" and self.voting == "soft":
-                from pyspark.ml.functions import vector_to_array
+                    and (self.kind == "stacking" or self.voting == "soft"):
                 t = t.withColumn(f"_p{i}", vector_to_array("probability"))
             else:
                 t = t.withColumn(f"_p{i}", F.col(col))
@@ -234,7 +236,7 @@ class Ensemble:
         k = len(self.bases)
         cls = self.problem.lower().startswith("class")
         if self.kind == "stacking":
-            return self.final.transform(t)
+            return self.final.transform(_meta_features(t, k, self.n_classes))
         if not cls:
             return t.withColumn(PRED, sum(F.col(f"_p{i}") for i in range(k)) / k)
         is_arr = [t.schema[f"_p{i}"].dataType.simpleString().startswith("array")
@@ -243,7 +245,8 @@ class Ensemble:
             avg = F.zip_with(F.col("_p0"), F.col("_p1"), lambda a, b: a + b)
             for i in range(2, k):
                 avg = F.zip_with(avg, F.col(f"_p{i}"), lambda a, b: a + b)
-            return t.withColumn(PRED, F.array_position(avg, F.array_max(avg)).cast("double") - 1)
+            return t.withColumn("probability", F.transform(avg, lambda p: p / k)) \
+                .withColumn(PRED, F.array_position(avg, F.array_max(avg)).cast("double") - 1)
         # a base without class probabilities: probability rows become class votes
         for i in range(k):
             if is_arr[i]:
@@ -262,8 +265,27 @@ class Ensemble:
         return t.withColumn(PRED, best["v"])
 
 
-def _fit_one(train_df, features, model_type, problem, params, n_classes, n_rows, seed):
+def _is_array(t: DataFrame, i: int) -> bool:
+    return t.schema[f"_p{i}"].dataType.simpleString().startswith("array")
+
+
+def _meta_features(t: DataFrame, k: int, n_classes: int) -> DataFrame:
+    """Columns a stacked model learns from: each base's class probabilities (the first
+    is what the others leave) or, where it has none, its prediction."""
+    return t.select("*", *[F.get(F.col(f"_p{i}"), j).alias(f"_p{i}_{j}") for i in range(k)
+                           if _is_array(t, i) for j in range(1, n_classes)])
+
+
+def _meta_columns(t: DataFrame, k: int, n_classes: int) -> list[str]:
+    return [c for i in range(k) for c in (
+        [f"_p{i}_{j}" for j in range(1, n_classes)] if _is_array(t, i) else [f"_p{i}"])]
+
+
+def _fit_one(train_df, features, model_type, problem, params, n_classes, seed):
+    """Fit on the rows given.  The penalty ``C`` counts losses, Spark's their mean:
+    models that take it need the number of training rows."""
     mt = canonical(model_type)
+    n_rows = train_df.count() if mt in ("logistic_regression", "svm", "voting", "stacking") else None
     if mt == "knn":
         from .neighbors import KNNModel
         return KNNModel(features, (params or {}).get("n_neighbors", 5),
@@ -275,11 +297,12 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, n_rows,
                                               "class") else "linear_regression")]
         if mt == "voting":
             return Ensemble("voting", bases, problem, voting=(params or {}).get("voting", "soft"))
-        # stacking: out-of-fold base predictions → final linear / logistic model
-        folds, k = assign_folds(train_df, "_row_key", "kfold", 3) if "_row_key" in \
-            train_df.columns else assign_folds(
-                train_df.withColumn("_row_key", F.xxhash64(*[F.col(c) for c in features])),
-                "_row_key", "kfold", 3)
+        # stacking: out-of-fold class probabilities (regression: predictions) → final
+        # logistic / linear model; folds by the row key, fixed by a checkpoint
+        if "_row_key" not in train_df.columns:
+            raise ValueError("stacking needs a row key for its folds")
+        folds, k = assign_folds(train_df, "_row_key", "kfold", 5)
+        folds = cut(folds)
         base_types = ("random_forest", "gradient_boosting",
                       "logistic_regression" if problem.lower().startswith("class")
                       else "linear_regression")
@@ -288,7 +311,7 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, n_rows,
             tr, te = folds.where(F.col(FOLD) != f), folds.where(F.col(FOLD) == f)
             ms = [build_pipeline(features, m, problem, None, n_classes, n_rows, seed=seed).fit(tr)
                   for m in base_types]
-            return Ensemble("voting", ms, problem, voting="hard")._base_preds(te)
+            return Ensemble("stacking", ms, problem)._base_preds(te)
 
         with ThreadPoolExecutor(max_workers=k) as ex:
             parts = list(ex.map(fold_preds, range(k)))
@@ -297,9 +320,10 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, n_rows,
             oof = oof.unionByName(part)
         final_type = "logistic_regression" if problem.lower().startswith("class") else \
             "linear_regression"
-        final = build_pipeline([f"_p{i}" for i in range(3)], final_type, problem, None,
-                               n_classes, n_rows, seed=seed).fit(oof)
-        return Ensemble("stacking", bases, problem, final=final)
+        final = build_pipeline(_meta_columns(oof, len(base_types), n_classes), final_type, problem,
+                               None, n_classes, n_rows, seed=seed).fit(
+            _meta_features(oof, len(base_types), n_classes))
+        return Ensemble("stacking", bases, problem, final=final, n_classes=n_classes)
     return build_pipeline(features, model_type, problem, params, n_classes, n_rows,
                           seed=seed).fit(train_df)
 
@@ -321,11 +345,12 @@ def train(df: DataFrame, features: Sequence[str], label: str, model_type: str =
         d = split_stratified(d, key, label, test_size, seed) if classes else \
             split_random(d, key, test_size, seed)
     d = d.cache()
-    n = d.count()
     train_df = d.where(F.col("split") == "train")
     test_df = d.where(F.col("split") == "test")
     n_classes = len(classes) if classes else 0
-    model = _fit_one(train_df, features, model_type, problem, params, n_classes, n, seed)
+    if key is not None:
+        train_df = train_df.withColumn("_row_key", F.col(key))
+    model = _fit_one(train_df, features, model_type, problem, params, n_classes, seed)
     metrics = score(model.transform(test_df), problem)
     metrics["train_" + primary(problem)] = score(model.transform(train_df), problem)[primary(problem)]
     cv_df = None
@@ -342,8 +367,7 @@ def cross_val_score(d: DataFrame, features, model_type, problem, params, key, me
     """Per-fold score (accuracy or r2); folds fitted concurrently."""
     fd, kk = assign_folds(d, key, method, k, label=LABEL if problem.lower().startswith("class")
                           else None, order=order, seed=seed)
-    fd = fd.cache()
-    n = fd.count()
+    fd = fd.withColumn("_row_key", F.col(key)).cache()
     if method == "timeseries":
         pairs = [(fd.where(F.col(FOLD) < f), fd.where(F.col(FOLD) == f)) for f in range(kk)]
     else:
@@ -351,7 +375,7 @@ def cross_val_score(d: DataFrame, features, model_type, problem, params, key, me
 
     def run(i):
         tr, te = pairs[i]
-        m = _fit_one(tr, features, model_type, problem, params, n_classes, n, seed)
+        m = _fit_one(tr, features, model_type, problem, params, n_classes, seed)
         return i, score(m.transform(te), problem)[primary(problem)]
 
     with ThreadPoolExecutor(max_workers=min(kk, 4)) as ex:
@@ -375,15 +399,13 @@ def compare_models(df: DataFrame, features, label, problem="classification",
     from .split import split_random, split_stratified
     d, classes = prepare_label(df, label, problem)
     d = (split_stratified(d, key, label, 0.2, seed) if classes else
-         split_random(d, key, 0.2, seed)).cache()
-    n = d.count()
+         split_random(d, key, 0.2, seed)).withColumn("_row_key", F.col(key)).cache()
     tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     metric = primary(problem)
 
     def run(mt):
         try:
-            m = _fit_one(tr, features, mt, problem, (params or {}).get(mt), len(classes or []),
-                         n, seed)
+            m = _fit_one(tr, features, mt, problem, (params or {}).get(mt), len(classes or []), seed)
             s = score(m.transform(te), problem)
             return (mt, float(s[metric]), None)
         except Exception as exc:  # noqa: BLE001 - reported per model
@@ -400,8 +422,21 @@ def compare_models(df: DataFrame, features, label, problem="classification",
 
 
 def predict(model, df: DataFrame, classes=None) -> DataFrame:
-    """Score a batch or streaming DataFrame; class indices mapped back to labels."""
+    """Score a batch or streaming DataFrame; class indices mapped back to labels.
+    ``class_probabilities`` holds one number per class where the model has them (a
+    linear SVM: the logistic of its margin), null otherwise."""
     out = model.transform(df)
+    kinds = dict(out.dtypes)
+    if kinds.get("probability") == "vector":
+        proba = vector_to_array("probability")
+    elif kinds.get("probability", "").startswith("array"):
+        proba = F.col("probability")
+    elif kinds.get("rawPrediction") == "vector" and classes and len(classes) == 2:
+        margin = F.element_at(vector_to_array("rawPrediction"), 2)
+        proba = F.array(1 - 1 / (1 + F.exp(-margin)), 1 / (1 + F.exp(-margin)))
+    else:
+        proba = F.lit(None).cast("array<double>")
+    out = out.withColumn("class_probabilities", proba)
     if classes:
         out = out.withColumn("predicted_label", F.element_at(
             F.array(*[F.lit(c) for c in classes]), F.col(PRED).cast("int") + 1))
@@ -432,15 +467,14 @@ def learning_curve(df: DataFrame, features, label, model_type="random_forest",
     fd, kk = assign_folds(d, key, "stratified" if classes else "kfold", k,
                           label=LABEL if classes else None, seed=seed)
     fd = fd.withColumn("_u", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 7)), F.lit(10 ** 6))
-                       / 1e6).cache()
-    n = fd.count()
+                       / 1e6).withColumn("_row_key", F.col(key)).cache()
     jobs = [(f, fr) for fr in fractions for f in range(kk)]
 
     def run(job):
         f, fr = job
         tr = fd.where((F.col(FOLD) != f) & (F.col("_u") < fr))
         te = fd.where(F.col(FOLD) == f)
-        m = _fit_one(tr, features, model_type, problem, None, len(classes or []), n, seed)
+        m = _fit_one(tr, features, model_type, problem, None, len(classes or []), seed)
         met = primary(problem)
         return fr, score(m.transform(tr), problem)[met], score(m.transform(te), problem)[met]
 

@@ -65,8 +65,7 @@ class _Evaluator:
             k = max(2, min(k, smallest))
         self.folds, self.k = assign_folds(d, key, method, k, label=L.LABEL if classes else None,
                                           seed=seed)
-        self.folds = self.folds.cache()
-        self.n = self.folds.count()
+        self.folds = self.folds.withColumn("_row_key", F.col(key)).cache()
         self.features, self.model_type, self.problem = list(features), model_type, problem
         self.n_classes = len(classes or [])
         self.seed = seed
@@ -77,7 +76,7 @@ class _Evaluator:
             tr = self.folds.where(F.col(FOLD) != f)
             te = self.folds.where(F.col(FOLD) == f)
             m = L._fit_one(tr, self.features, self.model_type, self.problem, _clean(params),
-                           self.n_classes, self.n, self.seed)
+                           self.n_classes, self.seed)
             scores.append(L.score(m.transform(te), self.problem)[L.primary(self.problem)])
         mean = sum(scores) / len(scores)
         std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))

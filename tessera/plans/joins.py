@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 # Bytes we are willing to ship to every executor.  A lookup side above it falls
 # back to a shuffle join (sort-merge; AQE may still convert it at runtime).

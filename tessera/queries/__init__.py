@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all():
     from . import profile_q, columns_q, prep_q, evaluate_q, anomaly_q, series_q, advise_q  # noqa: F401
-    from . import ml_q, sources_q  # noqa: F401
+    from . import ml_q, sources_q, workflow_q  # noqa: F401
     return QUERIES, ORACLE
