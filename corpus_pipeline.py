@@ -18,7 +18,7 @@ from tessera.llm.common import store, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go.  The classifier
     learns from the labelled rows of ``docs`` that are not held out."""
-    model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score_col="_score", reject_col="_rejected") \
         .where(~F.col("_rejected")).select(*docs.columns)
 

@@ -214,6 +214,9 @@ def _train(t: pa.Table) -> pa.Table:
     t = t.take(pa.array(o))
     y = t.column("label").to_numpy().astype(np.int64)
     weight = t.column("weight").to_numpy().astype(np.float64)
+    if min(y.sum(), (1 - y).sum()) == 0:
+        return pa.table({"net": pa.array([], pa.binary()), "lang": pa.array([], pa.list_(pa.string())),
+                         "cut": pa.array([], pa.list_(pa.float64()))})
     lang = np.array([x or "" for x in t.column("lang").to_pylist()], object)
     docs = []
     for part in slices(t, "text"):
@@ -239,22 +242,30 @@ def _train(t: pa.Table) -> pa.Table:
                      "cut": pa.array([list(cuts.values())], pa.list_(pa.float64()))})
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label",
+def held_out(id_col: str, folds: int = 5, fold: int = 0):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
           lang: str | None = "lang", per_class: int = PER_CLASS):
     """Fit on a bounded sample of labelled rows: ``(model bytes, {language: threshold})``,
-    or ``(None, share of label 1)`` when a class has no row."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"),
-                           F.col(label).cast("int").alias("label"),
-                           (F.col(lang) if lang else F.lit("")).alias("lang")) \
-        .where("id is not null and label in (0, 1)")
-    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    or ``(None, share of label 1)`` when a class has no row.  Labels of held-out ids are
+    never used.  The sample is drawn among the labels, about ``per_class`` of each class,
+    so it is small by construction and finds its texts by a broadcast."""
+    own = labels.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")) \
+        .where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    n = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}  # two rows
     if not n.get(0) or not n.get(1):
         return None, float(n.get(1, 0) > 0)
     share = F.when(F.col("label") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, per_class / n[0]))
-    sample = rows.withColumn("share", share) \
-        .where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.col("share") * (1 << 30)) \
-        .withColumn("weight", 1 / F.col("share")).withColumn("share", F.lit(0))
-    got = sample.groupBy("share").applyInArrow(
+    chosen = own.withColumn("share", share) \
+        .where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(1 << 30)) < F.col("share") * (1 << 30)) \
+        .select("id", "label", (1 / F.col("share")).alias("weight"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"),
+                       (F.col(lang) if lang else F.lit("")).alias("lang"))
+    sample = rows.join(F.broadcast(chosen), "id").groupBy(F.col("id").cast("string").alias("id"), "label", "weight") \
+        .agg(F.min("text").alias("text"), F.min("lang").alias("lang")).withColumn("one", F.lit(0))
+    got = sample.groupBy("one").applyInArrow(
         lambda t: _train(t), "net binary, lang array<string>, cut array<double>").first()
     if got is None:
         return None, n[1] / (n[0] + n[1])
@@ -288,19 +299,9 @@ def score(docs: DataFrame, model, text: str = "text", lang: str | None = "lang",
     return docs.mapInArrow(run, schema)
 
 
-def held_out(id_col: str, folds: int = 5, fold: int = 0):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: documents whose label counts (never those held out)."""
-    own = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.where(~held_out("doc_id")).select("doc_id", "text", "lang").join(own, "doc_id")
-
-
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs.select("doc_id", "lang", "text"), model)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
