@@ -6,7 +6,7 @@ placements that look at it.  Four masks are placed at every token of the
 benchmark and of the documents and joined on their hashes.  Tokens are runs of
 letters and digits with A-Z lowered, so case and punctuation do not matter.
 
-Documents are filtered where they are read by a bit map of the benchmark's
+Documents are filtered where they are read by a Bloom filter of the benchmark's
 hashes; its size is fixed, so it can be sent everywhere however large the
 benchmark is, and what it lets through wrongly falls out in the join.  What
 passes keeps the tokens around it, long enough for any benchmark item.
@@ -34,7 +34,8 @@ from .common import Words, ints, mix, pack, slices, store, table
 #: Fixed masks of weight 6: tokens under 1 count.
 MASKS = ("111111", "11101101", "1101100011", "110010101001")
 LEAST, SHARE = 12, 0.75
-BITS = 22
+#: The filter: bits, and the parts of a hash that each name one.
+BITS, PARTS = 25, (0, 20, 39)
 _GAP = np.zeros(256, bool)
 _GAP[:128] = [not chr(c).isalnum() for c in range(128)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -78,20 +79,26 @@ def _items(batches):
                 names=["item", "tokens", "n", "seeds", "places"])
 
 
-def bit_map(seeds: DataFrame) -> np.ndarray:
-    """Which of 2**BITS values the seeds' low bits take: at most 2**(BITS-6) rows of 64 bits."""
-    low = F.col("seed").bitwiseAND(F.lit((1 << BITS) - 1))
-    rows = seeds.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(seed & 63 as int))").alias("b")) \
-        .groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+def bloom(seeds: DataFrame) -> np.ndarray:
+    """Words of the filter: at most 2**(BITS-6) rows, whatever the number of seeds."""
+    bits = F.explode(F.array(*[F.shiftrightunsigned("seed", p).bitwiseAND(F.lit((1 << BITS) - 1)) for p in PARTS]))
+    rows = seeds.select(bits.alias("bit")).select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("b")) \
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in rows:
-        out[r["w"]] = np.uint64(r["b"] & (2**64 - 1))
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def _regions(shared, reach: int):
-    low = np.uint64((1 << BITS) - 1)
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of ``h`` that the filter lets through."""
+    at = np.arange(len(h))
+    for p in PARTS:
+        v = (h[at] >> np.uint64(p)) & np.uint64((1 << BITS) - 1)
+        at = at[((bits[v >> np.uint64(6)] >> (v & np.uint64(63))) & np.uint64(1)).astype(bool)]
+    return at
+
 
+def _regions(shared, reach: int):
     def run(batches):
         bits = shared.value
         for batch in batches:
@@ -100,9 +107,8 @@ def _regions(shared, reach: int):
                 spots, hashes = [], []
                 for m in range(len(MASKS)):
                     h, whole = _seeds(tok, first, m)
-                    v = h & low
-                    ok = ((bits[v >> np.uint64(6)] >> (v & np.uint64(63))) & np.uint64(1)).astype(bool) & whole
-                    at = np.flatnonzero(ok)
+                    at = _maybe(bits, h)
+                    at = at[whole[at]]
                     spots.append(at)
                     hashes.append(h[at].view(np.int64))
                 spot, hash_ = np.concatenate(spots), np.concatenate(hashes)
@@ -161,7 +167,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     seeds = items.select("item", F.col("tokens").alias("item_tokens"), F.explode(F.arrays_zip("seeds", "places")).alias("z")) \
         .select("item", F.xxhash64("item_tokens").alias("version"), F.col("z.seeds").alias("seed"), F.col("z.places").alias("item_at"))
     reach = (items.agg(F.max("n")).first()[0] or 0) + max(map(len, MASKS))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(seeds))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(seeds))
     regions = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
                     .mapInArrow(_regions(shared, reach),
                                 "id long, start long, tokens binary, seeds array<long>, places array<long>")
