@@ -80,37 +80,37 @@ def _start_radius(df: DataFrame, feats: Sequence[str], k: int) -> float:
 
 
 def knn_pairs(queries: DataFrame, points: DataFrame, key: str, feats: Sequence[str], k: int,
-              by: Sequence[str] = (), include_self: bool = False, max_rounds: int = 40) -> DataFrame:
+              by: Sequence[str] = (), include_self: bool = False) -> DataFrame:
     """Exact k nearest points for every query → ``(by..., q, p, d2, nn_rank)``
     (ties by point key).  Queries with fewer than k points in their group get
-    all of them."""
+    all of them (none, where there is none).  The radius doubles for the queries that
+    are not settled yet, until all are: it ends when it spans the points."""
     by = list(by)
     r = _start_radius(points, feats, k)
-    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn")) if by else None
-    need = queries
+    own = 0 if include_self else 1
+    if by:
+        sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
+        need = cut(queries.join(sizes, by, "left").withColumn(
+            "_want", F.least(F.lit(k), F.greatest(F.lit(0), F.coalesce("_gn", F.lit(0)) - own))).drop("_gn"))
+    else:
+        need = queries.withColumn("_want", F.lit(min(k, max(0, points.count() - own))))
+    need = need.where(F.col("_want") > 0)
     found = None
-    for _ in range(max_rounds):
+    while True:
         pr = radius_pairs(need, points, key, feats, r, by, include_self)
         w = Window.partitionBy(*by, "q").orderBy("d2", "p")
-        top = pr.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-        cnt = top.groupBy(*by, "q").agg(F.count(F.lit(1)).alias("_m"))
-        want = F.lit(k)
-        if sizes is not None:
-            cnt = cnt.join(sizes, by, "left")
-            want = F.least(F.lit(k), F.col("_gn") - (0 if include_self else 1))
-        else:
-            total = points.count() - (0 if include_self else 1)
-            want = F.lit(min(k, total))
-        done_q = cnt.where(F.col("_m") >= want).select(*by, "q")
+        top = cut(pr.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k))
+        cnt = top.groupBy(*by, F.col("q").alias(key)).agg(F.count(F.lit(1)).alias("_m"))
+        done_q = need.join(cnt, [*by, key]).where(F.col("_m") >= F.col("_want")) \
+            .select(*by, F.col(key).alias("q"))
         done = cut(top.join(done_q, [*by, "q"], "left_semi"))
         found = done if found is None else found.unionByName(done)
         # unresolved queries, materialised so the next round's plan stays short
         need = cut(need.join(done.select(*by, F.col("q").alias(key)).distinct(),
                              [*by, key], "left_anti"))
-        if need.count() == 0:
-            break
+        if need.isEmpty():
+            return found
         r *= 2.0
-    return found
 
 
 class KNNModel:
@@ -252,7 +252,7 @@ def adasyn(df: DataFrame, label: str, key: str, features: Sequence[str], strateg
                       "_synthetic")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``vertices(v)``, ``edges(a, b)`` (both directions present) → ``(v, comp)``
     with comp = smallest vertex id of the component.
 
@@ -263,7 +263,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     is cut with a reliable checkpoint so a lost executor replays one round."""
     least = lambda a, b: F.least(F.col(a), F.coalesce(F.col(b), F.col(a)))
     lab = cut(vertices.select(F.col("v"), F.col("v").alias("comp")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so it ends
         prop = edges.join(lab.withColumnRenamed("v", "a"), "a") \
             .groupBy(F.col("b").alias("v")).agg(F.min("comp").alias("_m"))
         new = lab.join(prop, "v", "left").select("v", least("comp", "_m").alias("comp"))
@@ -278,8 +278,14 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             .where(F.col("comp") != F.col("_old")).limit(1).count()
         lab = new
         if changed == 0:
-            break
-    return lab
+            return lab
+
+
+def _box_gap2(a: str, b: str, side: float, wide: bool):
+    """Squared least (``wide``: greatest) distance of two cells from their coordinates."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    step = (lambda x: x + 1) if wide else (lambda x: F.greatest(x - 1, F.lit(0)))
+    return F.aggregate(apart, F.lit(0.0), lambda s, x: s + step(x) * step(x) * F.lit(side * side))
 
 
 def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
@@ -287,22 +293,82 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
     """Adds ``cluster`` (−1 = noise).  Core: ≥ min_samples points (itself
     included) within eps.  Clusters are connected components of core points;
     a border point joins the smallest adjacent cluster; clusters are numbered
-    0.. by their smallest core key."""
-    fx = [f"_x_{i}" for i in range(len(features))]
-    pts = df.select(F.col(key), *[coerce_numeric(c).alias(f) for c, f in zip(features, fx)])
-    pairs = cut(radius_pairs(pts, pts, key, fx, eps))
-    cnt = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("_n"))
-    core = cnt.where(F.col("_n") >= min_samples).select(F.col("q").alias("v"))
-    ce = pairs.join(core.withColumnRenamed("v", "q"), "q", "left_semi") \
-        .join(core.withColumnRenamed("v", "p"), "p", "left_semi") \
-        .where(F.col("q") != F.col("p")).select(F.col("q").alias("a"), F.col("p").alias("b"))
-    comp = connected_components(core, ce)
-    ids = ranked(comp.select("comp").distinct(), ["comp"], with_group_size=False) \
+    0.. by their smallest core key.
+
+    Points fall into cells whose diagonal is eps, so the points of a cell are all
+    neighbours: a cell of ``min_samples`` points needs no counting, and components are
+    found among cells.  Points are compared only between cells that touch eps without
+    lying within it as a whole, and only those near enough to the other cell; no list
+    of all pairs within eps is ever made.
+    """
+    d = len(features)
+    fx = [f"_x_{i}" for i in range(d)]
+    side = eps / math.sqrt(d)
+    pts = df.select(F.col(key).alias("q"), *[coerce_numeric(c).alias(f) for c, f in zip(features, fx)])
+    coords = F.array(*[F.floor(F.col(f) / F.lit(side)).cast("long") for f in fx])
+    pts = cut(pts.withColumn("_c", coords).withColumn("cell", F.concat_ws(",", F.col("_c").cast("array<string>"))))
+    cells = cut(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.first("_c").alias("_c")))
+    # cells within eps of each other, by a coarse grid of side eps over the first axes
+    g = min(d, GRID_DIMS)
+    coarse = [F.floor(F.get("_c", i) * F.lit(side) / F.lit(eps)).cast("long") for i in range(g)]
+    reach = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-2, -1, 0, 1, 2], repeat=g)])
+    left = cells.select(F.col("cell").alias("a"), F.col("_c").alias("ca"), F.col("n").alias("na"),
+                        *[c.alias(f"_g{i}") for i, c in enumerate(coarse)]) \
+        .withColumn("_off", F.explode(reach)).select(
+            "a", "ca", "na", *[(F.col(f"_g{i}") + F.col("_off")[i]).alias(f"_g{i}") for i in range(g)])
+    right = cells.select(F.col("cell").alias("b"), F.col("_c").alias("cb"), F.col("n").alias("nb"),
+                         *[c.alias(f"_g{i}") for i, c in enumerate(coarse)])
+    near = left.join(right, [f"_g{i}" for i in range(g)]).where(F.col("a") != F.col("b")) \
+        .where(_box_gap2("ca", "cb", side, False) <= eps * eps * (1 + 1e-9))
+    near = cut(near.select("a", "b", "ca", "cb", "na", "nb",
+                           (_box_gap2("ca", "cb", side, True) <= eps * eps * (1 - 1e-9)).alias("whole")))
+
+    def reaches(cell: str):
+        """Squared distance of a point to a cell's box is within eps."""
+        out = F.lit(0.0)
+        for i, f in enumerate(fx):
+            lo = F.get(cell, i) * F.lit(side)
+            gap = F.greatest(F.lit(0.0), lo - F.col(f), F.col(f) - lo - F.lit(side))
+            out = out + gap * gap
+        return out <= eps * eps * (1 + 1e-9)
+
+    def met(own: DataFrame, others: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(q, p, a, b) of points within eps in the pairs of cells that are not whole."""
+        part = pairs.where(~F.col("whole"))
+        x = own.select("q", F.col("cell").alias("a"), *fx).join(part.select("a", "b", "cb"), "a") \
+            .where(reaches("cb")).select("a", "b", "q", *fx)
+        y = others.select(F.col("q").alias("p"), F.col("cell").alias("b"), *fx).join(part.select("a", "b", "ca"), "b") \
+            .where(reaches("ca")).select("a", "b", "p", *fx)
+        return x.alias("a").join(y.alias("b"), ["a", "b"]).where(_sqdist("a", "b", fx) <= F.lit(eps * eps)) \
+            .select("q", "p", "a", "b")
+
+    sparse_cells = cells.where(F.col("n") < min_samples)
+    sparse = pts.join(sparse_cells.select("cell"), "cell", "left_semi")
+    by_cell = near.where("whole").groupBy(F.col("a").alias("cell")).agg(F.sum("nb").alias("m"))
+    one_by_one = met(sparse, pts, near.where(F.col("na") < min_samples)).groupBy("q").agg(F.count(F.lit(1)).alias("k"))
+    counted = sparse.join(sparse_cells.select("cell", "n"), "cell").join(by_cell, "cell", "left").join(one_by_one, "q", "left")
+    core_q = counted.where(F.col("n") + F.coalesce("m", F.lit(0)) + F.coalesce("k", F.lit(0)) >= min_samples).select("q")
+    core = cut(pts.join(cells.where(F.col("n") >= min_samples).select("cell"), "cell", "left_semi")
+               .unionByName(pts.join(core_q, "q", "left_semi")))
+    core_cells = cut(core.groupBy(F.col("cell").alias("v")).agg(F.min("q").alias("least")))
+    alive = near.join(core_cells.select(F.col("v").alias("a")), "a", "left_semi") \
+        .join(core_cells.select(F.col("v").alias("b")), "b", "left_semi")
+    edges = cut(alive.where("whole").select("a", "b").unionByName(
+        met(core, core, alive.where("a < b")).select("a", "b").distinct()))
+    comp = connected_components(core_cells.select("v"), edges.unionByName(edges.select(
+        F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    named = comp.join(core_cells, "v").groupBy("comp").agg(F.min("least").alias("least"))
+    ids = ranked(named, ["least"], with_group_size=False) \
         .select("comp", (F.col(RANK) - 1).cast("int").alias("cluster"))
-    core_lab = comp.join(ids, "comp").select(F.col("v").alias(key), "cluster")
-    border = pairs.join(core_lab.withColumnRenamed(key, "p"), "p") \
-        .join(core.withColumnRenamed("v", "q"), "q", "left_anti") \
-        .groupBy(F.col("q").alias(key)).agg(F.min("cluster").alias("cluster"))
-    labels = core_lab.unionByName(border)
+    of_cell = comp.join(ids, "comp").select(F.col("v").alias("cell"), "cluster")
+    core_lab = core.join(of_cell, "cell").select("q", "cluster")
+    # border points: in a cell with a core point, near a whole cell, or near a core point
+    rest = pts.join(core.select("q"), "q", "left_anti")
+    same = rest.join(of_cell, "cell").select("q", "cluster")
+    whole = rest.select("q", F.col("cell").alias("a")).join(near.where("whole").select("a", F.col("b").alias("cell")), "a") \
+        .join(of_cell, "cell").select("q", "cluster")
+    close = met(rest, core, near).join(of_cell.withColumnRenamed("cell", "b"), "b").select("q", "cluster")
+    border = same.unionByName(whole).unionByName(close).groupBy("q").agg(F.min("cluster").alias("cluster"))
+    labels = core_lab.unionByName(border).withColumnRenamed("q", key)
     return df.join(labels, key, "left").withColumn(
         "cluster", F.coalesce(F.col("cluster"), F.lit(-1)))
