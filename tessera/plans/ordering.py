@@ -46,6 +46,10 @@ def _sort_key(t):
     return tuple((v is not None, v) for v in t)
 
 
+# Boundaries whose search is one nested CASE.
+SPELLED_OUT = 64
+
+
 def _plain(key: Column, kind: T.DataType) -> Column:
     """``key`` as a number or string that sorts alike and survives JSON unchanged."""
     if isinstance(kind, T.DateType):
@@ -96,19 +100,26 @@ def range_bucket(df: DataFrame, keys: Sequence, num_buckets: int | None = None,
     # one literal, whatever the number of boundaries
     table = F.from_json(F.lit(json.dumps([dict(zip(names, b)) for b in bounds], default=str)),
                         T.ArrayType(sample.schema))
-    # bucket = number of boundaries ≤ row, by halving
+    # bucket = number of boundaries ≤ row, by halving: spelled out while that is short
+    # (it compiles), by a fold over the literal beyond
+    if len(bounds) <= SPELLED_OUT:
+        def search(lo, hi):
+            if lo >= hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(row >= F.get(table, F.lit(mid)), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+        return search(0, len(bounds)), len(bounds) + 1
     steps = max(1, math.ceil(math.log2(len(bounds) + 1)))
-    key = F.struct(row.alias("r"), table.alias("b"))
 
-    def halve(acc, _):
-        mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = (acc["lo"] < acc["hi"]) & (acc["k"]["r"] >= F.get(acc["k"]["b"], mid))
-        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"),
-                        F.when(right, acc["hi"]).otherwise(F.least(mid, acc["hi"])).alias("hi"),
-                        acc["k"].alias("k"))
+    def halve(at, _):
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        right = (at["lo"] < at["hi"]) & (row >= F.get(table, mid))
+        return F.struct(F.when(right, mid + 1).otherwise(at["lo"]).alias("lo"),
+                        F.when(right, at["hi"]).otherwise(mid).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), key.alias("k"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"]), len(bounds) + 1
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda at: at["lo"]), len(bounds) + 1
 
 
 def ranked(df: DataFrame, order: Sequence, by: Sequence[str] = (),
