@@ -6,7 +6,6 @@ indices, cluster sizes and SMOTE class counts have SQL oracles.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,7 +15,8 @@ from ..operators import explain as EX
 from ..operators import learners as L
 from ..operators import neighbors as NB
 from ..operators import tune as TU
-from ..session import ensure_checkpoint_dir, local_path
+from ..session import ensure_checkpoint_dir
+from ..sources import files
 from ..sources.models import ModelStore
 from . import query
 from .tables import round_doubles, table
@@ -91,7 +91,7 @@ def predict_saved_model(spark, sf):
     df = lineitem_cls(spark, sf)
     model, metrics, _, classes = L.train(df, LI_FEATS, "big", "decision_tree", "classification",
                                          {"max_depth": 5}, key="li_key")
-    root = os.path.join(local_path(ensure_checkpoint_dir(spark)), "models")
+    root = files.join(ensure_checkpoint_dir(spark), "models")
     store = ModelStore(spark, root)
     mid = store.save(model, "decision_tree", "classification", LI_FEATS, "big", {"max_depth": 5},
                      metrics, model_id=uuid.uuid4().hex)

@@ -4,12 +4,12 @@ back through the dispatching reader, compare with the table itself."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, local_path
+from ..session import ensure_checkpoint_dir
+from ..sources import files
 from ..sources import readers as R
 from ..sources.catalog import Catalog
 from . import query
@@ -20,7 +20,7 @@ ROUNDTRIP_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_or
 
 
 def _scratch(spark, name: str) -> str:
-    return os.path.join(local_path(ensure_checkpoint_dir(spark)), "scratch",
+    return files.join(ensure_checkpoint_dir(spark), "scratch",
                         f"{uuid.uuid4().hex[:8]}-{name}")
 
 

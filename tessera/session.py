@@ -62,13 +62,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
-
-
-def local_path(path: str) -> str:
-    """``file:`` URIs (as returned by ``getCheckpointDir``) → plain paths for
-    ``os`` calls; other schemes are returned unchanged."""
-    if path.startswith("file://"):
-        return "/" + path[len("file://"):].lstrip("/")
-    if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
-    return path

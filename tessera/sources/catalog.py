@@ -8,16 +8,13 @@ from the data folders when the metadata table is lost.
 from __future__ import annotations
 
 import datetime as _dt
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import local_path
-
 from ..functions.columns import categorical_cols, datetime_cols, numeric_cols
+from . import files
 from .readers import read_any, write_dataset
 
 META_SCHEMA = T.StructType([
@@ -34,15 +31,6 @@ META_SCHEMA = T.StructType([
 ])
 
 
-def _dir_bytes(path: str) -> int:
-    if os.path.isfile(path):
-        return os.path.getsize(path)
-    total = 0
-    for root, _, files in os.walk(path):
-        total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
-    return total
-
-
 def dataset_metadata(df: DataFrame, dataset_id: str, filename: str, path: str | None = None,
                      uploaded_at: str | None = None) -> dict:
     return {
@@ -54,7 +42,7 @@ def dataset_metadata(df: DataFrame, dataset_id: str, filename: str, path: str |
         "numerical_columns": numeric_cols(df),
         "categorical_columns": categorical_cols(df),
         "datetime_columns": datetime_cols(df),
-        "size_bytes": _dir_bytes(path) if path and os.path.exists(path) else 0,
+        "size_bytes": files.size(df.sparkSession, path) if path else 0,
         "uploaded_at": uploaded_at or _dt.datetime.now(_dt.timezone.utc).isoformat(),
     }
 
@@ -64,19 +52,19 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = local_path(root)
-        os.makedirs(os.path.join(self.root, "data"), exist_ok=True)
-        os.makedirs(os.path.join(self.root, "meta"), exist_ok=True)
+        self.root = root
+        files.make_folder(spark, files.join(root, "data"))
+        files.make_folder(spark, files.join(root, "meta"))
 
     def _data(self, dataset_id: str) -> str:
-        return os.path.join(self.root, "data", dataset_id)
+        return files.join(self.root, "data", dataset_id)
 
     def _meta(self, dataset_id: str) -> str:
-        return os.path.join(self.root, "meta", dataset_id)
+        return files.join(self.root, "meta", dataset_id)
 
     def ingest(self, path: str, filename: str | None = None, format: str | None = None) -> dict:
         df = read_any(self.spark, path, format)
-        return self.register(df, filename or os.path.basename(path.rstrip("/")))
+        return self.register(df, filename or path.rstrip("/").rsplit("/", 1)[-1])
 
     def register(self, df: DataFrame, filename: str) -> dict:
         dataset_id = uuid.uuid4().hex
@@ -88,15 +76,14 @@ class Catalog:
         return meta
 
     def list(self) -> DataFrame:
-        ids = [d for d in os.listdir(os.path.join(self.root, "meta"))
-               if os.path.isdir(self._meta(d))]
+        ids = files.names(self.spark, files.join(self.root, "meta"))
         if not ids:
             return self.spark.createDataFrame([], META_SCHEMA)
         return self.spark.read.schema(META_SCHEMA).parquet(*[self._meta(i) for i in ids])
 
     def get(self, dataset_id: str) -> DataFrame | None:
         p = self._data(dataset_id)
-        return self.spark.read.parquet(p) if os.path.isdir(p) else None
+        return self.spark.read.parquet(p) if files.exists(self.spark, p) else None
 
     def rebuild(self, dataset_id: str, filename: str | None = None) -> dict | None:
         """Recreate lost metadata from the stored data folder."""
@@ -112,7 +99,5 @@ class Catalog:
     def delete(self, dataset_id: str) -> bool:
         existed = False
         for p in (self._data(dataset_id), self._meta(dataset_id)):
-            if os.path.exists(p):
-                shutil.rmtree(p)
-                existed = True
+            existed = files.delete(self.spark, p) or existed
         return existed

@@ -5,15 +5,13 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
-import os
-import shutil
 import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import local_path
+from . import files
 
 MODEL_META_SCHEMA = T.StructType([
     T.StructField("model_id", T.StringType()),
@@ -30,40 +28,38 @@ MODEL_META_SCHEMA = T.StructType([
 class ModelStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = local_path(root)
-        os.makedirs(self.root, exist_ok=True)
+        self.root = root
+        files.make_folder(spark, root)
 
     def _dir(self, model_id: str) -> str:
-        return os.path.join(self.root, model_id)
+        return files.join(self.root, model_id)
 
     def save(self, model: PipelineModel, model_type: str, problem_type: str,
              feature_names: list[str], label: str, params: dict | None = None,
              metrics: dict | None = None, model_id: str | None = None) -> str:
         model_id = model_id or uuid.uuid4().hex
-        model.write().overwrite().save(os.path.join(self._dir(model_id), "model"))
+        model.write().overwrite().save(files.join(self._dir(model_id), "model"))
         meta = {"model_id": model_id, "model_type": model_type, "problem_type": problem_type,
                 "feature_names": list(feature_names), "label": label,
                 "params_json": json.dumps(params or {}, default=str, sort_keys=True),
                 "metrics_json": json.dumps(metrics or {}, default=str, sort_keys=True),
                 "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat()}
         self.spark.createDataFrame([meta], MODEL_META_SCHEMA).coalesce(1).write.mode(
-            "overwrite").parquet(os.path.join(self._dir(model_id), "meta"))
+            "overwrite").parquet(files.join(self._dir(model_id), "meta"))
         return model_id
 
     def load(self, model_id: str) -> tuple[PipelineModel, dict]:
-        model = PipelineModel.load(os.path.join(self._dir(model_id), "model"))
-        meta = self.spark.read.parquet(os.path.join(self._dir(model_id), "meta")).first().asDict()
+        model = PipelineModel.load(files.join(self._dir(model_id), "model"))
+        meta = self.spark.read.parquet(files.join(self._dir(model_id), "meta")).first().asDict()
         return model, meta
 
     def list(self) -> DataFrame:
-        ids = [d for d in os.listdir(self.root) if os.path.isdir(os.path.join(self._dir(d), "meta"))]
+        ids = [d for d in files.names(self.spark, self.root)
+               if files.exists(self.spark, files.join(self._dir(d), "meta"))]
         if not ids:
             return self.spark.createDataFrame([], MODEL_META_SCHEMA)
         return self.spark.read.schema(MODEL_META_SCHEMA).parquet(
-            *[os.path.join(self._dir(i), "meta") for i in ids])
+            *[files.join(self._dir(i), "meta") for i in ids])
 
     def delete(self, model_id: str) -> bool:
-        if os.path.isdir(self._dir(model_id)):
-            shutil.rmtree(self._dir(model_id))
-            return True
-        return False
+        return files.delete(self.spark, self._dir(model_id))

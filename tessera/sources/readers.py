@@ -8,12 +8,12 @@ any number of files.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema=None) -> DataFrame:
     r = (spark.read.option("header", True).option("sep", sep)
@@ -47,19 +47,23 @@ _READERS = {"csv": read_csv, "tsv": read_tsv, "json": read_json, "parquet": read
             "pq": read_parquet}
 
 
-def detect_format(path: str) -> str:
-    base = path.rstrip("/")
-    ext = os.path.splitext(base)[1].lower().lstrip(".")
-    if not ext and os.path.isdir(base):
-        names = [n for n in os.listdir(base) if not n.startswith((".", "_"))]
-        if names:
-            ext = os.path.splitext(names[0])[1].lower().lstrip(".")
-    return ext
+def _extension(name: str) -> str:
+    tail = name.rstrip("/").rsplit("/", 1)[-1]
+    return tail.rsplit(".", 1)[1].lower() if "." in tail.lstrip(".") else ""
+
+
+def detect_format(spark: SparkSession, path: str) -> str:
+    """The extension of the path, or of the first file in a folder without one."""
+    found = _extension(path)
+    if not found:
+        inside = [n for n in files.names(spark, path) if not n.startswith((".", "_"))]
+        found = _extension(inside[0]) if inside else ""
+    return found
 
 
 def read_any(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
     """Dispatch on ``format`` or the lower-cased extension; unknown → CSV."""
-    fmt = (format or detect_format(path)).lower()
+    fmt = (format or detect_format(spark, path)).lower()
     reader = _READERS.get(fmt)
     if reader is not None:
         return reader(spark, path)
