@@ -98,8 +98,10 @@ def cluster(df: DataFrame, cols: Sequence[str], key: str, method: str = "kmeans"
         from .neighbors import knn_pairs
         nn = knn_pairs(z, z, key, cols, n_neighbors)
         gamma = 1.0
-        edges = nn.select(F.col("q").cast("long").alias("src"), F.col("p").cast("long").alias("dst"),
-                          F.exp(-gamma * F.col("d2")).alias("weight"))
+        # each pair once, whichever of the two names the other
+        edges = nn.select(F.least("q", "p").cast("long").alias("src"), F.greatest("q", "p").cast("long").alias("dst"),
+                          F.exp(-gamma * F.col("d2")).alias("weight")) \
+            .groupBy("src", "dst").agg(F.max("weight").alias("weight"))
         pic = PowerIterationClustering(k=k, maxIter=30, weightCol="weight", initMode="degree")
         assign = pic.assignClusters(edges).select(F.col("id").alias(key),
                                                   F.col("cluster").cast("int"))

@@ -3,8 +3,8 @@
 * ``shap_importance``: for linear models the Shapley value of feature j on row
   x is coef_j·(x_j − E[x_j]) (independent features), so the mean |SHAP| is one
   aggregate over any number of rows; multi-class coefficients are averaged
-  over classes.  Other models fall back to their own importances (as the
-  reference does when the explainer is unavailable).
+  over classes.  Other models are explained on a stated number of sampled rows
+  by ``kernel_shap``.
 * ``lime_explain``: for many rows at once, every row is exploded into seeded
   perturbations, the model scores all of them in one ``transform``, and a
   kernel-weighted ridge fit per row runs in ``applyInPandas`` (groups are
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import coerce_numeric
+from ..plans.lineage import cut
 from . import learners as LR
 
 
@@ -36,15 +37,20 @@ def _linear_coefs(model) -> np.ndarray | None:
     return None
 
 
-def shap_importance(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(feature, mean_abs_shap, method)`` sorted descending."""
+def shap_importance(model, df: DataFrame, features: Sequence[str], sample: int = 200,
+                    seed: int = 42) -> DataFrame:
+    """``(feature, mean_abs_shap, method)`` sorted descending.  ``sample`` bounds the
+    rows that a model without coefficients is explained on (chosen by a hash)."""
     features = list(features)
     coefs = _linear_coefs(model)
     spark = df.sparkSession
     if coefs is None:
-        pairs = LR.feature_importance(model, features, top=len(features))
-        return spark.createDataFrame([(f, v, "model_importance") for f, v in pairs],
-                                     "feature string, mean_abs_shap double, method string")
+        n = df.count()
+        some = df.select(*features).where(F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1 << 20))
+                                          < min(1.0, sample / max(n, 1)) * (1 << 20)) if n > sample else df.select(*features)
+        rows = cut(some.withColumn("_row", F.monotonically_increasing_id()))
+        return shap_summary(kernel_shap(model, rows, features, "_row", background=df)) \
+            .withColumn("method", F.lit("coalitions"))
     x = [coerce_numeric(c) for c in features]
     means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
     exprs = []
@@ -109,45 +115,54 @@ def lime_explain(model, df: DataFrame, features: Sequence[str], key: str, n_samp
     return scored.select(key, "_y", *zc).groupBy(key).applyInPandas(fit, schema)
 
 
-MAX_EXACT_FEATURES = 12   # 2^M coalitions per explained row
-
-
-def _shapley_coefficients(m: int) -> list[list[float]]:
-    """coef[j][mask]: φ_j = Σ_mask f(mask)·coef[j][mask], where a coalition S
-    containing j weighs |S−1|!(M−|S|)!/M! and one without j weighs −|S|!(M−|S|−1)!/M!."""
-    fact = [math.factorial(i) for i in range(m + 1)]
-    out = []
-    for j in range(m):
-        row = []
-        for mask in range(1 << m):
-            s = bin(mask).count("1")
-            if mask >> j & 1:
-                row.append(fact[s - 1] * fact[m - s] / fact[m])
-            else:
-                row.append(-fact[s] * fact[m - s - 1] / fact[m])
-        out.append(row)
-    return out
+MAX_EXACT_FEATURES = 12   # above it, orders of the features are sampled
+SAMPLED_ORDERS = 32
+
+
+def _coalitions(m: int, orders: int = SAMPLED_ORDERS, seed: int = 42) -> tuple[list[int], list[list[float]]]:
+    """Coalitions (bit masks) and coef[j][i]: φ_j = Σ_i f(masks[i])·coef[j][i].  Exact
+    up to MAX_EXACT_FEATURES: S containing j weighs |S−1|!(M−|S|)!/M!, one without it
+    −|S|!(M−|S|−1)!/M!.  Beyond, ``orders`` random orders and their reverses: the mean
+    over orders of what j adds to those before it."""
+    if m <= MAX_EXACT_FEATURES:
+        fact = [math.factorial(i) for i in range(m + 1)]
+        size = [bin(mask).count("1") for mask in range(1 << m)]
+        return list(range(1 << m)), [
+            [fact[s - 1] * fact[m - s] / fact[m] if mask >> j & 1 else -fact[s] * fact[m - s - 1] / fact[m]
+             for mask, s in enumerate(size)] for j in range(m)]
+    rng = np.random.default_rng(seed)
+    weights: dict[int, np.ndarray] = {}
+    for _ in range(orders):
+        order = rng.permutation(m).tolist()
+        for way in (order, order[::-1]):
+            mask = 0
+            for j in way:
+                for at, sign in ((mask, -1.0), (mask | 1 << j, 1.0)):
+                    weights.setdefault(at, np.zeros(m))[j] += sign / (2 * orders)
+                mask |= 1 << j
+    masks = sorted(weights)
+    return masks, [[float(weights[k][j]) for k in masks] for j in range(m)]
 
 
 def kernel_shap(model, df: DataFrame, features: Sequence[str], key: str,
-                target_class: int = 1) -> DataFrame:
-    """Exact Shapley values of any fitted model for every row of ``df`` with the
-    column means as the baseline: every row is expanded into its 2^M feature
-    coalitions (absent features set to the baseline), all of them are scored in
-    one ``transform``, and φ_j is a weighted sum of the coalition predictions —
-    one aggregate per row key, no Python per row.  Explains the probability
-    of ``target_class`` for classifiers, the prediction for regressors.
-    Returns ``(key, feature, shap)``."""
+                target_class: int = 1, background: DataFrame | None = None) -> DataFrame:
+    """Shapley values of any fitted model for every row of ``df`` with the column means
+    (of ``background``, default ``df``) as the baseline: every row is expanded into
+    feature coalitions (absent features at the baseline), all are scored in one
+    ``transform``, and φ_j is a weighted sum of the coalition predictions — one
+    aggregate per row key, no Python per row.  Exact up to 12 features, sampled orders
+    beyond.  Explains the probability of ``target_class`` for classifiers, the
+    prediction for regressors.  Returns ``(key, feature, shap)``."""
     features = list(features)
     m = len(features)
-    if m > MAX_EXACT_FEATURES:
-        raise ValueError(f"exact enumeration needs ≤ {MAX_EXACT_FEATURES} features")
     x = [coerce_numeric(c) for c in features]
-    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    means = (background if background is not None else df).agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    masks, coefs = _coalitions(m)
     base = df.select(F.col(key), *[v.alias(c) for v, c in zip(x, features)])
-    exp = base.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << m) - 1))).alias("_mask"))
-    exp = exp.select(F.col(key), "_mask", *[
-        F.when(F.col("_mask").bitwiseAND(1 << j) != 0, F.col(c))
+    present = F.array(*[F.lit("".join("1" if mask >> j & 1 else "0" for j in range(m))) for mask in masks])
+    exp = base.select("*", F.posexplode(present).alias("_at", "_mask"))
+    exp = exp.select(F.col(key), "_at", *[
+        F.when(F.substring("_mask", j + 1, 1) == "1", F.col(c))
          .otherwise(F.lit(float(means[f"m{j}"] or 0.0))).alias(c)
         for j, c in enumerate(features)])
     scored = model.transform(exp)
@@ -155,8 +170,7 @@ def kernel_shap(model, df: DataFrame, features: Sequence[str], key: str,
         f = F.element_at(vector_to_array("probability"), target_class + 1)
     else:
         f = F.col("prediction").cast("double")
-    coefs = _shapley_coefficients(m)
-    aggs = [F.sum(f * F.element_at(F.array(*[F.lit(c) for c in coefs[j]]), F.col("_mask") + 1))
+    aggs = [F.sum(f * F.element_at(F.array(*[F.lit(c) for c in coefs[j]]), F.col("_at") + 1))
             .alias(f"_phi{j}") for j in range(m)]
     phi = scored.groupBy(key).agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_phi{j}").alias("shap"))

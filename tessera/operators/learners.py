@@ -74,9 +74,18 @@ def _translate(est_cls, params: dict, problem: str, n_rows: int | None = None) -
             # L2 penalty C (sum of losses) → regParam on the mean loss
             out["regParam"] = 1.0 / (float(v) * max(n_rows or 1, 1))
             continue
+        if k == "max_features":
+            out["featureSubsetStrategy"] = "all" if v is None else v
+            continue
+        if k == "criterion":
+            out["impurity"] = v
+            continue
+        if k == "penalty":
+            out["elasticNetParam"] = 1.0 if v == "l1" else 0.0
+            continue
         if k == "max_depth" and v is None:
             v = 30 if est_cls in (DecisionTreeClassifier, DecisionTreeRegressor) else 20
-        if k in ("kernel", "gamma", "weights", "n_neighbors", "probability"):
+        if k in ("kernel", "gamma", "degree", "weights", "n_neighbors", "probability"):
             continue
         out[name] = v
     return {k: v for k, v in out.items() if est_cls().hasParam(k)}

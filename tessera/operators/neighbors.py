@@ -122,9 +122,8 @@ class KNNModel:
 
     def fit(self, df: DataFrame):
         feats = [coerce_numeric(c).alias(f"_x_{i}") for i, c in enumerate(self.features)]
-        self.train = df.select(F.monotonically_increasing_id().alias("_pk"), *feats,
-                               F.col("_label")).cache()
-        self.train.count()
+        # numbered once and written: a lost executor reads the same numbers again
+        self.train = cut(df.select(F.monotonically_increasing_id().alias("_pk"), *feats, F.col("_label")))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -20,17 +20,32 @@ from pyspark.sql import functions as F
 from . import learners as L
 from .split import FOLD, assign_folds
 
-# Search spaces per model family.  Fixed values (grids and ranges).
+# The usual grids and random-search choices, for the parameters that
+# Spark's estimators have (a tree depth of None is unlimited, as far as Spark goes).
 GRIDS = {
-    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 20],
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [None, 10, 20],
                       "min_samples_leaf": [1, 2, 4]},
     "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2],
-                          "max_depth": [3, 5, 7]},
-    "logistic_regression": {"C": [0.1, 1.0, 10.0], "max_iter": [100, 1000]},
-    "decision_tree": {"max_depth": [5, 10, 20], "min_samples_leaf": [1, 2, 4]},
-    "svm": {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"]},
-    "knn": {"n_neighbors": [3, 5, 7, 9], "weights": ["uniform", "distance"]},
+                          "max_depth": [3, 5, 7], "subsample": [0.8, 0.9, 1.0]},
+    "logistic_regression": {"C": [0.1, 1.0, 10.0], "max_iter": [100, 500, 1000]},
     "linear_regression": {"fit_intercept": [True, False]},
+    "decision_tree": {"max_depth": [None, 10, 20], "min_samples_leaf": [1, 2, 4]},
+    "knn": {"n_neighbors": [3, 5, 7, 9], "weights": ["uniform", "distance"]},
+    "svm": {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale", "auto"]},
+}
+DISTRIBUTIONS = {
+    "random_forest": {"n_estimators": [50, 100, 150, 200, 250, 300], "max_depth": [None, 5, 10, 15, 20, 25],
+                      "min_samples_leaf": [1, 2, 3, 4, 5], "max_features": ["sqrt", "log2", None]},
+    "gradient_boosting": {"n_estimators": [50, 100, 150, 200, 250, 300],
+                          "learning_rate": [0.01, 0.05, 0.1, 0.15, 0.2, 0.25],
+                          "max_depth": [3, 5, 7, 9, 11], "subsample": [0.6, 0.7, 0.8, 0.9, 1.0]},
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "max_iter": [100, 200, 500, 1000],
+                            "penalty": ["l2", "l1"]},
+    "decision_tree": {"max_depth": [None, 5, 10, 15, 20, 25], "min_samples_leaf": [1, 2, 3, 4, 5],
+                      "criterion": ["gini", "entropy"]},
+    "knn": {"n_neighbors": [3, 5, 7, 9, 11, 15], "weights": ["uniform", "distance"]},
+    "svm": {"C": [0.1, 1.0, 10.0, 100.0], "kernel": ["linear", "rbf", "poly"], "gamma": ["scale", "auto"],
+            "degree": [2, 3, 4]},
 }
 RANGES = {  # (low, high, kind) for the Parzen search; lists are categorical
     "random_forest": {"n_estimators": (20, 300, "int"), "max_depth": (3, 20, "int"),
@@ -104,7 +119,7 @@ def _trials_df(spark, results, metric):
 
 
 def search(df: DataFrame, features, label, model_type="random_forest", problem="classification",
-           key=None, method="grid", budget=50, k=5, seed=42, space=None, timeout=300.0,
+           key=None, method="grid", budget=50, k=5, seed=42, space=None, timeout=None,
            parallel=4):
     """Returns ``(best_params, best_score, trials_df)``."""
     mt = L.canonical(model_type)
@@ -114,9 +129,14 @@ def search(df: DataFrame, features, label, model_type="random_forest", problem="
         if method == "grid":
             results = _run_trials(ev, _grid_points(space or GRIDS[mt]), parallel)
         elif method == "random":
-            pts = _grid_points(space or GRIDS[mt])
-            rng = random.Random(seed)
-            pts = rng.sample(pts, min(budget, len(pts)))
+            # points without repetition from the choices, whose product is never listed
+            rng, choices, seen, pts = random.Random(seed), space or DISTRIBUTIONS.get(mt, GRIDS[mt]), set(), []
+            most = math.prod(len(v) for v in choices.values())
+            while len(pts) < min(budget, most):
+                p = {k: rng.choice(v) for k, v in sorted(choices.items())}
+                if str(p) not in seen:
+                    seen.add(str(p))
+                    pts.append(p)
             results = _run_trials(ev, pts, parallel)
         elif method == "bayesian":
             results = _parzen(ev, space or RANGES[mt], budget, seed, timeout, parallel)
@@ -154,13 +174,13 @@ def _parzen(ev, space, budget, seed, timeout, parallel):
     """Tree-structured Parzen search (Bergstra et al. 2011), simplified: after
     a random start, candidates are drawn around the best quarter of trials and
     the one with the highest good/bad density ratio is evaluated; trials run in
-    batches of ``parallel`` until the budget or the time limit."""
+    batches of ``parallel`` until the budget (or a time limit, if one is given)."""
     rng = random.Random(seed)
     results = []
     start = time.time()
     n_start = min(max(parallel, 5), budget)
     results += _run_trials(ev, [_sample(space, rng) for _ in range(n_start)], parallel)
-    while len(results) < budget and time.time() - start < timeout:
+    while len(results) < budget and (timeout is None or time.time() - start < timeout):
         ok = sorted([r for r in results if r[1] is not None], key=lambda r: -r[1])
         good = [r[0] for r in ok[:max(1, len(ok) // 4)]]
         bad = [r[0] for r in ok[max(1, len(ok) // 4):]] or good
