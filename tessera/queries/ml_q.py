@@ -301,3 +301,59 @@ def kernel_shap(spark, sf):
     model, *_ = L.train(df, LI_FEATS, "big", "decision_tree", "classification",
                         {"max_depth": 5}, key="li_key")
     return EX.shap_summary(EX.kernel_shap(model, df, LI_FEATS, "li_key"))
+
+
+# ---- facts of fitted models that SQL can state ---------------------------------
+def _line_fit(spark, sf):
+    df = lineitem_cls(spark, sf)
+    d, _ = L.prepare_label(df, "l_extendedprice", "regression")
+    model = L.build_pipeline(["l_quantity"], "linear_regression", "regression").fit(d)
+    return df, model
+
+
+@query("linear_regression_fit", """SELECT 'intercept' AS term,
+  round(regr_intercept(l_extendedprice, l_quantity), 4) AS coefficient FROM lineitem
+UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem""")
+def linear_regression_fit(spark, sf):
+    _, model = _line_fit(spark, sf)
+    est = model.stages[-1]
+    return round_doubles(spark.createDataFrame(
+        [("intercept", float(est.intercept)), ("l_quantity", float(est.coefficients[0]))],
+        "term string, coefficient double"), 4)
+
+
+@query("shap_linear", """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, avg(l_quantity) AS x FROM lineitem)
+SELECT 'l_quantity' AS feature, round(avg(abs(b * (l_quantity - x))), 4) AS mean_abs_shap,
+  'linear_exact' AS method FROM lineitem, m""")
+def shap_linear(spark, sf):
+    df, model = _line_fit(spark, sf)
+    return round_doubles(EX.shap_importance(model, df, ["l_quantity"]), 4)
+
+
+@query("pca_variance", """WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio FROM r
+UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM r""")
+def pca_variance(spark, sf):
+    _, ratios = CL.pca(lineitem_cls(spark, sf), ["l_quantity", "l_extendedprice"], "li_key", 2)
+    return round_doubles(spark.createDataFrame(
+        [(k + 1, r) for k, r in enumerate(ratios)], "component int, ratio double"), 6)
+
+
+@query("knn_by_group", """WITH p AS (SELECT c_nationkey, c_custkey, c_acctbal FROM customer),
+r AS (SELECT a.c_nationkey, a.c_custkey AS q, b.c_custkey AS p, row_number() OVER (
+    PARTITION BY a.c_custkey ORDER BY (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal), b.c_custkey) AS nn_rank
+  FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey)
+SELECT c_nationkey, q, p, CAST(nn_rank AS INTEGER) AS nn_rank FROM r WHERE nn_rank <= 3""")
+def knn_by_group(spark, sf):
+    """Exact 3 nearest customers by balance within the nation."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    return NB.knn_pairs(c, c, "c_custkey", ["c_acctbal"], 3, by=["c_nationkey"]) \
+        .select("c_nationkey", "q", "p", "nn_rank")
+
+
+@query("one_class_svm_share", "SELECT CAST(floor(0.1 * (count(*) - 1)) + 1 AS BIGINT) AS flagged FROM customer")
+def one_class_svm_share(spark, sf):
+    """ν = 0.1 flags the rows below the ν-quantile of the decision values."""
+    from ..operators.anomaly import one_class_svm
+    out = one_class_svm(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey", nu=0.1)
+    return out.where("is_anomaly").agg(F.count(F.lit(1)).alias("flagged"))
