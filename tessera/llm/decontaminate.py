@@ -11,10 +11,11 @@ hashes; its size is fixed, so it can be sent everywhere however large the
 benchmark is, and what it lets through wrongly falls out in the join.  What
 passes keeps the tokens around it, long enough for any benchmark item.
 
-Every hit names a diagonal (document position less item position).  On it the
-best run of tokens is found (a match counts 1, a substitution -2); it is an
-overlap if it holds ``least`` matches, or all tokens of a shorter item, and at
-least ``share`` of it matches.
+Every hit names a diagonal (document position less item position).  If ``share`` of
+the whole item's tokens match there (and nine of them, or all of a shorter item), the
+item is the overlap.  Otherwise the best run of tokens on it is (a match counts 1, a
+substitution -2), if it holds ``least`` matches, or all tokens of a shorter item, and
+at least ``share`` of it matches.
 
 Inputs and results: null and empty texts and items hold nothing; items with
 fewer tokens than the shortest seed are found only inside longer ones, so never;
@@ -33,7 +34,7 @@ from .common import Words, ints, mix, pack, slices, store, table
 
 #: Fixed masks of weight 6: tokens under 1 count.
 MASKS = ("111111", "11101101", "1101100011", "110010101001")
-LEAST, SHARE = 12, 0.75
+LEAST, WHOLE, SHARE = 12, 9, 0.75
 #: The filter: bits, and the parts of a hash that each name one.
 BITS, PARTS = 25, (0, 20, 39)
 _GAP = np.zeros(256, bool)
@@ -149,9 +150,13 @@ def _verify(least: int, share: float):
             for id_, start, tokens, item, item_tokens, shift in zip(*cols):
                 a, b = np.frombuffer(tokens, np.uint64), np.frombuffer(item_tokens, np.uint64)
                 lo, hi = max(0, shift), min(len(a), shift + len(b))
-                s, e, hits = _best_run(a[lo:hi] == b[lo - shift:hi - shift])
-                if e > s and hits >= min(least, len(b)) and hits >= share * (e - s):
-                    out.append((id_, item, start + lo + s, lo - shift + s, e - s, hits))
+                same = a[lo:hi] == b[lo - shift:hi - shift]
+                s, e, hits = 0, hi - lo, int(same.sum())
+                if e < len(b) or hits < min(WHOLE, e) or hits < share * e:  # not the whole item
+                    s, e, hits = _best_run(same)
+                    if e == s or hits < min(least, len(b)) or hits < share * (e - s):
+                        continue
+                out.append((id_, item, start + lo + s, lo - shift + s, e - s, hits))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
                                                  names=["id", "item", "doc_start", "item_start", "length", "matches"])

@@ -13,6 +13,10 @@ def build(spark):
         docs.append((10 * k, " ".join(filler(40) + item + filler(9))))  # whole
         docs.append((10 * k + 1, " ".join(filler(5) + [w.upper() + "," for w in item])))  # case and punctuation
         want |= {(10 * k, k), (10 * k + 1, k)}
+        if len(item) >= 15:
+            edges = [("sub" if j in (1, len(item) - 2, len(item) // 2) else w) for j, w in enumerate(item)]
+            docs.append((10 * k + 6, " ".join(filler(20) + edges + filler(20))))  # substitutions at the edges
+            want |= {(10 * k + 6, k)}
         if len(item) >= 20:
             changed = [("sub" if j % 7 == 3 else w) for j, w in enumerate(item)]
             docs.append((10 * k + 2, " ".join(filler(20) + changed + filler(20))))  # substitutions
