@@ -20,8 +20,9 @@ ROUNDTRIP_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_or
 
 
 def _scratch(spark, name: str) -> str:
-    return files.join(ensure_checkpoint_dir(spark), "scratch",
-                        f"{uuid.uuid4().hex[:8]}-{name}")
+    path = files.join(ensure_checkpoint_dir(spark), "scratch", f"{uuid.uuid4().hex[:8]}-{name}")
+    files.drop_at_exit(spark, path)
+    return path
 
 
 def _orders(spark, sf):

@@ -41,6 +41,12 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the application ends."""
+    fs, p = _at(spark, path)
+    fs.deleteOnExit(p)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p) and fs.delete(p, True)
