@@ -29,6 +29,7 @@ from ..plans.lineage import cut
 from ..plans.ordering import RANK, ranked
 
 GRID_DIMS = 3
+COPY_CHUNK = 1_000_000   # synthetic rows that one row makes in one task
 
 
 def _sqdist(a: str, b: str, feats: Sequence[str]):
@@ -149,6 +150,28 @@ class KNNModel:
         return q.join(pred.withColumnRenamed("q", "_qk"), "_qk", "left").drop("_qk")
 
 
+def _between(own: DataFrame, nn: DataFrame, base: DataFrame, key: str, label: str, fx, seed: int,
+             most: int) -> DataFrame:
+    """``_copies`` points between each row of ``own`` and its neighbours, chosen by seeded
+    hashes of the key and the copy's number.  A row first gets its (at most k) neighbours
+    as an array; then its copies are made in two levels, chunks and rows, so that a row
+    grown to billions of copies is spread and nothing is joined on its key afterwards."""
+    pts = base.select(F.col(key).alias("p"), F.struct(*fx).alias("_x"))
+    near = nn.select(F.col("q").alias(key), "p", "nn_rank").join(pts, "p").groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("nn_rank", "_x"))).alias("_near"))
+    rows = own.join(near, key).withColumn("_chunk", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPY_CHUNK))))
+    if most > COPY_CHUNK:
+        rows = rows.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col("_chunk") * COPY_CHUNK + 1
+    rows = rows.withColumn("_j", F.explode(F.sequence(first, F.least(F.col("_copies"), first + (COPY_CHUNK - 1)))))
+    pick = F.get("_near", F.pmod(F.xxhash64(key, "_j", F.lit(seed + 1)), F.size("_near")).cast("int"))["_x"]
+    u = F.pmod(F.xxhash64(key, "_j", F.lit(seed + 2)), F.lit(1_000_000)) / 1e6
+    return rows.withColumn("_to", pick).withColumn("_u", u).select(
+        key, label, *[(F.col(f) + F.col("_u") * (F.col("_to")[f] - F.col(f))).alias(f) for f in fx]) \
+        .withColumn("_synthetic", F.lit(True))
+
+
 def smote(df: DataFrame, label: str, key: str, features: Sequence[str], strategy: str = "auto",
           k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic minority rows x + u·(x_nn − x), x_nn among the k nearest
@@ -180,23 +203,9 @@ def smote(df: DataFrame, label: str, key: str, features: Sequence[str], strategy
     r = r.join(F.broadcast(plan), label)
     copies = (F.col("_need") / F.col("_n")).cast("long") + \
         F.when(F.col(RANK) <= F.col("_need") % F.col("_n"), 1).otherwise(0)
-    reps = r.withColumn("_copies", copies).where(F.col("_copies") > 0) \
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_j"))
-    # neighbour choice and gap from seeded hashes of (key, j)
-    reps = reps.withColumn("_nn", (F.pmod(F.xxhash64(F.col(key), F.col("_j"), F.lit(seed + 1)),
-                                          F.lit(kk)) + 1).cast("int"))
-    reps = reps.withColumn("_u", F.pmod(F.xxhash64(F.col(key), F.col("_j"), F.lit(seed + 2)),
-                                        F.lit(1_000_000)) / 1e6)
-    nbr = nn.select(label, F.col("q").alias(key), F.col("nn_rank").alias("_nn"),
-                    F.col("p").alias("_pk"))
-    reps = reps.join(nbr, [label, key, "_nn"])
-    pts = base.select(F.col(key).alias("_pk"), *[F.col(f).alias(f"_n{f}") for f in fx])
-    reps = reps.join(pts, "_pk")
-    synth = reps.select(F.col(key), F.col(label), *[
-        (F.col(f) + F.col("_u") * (F.col(f"_n{f}") - F.col(f))).alias(f) for f in fx])
-    orig = base.withColumn("_synthetic", F.lit(False))
-    synth = synth.withColumn("_synthetic", F.lit(True))
-    out = orig.unionByName(synth)
+    synth = _between(r.withColumn("_copies", copies).where(F.col("_copies") > 0), nn, base, key, label, fx, seed,
+                     max(need.values()))
+    out = base.withColumn("_synthetic", F.lit(False)).unionByName(synth)
     return out.select(key, label, *[F.col(f).alias(c) for f, c in zip(fx, features)],
                       "_synthetic")
 
@@ -232,20 +241,9 @@ def adasyn(df: DataFrame, label: str, key: str, features: Sequence[str], strateg
         "_copies", F.round(F.col("_r") / F.when(F.col("_rs") > 0, F.col("_rs")).otherwise(1.0)
                            * F.col("_need")).cast("long"))
     sm_nn = knn_pairs(minority, minority, key, fx, kk, by=[label])
-    reps = g.where(F.col("_copies") > 0).select(F.col("q").alias(key), F.col("_ql").alias(label),
-                                               F.explode(F.sequence(F.lit(1), F.col("_copies")))
-                                               .alias("_j"))
-    reps = reps.withColumn("_nn", (F.pmod(F.xxhash64(F.col(key), F.col("_j"), F.lit(seed + 1)),
-                                          F.lit(kk)) + 1).cast("int"))
-    reps = reps.withColumn("_u", F.pmod(F.xxhash64(F.col(key), F.col("_j"), F.lit(seed + 2)),
-                                        F.lit(1_000_000)) / 1e6)
-    nbr = sm_nn.select(label, F.col("q").alias(key), F.col("nn_rank").alias("_nn"),
-                       F.col("p").alias("_pk"))
-    reps = reps.join(nbr, [label, key, "_nn"]).join(
-        base.select(F.col(key), *fx), key).join(
-        base.select(F.col(key).alias("_pk"), *[F.col(f).alias(f"_n{f}") for f in fx]), "_pk")
-    synth = reps.select(key, label, *[(F.col(f) + F.col("_u") * (F.col(f"_n{f}") - F.col(f)))
-                                      .alias(f) for f in fx]).withColumn("_synthetic", F.lit(True))
+    own = g.where(F.col("_copies") > 0).select(F.col("q").alias(key), F.col("_ql").alias(label), "_copies") \
+        .join(base.select(F.col(key), *fx), key)
+    synth = _between(own, sm_nn, base, key, label, fx, seed, max(need.values()))
     out = base.withColumn("_synthetic", F.lit(False)).unionByName(synth)
     return out.select(key, label, *[F.col(f).alias(c) for f, c in zip(fx, features)],
                       "_synthetic")
