@@ -35,18 +35,19 @@ COSINE, BLOCK, LEAF, CELLS = 0.93, 512, 48, 6
 SLACK = 1e-9
 
 
-def principal_axes(unit: DataFrame, dims: int) -> np.ndarray:
-    """Axes of the unit vectors ``(v array<double>)`` of one length, largest variance
+def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
+    """Axes of the vectors ``(v array<double>)``, at unit length, of one dimension, largest variance
     first.  Their dims * dims second moments are added up in Spark."""
     def moments(batches):
         total = np.zeros((dims + 1, dims + 1))
         for b in batches:
             x = _matrix(b.column("v"), dims)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             x = np.hstack([x, np.ones((len(x), 1))])
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "x"])
 
-    rows = unit.select("v").mapInArrow(moments, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    rows = vectors.select("v").mapInArrow(moments, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
     m = np.array([r["x"] for r in rows]).reshape(dims + 1, dims + 1)
     n = max(m[-1, -1], 1.0)
     mean = m[:-1, -1] / n

@@ -242,7 +242,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> bytes:
         .withColumn("h", F.xxhash64("text", F.lit(21)))
     n = rows.count()
     got = rows.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30)) \
-        .withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _train(t), "net binary").first()
+        .groupBy("h").agg(F.min("text").alias("text")).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _train(t), "net binary").first()
     return bytes(got["net"]) if got else fit([]).to_bytes()
 
 

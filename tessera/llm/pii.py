@@ -335,8 +335,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> bytes |
     n = some.count()
     if not n:
         return None
-    got = some.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)).withColumn("one", F.lit(0)) \
-        .groupBy("one").applyInArrow(lambda t: _train(t), "net binary").first()
+    got = some.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30)) \
+        .groupBy("h").agg(F.min("text").alias("text")).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _train(t), "net binary").first()
     return bytes(got["net"]) if got else None
 
 
