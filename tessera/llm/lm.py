@@ -341,8 +341,9 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> byte
     if not n:
         return None
     part = F.pmod("h", F.lit(1 << 30))
-    first = rows.where(part < min(1.0, sample / n) * (1 << 30)).withColumn("one", F.lit(0)) \
-        .groupBy("one").applyInArrow(_first_model(path), "model binary").first()
+    # each text once: a text with many copies does not fill the sample
+    first = rows.where(part < min(1.0, sample / n) * (1 << 30)).groupBy("h").agg(F.min("text").alias("text")) \
+        .withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_first_model(path), "model binary").first()
     if first is None:
         first = rows.orderBy("h").limit(1).withColumn("one", F.lit(0)).groupBy("one") \
             .applyInArrow(_first_model(path), "model binary").first()
