@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import NUMERIC, TEMPORAL, chunks, numeric_cols, string_cols, to_double
 from ..plans.joins import join_small
 from ..plans.ordering import RANK, long_values, quantiles, ranked
+from ..plans.products import pair_correlations
 
 
 def _structs_agg(df: DataFrame, structs: list[Column]) -> DataFrame:
@@ -119,22 +120,15 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols) if cols else numeric_cols(df)
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    x = {c: F.col(c).cast("double") for c in cols}
-
-    def clean(r: Column) -> Column:
-        return F.round(F.when(r.isNull() | F.isnan(r) | (F.abs(r) == float("inf")), 0.0)
-                       .otherwise(r), digits)
-
-    structs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            r = clean(F.corr(x[a], x[b]))
-            structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                    r.alias("r")))
-    upper = _structs_agg(df, structs)
-    lower = upper.where(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    return upper.unionByName(lower)
+    r = F.col("r")
+    clean = F.round(F.when(r.isNull() | F.isnan(r) | (F.abs(r) == float("inf")), 0.0).otherwise(r), digits)
+    names = F.array(*[F.lit(c) for c in cols])
+    upper = pair_correlations(df, [F.col(c) for c in cols]).select(
+        F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), clean.alias("r"))
+    both = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "r"))).otherwise(
+        F.array(F.struct("col_a", "col_b", "r"),
+                F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")))
+    return upper.select(F.inline(both))
 
 
 def _logical_type(dtype: T.DataType) -> str | None:
@@ -190,8 +184,9 @@ def infer_types(df: DataFrame, digits: int = 4, with_samples: bool = True) -> Da
                   else F.lit(None).cast("double")).alias("num"),
                  F.col(c).cast("string").alias("txt")) for c in cols])))
     distinct = lv.where(F.col("txt").isNotNull()).groupBy("column_name", "num", "txt").agg()
-    first5 = ranked(distinct, ["num", "txt"], by=["column_name"], with_group_size=False) \
-        .where(F.col(RANK) <= 5)
+    # a filtered row number: every task keeps its own first five before the shuffle
+    first5 = distinct.withColumn(RANK, F.row_number().over(
+        Window.partitionBy("column_name").orderBy("num", "txt"))).where(F.col(RANK) <= 5)
     samples = first5.groupBy("column_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(RANK, "txt"))),
                     lambda s: s["txt"]).alias("sample_values"))
@@ -231,7 +226,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     ``distinct`` aggregates map-side first, so a value repeated a billion times
     is collapsed before the shuffle.
     """
-    n = df.count()
-    d = df.distinct().count()
-    spark = df.sparkSession
-    return spark.createDataFrame([(n, d, n - d)], "n_rows long, n_distinct long, n_duplicates long")
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_k")).agg(
+        F.coalesce(F.sum("_k"), F.lit(0)).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")) \
+        .withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import coerce_numeric, wide_agg
+from ..plans.products import pair_correlations
 
 
 def _report(spark, feats: list[str], scores: dict, selected: list[str]) -> DataFrame:
@@ -33,9 +34,8 @@ def select_variance(df: DataFrame, features: Sequence[str], threshold: float = 0
 def select_correlation(df: DataFrame, features: Sequence[str], threshold: float = 0.9):
     """Drop column j when any earlier column i (dropped or not) has |r| > threshold."""
     feats = list(features)
-    exprs = [F.corr(coerce_numeric(a), coerce_numeric(b)).alias(f"{i}_{j}")
-             for j, b in enumerate(feats) for i, a in enumerate(feats) if i < j]
-    row = wide_agg(df, exprs) if exprs else {}
+    row = {f"{r['i']}_{r['j']}": r["r"] for r in  # a row per pair of features
+           pair_correlations(df, [coerce_numeric(c) for c in feats]).where("i < j").collect()}
     dropped = []
     worst = {}
     for j, b in enumerate(feats):
