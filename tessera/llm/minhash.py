@@ -10,12 +10,11 @@ pair shares none of 28 buckets with probability 2e-7.
 1. Equal sets collapse to one class, so exact copies are never paired.
 2. In each bucket every class is paired with the bucket's smallest (a star, not
    all pairs), and the pairs are confirmed on the full sets.
-3. Classes of one bucket that still lie in different components are paired too,
-   unless their sizes exclude 0.75 or their signatures agree in so few
-   coordinates that 0.75 is excluded at five standard deviations; buckets with
-   many such classes are dealt out as pairs of blocks.  Pairs are confirmed the
-   same way.  So every pair that shares a bucket is either confirmed, refuted, or
-   already connected.
+3. A bucket whose classes still lie in different components is settled in place:
+   its sets meet as a 0/1 matrix of shared shingles, whose product holds every
+   intersection, and only a spanning forest of the links leaves the task.  A large
+   bucket is dealt out as pairs of blocks of bounded size.  So every pair that shares
+   a bucket is confirmed, refuted or connected by others, and no pairs are emitted.
 
 Inputs and results: null texts and texts without words have the empty set, link
 with nothing and keep themselves; a shorter text is one shingle of all its
@@ -30,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, ints, mix, pack, slices, store, table
-from .links import components
+from .common import Words, grams, ints, mix, slices, store, table
+from .links import components, roots
 
 SHINGLE, BANDS, ROWS = 5, 28, 3
 COORDS = BANDS * ROWS
-#: A candidate needs so many equal coordinates (75 % expected, five deviations less).
-AGREE = int(0.75 * COORDS - 5 * (COORDS * 0.75 * 0.25) ** 0.5)
-#: Classes in one block of a large bucket; text bytes and pairs in one group of confirmations.
-BLOCK, GROUP_BYTES, GROUP_PAIRS = 2000, 8 << 20, 2000
+#: Classes and shingles in one block of a large bucket; text bytes and pairs in one group of confirmations.
+BLOCK, BLOCK_SHINGLES, GROUP_BYTES, GROUP_PAIRS = 2000, 1 << 20, 8 << 20, 2000
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,9 +117,8 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n.astype(np.int64)), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)),
-                                          pa.array(keys.ravel())),
-                 pa.array([pack(r) for r in (sig >> np.uint64(40)).astype(np.uint8)], pa.binary())],
-                names=["id", "n", "m1", "m2", "keys", "sig"])
+                                          pa.array(keys.ravel()))],
+                names=["id", "n", "m1", "m2", "keys"])
 
 
 def _member_sets(t: pa.Table):
@@ -191,77 +187,98 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         lambda x, y: _confirm(x, y.rename_columns(["g", "a", "text"])), "a long, b long")
 
 
-def _open_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of different components in each bucket of the group, whose sizes and
-    signatures allow a link; blocks ``i`` and ``j`` are compared, or ``i`` with itself."""
-    t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("own", "ascending"), ("rep", "ascending")])
-    key, i, j, own = (ints(t.column(c)) for c in ("key", "i", "j", "own"))
-    rep, comp, n, low = (ints(t.column(c)) for c in ("rep", "component", "n", "low"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
+def _intersections(x: list[np.ndarray], y: list[np.ndarray], same: bool) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices."""
+    sets = x if same else x + y
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = df > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], column[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(x), len(sets) if same else len(y)), np.float32)
+    width = max(256, (1 << 22) // max(1, len(sets)))
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(code, (lo, lo + width))
+        m = np.zeros((len(sets), min(width, int(shared.sum()) - lo)), np.float32)
+        m[owner[a:b], code[a:b] - lo] = 1
+        out += m @ m.T if same else m[:len(x)] @ m[len(x):].T
+    return out
+
+
+def _settle(t: pa.Table) -> pa.Table:
+    """Links between different components in each bucket of the group, as a forest;
+    blocks ``i`` and ``j`` of a bucket are compared, or ``i`` with itself."""
+    t = t.sort_by([(c, "ascending") for c in ("key", "i", "j", "own", "rep")])
+    key, i, j, own, rep, comp = (ints(t.column(c)) for c in ("key", "i", "j", "own", "rep", "component"))
+    sets = [value[a:b] for _, value, first in _member_sets(t) for a, b in zip(first, first[1:])]
     edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-    found = []
+    found_a, found_b = [], []
     for lo, hi in zip(edge, edge[1:]):
         same = i[lo] == j[lo]
         x = np.arange(lo, hi) if same else lo + np.flatnonzero(own[lo:hi] == 0)
         y = x if same else lo + np.flatnonzero(own[lo:hi] == 1)
-        step = max(1, (1 << 22) // (max(1, len(y)) * COORDS))
-        for k in range(0, len(x), step):
-            p = x[k:k + step]
-            near = (comp[p][:, None] != comp[y]) & (100 * n[p][:, None] >= 75 * n[y]) & (100 * n[y] >= 75 * n[p][:, None])
-            near &= (rep[p][:, None] != low[lo]) & (rep[y] != low[lo])  # pairs with the smallest are confirmed or refuted
-            if same:
-                near &= rep[p][:, None] < rep[y]
-            r, c = np.nonzero(near)
-            for s in range(0, len(r), 1 << 16):
-                rr, cc = p[r[s:s + (1 << 16)]], y[c[s:s + (1 << 16)]]
-                ok = (sig[rr] == sig[cc]).sum(1) >= AGREE
-                found.append(np.stack([np.minimum(rep[rr[ok]], rep[cc[ok]]), np.maximum(rep[rr[ok]], rep[cc[ok]])], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        if not len(x) or not len(y):
+            continue
+        both = _intersections([sets[k] for k in x], [sets[k] for k in y], same)
+        nx, ny = (np.array([len(sets[k]) for k in z], np.float32) for z in (x, y))
+        near = (100 * both >= 75 * (nx[:, None] + ny - both)) & (comp[x][:, None] != comp[y])
+        r, c = np.nonzero(near)
+        if len(r):
+            root = roots(hi - lo, x[r] - lo, y[c] - lo)
+            hung = np.flatnonzero(root != np.arange(hi - lo))
+            found_a.append(rep[lo + root[hung]])
+            found_b.append(rep[lo + hung])
+    cat = lambda v: pa.array(np.concatenate(v) if v else [], pa.int64())
+    return pa.table({"a": cat(found_a), "b": cat(found_b)})
+
+
+def _settled(shared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join components within buckets that hold several."""
+    labelled = shared.where("size > 2").join(comps.select(F.col("vertex").alias("rep"), "component"), "rep", "left") \
+        .withColumn("component", F.coalesce("component", "rep"))
+    open_ = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"),
+                                        F.sum("n").alias("shingles")).where("c1 < c2")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = store(labelled.join(open_.select("key", "shingles"), "key").withColumn("blocks", blocks)
+                    .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                    .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                    .select("key", "rep", "component", "n", F.least("mine", "other").alias("i"),
+                            F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("own")))
+    total = members.agg(F.sum("n")).first()[0]
+    if not total:
+        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    groups = 1 + total // BLOCK_SHINGLES
+    return members.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))) \
+        .join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("g").applyInArrow(lambda t: _settle(t), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``, ``kept``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sketch = store(rows.mapInArrow(_sketch, "id long, n long, m1 long, m2 long, keys array<long>, sig binary"))
+    sketch = store(rows.mapInArrow(_sketch, "id long, n long, m1 long, m2 long, keys array<long>"))
     classes = sketch.where("n > 0 and id is not null").groupBy("m1", "m2", "n").agg(F.min("id").alias("rep"))
     of_row = sketch.select("id", "n", "m1", "m2").join(classes, ["m1", "m2", "n"], "left")
     reps = sketch.where("n > 0").join(classes.withColumnRenamed("rep", "id"), ["m1", "m2", "n", "id"], "left_semi") \
         .dropDuplicates(["id", "m1", "m2"])
-    banded = store(reps.select(F.col("id").alias("rep"), "n", "sig", F.explode("keys").alias("key"))
-                   .select("key", "rep"))
+    banded = store(reps.select(F.col("id").alias("rep"), "n", F.explode("keys").alias("key")))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"),
                                         F.count("*").alias("size")).where("low < high")
     shared = store(banded.join(buckets.select("key", "low", "size"), "key"))
-    stars = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = store(shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = store(rows.join(wanted, "id", "left_semi"))
-    first = store(confirmed(store(stars), texts))
+    first = store(confirmed(stars, texts))
     # one document, several rows: its classes belong together
     again = of_row.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     repeats = of_row.where("rep is not null").join(again.where("a < b").select("id", "a"), "id") \
         .select("a", F.col("rep").alias("b"))
     comps = components(first.unionAll(repeats))
-    # buckets whose classes are not all connected yet
-    labelled = shared.where("size > 2").join(comps.select(F.col("vertex").alias("rep"), "component"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    facts = reps.groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.count("*").alias("k"))
-    members = labelled.join(open_.select("key"), "key").withColumn("blocks", blocks) \
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
-        .join(facts.withColumnRenamed("id", "rep"), "rep") \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", "rep", "component", "n", "sig", "low", F.least("mine", "other").alias("i"),
-                F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("own"))
-    n_groups = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
-    pairs = members.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_groups))).groupBy("g").applyInArrow(
-        lambda t: _open_pairs(t), "a long, b long").distinct()
-    second = store(confirmed(store(pairs), texts))
-    if second.isEmpty():
-        final = comps
-    else:
-        final = components(comps.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionAll(second))
+    more = store(_settled(shared, comps, texts))
+    final = comps if more.isEmpty() else components(
+        comps.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionAll(more))
     return of_row.join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep", "id").alias("component_id")) \
