@@ -178,10 +178,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     group = F.pmod(F.xxhash64("a", "salt"), F.lit(groups)).alias("g")
-    left = dealt.select(group, "a", "b").join(texts.select(F.col("id").alias("b"), "text"), "b") \
+    left = dealt.select(group, "a", "b").hint("merge").join(texts.select(F.col("id").alias("b"), "text"), "b") \
         .select("g", "a", "b", "text")
     right = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")) \
-        .select(group, "a").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("g", "a", "text")
+        .select(group, "a").distinct().hint("merge").join(texts.select(F.col("id").alias("a"), "text"), "a").select("g", "a", "text")
     right = right.select(F.col("g").alias("g2"), F.col("a").alias("a2"), F.col("text").alias("text2"))
     return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(
         lambda x, y: _confirm(x, y.rename_columns(["g", "a", "text"])), "a long, b long")
@@ -251,7 +251,7 @@ def _settled(shared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame
     if not total:
         return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     groups = 1 + total // BLOCK_SHINGLES
-    return members.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))) \
+    return members.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).hint("merge") \
         .join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("g").applyInArrow(lambda t: _settle(t), "a long, b long")
 
 
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     shared = store(banded.join(buckets.select("key", "low", "size"), "key"))
     stars = store(shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = store(rows.join(wanted, "id", "left_semi"))
+    texts = store(rows.join(wanted.hint("merge"), "id", "left_semi"))  # one plan at every size
     first = store(confirmed(stars, texts))
     # one document, several rows: its classes belong together
     again = of_row.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
