@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources import files
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step works on (a longer document is its own step).
 SLICE_BYTES = 2 << 20
 #: Bytes of text in one block of documents that is processed together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,10 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir``
-    and read it back: lineage ends at files that every executor can reach."""
+    and read it back: lineage ends at files that every executor can reach, and that
+    go when the application ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files.drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

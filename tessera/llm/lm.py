@@ -12,8 +12,8 @@ so the model differs from the base score in exactly what attention knows of the
 next class.  Classes gather words by what stands around them: endings and
 beginnings are hashed to buckets, and the buckets are clustered by their contexts.
 
-Texts are cut into windows of 64 tokens that overlap by 16: a window scores only
-tokens that no earlier one scored, each with at least 16 tokens before it (all
+Texts are cut into windows of 32 tokens that overlap by 8: a window scores only
+tokens that no earlier one scored, each with at least 8 tokens before it (all
 there are, near a text's start).  Windows of many texts run as one batch of
 masked matrix products.
 
@@ -44,7 +44,7 @@ from .common import BLOCK_BYTES, Words, blocks_for, pack, slices, store, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pattern of the vocabulary's own word splitting; words hold no white space here.
 PATTERN = r"[^\s]+|\s+"
-CONTEXT, OVERLAP, WIDTH, CLASSES, ROWS = 64, 16, 16, 32, 1 << 14
+CONTEXT, OVERLAP, WIDTH, CLASSES, ROWS = 32, 8, 16, 32, 1 << 14
 END = CLASSES  # the class of the end
 BUCKETS = 1 << 13
 SAMPLE, REFINE = 1500, 16
