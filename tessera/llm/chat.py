@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from .common import table
 
+#: Trees that are done leave the doubling once so small a share of the nodes is on its way.
+SHRINK = 8
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings that no formatted text may hold (fixed values).
 CONTROL = (START, SEP, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>",
@@ -66,19 +68,30 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     step = cut(nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).cast("double").alias("gain"))
                .join(linked, ["tree", "node"], "left")
                .withColumn("hops", F.when(F.col("jump").isNull(), 0).otherwise(1).cast("long")))
-    ups, left = [], step.where("jump is not null").count()
+    ups, ends = [], []
+
+    def state(t):
+        r = t.agg(F.count("*").alias("n"), F.count("jump").alias("left")).first()
+        return r["n"], r["left"]
+
+    total, left = state(step)
     while left:
         ups.append(step.where("jump is not null").select("tree", "node", "jump"))
+        if left * SHRINK < total:  # go on with the trees that are not done
+            trees = step.where("jump is not null").select("tree").distinct()
+            ends.append(step.join(trees, "tree", "left_anti"))
+            step = cut(step.join(trees, "tree", "left_semi"))
+        going = step.where("jump is not null")
         on = step.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"),
                          F.col("gain").alias("more"), F.col("hops").alias("further"))
-        step = cut(step.join(on, ["tree", "jump"], "left").select(
-            "tree", "node", F.col("next").alias("jump"),
-            (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"),
-            (F.col("hops") + F.coalesce("further", F.lit(0))).alias("hops")))
-        now = step.where("jump is not null").count()
-        if now == left:
+        step = cut(step.where("jump is null").unionByName(going.join(on, ["tree", "jump"], "left").select(
+            "tree", "node", (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"),
+            F.col("next").alias("jump"), (F.col("hops") + F.coalesce("further", F.lit(0))).alias("hops"))))
+        before, (total, left) = left, state(step)
+        if left == before:
             break  # what is left hangs on a cycle
-        left = now
+    for done in ends:
+        step = step.unionByName(done)
     leaves = step.where("jump is null").join(linked.select("tree", F.col("jump").alias("node")), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("gain").desc(), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(best))
