@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES, Words, blocks_for, pack, slices, store, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pattern of the vocabulary's own word splitting; words hold no white space here.
-PATTERN = r"[^\s]+|\s+"
+#: Words are given one to a line; a line is one piece for the vocabulary's merges.
+PATTERN = r"[^\n]+|\n"
 CONTEXT, OVERLAP, WIDTH, CLASSES, ROWS = 32, 8, 16, 32, 1 << 14
 END = CLASSES  # the class of the end
 BUCKETS = 1 << 13
@@ -61,8 +61,25 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def lowered(words: Words, at: np.ndarray) -> list[bytes]:
-    return [words.word(i).lower() for i in at.tolist()]  # bytes.lower() changes A-Z only
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def subwords(words: Words, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of the chosen words (A-Z lowered), one after the other, and how many
+    each has.  One call encodes all of them."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = words.end[at] - words.start[at] + 1
+    ends = np.cumsum(size)
+    place = np.minimum(np.arange(ends[-1]) + np.repeat(words.start[at] - (ends - size), size), len(words.data) - 1)
+    lines = _LOWER[words.data[place]]
+    lines[ends - 1] = 10
+    enc = encoder(path)
+    ids = np.array(enc.encode_ordinary(lines.tobytes().decode()), np.int64)
+    stop = np.flatnonzero(ids == enc.encode_single_token("\n"))
+    n = np.diff(stop, prepend=-1) - 1
+    return np.delete(ids, stop) % ROWS, n
 
 
 def buckets_of(words: Words, at: np.ndarray) -> np.ndarray:
@@ -115,14 +132,11 @@ class Model:
     def from_bytes(cls, raw: bytes) -> "Model":
         return cls(**np.load(io.BytesIO(raw)))
 
-    def vectors(self, ids: list[list[int]]) -> np.ndarray:
-        """A row per word, and at the end those of the begin and of padding."""
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) % ROWS
-        out = np.zeros((len(ids) + 2, WIDTH), np.float32)
-        if len(ids):
-            out[:-2] = np.add.reduceat(self.emb[flat], np.cumsum(n) - n) / np.sqrt(n)[:, None]
-        out[-2] = self.emb[ROWS]
+    def vectors(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A row per word from its subword ids."""
+        out = np.zeros((len(n), WIDTH), np.float32)
+        if len(n):
+            out[:] = np.add.reduceat(self.emb[ids], np.cumsum(n) - n) / np.sqrt(n)[:, None]
         return out
 
     def mask(self) -> np.ndarray:
@@ -198,13 +212,12 @@ def batches(first: np.ndarray, code: np.ndarray, n_codes: int, size: int = 192):
 
 
 class Lexicon:
-    """Distinct words of some texts: hash, subword ids, class; and each word's number."""
+    """Distinct words of some texts: subword ids, bucket; and each word's number."""
 
     def __init__(self, words: Words, hashes: np.ndarray, path: str):
-        self.hashes, at, self.code = np.unique(hashes, return_index=True, return_inverse=True)
-        enc = encoder(path)
-        self.ids = [enc.encode_ordinary(" " + w.decode()) for w in lowered(words, at)]
-        self.buckets = buckets_of(words, at)
+        _, at, self.code = np.unique(hashes, return_index=True, return_inverse=True)
+        self.ids, self.n = subwords(words, at, path)
+        self.buckets = buckets_of(words, at).astype(np.int64)
 
 
 def cluster(first: np.ndarray, bucket: np.ndarray, rounds: int = 12, seed: int = 2) -> np.ndarray:
@@ -250,30 +263,29 @@ def train_on(model: Model, texts, path: str, epochs: int, rate: float) -> Model:
         for part in texts:
             words = Words.of(part.column("text"))
             lex = Lexicon(words, words.hashes(lower=True), path)
-            cls = np.append(model.classes[lex.buckets.astype(np.int64)][lex.code], END).astype(np.int64)
-            n_ids = np.array([len(x) for x in lex.ids] or [0], np.int64)
-            flat = np.fromiter((i for x in lex.ids for i in x), np.int64, int(n_ids.sum())) % ROWS
+            cls = np.append(model.classes[lex.buckets][lex.code], END).astype(np.int64)
+            flat, n_ids, known = lex.ids, lex.n, len(lex.n)
             begin = np.cumsum(n_ids) - n_ids
-            todo = list(batches(words.first, lex.code, len(lex.ids), 48))
+            todo = list(batches(words.first, lex.code, known, 48))
             for i in r.permutation(len(todo)):
                 _, x, word, scored, end = todo[i]
                 # the batch's words (u): their subword rows, and which word each belongs to
                 u, inv = np.unique(x, return_inverse=True)
                 inv = inv.reshape(x.shape)
-                w = u[u < len(lex.ids)]
+                w = u[u < known]
                 n = n_ids[w]
                 owner = np.repeat(np.arange(len(w)), n)
                 rows = flat[np.arange(len(owner)) + np.repeat(begin[w] - (np.cumsum(n) - n), n)]
                 vec = np.zeros((len(u), WIDTH), np.float32)
                 if len(w):
                     vec[:len(w)] = np.add.reduceat(model.emb[rows], np.cumsum(n) - n) / np.sqrt(n)[:, None]
-                vec[u == len(lex.ids)] = model.emb[ROWS]
+                vec[u == known] = model.emb[ROWS]
                 target = cls[np.where(end | ~scored, len(cls) - 1, np.minimum(word, len(cls) - 1))]
                 _, g, dx = model.gradients(vec[inv], target, scored.astype(np.float32), model.mask())
                 dv = _sum_rows(inv.ravel(), dx.reshape(-1, WIDTH), len(u))
                 rows = np.append(rows, ROWS)
                 hit, spot = np.unique(rows, return_inverse=True)
-                grad = _sum_rows(spot, np.concatenate([dv[owner] / np.sqrt(n)[owner, None], dv[u == len(lex.ids)].sum(0)[None]]), len(hit))
+                grad = _sum_rows(spot, np.concatenate([dv[owner] / np.sqrt(n)[owner, None], dv[u == known].sum(0)[None]]), len(hit))
                 sums["emb"][hit] += grad ** 2
                 model.emb[hit] -= rate * grad / np.sqrt(sums["emb"][hit])
                 for key, grad in g.items():
@@ -448,28 +460,35 @@ def _score(shared, path: str, facts: dict):
         ends, whole = facts["ends"], np.log10(facts["n"] + 0.5 * (facts["v"] + 1))
         room = np.log10(np.array(facts["n_class"]) + 0.5 * (np.array(facts["v_class"]) + 1))
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        # of every word of the block, in the order of h: counts, class and vector, the
+        # latter two when the word is met first; then those of the begin and of padding
+        own, class_, met = np.log10(c + 0.5), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        vec = np.zeros((len(h) + 2, WIDTH), np.float32)
+        vec[-2] = model.emb[ROWS]
         for part in slices(t, "text"):
             words = Words.of(part.column("text"))
-            lex = Lexicon(words, words.hashes(lower=True), path)
-            count = c[np.searchsorted(h, lex.hashes)] if len(lex.hashes) else np.zeros(0, np.int64)
-            class_ = model.classes[lex.buckets.astype(np.int64)].astype(np.int64)
+            code = np.searchsorted(h, words.hashes(lower=True))
+            new = np.flatnonzero(~met[code])
+            fresh, at = np.unique(code[new], return_index=True)
+            at = new[at]
+            met[fresh] = True
+            class_[fresh] = model.classes[buckets_of(words, at).astype(np.int64)]
+            vec[fresh] = model.vectors(*subwords(words, at, path))
             n = words.counts
-            own = np.log10(count + 0.5)
             full = np.flatnonzero(n)
 
             def per(a):
                 total = np.zeros(len(n))
                 if len(full):
-                    total[full] = np.add.reduceat(a[lex.code], words.first[:-1][full])
+                    total[full] = np.add.reduceat(a[code], words.first[:-1][full])
                 return total
 
             out["n_tokens"].append(n + 1)
-            out["n_known"].append(np.rint(per((count > 0).astype(float))).astype(np.int64) + int(ends > 0))
+            out["n_known"].append(np.rint(per((c > 0).astype(float))).astype(np.int64) + int(ends > 0))
             out["base_score"].append(per(own) + np.log10(ends + 0.5) - (n + 1) * whole)
             score = per(own - room[class_])
-            vec = model.vectors(lex.ids)
-            target = np.append(class_[lex.code], END)
-            for text, x, word, scored, end in batches(words.first, lex.code, len(lex.ids)):
+            target = np.append(class_[code], END)
+            for text, x, word, scored, end in batches(words.first, code, len(h)):
                 z, _ = model.forward(vec[x], mask)
                 pick = np.where(end, END, target[np.minimum(word, len(target) - 1)])
                 got = np.where(scored, np.take_along_axis(z, pick[..., None], -1)[..., 0], 0)
