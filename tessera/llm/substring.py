@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import Words, blocks_for, grams, ints, mix, pack, slices, table
 
 WINDOW, SEED_WORDS, MOST_WINDOWS = 13, 3, 32
+#: Text in a block: fewer and larger blocks exchange less, smaller ones need less memory.
+BLOCK_BYTES = 12 << 20
 NULL_ID = 2**63 - 1
 
 
@@ -360,7 +362,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """``id_col, n_words, n_removed, kept`` (words kept, joined by one space) and
     ``removed`` (word numbers where removed runs begin and end, alternating)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    n = blocks_for(rows, "text")
+    n = blocks_for(rows, "text", BLOCK_BYTES)
     # the same blocks serve three steps of one plan; Spark shuffles the texts once
     blocks = rows.withColumn("mark", F.xxhash64("text")).withColumn(
         "block", F.pmod(F.xxhash64("id", "mark"), F.lit(n)).cast("int")).groupBy("block")
