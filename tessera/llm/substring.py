@@ -38,6 +38,8 @@ from .common import Words, blocks_for, grams, ints, mix, pack, slices, table
 WINDOW, SEED_WORDS, MOST_WINDOWS = 13, 3, 32
 #: Text in a block: fewer and larger blocks exchange less, smaller ones need less memory.
 BLOCK_BYTES = 12 << 20
+#: An index needs several times its segments in memory, so there are more shards than blocks.
+SHARDS_PER_BLOCK = 2
 NULL_ID = 2**63 - 1
 
 
@@ -277,6 +279,7 @@ def _match(t: pa.Table) -> pa.Table:
     group[o] = np.cumsum(new) - 1
     pick = o[new]
     least = np.minimum.reduceat(id_[o], np.flatnonzero(new))
+    del key, spread, a, b, o, place
     # the text: each distinct segment and a separator
     plen = length[pick]
     pos = np.cumsum(plen + 1) - (plen + 1)
@@ -285,6 +288,7 @@ def _match(t: pa.Table) -> pa.Table:
     ends = np.cumsum(plen)
     inner = np.arange(ends[-1]) - np.repeat(ends - plen, plen)
     seq[np.repeat(pos, plen) + inner] = words[np.repeat(begin[pick], plen) + inner]
+    del words, inner
     index = FMIndex(seq, len(lexicon) + 1)
     owner = np.repeat(np.arange(len(pick)), plen + 1)
     n_win = plen - WINDOW + 1
@@ -366,10 +370,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     # the same blocks serve three steps of one plan; Spark shuffles the texts once
     blocks = rows.withColumn("mark", F.xxhash64("text")).withColumn(
         "block", F.pmod(F.xxhash64("id", "mark"), F.lit(n)).cast("int")).groupBy("block")
-    told = blocks.applyInArrow(_tell(n), "shard int, block int, told binary")
+    shards = SHARDS_PER_BLOCK * n
+    told = blocks.applyInArrow(_tell(shards), "shard int, block int, told binary")
     many = told.groupBy("shard").applyInArrow(lambda t: _answer(t), "to int, shard int, many binary")
     sent = blocks.cogroup(many.groupBy("to")).applyInArrow(
-        _send(n), "shard int, block int, row binary, id binary, start binary, length binary, lexicon binary, words binary")
+        _send(shards), "shard int, block int, row binary, id binary, start binary, length binary, lexicon binary, words binary")
     spans = sent.groupBy("shard").applyInArrow(lambda t: _match(t), "to int, spans binary")
     return blocks.cogroup(spans.groupBy("to")).applyInArrow(
         lambda t, f: _cut(t, f), "id long, n_words long, n_removed long, kept string, removed array<long>") \
