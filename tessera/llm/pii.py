@@ -11,10 +11,12 @@ factors are
 * skip links between distant words of one document that repeat each other, or
   are alike: the same last seven digits, or the same name before an ``@``.
 
-Repeats are linked in a chain from one to the next, never all with all, and sum-
-product messages pass over both kinds of links until they settle.  So a number
-that is clear in one place carries its label to the places where only part of it
-or another spelling stands.
+Repeats are linked in a chain from one to the next, and each to the nearest word
+in a base span that it repeats, never all with all.  Sum-product messages pass over
+all links until they settle: only messages whose inputs still change are computed
+again, and the bound on the rounds grows with the longest text, so a label reaches
+the end of any chain.  So a number that is clear in one place carries its label to
+the places where only part of it or another spelling stands, however many.
 
 The field learns from the patterns' own spans on at most ``sample`` documents
 that hold a digit or an ``@``; the link factors are the log odds of the labels
@@ -37,7 +39,9 @@ from pyspark.sql import types as T
 from .common import Words, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, ROUNDS, SURE = 4000, 12, 0.9
+SAMPLE, SURE = 4000, 0.9
+#: Messages that change by less have settled; rounds at most, besides some for each word of the longest text.
+SETTLED, ROUNDS, ROUNDS_PER_WORD = 1e-4, 60, 4
 FEATURES = 1 << 13
 
 # The patterns; each starts where no shorter search could start it, so that a long
@@ -110,11 +114,10 @@ class Tokens:
                 "1")])
         self.features = np.array(rows, np.int64).reshape(len(words), -1)
 
-    def skips(self) -> list[tuple[int, int]]:
-        """Each word that repeats, or is like, an earlier one, with the last such."""
-        last: dict[str, int] = {}
+    def keys(self) -> list[list[str]]:
+        """By which each word is known when it is repeated."""
         out = []
-        for k, w in enumerate(self.words):
+        for w in self.words:
             keys = []
             digits = re.sub("[^0-9]", "", w)
             if len(digits) >= 7:
@@ -125,11 +128,30 @@ class Tokens:
             name = w[i:j].split("@")[0].lower()
             if len(name) >= 5 and re.search("[a-z]", name):
                 keys.append("n" + name)
+            out.append(keys)
+        return out
+
+    def skips(self, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Each word that repeats, or is like, an earlier one, with the last such; with
+        ``known`` labels also each unknown word with the nearest known one it repeats."""
+        groups: dict[str, list[int]] = {}
+        for k, keys in enumerate(self.keys()):
             for key in keys:
-                if key in last and last[key] != k:
-                    out.append((last[key], k))
-                last[key] = k
-        return sorted(set(out))
+                groups.setdefault(key, []).append(k)
+        out = set()
+        for group in groups.values():
+            out.update(zip(group, group[1:]))
+            if known is None or len(group) < 3:
+                continue
+            at = np.array(group)
+            clear = at[known[at] > 0]
+            rest = at[known[at] == 0]
+            if len(clear) and len(rest):
+                after = np.searchsorted(clear, rest)
+                left, right = clear[np.maximum(after - 1, 0)], clear[np.minimum(after, len(clear) - 1)]
+                near = np.where(np.abs(rest - left) <= np.abs(right - rest), left, right)
+                out.update(zip(np.minimum(near, rest).tolist(), np.maximum(near, rest).tolist()))
+        return sorted(out)
 
 
 def hash_feature(x: str) -> int:
@@ -261,10 +283,10 @@ class Field:
         phi[seen] = -30
         phi[seen, fixed[seen]] = 0
         src, dst, kind = [], [], []
-        for o, t in zip(at, docs):
+        for o, t, k in zip(at, docs, known):
             n = np.array(t.number)
             near = np.flatnonzero(n[1:] == n[:-1] + 1)
-            skips = np.array(t.skips(), np.int64).reshape(-1, 2)
+            skips = np.array(t.skips(k), np.int64).reshape(-1, 2)
             src += [o + near, o + skips[:, 0]]
             dst += [o + near + 1, o + skips[:, 1]]
             kind += [np.zeros(len(near), bool), np.ones(len(skips), bool)]
@@ -276,17 +298,27 @@ class Field:
         pair[e:] = np.where(kind[:, None, None], self.skip.T, self.chain.T)
         msg = np.zeros((2 * e, self.L))
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-        for _ in range(ROUNDS):
-            total = phi.copy()
-            np.add.at(total, to, msg)
-            z = (total[frm] - msg[back])[:, :, None] + pair
+        # only messages whose inputs changed, or that have not settled, are computed again
+        order = np.argsort(frm, kind="stable")
+        first = np.searchsorted(frm[order], np.arange(len(phi) + 1))
+        total = phi.copy()
+        active = np.arange(2 * e)
+        for _ in range(ROUNDS + ROUNDS_PER_WORD * int(np.diff(at).max())):
+            if not len(active):
+                break
+            z = (total[frm[active]] - msg[back[active]])[:, :, None] + pair[active]
             m = z.max(1)
             new = m + np.log(np.exp(z - m[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            step = np.abs(new - msg).max() if e else 0
-            msg = 0.5 * msg + 0.5 * new
-            if step < 1e-4:
-                break
+            step = new - msg[active]
+            msg[active] += 0.5 * step
+            np.add.at(total, to[active], 0.5 * step)
+            moved = active[np.abs(step).max(1) >= SETTLED]
+            node = np.unique(to[moved])
+            count = first[node + 1] - first[node]
+            ends = np.cumsum(count)
+            out = order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[node] - (ends - count), count)]
+            active = np.union1d(moved, out)
         total = phi.copy()
         np.add.at(total, to, msg)
         p = np.exp(total - total.max(1, keepdims=True))

@@ -76,6 +76,34 @@ def test_repeats_carry_their_label(spark, corpus):
         assert by[i].spans == want  # nothing is added where nothing repeats
 
 
+def test_many_repeats_all_carry_the_label(spark, corpus):
+    repeats = " ".join("then 456-555-2186 or" for _ in range(50))
+    rows = corpus + [(1000, "Call +1 (456) 555-2186 now. " + repeats), (1001, repeats + " call +1 (456) 555-2186")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in pii.mask(df, pii.train(df)).where("doc_id >= 1000").collect()}
+    for text in got.values():
+        assert "2186" not in text and text.count("[PHONE]") == 51
+
+
+def test_messages_settle_along_a_long_chain():
+    """Each word shares one key with the word before and another with the word after."""
+    import numpy as np
+    name = lambda k: "name" + chr(97 + k // 26) + chr(97 + k % 26)
+    words = [f"{name((k + 1) // 2)}@{5550000 + k // 2}" for k in range(120)]
+    spans, at = [], 0
+    for w in words:
+        spans.append((at, at + len(w)))
+        at += len(w) + 3
+    tok = pii.Tokens(spans, list(range(0, 240, 2)), " x ".join(words))
+    same = np.full((5, 5), -4.0)
+    np.fill_diagonal(same, 8)
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), same)
+    known = np.zeros(120, np.int64)
+    known[0] = 1
+    p = field.beliefs([tok], [known])[0]
+    assert (p[:, 1] > 0.9).all()
+
+
 def test_mask(spark, corpus):
     rows = corpus[:50] + [(90, "x@y.z and +1 (456) 555-2186"), (91, None)]
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
