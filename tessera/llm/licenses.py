@@ -1,8 +1,9 @@
 """Licence scans: a paragraph classifier confirmed by template comparison.
 
 A paragraph is a line; a line of more than 16 words is read as overlapping pieces
-of 16 words, half a piece apart, so a notice inside a long line is not drowned.  Its
-hashed word one-, two- and three-grams (letters and digits, A-Z lowered) enter a
+of 16 words, half a piece apart, so a notice inside a long line is not drowned.  Lines
+without a line of no words between them (a block) are also read as one such line, so
+a notice wrapped over several lines is whole.  A piece's hashed word one-, two- and three-grams (letters and digits, A-Z lowered) enter a
 multinomial logistic regression over the licence families and "unknown".
 
 Training paragraphs are made from the templates below (cut, with words dropped and
@@ -11,10 +12,11 @@ paragraphs that share no run of four words with a template.  A quarter is kept b
 to fit the temperature of the probabilities and the probability from which at most
 0.1 % of unknown paragraphs are taken for a licence; below it a paragraph is unknown.
 
-A predicted family is confirmed against its templates: the line, as far as twice the
-longest template reaches around the piece, must hold enough of one template's
-three-grams; the span reported runs from the first to the last of them.  Of
-overlapping spans the one that holds most of its template stays.
+A predicted family is confirmed against its templates: the piece's line or block, as
+far as twice the longest template reaches around the piece, must hold enough of one
+template's three-grams; the span reported runs from the first to the last of them.
+Of overlapping spans the one that holds most of its template stays; a block's span
+over several lines that each hold the template gives way to theirs.
 
 Inputs and results: null and empty texts have no paragraph and no licence; ids are
 carried along, null or repeated; an empty table gives an empty one, and without any
@@ -64,7 +66,8 @@ _GAP[:128] = [not chr(c).isalnum() for c in range(128)]
 
 
 class Paragraphs:
-    """Pieces of the lines of some texts: word ranges ``begin``/``end`` and text."""
+    """Pieces of the lines, and of the blocks of several lines (``wide``), of some texts,
+    by place: word ranges ``begin``/``end``, text, and the words of the line or block."""
 
     def __init__(self, column):
         self.words = w = Words.of(column, _GAP)
@@ -72,18 +75,31 @@ class Paragraphs:
         lines = np.concatenate([[0], np.cumsum(w.data == 10)])
         line = lines[w.start]  # a text's end also ends a line
         text = w.text_of_word()
-        head = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])) if len(line) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(line)))
-        more = np.maximum(0, -(-(size - PIECE) // (PIECE // 2)))
-        self.begin = np.repeat(head, more + 1)
-        k = np.arange(len(self.begin)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-        last = np.repeat(head + size, more + 1)
-        self.begin = self.begin + k * (PIECE // 2)
-        self.end = np.minimum(self.begin + PIECE, last)
-        self.line = np.repeat(head, more + 1), last  # the words of each piece's line
+        n = len(line)
+        other = text[1:] != text[:-1]
+        step = line[1:] - line[:-1]
+        head = np.flatnonzero(np.concatenate([[True], (step > 0) | other])) if n else np.zeros(0, np.int64)
+        block = np.flatnonzero(np.concatenate([[True], (step > 1) | other])) if n else np.zeros(0, np.int64)
+        several = np.diff(np.searchsorted(head, np.append(block, n))) > 1
+        narrow = _pieces(head, np.diff(np.append(head, n)))
+        wide = _pieces(block[several], np.diff(np.append(block, n))[several])
+        begin, end, lo, hi = (np.concatenate(x) for x in zip(narrow, wide))
+        o = np.argsort(begin, kind="stable")
+        self.begin, self.end, self.around = begin[o], end[o], (lo[o], hi[o])
+        self.wide = o >= len(narrow[0])
         self.text = text[self.begin] if len(self.begin) else np.zeros(0, np.int64)
 
 
+def _pieces(head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word ranges of the pieces of some ranges, and the range of each."""
+    more = np.maximum(0, -(-(size - PIECE) // (PIECE // 2)))
+    first = np.repeat(head, more + 1)
+    last = np.repeat(head + size, more + 1)
+    k = np.arange(len(first)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+    begin = first + k * (PIECE // 2)
+    return begin, np.minimum(begin + PIECE, last), first, last
+
+
 def _rows(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)) % np.uint64(ROWS)
 
@@ -141,18 +157,25 @@ def template_grams() -> list[list[np.ndarray]]:
     return [[grams(_hashes(t), min(3, len(_hashes(t)))) for t in TEMPLATES[f]] for f in FAMILIES]
 
 
-def confirm(hashes: np.ndarray, begin: int, end: int, family: int, templates) -> tuple[float, int, int] | None:
-    """Share and word range of the family's best template in a range, if enough of it is there."""
+def confirm(hashes: np.ndarray, begin: int, end: int, family: int, templates) -> tuple[float, int, int, int] | None:
+    """Share and word range of the family's best template in a range, if enough of it is
+    there, and which template."""
     own = grams(hashes[begin:end], 3)
     best, span = 0.0, None
-    for t in templates[family]:
+    for k, t in enumerate(templates[family]):
         here = np.flatnonzero(np.isin(own, t))
         share = len(np.unique(own[here])) / max(1, len(np.unique(t)))
         if len(here) and share >= HOLDS and share > best:
-            best, span = share, (share, begin + int(here[0]), begin + int(here[-1]) + 3)
+            best, span = share, (share, begin + int(here[0]), begin + int(here[-1]) + 3, k)
     return span
 
 
+def without_runs(narrow: list[tuple], wide: list[tuple]) -> list[tuple]:
+    """``(share, begin, end, template, family)`` of the blocks, without those that run
+    over several lines' spans of their own template."""
+    return [h for h in set(wide) if len({x[1] for x in narrow if x[3:] == h[3:] and h[1] <= x[1] and x[2] <= h[2]}) < 2]
+
+
 def best_spans(hits: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
     """Of overlapping hits ``(share, begin, end, family)`` that of the largest share,
     then the longest, then the first by place and name."""
@@ -247,7 +270,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> bytes:
 
 
 def scan(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: ``id_col, n_paragraphs, n_licences, families`` (distinct, by
+    """One row per row: ``id_col, n_paragraphs`` (pieces of lines), ``n_licences, families`` (distinct, by
     name) and ``spans`` (``family:start:end`` in code points, comma-joined)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the layout
 
@@ -257,23 +280,23 @@ def scan(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "tex
         for batch in batches:
             for part in slices(batch, text):
                 p = Paragraphs(part.column(text))
-                found: dict[int, list] = {}
+                found: dict[int, tuple[list, list]] = {}
                 for piece, family in zip(*net.families(p)):
-                    lo = max(int(p.line[0][piece]), int(p.begin[piece]) - reach)
-                    hi = min(int(p.line[1][piece]), int(p.end[piece]) + reach)
+                    lo = max(int(p.around[0][piece]), int(p.begin[piece]) - reach)
+                    hi = min(int(p.around[1][piece]), int(p.end[piece]) + reach)
                     got = confirm(p.hashes, lo, hi, int(family), templates)
                     if got:
-                        found.setdefault(int(p.text[piece]), []).append((*got, int(family)))
+                        found.setdefault(int(p.text[piece]), ([], []))[int(p.wide[piece])].append((*got, int(family)))
                 spans, families, n = [""] * part.num_rows, [""] * part.num_rows, np.zeros(part.num_rows, np.int64)
-                for r, hits in found.items():
+                for r, (narrow, wide) in found.items():
                     raw = p.words.data[p.words.offsets[r]:p.words.offsets[r + 1]]
                     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                     at = p.words.offsets[r]
-                    merged = best_spans(hits)
+                    merged = best_spans([(share, a, b, f) for share, a, b, _, f in narrow + without_runs(narrow, wide)])
                     spans[r] = ",".join(f"{FAMILIES[f]}:{point[p.words.start[a] - at]}:{point[p.words.end[b - 1] - at]}" for a, b, f in merged)
                     families[r] = ",".join(sorted({FAMILIES[f] for _, _, f in merged}))
                     n[r] = len(merged)
-                count = np.bincount(p.text, minlength=part.num_rows).astype(np.int64)
+                count = np.bincount(p.text[~p.wide], minlength=part.num_rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), pa.array(count), pa.array(n), pa.array(families), pa.array(spans)],
                     names=[id_col, "n_paragraphs", "n_licences", "families", "spans"])

@@ -34,6 +34,33 @@ def test_families_spans_and_unknown(spark):
     assert right >= 0.97 * len(want), right / len(want)
 
 
+def test_wrapped_notices(spark):
+    """Every notice at 72 columns, plain and as a comment, among other lines and paragraphs."""
+    import textwrap
+    r = random.Random(3)
+    filler = lambda n: " ".join(f"u{r.randrange(600)}" for _ in range(n))
+    rows, want, i = [], {}, 0
+    for family, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            lines = textwrap.wrap(t, 72)
+            for body in ("\n".join(lines), "\n".join(" * " + x for x in lines), "\r\n".join("# " + x for x in lines)):
+                rows.append((i, "Copyright 2020 A. Nyone\n\n" + body + "\n\n" + textwrap.fill(filler(60), 72)))
+                want[i] = family, t, len(lines)
+                i += 1
+    twice = "Licensed under the MIT License.\nLicensed under the MIT License.\n" + filler(9)
+    clean = [(1000 + k, textwrap.fill(filler(200), 72)) for k in range(100)]
+    df = spark.createDataFrame(rows + clean + [(2000, twice)], "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan(df, licenses.train(df)).collect()}
+    text = dict(rows)
+    for i, (family, t, n) in want.items():
+        assert got[i].families == family, (t, got[i])
+        shorter = any(o != t and o.rstrip(".") in t for o in licenses.TEMPLATES[family])
+        if n > 1 and not shorter:  # the span reaches over the lines
+            a, b = (int(x) for x in got[i].spans.split(",")[0].split(":")[1:])
+            assert text[i][a:b].count("\n") == n - 1, (t, got[i])
+    assert all(got[k].families == "" for k, _ in clean) and got[2000].n_licences == 2
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(df, licenses.train(df)).count() == 0
