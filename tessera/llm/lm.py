@@ -17,11 +17,12 @@ tokens that no earlier one scored, each with at least 8 tokens before it (all
 there are, near a text's start).  Windows of many texts run as one batch of
 masked matrix products.
 
-What is learned from where: counts and class sizes from every training document;
-the classes and first weights from at most ``sample`` documents; then every task
-that reads the corpus trains these weights further on each 16th training document
-and all results are averaged (in two steps, so that no group grows with the
-corpus), which makes the material grow with the input.
+What is learned from where: counts, class sizes and the contexts of the classes from
+every training document; the first weights, where training begins, from at most
+``sample`` documents; then every task that reads the corpus trains these weights
+further on every training document it reads and all results are averaged.  Contexts
+and weights have a fixed size and are added up in two steps, so that no group grows
+with the corpus.
 
 Word counts never meet in one place: words go to shards by hash, and each block of
 documents asks the shards only for the counts of its own words.  Null texts are
@@ -46,8 +47,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"[^\n]+|\n"
 CONTEXT, OVERLAP, WIDTH, CLASSES, ROWS = 32, 8, 16, 32, 1 << 14
 END = CLASSES  # the class of the end
-BUCKETS = 1 << 13
-SAMPLE, REFINE = 1500, 16
+BUCKETS, DIMS = 1 << 13, 128
+SAMPLE = 1500
 _encoders: dict = {}
 
 
@@ -220,21 +221,20 @@ class Lexicon:
         self.buckets = buckets_of(words, at).astype(np.int64)
 
 
-def cluster(first: np.ndarray, bucket: np.ndarray, rounds: int = 12, seed: int = 2) -> np.ndarray:
-    """Classes of buckets by the words within eight places before them: k-means on
-    the square roots of their shares."""
-    dims = 128
-    ctx = np.zeros((BUCKETS, dims))
+def contexts(text: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """How often a word of each bucket stands at most eight places after, and in the same
+    text as, a word of each bucket modulo ``DIMS``."""
+    ctx = np.zeros(BUCKETS * DIMS, np.int64)
     for gap in range(1, 9):
-        if len(bucket) <= gap:
-            break
-        same = np.ones(len(bucket) - gap, bool)
-        for f in first[1:-1]:
-            same[max(0, f - gap):f] = False
-        a, b = bucket[gap:][same].astype(np.int64), bucket[:-gap][same].astype(np.int64) % dims
-        ctx += np.bincount(a * dims + b, minlength=BUCKETS * dims).reshape(BUCKETS, dims)
+        same = text[gap:] == text[:-gap]
+        ctx += np.bincount((bucket[gap:].astype(np.int64) * DIMS + bucket[:-gap].astype(np.int64) % DIMS)[same], minlength=len(ctx))
+    return ctx.reshape(BUCKETS, DIMS)
+
+
+def cluster(ctx: np.ndarray, rounds: int = 12, seed: int = 2) -> np.ndarray:
+    """Classes of buckets by their contexts: k-means on the square roots of their shares."""
     n = ctx.sum(1)
-    overall = np.sqrt((ctx.sum(0) + 1) / (ctx.sum() + dims))
+    overall = np.sqrt((ctx.sum(0) + 1) / (ctx.sum() + DIMS))
     x = np.sqrt((ctx + 20 * overall ** 2) / (n + 20)[:, None]) - overall
     weight = np.sqrt(n)
     seen = np.flatnonzero(n > 0)
@@ -304,18 +304,50 @@ def _sum_rows(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _first_model(path: str):
+#: Buckets whose contexts go to one group.
+_BUCKETS_A_PART = 128
+
+
+def _contexts(batches_):
+    """Of a task's texts: by part, the cells that are not zero and their counts."""
+    ctx = None
+    for batch in batches_:
+        for part in slices(batch, "text"):
+            words = Words.of(part.column("text"))
+            got = contexts(words.text_of_word(), buckets_of(words, np.arange(len(words))))
+            ctx = got if ctx is None else np.add(ctx, got, out=ctx)
+    if ctx is not None:
+        rows = ctx.reshape(BUCKETS // _BUCKETS_A_PART, -1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(rows)), pa.int32()), pa.array([pack(np.flatnonzero(x).astype(np.int32)) for x in rows], pa.binary()),
+             pa.array([pack(x[x > 0]) for x in rows], pa.binary())], names=["part", "cells", "counts"])
+
+
+def _contexts_added(t: pa.Table) -> pa.Table:
+    total = np.zeros(_BUCKETS_A_PART * DIMS, np.int64)
+    for cells, counts in zip(t.column("cells"), t.column("counts")):
+        total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(counts.as_buffer(), np.int64)
+    some = np.flatnonzero(total)
+    return pa.table({"part": t.column("part")[:1], "cells": pa.array([pack(some.astype(np.int32))], pa.binary()),
+                     "counts": pa.array([pack(total[some])], pa.binary())})
+
+
+def all_contexts(rows: DataFrame) -> np.ndarray:
+    """``contexts`` of all texts, a matrix of fixed size."""
+    schema = "part int, cells binary, counts binary"
+    told = rows.select("text").mapInArrow(lambda b: _contexts(b), schema)
+    half = told.withColumn("half", F.pmod(F.xxhash64("cells", "counts"), F.lit(64)).cast("int"))
+    once = half.groupBy("part", "half").applyInArrow(lambda t: _contexts_added(t), schema)
+    out = np.zeros((BUCKETS // _BUCKETS_A_PART, _BUCKETS_A_PART * DIMS), np.int64)
+    for r in once.groupBy("part").applyInArrow(lambda t: _contexts_added(t), schema).collect():
+        out[r["part"], np.frombuffer(bytes(r["cells"]), np.int32)] = np.frombuffer(bytes(r["counts"]), np.int64)
+    return out.reshape(BUCKETS, DIMS)
+
+
+def _first_model(classes: np.ndarray, path: str):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("h", "ascending"), ("text", "ascending")])
-        parts = list(slices(t, "text", 1 << 19))
-        firsts, buckets, at = [0], [], 0
-        for p in parts:
-            words = Words.of(p.column("text"))
-            buckets.append(buckets_of(words, np.arange(len(words))))
-            firsts += (words.first[1:] + at).tolist()
-            at += len(words)
-        model = Model.fresh(cluster(np.array(firsts), np.concatenate(buckets)))
-        model = train_on(model, parts, path, epochs=2, rate=0.05)
+        model = train_on(Model.fresh(classes), list(slices(t, "text", 1 << 19)), path, epochs=2, rate=0.05)
         return pa.table({"model": pa.array([model.to_bytes()], pa.binary())})
     return run
 
@@ -346,27 +378,32 @@ def _added(t: pa.Table) -> pa.Table:
                      "total": pa.array([pack(total.astype(np.float32))], pa.binary())})
 
 
+def refined(rows: DataFrame, shared, path: str) -> DataFrame:
+    """By part of the weights: sums over all texts ``(text)``, each task's weights as often as it read texts."""
+    schema = "part int, n long, total binary"
+    told = rows.select("text").mapInArrow(_refined(shared, path), schema)
+    half = told.withColumn("half", F.pmod(F.xxhash64("n", "total"), F.lit(64)).cast("int"))
+    once = half.groupBy("part", "half").applyInArrow(lambda t: _added(t), schema)
+    return once.groupBy("part").applyInArrow(lambda t: _added(t), schema).orderBy("part")
+
+
 def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> bytes | None:
     """The model from training rows ``(text)``; None without any."""
     rows = docs.where("text is not null").select("text").withColumn("h", F.xxhash64("text", F.lit(4)))
     n = rows.count()
     if not n:
         return None
+    classes = cluster(all_contexts(rows))
     part = F.pmod("h", F.lit(1 << 30))
     # each text once: a text with many copies does not fill the sample
     first = rows.where(part < min(1.0, sample / n) * (1 << 30)).groupBy("h").agg(F.min("text").alias("text")) \
-        .withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_first_model(path), "model binary").first()
+        .withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_first_model(classes, path), "model binary").first()
     if first is None:
         first = rows.orderBy("h").limit(1).withColumn("one", F.lit(0)).groupBy("one") \
-            .applyInArrow(_first_model(path), "model binary").first()
+            .applyInArrow(_first_model(classes, path), "model binary").first()
     model = Model.from_bytes(bytes(first["model"]))
     shared = docs.sparkSession.sparkContext.broadcast(bytes(first["model"]))  # a fixed size
-    some = rows.where(F.pmod(F.xxhash64("h"), F.lit(REFINE)) == 0).select("text")
-    told = some.mapInArrow(_refined(shared, path), "part int, n long, total binary")
-    schema = "part int, n long, total binary"
-    half = told.withColumn("half", F.pmod(F.xxhash64("n", "total"), F.lit(64)).cast("int"))
-    once = half.groupBy("part", "half").applyInArrow(lambda t: _added(t), schema)
-    mean = once.groupBy("part").applyInArrow(lambda t: _added(t), schema).orderBy("part").collect()  # the model's size
+    mean = refined(rows, shared, path).collect()  # the model's size
     if mean:
         model = model.with_flat(np.concatenate([np.frombuffer(bytes(r["total"]), np.float32) / r["n"] for r in mean]))
     return model.to_bytes()

@@ -79,3 +79,22 @@ def test_beats_base_on_held_out_texts(spark):
     rows = [(i, " ".join(r.choice(words_of[i % 2], 80))) for i in range(300)]
     got = [x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.held_out]
     assert sum(x.score > x.base_score for x in got) > 0.9 * len(got) > 30
+
+
+def test_classes_and_weights_learn_from_every_text(spark):
+    """With first weights from few texts, all texts' contexts and all texts' training count."""
+    r = np.random.default_rng(6)
+    rows = [(" ".join(r.choice([f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k}" for k in range(30)], 20)),) for i in range(200)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    want = Counter()
+    for (t,) in rows:
+        w = lm.Words.of(lm.pa.array([t]))
+        b = lm.buckets_of(w, np.arange(len(w))).astype(int)
+        want.update((b[i], b[j] % lm.DIMS) for i in range(len(b)) for j in range(max(0, i - 8), i))
+    got = lm.all_contexts(docs)
+    assert {k: got[k] for k in zip(*np.nonzero(got))} == want
+    raw = lm.train(docs, sample=3)
+    classes = lm.Model.from_bytes(raw).classes
+    seen = classes[got.sum(1) > 0]
+    assert (seen != 0).mean() > 0.5 and len(np.unique(seen)) > lm.CLASSES // 2
+    assert {x.n for x in lm.refined(docs, spark.sparkContext.broadcast(raw), lm.VOCABULARY).collect()} == {200}
