@@ -9,16 +9,20 @@ of windows with one minimizer, and a segment goes to the shard that its
 minimizer names: equal windows meet in one shard, whatever surrounds them, and
 the work grows with the text, not with its square.
 
-1. Blocks of documents tell the shards their minimizers and learn which ones
-   stand in several documents; nothing else can repeat.
-2. Those segments go to their shards.  A shard collapses equal segments (a
-   passage with a thousand copies is one), and builds an FM-index over the rest:
+1. Blocks of documents tell the shards their minimizers, each once, and learn which
+   ones stand in several documents; nothing else can repeat.
+2. Those segments go to their shards, equal ones of a block once, with their smallest
+   and largest id.  Segments of a hot minimizer (more than ``HOT`` in all) are cut into
+   single windows, and each goes to the shard that its own words name: a passage in
+   every document costs one copy a block, what surrounds it is dealt to all shards.
+   A shard collapses equal segments again, and builds an FM-index over the rest:
    suffixes ordered by 16 words, the Burrows-Wheeler transform as a wavelet
    matrix of packed bits with rank counts, one symbol per distinct word.
    Backward search extends all windows of all segments leftwards at once, until
    a window matches only itself or its full length; the suffixes it matches
    give the smallest id that holds it.  Words are looked up by 64-bit hashes.
-3. The matched intervals go back to their blocks, which cut the texts.
+3. The matched intervals and the smallest ids go back to their blocks, which find all
+   places of each segment again and cut the texts whose id is larger.
 
 Blocks and shards have a bounded mean size, and their number grows with the
 text.  Inputs and results: null and empty texts have no word; rows that repeat
@@ -40,6 +44,8 @@ WINDOW, SEED_WORDS, MOST_WINDOWS = 13, 3, 32
 BLOCK_BYTES = 12 << 20
 #: An index needs several times its segments in memory, so there are more shards than blocks.
 SHARDS_PER_BLOCK = 2
+#: So many segments of one minimizer are about a shard of mean size.
+HOT = 1 << 15
 NULL_ID = 2**63 - 1
 
 
@@ -86,6 +92,17 @@ class Segments:
         pair[o] = np.cumsum(new) - 1
         return m[new], pair
 
+    def single(self, minimizers: np.ndarray) -> np.ndarray:
+        """Cuts the segments of the minimizers into their windows; which ones those are."""
+        hot = np.isin(self.minimizer, minimizers)
+        n = np.where(hot, self.windows, 1)
+        ends = np.cumsum(n)
+        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        self.at = np.repeat(self.at, n) + within
+        self.text, self.minimizer = np.repeat(self.text, n), np.repeat(self.minimizer, n)
+        self.windows = np.repeat(np.where(hot, 1, self.windows), n)
+        return np.repeat(hot, n)
+
 
 class WaveletMatrix:
     """Rank over a sequence of symbols, a packed bit vector per bit of the symbols."""
@@ -169,82 +186,124 @@ def _segments_of(t: pa.Table):
         at += part.num_rows
 
 
+def _told(segments, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's minimizers, each once, by shard; their shards; which ones several of its
+    texts hold; and how many segments have each."""
+    m = np.concatenate([np.zeros(0, np.uint64)] + [s.told()[0] for _, _, _, s in segments])
+    m, n = np.unique(m, return_counts=True)
+    shard = (m % np.uint64(shards)).astype(np.int64)
+    o = np.argsort(shard, kind="stable")
+    _, count = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [s.minimizer for _, _, _, s in segments]), return_counts=True)
+    return m[o], shard[o], n[o] > 1, count[o]
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.diff(x, prepend=-1, append=-1)) if len(x) else np.zeros(0, np.int64)
+
+
+def _words_at(h: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(length)
+    return h[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - length), length)]
+
+
+def _equal(word: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal segments are one, known by two sums over hashes of word and place: the
+    order that brings them together, which begin a group there, and each one's group."""
+    begin = np.cumsum(length) - length
+    place = np.arange(len(word)) - np.repeat(begin, length)
+    spread = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a = np.add.reduceat(mix(word + spread), begin)
+    b = np.add.reduceat(mix(word ^ ~spread), begin)
+    o = np.lexsort((b, a, length))
+    new = np.ones(len(o), bool)
+    new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]) | (length[o][1:] != length[o][:-1])
+    group = np.empty(len(o), np.int64)
+    group[o] = np.cumsum(new) - 1
+    return o, new, group
+
+
 def _tell(shards: int):
     def run(t: pa.Table) -> pa.Table:
-        t = _sorted_block(t)
-        told = [s.told()[0] for _, _, _, s in _segments_of(t)]
-        m = np.concatenate(told) if told else np.zeros(0, np.uint64)
-        shard = (m % np.uint64(shards)).astype(np.int64)
-        o = np.argsort(shard, kind="stable")
-        edge = np.flatnonzero(np.diff(shard[o], prepend=-1, append=-1)) if len(o) else np.zeros(0, np.int64)
+        m, shard, several, count = _told(list(_segments_of(_sorted_block(t))), shards)
+        edge = _edges(shard)
         block = t.column("block")[0].as_py() if t.num_rows else 0
         lo = edge[:-1]
         return pa.table({
-            "shard": pa.array(shard[o][lo], pa.int32()), "block": pa.array(np.full(len(lo), block), pa.int32()),
-            "told": pa.array([pack(m[o[a:b]]) for a, b in zip(edge, edge[1:])], pa.binary())})
+            "shard": pa.array(shard[lo], pa.int32()), "block": pa.array(np.full(len(lo), block), pa.int32()),
+            "told": pa.array([pack(m[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+            "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
+            "count": pa.array([pack(count[a:b].astype(np.uint32)) for a, b in zip(edge, edge[1:])], pa.binary())})
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    """Which of the told minimizers several texts tell (a text tells each once)."""
+def _answer(t: pa.Table, hot: int = HOT) -> pa.Table:
+    """Which of the told minimizers several texts hold (a block tells each once), and
+    which have more than ``hot`` segments."""
     rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("told")]
-    m = np.concatenate(rows)
-    o = np.argsort(m)
-    s = m[o]
-    same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
-    same[:-1] |= s[:-1] == s[1:]
-    many = np.empty(len(s), bool)
-    many[o] = same
+    _, code = np.unique(np.concatenate(rows), return_inverse=True)
+    several = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(k))
+                              for x, k in zip(t.column("several"), rows)])
+    count = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("count")])
+    many = (np.bincount(code, 1.0 + several) > 1)[code]
+    hot = (np.bincount(code, count) > hot)[code] & many
     cut = np.cumsum([0, *map(len, rows)])
-    return pa.table({"to": t.column("block"), "shard": t.column("shard"),
-                     "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+    bits = lambda x: pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+    return pa.table({"to": t.column("block"), "shard": t.column("shard"), "many": bits(many), "hot": bits(hot)})
+
+
+def _ids(t: pa.Table) -> np.ndarray:
+    return t.column("id").fill_null(NULL_ID).to_numpy() if t.num_rows else np.zeros(0, np.int64)
 
 
 def _send(shards: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_block(t)
-        by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("many").to_pylist()))
-        used: dict[int, int] = {}
+        segments = [(at, words.first, h, s) for at, words, h, s in _segments_of(t)]
+        m, shard, _, _ = _told(segments, shards)
+        edge = _edges(shard)
+
+        def named(column):
+            bits = dict(zip(answers.column("shard").to_pylist(), answers.column(column).to_pylist()))
+            return m[np.concatenate([np.zeros(0, bool)] + [
+                np.unpackbits(np.frombuffer(bits[int(shard[a])], np.uint8), count=b - a).astype(bool) for a, b in zip(edge, edge[1:])])]
+
+        shared, hot = named("many"), named("hot")
         parts: dict[int, list] = {}
-        ids = t.column("id").fill_null(NULL_ID).to_numpy() if t.num_rows else np.zeros(0, np.int64)
-        unpacked = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in by_shard.items()}
-        for at, words, h, s in _segments_of(t):
-            m, pair = s.told()
-            shard = (m % np.uint64(shards)).astype(np.int64)
-            many = np.zeros(len(m), bool)
-            o = np.argsort(shard, kind="stable")
-            edge = np.flatnonzero(np.diff(shard[o], prepend=-1, append=-1)) if len(o) else []
-            for a, b in zip(edge[:-1], edge[1:]) if len(o) else []:
-                k = int(shard[o[a]])
-                begin = used.get(k, 0)
-                many[o[a:b]] = unpacked[k][begin:begin + b - a]
-                used[k] = begin + b - a
-            seg = np.flatnonzero(many[pair])
-            if not len(seg):
-                continue
-            to = (s.minimizer[seg] % np.uint64(shards)).astype(np.int64)
+        ids = _ids(t)
+        for at, first, h, s in segments:
+            name, alone = s.minimizer, np.zeros(len(s.minimizer), bool)
+            if len(hot):
+                alone = s.single(hot)
+                name = s.minimizer.copy()
+                name[alone] = grams(h, WINDOW)[s.at[alone]] if alone.any() else 0
+            seg = np.flatnonzero(np.isin(s.minimizer, shared))
+            to = (name[seg] % np.uint64(shards)).astype(np.int64)
             o = np.argsort(to, kind="stable")
             seg, to = seg[o], to[o]
-            edge = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+            edge = _edges(to)
             for a, b in zip(edge, edge[1:]):
                 g = seg[a:b]
                 length = s.windows[g] + WINDOW - 1
-                ends = np.cumsum(length)
-                where = np.arange(ends[-1]) + np.repeat(s.at[g] - (ends - length), length)
                 parts.setdefault(int(to[a]), []).append(
-                    (at + s.text[g], s.at[g] - words.first[s.text[g]], length, h[where]))
-        rows = {c: [] for c in ("shard", "block", "row", "id", "start", "length", "lexicon", "words")}
+                    (at + s.text[g], np.where(alone[g], ~(s.at[g] - first[s.text[g]]), s.at[g] - first[s.text[g]]), length, _words_at(h, s.at[g], length)))
+        rows = {c: [] for c in ("shard", "block", "row", "id", "top", "start", "length", "lexicon", "words")}
         block = t.column("block")[0].as_py() if t.num_rows else 0
         for k, p in parts.items():
             row, start, length, word = (np.concatenate(x) for x in zip(*p))
+            o, new, _ = _equal(word, length)
+            head = np.flatnonzero(new)
+            pick = o[head]  # the first in the block
+            id_ = ids[row[o]]
+            word = _words_at(word, (np.cumsum(length) - length)[pick], length[pick])
             lexicon, code = np.unique(word, return_inverse=True)
             rows["shard"].append(k)
             rows["block"].append(block)
-            rows["row"].append(pack(row.astype(np.int32)))
-            rows["id"].append(pack(ids[row]))
-            rows["start"].append(pack(start.astype(np.int32)))
-            rows["length"].append(pack(length.astype(np.uint8)))
+            rows["row"].append(pack(row[pick].astype(np.int32)))
+            rows["id"].append(pack(np.minimum.reduceat(id_, head)))
+            rows["top"].append(pack(np.maximum.reduceat(id_, head)))
+            rows["start"].append(pack(start[pick].astype(np.int32)))
+            rows["length"].append(pack(length[pick].astype(np.uint8)))
             rows["lexicon"].append(pack(lexicon))
             rows["words"].append(pack(code.astype(np.uint16 if len(lexicon) <= 65536 else np.uint32)))
         return pa.table({c: pa.array(v, pa.int32() if c in ("shard", "block") else pa.binary()) for c, v in rows.items()})
@@ -252,7 +311,9 @@ def _send(shards: int):
 
 
 def _match(t: pa.Table) -> pa.Table:
-    """The shard's index and search: word intervals to remove, by block and row."""
+    """The shard's index and search: by block and segment (its first row and word there, the
+    word's complement for a window of a hot minimizer),
+    runs of windows that a smaller id than the segment's largest holds, and that id."""
     get = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]
     lengths = get("length", np.uint8)
     lexicons = get("lexicon", np.uint64)
@@ -262,24 +323,15 @@ def _match(t: pa.Table) -> pa.Table:
         for x, w in zip(lexicons, t.column("words"))]).astype(np.int32) + 1
     length = np.concatenate(lengths).astype(np.int64)
     id_ = np.concatenate(get("id", np.int64))
+    most = np.concatenate(get("top", np.int64))
     start = np.concatenate(get("start", np.int32))
     row = np.concatenate(get("row", np.int32))
     source = np.repeat(np.arange(len(lengths)), [len(x) for x in lengths])
     begin = np.cumsum(length) - length
-    # equal segments are one, known by two sums over hashes of word and place
-    place = np.arange(len(words)) - np.repeat(begin, length)
-    key = lexicon[words - 1]
-    spread = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    a = np.add.reduceat(mix(key + spread), begin)
-    b = np.add.reduceat(mix(key ^ ~spread), begin)
-    o = np.lexsort((b, a, length))
-    new = np.ones(len(o), bool)
-    new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]) | (length[o][1:] != length[o][:-1])
-    group = np.empty(len(o), np.int64)
-    group[o] = np.cumsum(new) - 1
+    o, new, group = _equal(lexicon[words - 1], length)
     pick = o[new]
     least = np.minimum.reduceat(id_[o], np.flatnonzero(new))
-    del key, spread, a, b, o, place
+    del o
     # the text: each distinct segment and a separator
     plen = length[pick]
     pos = np.cumsum(plen + 1) - (plen + 1)
@@ -304,31 +356,74 @@ def _match(t: pa.Table) -> pa.Table:
         top[inv] = hi[multi]
         by_suffix = np.append(least[owner[index.suffixes]], NULL_ID)
         smallest[multi] = np.minimum.reduceat(by_suffix, np.stack([u, top], 1).ravel())[::2][inv]
-    # back to every occurrence
+    # back to every block's segment
     k = n_win[group]
     cut = np.cumsum(k)
     win = np.arange(cut[-1]) - np.repeat(cut - k, k)
     occ = np.repeat(np.arange(len(group)), k)
-    gone = smallest[np.repeat(wstart[group], k) + win] < id_[occ]
-    g = np.flatnonzero(gone)
+    small = smallest[np.repeat(wstart[group], k) + win]
+    g = np.flatnonzero(small < most[occ])
     if not len(g):
-        return pa.table({"to": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
-    head = np.concatenate([[True], (np.diff(g) != 1) | (occ[g][1:] != occ[g][:-1])])
+        return pa.table({"to": pa.array([], pa.int32()), "spans": pa.array([], pa.binary()), "least": pa.array([], pa.binary())})
+    head = np.concatenate([[True], (np.diff(g) != 1) | (occ[g][1:] != occ[g][:-1]) | (small[g][1:] != small[g][:-1])])
     last = np.append(np.flatnonzero(head)[1:] - 1, len(g) - 1)
     head = np.flatnonzero(head)
     o_ = occ[g[head]]
-    spans = np.stack([row[o_], start[o_] + win[g[head]], start[o_] + win[g[last]] + WINDOW], 1).astype(np.int32)
+    spans = np.stack([row[o_], start[o_], win[g[head]], win[g[last]] + WINDOW], 1).astype(np.int32)
+    small = small[g[head]]
     blocks = ints(t.column("block"))[source[o_]]
     order = np.argsort(blocks, kind="stable")
     edge = np.flatnonzero(np.diff(blocks[order], prepend=-1, append=-1))
     return pa.table({"to": pa.array(blocks[order][edge[:-1]], pa.int32()),
-                     "spans": pa.array([pack(spans[order[x:y]]) for x, y in zip(edge, edge[1:])], pa.binary())})
+                     "spans": pa.array([pack(spans[order[x:y]]) for x, y in zip(edge, edge[1:])], pa.binary()),
+                     "least": pa.array([pack(small[order[x:y]]) for x, y in zip(edge, edge[1:])], pa.binary())})
+
+
+def _places(segments, ids: np.ndarray, runs: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Rows and word intervals to remove: ``runs`` of segments, at every place of the
+    segment in the block whose id is larger than ``least``."""
+    # segments stand by row and start, so a segment is found by both
+    alone = runs[:, 1] < 0  # a window of a hot minimizer
+    asked = runs[:, 0].astype(np.int64) << 32 | np.where(alone, ~runs[:, 1], runs[:, 1])
+
+    def listed():
+        row, start, minimizer = (np.concatenate(x) for x in zip(*[
+            (at + s.text, s.at - words.first[s.text], s.minimizer) for at, words, _, s in segments]))
+        return row, start, minimizer, np.searchsorted(row.astype(np.int64) << 32 | start, asked, "right") - 1
+
+    row, start, minimizer, own = listed()
+    if alone.any():
+        for _, _, _, s in segments:
+            s.single(np.unique(minimizer[own[alone]]))
+        row, start, minimizer, own = listed()
+    wanted = np.unique(minimizer[own])
+    seen, length, word = [], [], []
+    n = 0
+    for _, words, h, s in segments:
+        g = np.flatnonzero(np.isin(s.minimizer, wanted))
+        seen.append(n + g)
+        length.append(s.windows[g] + WINDOW - 1)
+        word.append(_words_at(h, s.at[g], length[-1]))
+        n += len(s.minimizer)
+    seen = np.concatenate(seen)
+    o, new, group = _equal(np.concatenate(word), np.concatenate(length))
+    first = np.append(np.flatnonzero(new), len(o))
+    of = group[np.searchsorted(seen, own)]  # the group of each run
+    count = first[of + 1] - first[of]
+    ends = np.cumsum(count)
+    run = np.repeat(np.arange(len(runs)), count)
+    place = seen[o[np.arange(ends[-1]) + np.repeat(first[of] - (ends - count), count)]]
+    gone = np.flatnonzero(least[run] < ids[row[place]])
+    run, place = run[gone], place[gone]
+    return np.stack([row[place], start[place] + runs[run, 2], start[place] + runs[run, 3]], 1).astype(np.int64)
 
 
 def _cut(t: pa.Table, found: pa.Table) -> pa.Table:
     t = _sorted_block(t)
-    spans = np.concatenate([np.zeros((0, 3), np.int32)]
-                           + [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 3) for x in found.column("spans")])
+    spans = np.zeros((0, 3), np.int64)
+    if found.num_rows:
+        spans = _places(list(_segments_of(t)), _ids(t), *(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)]).reshape(shape)
+                                                          for c, kind, shape in (("spans", np.int32, (-1, 4)), ("least", np.int64, -1))))
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     at, out = 0, {"id": [], "n_words": [], "n_removed": [], "kept": [], "spans": []}
     for part in slices(t, "text"):
@@ -362,7 +457,7 @@ def _cut(t: pa.Table, found: pa.Table) -> pa.Table:
                      "removed": pa.array(out["spans"], pa.list_(pa.int64()))})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """``id_col, n_words, n_removed, kept`` (words kept, joined by one space) and
     ``removed`` (word numbers where removed runs begin and end, alternating)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -371,11 +466,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     blocks = rows.withColumn("mark", F.xxhash64("text")).withColumn(
         "block", F.pmod(F.xxhash64("id", "mark"), F.lit(n)).cast("int")).groupBy("block")
     shards = SHARDS_PER_BLOCK * n
-    told = blocks.applyInArrow(_tell(shards), "shard int, block int, told binary")
-    many = told.groupBy("shard").applyInArrow(lambda t: _answer(t), "to int, shard int, many binary")
+    told = blocks.applyInArrow(_tell(shards), "shard int, block int, told binary, several binary, count binary")
+    many = told.groupBy("shard").applyInArrow(lambda t: _answer(t, hot), "to int, shard int, many binary, hot binary")
     sent = blocks.cogroup(many.groupBy("to")).applyInArrow(
-        _send(shards), "shard int, block int, row binary, id binary, start binary, length binary, lexicon binary, words binary")
-    spans = sent.groupBy("shard").applyInArrow(lambda t: _match(t), "to int, spans binary")
+        _send(shards), "shard int, block int, row binary, id binary, top binary, start binary, length binary, lexicon binary, words binary")
+    spans = sent.groupBy("shard").applyInArrow(lambda t: _match(t), "to int, spans binary, least binary")
     return blocks.cogroup(spans.groupBy("to")).applyInArrow(
         lambda t, f: _cut(t, f), "id long, n_words long, n_removed long, kept string, removed array<long>") \
         .withColumnRenamed("id", id_col)
