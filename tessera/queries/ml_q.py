@@ -70,16 +70,18 @@ def _train_query(model_type, problem="classification", params=None, source="line
     return fn
 
 
-query("train_random_forest")(_train_query("random_forest", params={"n_estimators": 20}))
-query("train_gradient_boosting")(_train_query("gradient_boosting", params={"n_estimators": 10}))
+query("train_random_forest")(_train_query("random_forest"))
+query("train_gradient_boosting")(_train_query("gradient_boosting"))
 query("train_logistic_regression")(_train_query("logistic_regression"))
 query("train_linear_regression")(_train_query("linear_regression", "regression"))
 query("train_decision_tree")(_train_query("decision_tree", params={"max_depth": 5}))
-query("train_random_forest_regression")(_train_query("random_forest", "regression",
-                                                     {"n_estimators": 20}))
+query("train_random_forest_regression")(_train_query("random_forest", "regression"))
 query("train_svm")(_train_query("svm"))
 query("train_svm_rbf")(_train_query("svm", params={"kernel": "rbf"}, source="labels"))
-query("train_xgboost_preset")(_train_query("xgboost", params={"n_estimators": 10}))
+query("train_svm_poly")(_train_query("svm", params={"kernel": "poly"}, source="labels"))
+query("train_xgboost_preset")(_train_query("xgboost"))
+query("train_lightgbm_preset")(_train_query("lightgbm"))
+query("train_catboost_preset")(_train_query("catboost"))
 query("train_knn")(_train_query("knn", params={"n_neighbors": 5}, source="customer"))
 query("train_voting")(_train_query("voting", source="labels"))
 query("train_stacking")(_train_query("stacking", source="labels"))
@@ -104,27 +106,26 @@ def cross_val_score(spark, sf):
     df = lineitem_cls(spark, sf)
     d, classes = L.prepare_label(df, "big", "classification")
     return L.cross_val_score(d, LI_FEATS, "decision_tree", "classification", {"max_depth": 5},
-                             "li_key", "stratified", 3, len(classes))
+                             "li_key", "stratified", n_classes=len(classes))
 
 
 @query("compare_models")
 def compare_models(spark, sf):
     return L.compare_models(lineitem_cls(spark, sf), LI_FEATS, "big", "classification",
-                            ("random_forest", "decision_tree", "logistic_regression"),
-                            key="li_key", params={"random_forest": {"n_estimators": 20}})
+                            key="li_key")
 
 
 @query("learning_curve")
 def learning_curve(spark, sf):
     return L.learning_curve(customer_cls(spark, sf), ["c_acctbal", "c_nationkey"],
-                            "c_mktsegment", "decision_tree", "classification", "c_custkey", k=3)
+                            "c_mktsegment", "decision_tree", "classification", "c_custkey")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     df = lineitem_cls(spark, sf)
     model, *_ = L.train(df, LI_FEATS, "big", "random_forest", "classification",
-                        {"n_estimators": 20}, key="li_key")
+                        key="li_key")
     return spark.createDataFrame(L.feature_importance(model, LI_FEATS),
                                  "feature string, importance double")
 
@@ -133,7 +134,7 @@ def feature_importance(spark, sf):
 def grid_search(spark, sf):
     _, _, trials = TU.search(customer_cls(spark, sf), ["c_acctbal", "c_nationkey"],
                              "c_mktsegment", "decision_tree", "classification", "c_custkey",
-                             "grid", k=3, space={"max_depth": [2, 4], "min_samples_leaf": [1, 4]})
+                             "grid")
     return trials
 
 
@@ -141,7 +142,7 @@ def grid_search(spark, sf):
 def random_search(spark, sf):
     _, _, trials = TU.search(customer_cls(spark, sf), ["c_acctbal", "c_nationkey"],
                              "c_mktsegment", "decision_tree", "classification", "c_custkey",
-                             "random", budget=3, k=3)
+                             "random")
     return trials
 
 
@@ -149,7 +150,7 @@ def random_search(spark, sf):
 def bayesian_search(spark, sf):
     _, _, trials = TU.search(customer_cls(spark, sf), ["c_acctbal", "c_nationkey"],
                              "c_mktsegment", "decision_tree", "classification", "c_custkey",
-                             "bayesian", budget=6, k=3)
+                             "bayesian")
     return trials
 
 
@@ -166,7 +167,7 @@ def lime_explain(spark, sf):
     df = customer_cls(spark, sf)
     model, *_ = L.train(df, ["c_acctbal", "c_nationkey"], "c_mktsegment", "decision_tree",
                         "classification", {"max_depth": 4}, key="c_custkey")
-    return EX.lime_explain(model, df, ["c_acctbal", "c_nationkey"], "c_custkey", n_samples=50)
+    return EX.lime_explain(model, df, ["c_acctbal", "c_nationkey"], "c_custkey")
 
 
 # ---- clustering -------------------------------------------------------------

@@ -104,3 +104,42 @@ def test_kernel_shap_matches_linear_closed_form(spark):
     for i in range(0, 200, 37):
         for j, f in enumerate("abc"):
             assert abs(got[(i, f)] - coef[j] * (X[i, j] - means[j])) < 1e-6
+
+
+def test_queries_run_the_operators_defaults(spark, monkeypatch):
+    """No query asks for fewer trees, rounds, folds, trials or perturbations."""
+    import __spark_entry__ as E
+    from tessera.queries import ml_q as Q
+    qs, calls = E.queries(), []
+
+    class Asked(Exception):
+        pass
+
+    def told(*args, **kw):
+        calls.append((args, kw))
+        raise Asked
+
+    for module, name in ((Q.L, "train"), (Q.L, "compare_models"), (Q.L, "cross_val_score"), (Q.L, "learning_curve"), (Q.TU, "search")):
+        monkeypatch.setattr(module, name, told)
+    for source in ("lineitem_cls", "labels_cls", "customer_cls"):
+        monkeypatch.setattr(Q, source, lambda spark, sf: None)
+    monkeypatch.setattr(Q.L, "prepare_label", lambda *a: (None, [0, 1]))
+    for name in ("train_random_forest", "train_gradient_boosting", "train_random_forest_regression", "train_xgboost_preset",
+                 "train_lightgbm_preset", "train_catboost_preset", "train_svm_poly", "feature_importance", "compare_models",
+                 "cross_val_score", "learning_curve", "grid_search", "random_search", "bayesian_search"):
+        try:
+            qs[name](spark, "")
+        except Asked:
+            pass
+        args, kw = calls.pop()
+        assert not {"k", "budget", "space", "model_types"} & set(kw), name
+        assert not any(isinstance(a, int) or isinstance(a, dict) and "n_estimators" in a for a in [*args, *kw.values()]) \
+            or name == "cross_val_score" and kw == {"n_classes": 2} and 3 not in args, name
+    # LIME's own perturbations
+    monkeypatch.setattr(Q.L, "train", lambda *a, **k: (None,))
+    monkeypatch.setattr(Q.EX, "lime_explain", told)
+    try:
+        qs["lime_explain"](spark, "")
+    except Asked:
+        pass
+    assert "n_samples" not in calls.pop()[1]
