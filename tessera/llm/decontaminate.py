@@ -17,9 +17,10 @@ item is the overlap.  Otherwise the best run of tokens on it is (a match counts
 substitution -2), if it holds ``least`` matches, or all tokens of a shorter item, and
 at least ``share`` of it matches.
 
-Inputs and results: null and empty texts and items hold nothing; items with
-fewer tokens than the shortest seed are found only inside longer ones, so never;
-rows that repeat an id count as one document or item; an empty table gives no
+Items with fewer tokens than the shortest seed are hashed whole, and found where all
+their tokens stand one after the other; of those places a document tells the first.
+
+Inputs and results: null and empty texts and items hold nothing; rows that repeat an id count as one document or item; an empty table gives no
 overlap; a null id overlaps under the null id.
 """
 
@@ -34,6 +35,8 @@ from .common import Words, ints, mix, pack, slices, store, table
 
 #: Fixed masks of weight 6: tokens under 1 count.
 MASKS = ("111111", "11101101", "1101100011", "110010101001")
+#: The whole of an item that is shorter than a mask.
+SHORT = tuple("1" * n for n in range(1, len(MASKS[0])))
 LEAST, WHOLE, SHARE = 12, 9, 0.75
 #: The filter: bits, and the parts of a hash that each name one.
 BITS, PARTS = 25, (0, 20, 39)
@@ -49,7 +52,7 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(tok: np.ndarray, first: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of one mask at every token, and which placements lie in one text."""
-    shape = MASKS[mask]
+    shape = (MASKS + SHORT)[mask]
     n = max(0, len(tok) - len(shape) + 1)
     h = np.full(n, mask + 1, np.uint64)
     for j, bit in enumerate(shape):
@@ -69,7 +72,7 @@ def _items(batches):
         for i, item in enumerate(ids):
             own = tok[first[i]:first[i + 1]]
             hashes, places = [], []
-            for m in range(len(MASKS)):
+            for m in [len(MASKS) + len(own) - 1] if 0 < len(own) <= len(SHORT) else range(len(MASKS)):
                 h, _ = _seeds(own, np.array([0, len(own)]), m)
                 hashes.append(h.view(np.int64))
                 places.append(np.arange(len(h)))
@@ -99,17 +102,23 @@ def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return at
 
 
-def _regions(shared, reach: int):
+def _regions(shared, reach: int, short: list[int]):
     def run(batches):
         bits = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 tok, first = _tokens(part.column("text"))
                 spots, hashes = [], []
-                for m in range(len(MASKS)):
+                for m in [*range(len(MASKS)), *(len(MASKS) + n - 1 for n in short)]:
                     h, whole = _seeds(tok, first, m)
                     at = _maybe(bits, h)
                     at = at[whole[at]]
+                    if m >= len(MASKS):  # the first place in each text
+                        text = np.searchsorted(first, at, "right") - 1
+                        o = np.lexsort((at, h[at], text))
+                        new = np.ones(len(o), bool)
+                        new[1:] = (h[at[o]][1:] != h[at[o]][:-1]) | (text[o][1:] != text[o][:-1])
+                        at = at[o[new]]
                     spots.append(at)
                     hashes.append(h[at].view(np.int64))
                 spot, hash_ = np.concatenate(spots), np.concatenate(hashes)
@@ -172,9 +181,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     seeds = items.select("item", F.col("tokens").alias("item_tokens"), F.explode(F.arrays_zip("seeds", "places")).alias("z")) \
         .select("item", F.xxhash64("item_tokens").alias("version"), F.col("z.seeds").alias("seed"), F.col("z.places").alias("item_at"))
     reach = (items.agg(F.max("n")).first()[0] or 0) + max(map(len, MASKS))
+    short = [x["n"] for x in items.where(F.col("n").between(1, len(SHORT))).select("n").distinct().collect()]  # at most five
     shared = docs.sparkSession.sparkContext.broadcast(bloom(seeds))
     regions = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-                    .mapInArrow(_regions(shared, reach),
+                    .mapInArrow(_regions(shared, reach, short),
                                 "id long, start long, tokens binary, seeds array<long>, places array<long>")
                     .withColumn("region", F.xxhash64("id", "start", "tokens")))
     placed = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("z")) \

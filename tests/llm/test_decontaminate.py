@@ -46,3 +46,14 @@ def test_empty_tables(spark):
     d, b, _ = build(spark)
     assert overlaps(d.where("false"), b).count() == 0
     assert overlaps(d, b.where("false")).count() == 0
+
+
+def test_items_shorter_than_a_seed(spark):
+    from tessera.llm import decontaminate
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n))) for n in range(1, 7)] + [(9, "")]
+    rows = [(n, f"some words {t.upper()}, then others; {t} again") for n, t in items]
+    rows += [(100, "q5x0 q5x1 q5x2 q5x3 other q5x4 q2x1 q2x0"), (101, "q3x0 q3x1"), (102, "q3x2"), (103, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.length, r.matches) for r in got) == \
+        [(n, n, 2, 0, n, n) for n in range(1, 7)]
