@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat
+from .collocations import OP11_SQL, op11_collocations
 from .decontaminate import op3_decontaminate
 from .egojoin import OP5_SQL, op5_embedding
 from .licenses import op4_licences
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
 }
 ORACLE = {
     "op1_substring": OP1_SQL,
     "op5_embedding": OP5_SQL,
     "op6_chat": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_collocations": OP11_SQL,
 }
