@@ -45,7 +45,7 @@ from .common import ints, slices, store, table, text_buffers
 
 WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes of text that make one block with a dictionary of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Parts of a language that are cut to its first rows before the rest is put in order.
 SALTS = 64
 
@@ -85,40 +85,56 @@ def _tokens(column) -> tuple[pa.Array, np.ndarray]:
     return words, last
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Small numbers as four planes of bytes, the upper ones mostly empty."""
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def _blocks(batches):
-    """Text → blocks ``(block, lang, words, counts, tokens)``: the numbers of the block's
-    words in order, negative (and less one) where a piece ends after the word."""
+    """Text → blocks of one language ``(block, lang, words, counts, tokens, stops)``: the
+    block's words from the most frequent on, the numbers of its words in order (as planes),
+    and a bit for each, set where a piece ends after it."""
     task, made = TaskContext.get().partitionId(), 0
-    held, size = [], 0
+    held: dict = {}
+    size: dict = {}
 
-    def cut():
+    def cut(lang):
         nonlocal made
-        whole = pa.Table.from_batches(held)
-        for lang in whole.column("lang").unique():
-            texts = whole.filter(pc.equal(whole.column("lang"), lang)).column("text")
-            words, last = _tokens(texts)
-            if not len(words):
-                continue
-            code = words.dictionary_encode()
-            ids = code.indices.to_numpy()
-            counts = np.bincount(ids, minlength=len(code.dictionary))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([(task << 32) + made]), pa.array([lang.as_py()]),
-                pa.ListArray.from_arrays(pa.array([0, len(code.dictionary)], pa.int32()), code.dictionary.cast(pa.string())),
-                pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts.astype(np.int64))),
-                pa.array([np.where(last, -1 - ids, ids).astype(np.int32).tobytes()], pa.binary())],
-                names=["block", "lang", "words", "counts", "tokens"])
-            made += 1
+        words, last = _tokens(pa.chunked_array(held.pop(lang)))
+        del size[lang]
+        if not len(words):
+            return
+        code = words.dictionary_encode()
+        ids = code.indices.to_numpy()
+        counts = np.bincount(ids, minlength=len(code.dictionary))
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        one = pa.array([0, len(order)], pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            pa.array([(task << 32) + made]), pa.array([lang]),
+            pa.ListArray.from_arrays(one, code.dictionary.take(pa.array(order)).cast(pa.string())),
+            pa.ListArray.from_arrays(one, pa.array(counts[order].astype(np.int64))),
+            pa.array([_planes(place[ids])], pa.binary()), pa.array([np.packbits(last).tobytes()], pa.binary())],
+            names=["block", "lang", "words", "counts", "tokens", "stops"])
+        made += 1
 
     for batch in batches:
-        for part in slices(batch, "text", BLOCK_BYTES):
-            held.append(part)
-            size += part.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield from cut()
-                held, size = [], 0
-    if held:
-        yield from cut()
+        for part in slices(batch, "text", BLOCK_BYTES // 4):
+            for lang in part.column("lang").unique().to_pylist():
+                texts = part.column("text").filter(pc.equal(part.column("lang"), lang))
+                held.setdefault(lang, []).append(texts)
+                size[lang] = size.get(lang, 0) + texts.nbytes
+                if size[lang] >= BLOCK_BYTES:
+                    yield from cut(lang)
+            while sum(size.values()) >= 2 * BLOCK_BYTES:
+                yield from cut(max(size, key=size.get))
+    for lang in list(held):
+        yield from cut(lang)
 
 
 class Packing:
@@ -157,14 +173,13 @@ def _windows(packing: Packing):
     with their count in the block."""
     def run(batches):
         for batch in batches:
-            for local, ids, tokens in zip(batch.column("local"), batch.column("ids"), batch.column("tokens")):
-                code = np.frombuffer(tokens.as_buffer(), np.int32)
-                last = code < 0
-                code = np.where(last, -1 - code, code)
+            for local, ids, tokens, stops in zip(*(batch.column(c) for c in ("local", "ids", "tokens", "stops"))):
+                code = _numbers(tokens.as_buffer())
+                n = len(code)
+                last = np.unpackbits(np.frombuffer(stops.as_buffer(), np.uint8), count=n).astype(bool)
                 number = np.zeros(int(code.max()) + 1, np.int64)
                 number[ints(local.values)] = ints(ids.values)
                 run_ids = number[code]
-                n = len(run_ids)
                 wide = np.zeros((n, WORDS), np.int64)
                 wide[:, 0] = run_ids
                 open_ = (run_ids > 0) & ~last
@@ -334,11 +349,12 @@ def phrases(blocks: DataFrame, words: DataFrame, packing: Packing, min_count: in
     """``(p..., s..., n, f)`` of all phrases of 1 to 5 words that reach ``min_count``:
     packed in order (``p``) and reversed (``s``)."""
     asked = blocks.select("block", "lang", F.posexplode("words").alias("local", "word")) \
-        .join(words.select("lang", "word", "id"), ["lang", "word"])
+        .join(words.select("lang", "word", "id").hint("merge"), ["lang", "word"])
     known = asked.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("w")) \
         .select("block", F.col("w.local").alias("local"), F.col("w.id").alias("ids"))
-    windows = blocks.select("block", "tokens").join(known, "block") \
-        .select("local", "ids", "tokens") \
+    # by merge at every size, so that the plan and its cost are the same at every size
+    windows = blocks.select("block", "tokens", "stops").join(known.hint("merge"), "block") \
+        .select("local", "ids", "tokens", "stops") \
         .mapInArrow(_windows(packing), ", ".join(f"{c} long" for c in [*packing.names("p"), "f"]))
     keys = packing.names("p")
     sorted_ = windows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -370,7 +386,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     candidate with ``share`` percent of its count or more is left out."""
     blocks = store(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                                F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-                   .mapInArrow(_blocks, "block long, lang string, words array<string>, counts array<long>, tokens binary"))
+                   .mapInArrow(_blocks, "block long, lang string, words array<string>, counts array<long>, tokens binary, stops binary"))
     words = vocabulary(blocks, min_count)
     packing = Packing(words.agg(F.max("id")).first()[0] or 1)
     grams = phrases(blocks, words, packing, min_count)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bitplanes import OP13_SQL, op13_bitplanes
 from .chat import OP6_SQL, op6_chat
 from .collocations import OP11_SQL, op11_collocations
 from .decontaminate import op3_decontaminate
@@ -13,6 +14,7 @@ from .mixing import OP8_SQL, op8_mixing
 from .pii import op9_pii
 from .substring import OP1_SQL, op1_substring
 from .toxicity import op10_toxicity
+from .urlfilter import OP12_SQL, op12_urls
 
 QUERIES = {
     "op1_substring": op1_substring,
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
+    "op12_urls": op12_urls,
+    "op13_bitplanes": op13_bitplanes,
 }
 ORACLE = {
     "op1_substring": OP1_SQL,
@@ -33,4 +37,6 @@ ORACLE = {
     "op6_chat": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_urls": OP12_SQL,
+    "op13_bitplanes": OP13_SQL,
 }
