@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.joins import join_small
@@ -103,10 +103,11 @@ def _buckets(text: Column, kind: str) -> Column:
     chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
 
     def gram(n):
-        inside = lambda i: F.concat(F.lit(kind), *[F.get(chars, i + j) for j in range(n)])
-        hashed = lambda i: F.conv(F.substring(F.md5(inside(i)), 1, DIGITS), 16, 10).cast("int")
-        return F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), hashed)) \
-            .otherwise(F.array().cast("array<int>"))
+        # the characters beside their followers; each array is made once, not once a place
+        rows = F.arrays_zip(*[F.slice(chars, j + 1, F.size(chars)) for j in range(n)])
+        text = lambda r: F.concat(F.lit(kind), *[r[str(j)] for j in range(n)])
+        hashed = lambda r: F.conv(F.substring(F.md5(text(r)), 1, DIGITS), 16, 10).cast("int")
+        return F.array_compact(F.transform(rows, hashed))   # null where the text ends before the n-gram
     return F.concat(*[gram(n) for n in GRAMS])
 
 
@@ -166,8 +167,8 @@ def with_rules(rows: DataFrame, rules: DataFrame, literal_bytes: int = LITERAL_B
         # every host once; only hosts with a rule come back
         asked = rows.select(F.col("host").alias("own")).distinct() \
             .select("own", F.explode(_suffixes(F.col("own"), most)).alias("host"))
-        of_host = asked.join(rules, "host").select(F.col("own").alias("host"), F.inline(F.transform("r", lambda x: F.struct(
-            F.concat("host", x["path"]).alias("rule"), x["path"].alias("path"), x["verdict"].alias("verdict")))))
+        of_host = asked.join(rules, "host").select("own", "host", F.inline("r")) \
+            .select(F.col("own").alias("host"), F.concat("host", "path").alias("rule"), "path", "verdict")
         of_host = store(of_host.groupBy("host").agg(F.collect_list(F.struct("rule", "path", "verdict")).alias("rules")))
         rows = join_small(rows, of_host, "host", "left")
     fits = F.filter("rules", lambda x: F.col("path").startswith(x["path"]))
