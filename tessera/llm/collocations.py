@@ -6,7 +6,9 @@ counts come from sorted streams, none from a table of phrases in memory:
 1. Words are counted, and those that reach ``min_count`` are numbered in the order of
    (language, word).  A rarer word can stand in no candidate, so it ends a run of words.
 2. Every position of a run gives its window of up to five word numbers, packed into
-   longs that sort like the words.  The windows are sorted in *prefix order* over range
+   longs that sort like the words.  It ends before a pair of words that does not reach
+   ``min_count``: pairs are counted first, and those that do are sent to all tasks if their
+   size allows (beyond, windows are only longer).  The windows are sorted in *prefix order* over range
    partitions.  There every phrase of two to five words is a run of neighbours, so one
    pass over the sorted stream counts all lengths; runs cut by the edge of a partition
    are added up afterwards.
@@ -21,8 +23,8 @@ An extension by two or more words counts no more than the one-word extension ins
 so one-word extensions decide whether a longer candidate contains a phrase.
 
 No partition holds a whole hot word: ranges are cut on the whole window.  Blocks of text
-are written once, with the words of a block as their own small dictionary, and ask for
-the numbers of their own words only.
+are written once, with the words of a block as their own small dictionary; a vocabulary
+too large to send is asked for the numbers of a block's own words only.
 
 Inputs and results: a null text is empty; a null language is ``und``, together with
 rows of that name; repeated rows count each; a text of any length is cut by no limit;
@@ -46,6 +48,8 @@ from .common import ints, slices, store, table, text_buffers
 WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes of text that make one block with a dictionary of its own.
 BLOCK_BYTES = 16 << 20
+#: Bytes of the vocabulary, and of the frequent pairs, that are sent to every task.
+BROADCAST_BYTES = 64 << 20
 #: Parts of a language that are cut to its first rows before the rest is put in order.
 SALTS = 64
 
@@ -168,40 +172,79 @@ class Packing:
             F.lit((1 << self.bits) - 1))
 
 
-def _windows(packing: Packing):
-    """Blocks with the numbers of their words → distinct windows of two words or more
-    with their count in the block."""
+def _runs(batches):
+    """Each block's word numbers in order (0: too rare), and which word and its follower make
+    a pair: both count, and no piece ends between them."""
+    for batch in batches:
+        for local, ids, tokens, stops in zip(*(batch.column(c) for c in ("local", "ids", "tokens", "stops"))):
+            code = _numbers(tokens.as_buffer())
+            n = len(code)
+            last = np.unpackbits(np.frombuffer(stops.as_buffer(), np.uint8), count=n).astype(bool)
+            number = np.zeros(int(code.max()) + 1, np.int64)
+            number[ints(local.values)] = ints(ids.values)
+            run = number[code]
+            pair = np.zeros(n, bool)
+            pair[:-1] = (run[:-1] > 0) & (run[1:] > 0) & ~last[:-1]
+            yield run, pair
+
+
+def _pairs(packing: Packing):
+    """Blocks → their distinct pairs of words, packed in one long, and how often each occurs."""
+    def run(batches):
+        for ids, pair in _runs(batches):
+            at = np.flatnonzero(pair)
+            keys, counts = np.unique(ids[at] << packing._shift(0) | ids[at + 1] << packing._shift(1), return_counts=True)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["p0", "f"])
+    return run
+
+
+def _windows(packing: Packing, frequent):
+    """Blocks → distinct windows of two words or more with their count in the block.  A window
+    ends where a pair is not ``frequent`` (a broadcast of sorted pairs; None: not known)."""
+    def run(batches):
+        for ids, pair in _runs(batches):
+            n = len(ids)
+            if frequent is not None and len(frequent.value):
+                at = np.flatnonzero(pair)
+                key = ids[at] << packing._shift(0) | ids[at + 1] << packing._shift(1)
+                spot = np.minimum(np.searchsorted(frequent.value, key), len(frequent.value) - 1)
+                pair[at] = frequent.value[spot] == key
+            start = np.flatnonzero(pair)
+            wide = np.zeros((len(start), WORDS), np.int64)
+            wide[:, 0] = ids[start]
+            open_ = np.ones(len(start), bool)
+            for j in range(1, WORDS):
+                at = np.minimum(start + j, n - 1)
+                wide[:, j] = np.where(open_, ids[at], 0)
+                open_ &= pair[at]
+            keys = packing.pack(wide)
+            del wide
+            if not len(start):
+                continue
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            first = np.flatnonzero(new)
+            counts = np.diff(np.append(first, len(order)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[first]) for k in keys] + [pa.array(counts)], names=[*packing.names("p"), "f"])
+    return run
+
+
+def _known(shared):
+    """Blocks → the numbers of those of their words that have one."""
     def run(batches):
         for batch in batches:
-            for local, ids, tokens, stops in zip(*(batch.column(c) for c in ("local", "ids", "tokens", "stops"))):
-                code = _numbers(tokens.as_buffer())
-                n = len(code)
-                last = np.unpackbits(np.frombuffer(stops.as_buffer(), np.uint8), count=n).astype(bool)
-                number = np.zeros(int(code.max()) + 1, np.int64)
-                number[ints(local.values)] = ints(ids.values)
-                run_ids = number[code]
-                wide = np.zeros((n, WORDS), np.int64)
-                wide[:, 0] = run_ids
-                open_ = (run_ids > 0) & ~last
-                for j in range(1, WORDS):
-                    here = open_[:n - j]
-                    wide[:n - j, j] = np.where(here, run_ids[j:], 0)
-                    # goes on where this word counts and ends no piece
-                    nxt = np.zeros(n, bool)
-                    nxt[:n - j] = here & (run_ids[j:] > 0) & ~last[j:]
-                    open_ = nxt
-                keys = packing.pack(wide[wide[:, 1] > 0])
-                del wide
-                if not len(keys[0]):
-                    continue
-                order = np.lexsort(keys[::-1])
-                keys = [k[order] for k in keys]
-                new = np.ones(len(order), bool)
-                new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-                first = np.flatnonzero(new)
-                counts = np.diff(np.append(first, len(order)))
+            for lang, words, tokens, stops in zip(*(batch.column(c) for c in ("lang", "words", "tokens", "stops"))):
+                names, first = shared.value.get(lang.as_py(), (pa.array([], pa.string()), 1))
+                at = pc.index_in(words.values, value_set=names).fill_null(-1).to_numpy()
+                local = np.flatnonzero(at >= 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[first]) for k in keys] + [pa.array(counts)], names=[*packing.names("p"), "f"])
+                    [pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(x)) for x in (local.astype(np.int32), at[local].astype(np.int64) + first)]
+                    + [pa.array([tokens.as_py()], pa.binary()), pa.array([stops.as_py()], pa.binary())],
+                    names=["local", "ids", "tokens", "stops"])
     return run
 
 
@@ -345,18 +388,40 @@ def vocabulary(blocks: DataFrame, min_count: int) -> DataFrame:
                  .select(F.col(RANK).alias("id"), "lang", "word", "f", "total"))
 
 
-def phrases(blocks: DataFrame, words: DataFrame, packing: Packing, min_count: int) -> DataFrame:
-    """``(p..., s..., n, f)`` of all phrases of 1 to 5 words that reach ``min_count``:
-    packed in order (``p``) and reversed (``s``)."""
+def numbered(blocks: DataFrame, words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Blocks ``(local, ids, tokens, stops)`` with the numbers of their words: looked up in the
+    vocabulary where its size allows to send it everywhere, asked for in a join beyond."""
+    size = words.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
+    if size <= broadcast_bytes:
+        table: dict = {}
+        # numbers follow the order of (language, word), so a language's are consecutive
+        for r in words.orderBy("id").select("id", "lang", "word").toLocalIterator():
+            table.setdefault(r["lang"], (r["id"], []))[1].append(r["word"])
+        shared = blocks.sparkSession.sparkContext.broadcast({k: (pa.array(w, pa.string()), i) for k, (i, w) in table.items()})
+        return blocks.select("lang", "words", "tokens", "stops").mapInArrow(
+            _known(shared), "local array<int>, ids array<long>, tokens binary, stops binary")
     asked = blocks.select("block", "lang", F.posexplode("words").alias("local", "word")) \
         .join(words.select("lang", "word", "id").hint("merge"), ["lang", "word"])
     known = asked.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("w")) \
         .select("block", F.col("w.local").alias("local"), F.col("w.id").alias("ids"))
-    # by merge at every size, so that the plan and its cost are the same at every size
-    windows = blocks.select("block", "tokens", "stops").join(known.hint("merge"), "block") \
-        .select("local", "ids", "tokens", "stops") \
-        .mapInArrow(_windows(packing), ", ".join(f"{c} long" for c in [*packing.names("p"), "f"]))
+    return store(blocks.select("block", "tokens", "stops").join(known.hint("merge"), "block")
+                 .select("local", "ids", "tokens", "stops"))
+
+
+def phrases(blocks: DataFrame, words: DataFrame, packing: Packing, min_count: int,
+            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(p..., s..., n, f)`` of all phrases of 1 to 5 words that reach ``min_count``:
+    packed in order (``p``) and reversed (``s``)."""
+    coded = numbered(blocks, words, broadcast_bytes)
     keys = packing.names("p")
+    frequent = None
+    if packing.per > 1:
+        pairs = store(coded.mapInArrow(_pairs(packing), "p0 long, f long").groupBy("p0").agg(F.sum("f").alias("f"))
+                      .where(F.col("f") >= min_count).select("p0"))
+        if 8 * pairs.count() <= broadcast_bytes:
+            frequent = blocks.sparkSession.sparkContext.broadcast(
+                np.sort(np.array([r["p0"] for r in pairs.collect()], np.int64)))
+    windows = coded.mapInArrow(_windows(packing, frequent), ", ".join(f"{c} long" for c in [*keys, "f"]))
     sorted_ = windows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     counted = sorted_.mapInArrow(_count_runs(packing, min_count),
                                  ", ".join([f"{c} long" for c in keys] + ["n int", "f long"])) \
@@ -380,7 +445,7 @@ CUTS = """array_min(transform(sequence(1, n - 1), k -> named_struct(
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
-                 share: int = 100, top: int = TOP) -> DataFrame:
+                 share: int = 100, top: int = TOP, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases of two to
     five words that occur ``min_count`` times or more, by score.  A phrase inside a longer
     candidate with ``share`` percent of its count or more is left out."""
@@ -389,7 +454,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
                    .mapInArrow(_blocks, "block long, lang string, words array<string>, counts array<long>, tokens binary, stops binary"))
     words = vocabulary(blocks, min_count)
     packing = Packing(words.agg(F.max("id")).first()[0] or 1)
-    grams = phrases(blocks, words, packing, min_count)
+    grams = phrases(blocks, words, packing, min_count, broadcast_bytes)
     keys = packing.names("p")
     left = _side(grams, packing, "p").withColumn("lefts", F.col("parts")).withColumn("rights", F.lit(None).cast("array<long>"))
     right = _side(grams, packing, "s").withColumn("rights", F.col("parts")).withColumn("lefts", F.lit(None).cast("array<long>"))
