@@ -1,14 +1,8 @@
-"""Exact neighbour search as Spark joins, and the operators built on it.
+"""Operators built on exact neighbour search.
 
-``radius_pairs`` finds every pair within distance r: points get a grid cell
-of width r on (at most) three of their coordinates; each query point is sent
-to the 3^g adjacent cells and equi-joined on the cell id, then filtered by the
-full distance.  A point within full distance r differs by at most r in every
-coordinate, so it is always in an adjacent cell: the result is exact.
-
-``knn_pairs`` is exact k-nearest-neighbour search by radius doubling: queries
-that have fewer than k candidates within r (their k-th neighbour may be
-farther) are retried with 2r, only those queries.
+``knn_pairs`` finds the k nearest points of every query in blocks around pivots
+(:mod:`..plans.pivots`): a first search bounds each query's k-th distance, a second
+one visits the blocks within it.
 
 KNN prediction, SMOTE, ADASYN and DBSCAN use these joins; DBSCAN's clusters
 are connected components found by label propagation over core edges, with a
@@ -27,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import coerce_numeric
 from ..plans.lineage import cut
 from ..plans.ordering import RANK, ranked
+from ..plans.pivots import nearest
 
 GRID_DIMS = 3
 COPY_CHUNK = 1_000_000   # synthetic rows that one row makes in one task
@@ -41,77 +36,13 @@ def _sqdist(a: str, b: str, feats: Sequence[str]):
     return out
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, key: str, feats: Sequence[str], r: float,
-                 by: Sequence[str] = (), include_self: bool = True) -> DataFrame:
-    """All (q, p) with squared distance ≤ r² → ``(by..., q, p, d2)``.
-
-    ``left`` / ``right`` carry ``key``, ``by`` and numeric ``feats`` columns."""
-    feats = list(feats)
-    by = list(by)
-    g = feats[:GRID_DIMS]
-    cell = [F.floor(F.col(f) / F.lit(r)).cast("long") for f in g]
-    offsets = list(itertools.product([-1, 0, 1], repeat=len(g)))
-    off_arr = F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])
-    q = left.select(*by, F.col(key).alias("q"), *feats, *[c.alias(f"_c{i}") for i, c in
-                                                         enumerate(cell)])
-    q = q.select("*", F.explode(off_arr).alias("_off")).select(
-        *by, "q", *feats, *[(F.col(f"_c{i}") + F.col("_off")[i]).alias(f"_c{i}")
-                            for i in range(len(g))])
-    p = right.select(*by, F.col(key).alias("p"), *feats, *[c.alias(f"_c{i}") for i, c in
-                                                          enumerate(cell)])
-    on = [*by, *[f"_c{i}" for i in range(len(g))]]
-    j = q.alias("a").join(p.alias("b"), on=on)
-    d2 = _sqdist("a", "b", feats)
-    out = j.select(*[F.col(b) for b in by], F.col("q"), F.col("p"), d2.alias("d2")) \
-        .where(F.col("d2") <= F.lit(r * r))
-    if not include_self:
-        out = out.where(F.col("q") != F.col("p"))
-    return out
-
-
-def _start_radius(df: DataFrame, feats: Sequence[str], k: int) -> float:
-    """Radius at which a uniform cloud would hold ~k points per ball."""
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[(F.max(f) - F.min(f)).alias(f"r{i}") for i, f in enumerate(feats)]).first()
-    n = max(row["n"], 1)
-    d = len(feats)
-    spans = [max(row[f"r{i}"] or 0.0, 1e-9) for i in range(d)]
-    vol = math.prod(spans)
-    return max((k * vol / n) ** (1.0 / d), 1e-6)
-
-
 def knn_pairs(queries: DataFrame, points: DataFrame, key: str, feats: Sequence[str], k: int,
               by: Sequence[str] = (), include_self: bool = False) -> DataFrame:
-    """Exact k nearest points for every query → ``(by..., q, p, d2, nn_rank)``
-    (ties by point key).  Queries with fewer than k points in their group get
-    all of them (none, where there is none).  The radius doubles for the queries that
-    are not settled yet, until all are: it ends when it spans the points."""
-    by = list(by)
-    r = _start_radius(points, feats, k)
-    own = 0 if include_self else 1
-    if by:
-        sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
-        need = cut(queries.join(sizes, by, "left").withColumn(
-            "_want", F.least(F.lit(k), F.greatest(F.lit(0), F.coalesce("_gn", F.lit(0)) - own))).drop("_gn"))
-    else:
-        need = queries.withColumn("_want", F.lit(min(k, max(0, points.count() - own))))
-    need = need.where(F.col("_want") > 0)
-    found = None
-    while True:
-        pr = radius_pairs(need, points, key, feats, r, by, include_self)
-        w = Window.partitionBy(*by, "q").orderBy("d2", "p")
-        top = cut(pr.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k))
-        cnt = top.groupBy(*by, F.col("q").alias(key)).agg(F.count(F.lit(1)).alias("_m"))
-        done_q = need.join(cnt, [*by, key]).where(F.col("_m") >= F.col("_want")) \
-            .select(*by, F.col(key).alias("q"))
-        done = cut(top.join(done_q, [*by, "q"], "left_semi"))
-        found = done if found is None else found.unionByName(done)
-        # unresolved queries, materialised so the next round's plan stays short
-        need = cut(need.join(done.select(*by, F.col("q").alias(key)).distinct(),
-                             [*by, key], "left_anti"))
-        if need.isEmpty():
-            return found
-        r *= 2.0
+    """Exact k nearest points of every query → ``(by..., q, p, d2, nn_rank)``
+    (ties by point key), by the blocks of :mod:`..plans.pivots`.  Queries with fewer than
+    k points in their group get all of them.  Rows with a null, NaN or infinite coordinate,
+    or a null group, are no points and have no neighbours."""
+    return nearest(queries, points, key, feats, k, by, include_self)[0]
 
 
 class KNNModel:
@@ -285,6 +216,52 @@ def _box_gap2(a: str, b: str, side: float, wide: bool):
     return F.aggregate(apart, F.lit(0.0), lambda s, x: s + step(x) * step(x) * F.lit(side * side))
 
 
+#: Pairs of points that a pair of boxes may be compared by; halvings after which it is anyway.
+FEW_PAIRS, HALVINGS = 4096, 40
+
+
+def _touching(core: DataFrame, pairs: DataFrame, fx: Sequence[str], side: float, eps: float) -> DataFrame:
+    """Of ``pairs (a, b, ca, cb)`` of cells those with a point of each within eps, ``(a, b)``.
+
+    Both cells are halved on every axis, round by round.  Of the pairs of boxes (as tight
+    as their points) one that lies within eps as a whole decides its cells, one beyond
+    eps is dropped, one of few points is compared, and only the rest are halved again."""
+    eps2 = eps * eps
+    open_, links = pairs.select("a", "b", "ca", "cb"), None
+    for level in range(1, HALVINGS + 1):
+        wanted = open_.select(F.col("a").alias("cell")).unionByName(open_.select(F.col("b").alias("cell"))).distinct()
+        box = F.array(*[F.floor(F.col(f) * F.lit(float(2 ** level)) / F.lit(side)).cast("long") for f in fx])
+        points = cut(core.join(wanted, "cell", "left_semi").select("cell", box.alias("box"), *fx))
+        boxes = points.groupBy("cell", "box").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(f) for f in fx]).alias("lo"),
+                                                  F.array(*[F.max(f) for f in fx]).alias("hi")) \
+            .withColumn("up", F.transform("box", lambda c: F.shiftright(c, 1)))
+        of = lambda x: boxes.select(F.col("cell").alias(x), F.col("up").alias(f"c{x}"),
+                                    *[F.col(c).alias(f"{c}_{x}") for c in ("box", "n", "lo", "hi")])
+        sq = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+        gap = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y),
+                         lambda x, y: F.greatest(x, y, F.lit(0.0)))
+        far = F.zip_with(F.zip_with("hi_a", "lo_b", lambda x, y: x - y), F.zip_with("hi_b", "lo_a", lambda x, y: x - y),
+                         lambda x, y: F.greatest(x, y))
+        near = cut(open_.join(of("a"), ["a", "ca"]).join(of("b"), ["b", "cb"]).withColumn("gap", sq(gap)).withColumn("far", sq(far))
+                   .where(F.col("gap") <= eps2 * (1 + 1e-9)))
+        found = near.where(F.col("far") <= eps2 * (1 - 1e-9)).select("a", "b").distinct()
+        rest = near.join(found, ["a", "b"], "left_anti")
+        few = F.lit(level == HALVINGS) | (F.col("n_a") * F.col("n_b") <= FEW_PAIRS)
+        small = rest.where(few).select("a", "b", "box_a", "box_b")
+        side_of = lambda x: points.select(F.col("cell").alias(x), F.col("box").alias(f"box_{x}"),
+                                          *[F.col(f).alias(f"{f}_{x}") for f in fx])
+        met = small.join(side_of("a"), ["a", "box_a"]).join(side_of("b"), ["b", "box_b"]).where(sum(
+            ((F.col(f"{f}_a") - F.col(f"{f}_b")) * (F.col(f"{f}_a") - F.col(f"{f}_b")) for f in fx[1:]),
+            (F.col(f"{fx[0]}_a") - F.col(f"{fx[0]}_b")) * (F.col(f"{fx[0]}_a") - F.col(f"{fx[0]}_b"))) <= eps2)
+        found = cut(found.unionByName(met.select("a", "b").distinct()).distinct())
+        links = found if links is None else links.unionByName(found)
+        open_ = cut(rest.where(~few).join(found, ["a", "b"], "left_anti")
+                    .select("a", "b", F.col("box_a").alias("ca"), F.col("box_b").alias("cb")))
+        if open_.isEmpty():
+            return links
+    return links
+
+
 def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
            min_samples: int = 5) -> DataFrame:
     """Adds ``cluster`` (−1 = noise).  Core: ≥ min_samples points (itself
@@ -295,8 +272,9 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
     Points fall into cells whose diagonal is eps, so the points of a cell are all
     neighbours: a cell of ``min_samples`` points needs no counting, and components are
     found among cells.  Points are compared only between cells that touch eps without
-    lying within it as a whole, and only those near enough to the other cell; no list
-    of all pairs within eps is ever made.
+    lying within it as a whole, and only those near enough to the other cell; whether two
+    dense cells are linked is found by halving them.  No list of all pairs within eps is
+    ever made.
     """
     d = len(features)
     fx = [f"_x_{i}" for i in range(d)]
@@ -351,7 +329,7 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
     alive = near.join(core_cells.select(F.col("v").alias("a")), "a", "left_semi") \
         .join(core_cells.select(F.col("v").alias("b")), "b", "left_semi")
     edges = cut(alive.where("whole").select("a", "b").unionByName(
-        met(core, core, alive.where("a < b")).select("a", "b").distinct()))
+        _touching(core.select("cell", *fx), alive.where("a < b and not whole"), fx, side, eps)))
     comp = connected_components(core_cells.select("v"), edges.unionByName(edges.select(
         F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     named = comp.join(core_cells, "v").groupBy("comp").agg(F.min("least").alias("least"))

@@ -143,3 +143,31 @@ def test_queries_run_the_operators_defaults(spark, monkeypatch):
     except Asked:
         pass
     assert "n_samples" not in calls.pop()[1]
+
+
+def test_dbscan_dense_cells(spark):
+    """Cells of many points that touch, almost touch, or hold copies of one point."""
+    rng = np.random.default_rng(8)
+    eps = 1.0
+    pts = np.concatenate([rng.uniform(0, 0.7, (260, 2)), rng.uniform(0, 0.7, (260, 2)) + [1.5, 0],
+                          rng.uniform(0, 0.5, (200, 2)) + [5, 5], rng.uniform(0, 0.5, (200, 2)) + [6.2, 6.2],
+                          np.tile([[-5.0, -5.0]], (90, 1)), np.tile([[-4.0, -5.0]], (90, 1)), np.tile([[-5.0, -3.9]], (90, 1))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "k long, x double, y double")
+    got = {r["k"]: r["cluster"] for r in NB.dbscan(df, "k", ["x", "y"], eps, 5).collect()}
+    assert got == _dbscan_brute(pts, eps, 5)
+
+
+def test_dbscan_two_dense_cells_take_no_square_of_time(spark):
+    import time
+    rng = np.random.default_rng(9)
+
+    def run(n):
+        pts = np.concatenate([rng.uniform(0, 0.7, (n, 2)), rng.uniform(0, 0.7, (n, 2)) + [1.0, 0]])
+        df = spark.createDataFrame(list(zip(range(2 * n), *pts.T.tolist())), "k long, x double, y double").cache()
+        df.count()
+        t = time.time()
+        assert NB.dbscan(df, "k", ["x", "y"], 1.0, 5).select("cluster").distinct().count() == 1
+        return time.time() - t
+
+    run(500)
+    assert run(24_000) < 3 * run(8_000) + 2
