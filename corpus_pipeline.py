@@ -8,36 +8,54 @@ returns one row for each repetition of a document in the mix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, minhash, mixing, pii, toxicity
 from tessera.llm.common import store, table
 
 
+#: Tokens of a benchmark item that must stand in a document for the document to go: a
+#: shorter item ("yes") is no evidence of where a text is from.
+LEAST_TOKENS = 8
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, written once so that every reader sees the same, and
+    the number's column.  Ids may be null or repeat; decisions refer to the number."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return store(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go.  The classifier
-    learns from the labelled rows of ``docs`` that are not held out."""
+    learns from the labelled rows of ``docs`` that are not held out.  A null text is scored
+    as an empty one; a row with a null id has no label, and is scored like any other."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score_col="_score", reject_col="_rejected") \
         .where(~F.col("_rejected")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id
-    (of rows that repeat its id, one); documents without words and null ids all stay."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    turn = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))) \
-        .orderBy(F.xxhash64(*docs.columns))
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_turn", F.row_number().over(turn)) \
-        .where("_turn = 1 or doc_id is null").select(*docs.columns)
+    """One document of each group of near-duplicates stays, that with the smallest id (null ids
+    last; among equal ids one chosen by its content).  Rows count, not ids: unlike texts
+    under one id both stay.  Documents without words are like no other, so all stay."""
+    rows, number = _numbered(docs)
+    found = minhash.near_duplicates(rows, id_col=number).select(number, "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), number)
+    one = rows.select(number, order.alias("order")).join(found, number) \
+        .groupBy("component_id").agg(F.min_by(number, "order").alias(number))
+    return rows.join(one.select(number), number, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or enough of one, go."""
-    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item of ``LEAST_TOKENS`` tokens or more, or that many
+    tokens of one, go, whatever their id; null and empty texts stay."""
+    rows, number = _numbered(docs)
+    found = decontaminate.overlaps(rows, table(spark, sf_dir, "benchmark"), id_col=number).where(F.col("length") >= LEAST_TOKENS)
+    return rows.join(found.select(number).distinct(), number, "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
