@@ -19,10 +19,10 @@ masked matrix products.
 
 What is learned from where: counts, class sizes and the contexts of the classes from
 every training document; the first weights, where training begins, from at most
-``sample`` documents; then every task that reads the corpus trains these weights
-further on every training document it reads and all results are averaged.  Contexts
-and weights have a fixed size and are added up in two steps, so that no group grows
-with the corpus.
+``sample`` documents; then every block of training documents (dealt by the hash of the
+text, read in its order) trains these weights further on all its tokens and the results
+are averaged.  So how a table is split does not change a score.  Contexts and weights
+have a fixed size and are added up in two steps, so that no group grows with the corpus.
 
 Word counts never meet in one place: words go to shards by hash, and each block of
 documents asks the shards only for the counts of its own words.  Null texts are
@@ -49,6 +49,8 @@ CONTEXT, OVERLAP, WIDTH, CLASSES, ROWS = 32, 8, 16, 32, 1 << 14
 END = CLASSES  # the class of the end
 BUCKETS, DIMS = 1 << 13, 128
 SAMPLE = 1500
+#: Bytes of training text of one block, whose weights start from the first ones.
+TRAIN_BYTES = 16 << 20
 _encoders: dict = {}
 
 
@@ -160,45 +162,69 @@ class Model:
         return z, (q, k, v, a, m, h)
 
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, mask: np.ndarray):
-        z, (q, k, v, a, m, h) = self.forward(x, mask)
-        n = max(1.0, float(weight.sum()))
-        dz = np.exp(z)
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], -1) - 1, -1)
-        dz *= (weight / n)[..., None]
+        """Mean loss over the weighted positions, gradients of the parts and of the inputs.
+        Products over all positions are taken once for q, k and v together."""
+        d, root = WIDTH, x.dtype.type(WIDTH ** 0.5)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"out": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
+        joint = np.concatenate([self.q / root, self.k, self.v], 1)
+        q, k, v = np.split((flat(x) @ joint).reshape(*x.shape[:2], 3 * d), 3, axis=2)
+        a = q @ k.transpose(0, 2, 1)
+        a += mask
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        m = a @ v
+        h = flat(x) + flat(m) @ self.o
+        dz = h @ self.out
+        dz += self.bias
+        dz -= dz.max(-1, keepdims=True)
+        rows, goal, w = np.arange(len(h)), target.ravel(), weight.ravel()
+        hit = dz[rows, goal]
+        np.exp(dz, out=dz)
+        total = dz.sum(-1)
+        n = max(1.0, float(w.sum()))
+        loss = float(((np.log(total) - hit) * w).sum()) / n
+        w = w / x.dtype.type(n)
+        dz *= (w / total)[:, None]
+        dz[rows, goal] -= w
+        g = {"out": h.T @ dz, "bias": dz.sum(0)}
         dh = dz @ self.out.T
-        g["o"] = flat(m).T @ flat(dh)
-        dm = dh @ self.o.T
-        da = dm @ v.transpose(0, 2, 1)
+        g["o"] = flat(m).T @ dh
+        dm = (dh @ self.o.T).reshape(m.shape)
+        ds = dm @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        by = ds.sum(0)
-        g["far"] = np.array([np.trace(by, -j) for j in range(CONTEXT)], np.float32)
-        dq = ds @ k
-        dk = ds.transpose(0, 2, 1) @ q
-        root = np.float32(WIDTH ** 0.5)
-        g["q"], g["k"], g["v"] = flat(x).T @ flat(dq) / root, flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dh + dq @ self.q.T / root + dk @ self.k.T + dv @ self.v.T
-        return -float((np.take_along_axis(z, target[..., None], -1)[..., 0] * weight).sum()) / n, g, dx
-
-
-def windows(first: np.ndarray):
+        ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+        ds *= a
+        g["far"] = np.bincount(_FAR, ds.sum(0).ravel()[_BELOW], CONTEXT).astype(x.dtype)
+        both = flat(np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, dv], 2))
+        g["q"], g["k"], g["v"] = np.split(flat(x).T @ both, 3, axis=1)
+        g["q"] = g["q"] / root
+        dx = dh + both @ joint.T
+        return loss, g, dx.reshape(x.shape)
+
+
+#: Cells on and below the diagonal of a window's attention, and how far back each looks.
+_FAR = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
+_BELOW = np.flatnonzero(_FAR >= 0)
+_FAR = _FAR.ravel()[_BELOW]
+
+
+def windows(first: np.ndarray, overlap: int = OVERLAP):
     """Windows over texts of ``words + 1`` tokens: (text, first position, first position
     that is scored, one past the last)."""
     n = np.diff(first) + 1
-    more = np.maximum(0, -(-(n - CONTEXT) // (CONTEXT - OVERLAP)))
+    more = np.maximum(0, -(-(n - CONTEXT) // (CONTEXT - overlap)))
     text = np.repeat(np.arange(len(n)), more + 1)
     k = np.arange(len(text)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-    scored = np.where(k == 0, 0, CONTEXT + (k - 1) * (CONTEXT - OVERLAP))
-    begin = np.maximum(0, scored - OVERLAP)
+    scored = np.where(k == 0, 0, CONTEXT + (k - 1) * (CONTEXT - overlap))
+    begin = np.maximum(0, scored - overlap)
     return text, begin, scored, np.minimum(n[text], begin + CONTEXT)
 
 
-def batches(first: np.ndarray, code: np.ndarray, n_codes: int, size: int = 192):
+def batches(first: np.ndarray, code: np.ndarray, n_codes: int, size: int = 192, overlap: int = OVERLAP):
     """Batches of windows: (text, input codes, word index of each target, which
     positions are scored, and which of these are ends)."""
-    text, begin, scored, stop = windows(first)
+    text, begin, scored, stop = windows(first, overlap)
     for k in range(0, len(text), size):
         t, b = text[k:k + size], begin[k:k + size]
         pos = b[:, None] + np.arange(CONTEXT)
@@ -294,6 +320,46 @@ def train_on(model: Model, texts, path: str, epochs: int, rate: float) -> Model:
     return model
 
 
+def refine_on(model: Model, texts, path: str, rate: float, size: int = 192) -> Model:
+    """One pass of Adagrad over every token of the texts (slices of a table).  A slice's words
+    get their vectors once and hand what they learnt to their subwords at its end; windows
+    do not overlap, as each token is to be learnt from once."""
+    sums = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in Model.PARTS}
+    r = np.random.default_rng(1)
+    for part in texts:
+        words = Words.of(part.column("text"))
+        lex = Lexicon(words, words.hashes(lower=True), path)
+        cls = np.append(model.classes[lex.buckets][lex.code], END).astype(np.int64)
+        known = len(lex.n)
+        vec = np.zeros((known + 2, WIDTH), np.float32)   # words, begin, padding
+        vec[:known], vec[known] = model.vectors(lex.ids, lex.n), model.emb[ROWS]
+        learnt = np.zeros_like(vec)
+        todo = list(batches(words.first, lex.code, known, size, 0))
+        for i in r.permutation(len(todo)):
+            _, x, word, scored, end = todo[i]
+            target = cls[np.where(end | ~scored, len(cls) - 1, np.minimum(word, len(cls) - 1))]
+            _, g, dx = model.gradients(vec[x], target, scored.astype(np.float32), model.mask())
+            _add_rows(learnt, x.ravel(), dx.reshape(-1, WIDTH))
+            for key, grad in g.items():
+                sums[key] += grad ** 2
+                getattr(model, key)[...] -= rate * grad / np.sqrt(sums[key])
+        owner = np.repeat(np.arange(known), lex.n)
+        rows, spot = np.unique(np.append(lex.ids, ROWS), return_inverse=True)
+        grad = np.zeros((len(rows), WIDTH), np.float32)
+        _add_rows(grad, spot, np.concatenate([(learnt[:known] / np.sqrt(np.maximum(lex.n, 1))[:, None])[owner], learnt[known][None]]))
+        sums["emb"][rows] += grad ** 2
+        model.emb[rows] -= rate * grad / np.sqrt(sums["emb"][rows])
+    return model
+
+
+def _add_rows(out: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
+    o = np.argsort(index, kind="stable")
+    i = index[o]
+    head = np.flatnonzero(np.diff(i, prepend=-1))
+    if len(head):
+        out[i[head]] += np.add.reduceat(values[o], head)
+
+
 def _sum_rows(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, values.shape[1]), np.float32)
     o = np.argsort(index, kind="stable")
@@ -353,43 +419,45 @@ def _first_model(classes: np.ndarray, path: str):
 
 
 def _refined(shared, path: str):
-    def run(batches_):
-        model, n = None, 0
-        for batch in batches_:
-            for part in slices(batch, "text", 1 << 19):
-                model = model or Model.from_bytes(shared.value)
-                model = train_on(model, [part], path, epochs=1, rate=0.01)
-                n += part.num_rows
-        if n:
-            flat = model.flat()
-            size = 1 << 14
-            k = -(-len(flat) // size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k), pa.int32()), pa.array(np.full(k, n), pa.int64()),
-                 pa.array([pack(flat[i * size:(i + 1) * size] * np.float32(n)) for i in range(k)], pa.binary())],
-                names=["part", "n", "total"])
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("text", "ascending")])
+        flat = refine_on(Model.from_bytes(shared.value), slices(t, "text", 1 << 20), path, 0.01).flat()
+        size = 1 << 14
+        k = -(-len(flat) // size)
+        return pa.table({"part": pa.array(np.arange(k), pa.int32()), "block": pa.array(np.full(k, t.column("block")[0].as_py()), pa.int32()),
+                         "n": pa.array(np.full(k, t.num_rows), pa.int64()),
+                         "total": pa.array([pack(flat[i * size:(i + 1) * size].astype(np.float64) * t.num_rows) for i in range(k)], pa.binary())})
     return run
 
 
 def _added(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t.column("total"))
+    """Sums of weights, in the order of their blocks, so that a rerun rounds alike."""
+    t = t.sort_by("block")
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in t.column("total"))
     n = int(sum(t.column("n").to_pylist()))
-    return pa.table({"part": t.column("part")[:1], "n": pa.array([n], pa.int64()),
-                     "total": pa.array([pack(total.astype(np.float32))], pa.binary())})
-
-
-def refined(rows: DataFrame, shared, path: str) -> DataFrame:
-    """By part of the weights: sums over all texts ``(text)``, each task's weights as often as it read texts."""
-    schema = "part int, n long, total binary"
-    told = rows.select("text").mapInArrow(_refined(shared, path), schema)
-    half = told.withColumn("half", F.pmod(F.xxhash64("n", "total"), F.lit(64)).cast("int"))
+    return pa.table({"part": t.column("part")[:1], "block": t.column("block")[:1], "n": pa.array([n], pa.int64()),
+                     "total": pa.array([pack(total)], pa.binary())})
+
+
+def refined(rows: DataFrame, shared, path: str, blocks: int | None = None) -> DataFrame:
+    """By part of the weights: sums over all texts ``(text)``, each block's weights as often as
+    it holds texts.  Rows are dealt to blocks by the hash of all their columns (an id keeps
+    copies of a text apart) and read in the order of their texts, so how the table is
+    split plays no part."""
+    schema = "part int, block int, n long, total binary"
+    blocks = blocks or blocks_for(rows, "text", TRAIN_BYTES)
+    dealt = rows.select("text", F.xxhash64("text", F.lit(4)).alias("h"),
+                        F.pmod(F.xxhash64(*rows.columns, F.lit(6)), F.lit(blocks)).cast("int").alias("block"))
+    told = dealt.groupBy("block").applyInArrow(lambda t: _refined(shared, path)(t), schema)
+    half = told.withColumn("half", F.pmod("block", F.lit(64)).cast("int"))
     once = half.groupBy("part", "half").applyInArrow(lambda t: _added(t), schema)
     return once.groupBy("part").applyInArrow(lambda t: _added(t), schema).orderBy("part")
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> bytes | None:
-    """The model from training rows ``(text)``; None without any."""
-    rows = docs.where("text is not null").select("text").withColumn("h", F.xxhash64("text", F.lit(4)))
+def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, blocks: int | None = None) -> bytes | None:
+    """The model from training rows ``(text)`` (with an id: ``(id, text)``); None without any."""
+    texts = docs.where("text is not null")
+    rows = texts.select("text").withColumn("h", F.xxhash64("text", F.lit(4)))
     n = rows.count()
     if not n:
         return None
@@ -399,13 +467,13 @@ def train(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> byte
     first = rows.where(part < min(1.0, sample / n) * (1 << 30)).groupBy("h").agg(F.min("text").alias("text")) \
         .withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_first_model(classes, path), "model binary").first()
     if first is None:
-        first = rows.orderBy("h").limit(1).withColumn("one", F.lit(0)).groupBy("one") \
+        first = rows.orderBy("h", "text").limit(1).withColumn("one", F.lit(0)).groupBy("one") \
             .applyInArrow(_first_model(classes, path), "model binary").first()
     model = Model.from_bytes(bytes(first["model"]))
     shared = docs.sparkSession.sparkContext.broadcast(bytes(first["model"]))  # a fixed size
-    mean = refined(rows, shared, path).collect()  # the model's size
+    mean = refined(texts, shared, path, blocks).collect()  # the model's size
     if mean:
-        model = model.with_flat(np.concatenate([np.frombuffer(bytes(r["total"]), np.float32) / r["n"] for r in mean]))
+        model = model.with_flat(np.concatenate([(np.frombuffer(bytes(r["total"])) / r["n"]).astype(np.float32) for r in mean]))
     return model.to_bytes()
 
 
@@ -488,6 +556,8 @@ def _answer(asked: pa.Table, lex: pa.Table) -> pa.Table:
 
 def _score(shared, path: str, facts: dict):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        # one order of rows, so that a rerun multiplies the same batches
+        t = t.sort_by([("id", "ascending"), ("text", "ascending")])
         h = np.concatenate([np.zeros(0, np.uint64)] + [np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("asked")])
         c = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x.as_buffer(), np.int64) for x in answers.column("counts")])
         o = np.argsort(h)
@@ -549,7 +619,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     training = rows.where(~F.col("held_out"))
     shards = blocks_for(rows, "text")
-    raw = train(training.select("text"), path)
+    raw = train(training.select("id", "text"), path, blocks=-(-shards * BLOCK_BYTES // TRAIN_BYTES))
     shared = spark.sparkContext.broadcast(raw)
     lexicon = store(training.select("text").mapInArrow(
         _count(shared, shards), "shard int, words binary, counts binary, classes binary").groupBy("shard").applyInArrow(

@@ -98,3 +98,22 @@ def test_classes_and_weights_learn_from_every_text(spark):
     seen = classes[got.sum(1) > 0]
     assert (seen != 0).mean() > 0.5 and len(np.unique(seen)) > lm.CLASSES // 2
     assert {x.n for x in lm.refined(docs, spark.sparkContext.broadcast(raw), lm.VOCABULARY).collect()} == {200}
+
+
+def test_partitions_do_not_change_a_score(spark, docs):
+    """The same rows in one and in seven partitions, small blocks, equal to the last bit."""
+    held, lm.TRAIN_BYTES = lm.TRAIN_BYTES, 1 << 12
+    try:
+        runs = [sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score, r.score) for r in lm.score(d).collect()))
+                for d in (docs.coalesce(1), docs.repartition(7))]
+    finally:
+        lm.TRAIN_BYTES = held
+    assert runs[0] == runs[1]
+
+
+def test_training_windows_hold_each_token_once():
+    first = np.concatenate([[0], np.cumsum([0, 5, 31, 32, 64, 200])])
+    seen = Counter()
+    for text, x, word, scored, end in lm.batches(first, np.arange(first[-1]), int(first[-1]), 3, 0):
+        seen.update((int(t), int(w[k] - first[t])) for t, w, s in zip(text, word, scored) for k in np.flatnonzero(s))
+    assert seen == {(t, p): 1 for t in range(6) for p in range(first[t + 1] - first[t] + 1)}

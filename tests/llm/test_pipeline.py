@@ -84,3 +84,32 @@ def test_stages_on_edge_rows(spark, docs, none):
             assert df.columns == extra
         n = df.count()
         assert (n > 0) == (start is docs) and cp.mix_sources(spark, df, SF).count() >= 0
+
+
+def test_rows_with_null_and_shared_ids(spark, tmp_path):
+    """Every row is judged by its own text, whatever its id; short items drop nothing."""
+    base = "the harbour master counted forty one boats before the storm came in from the north"
+    item = "a lantern was left burning in the western window of the old observatory all night"
+    rows = [(1, base + " and slept"), (1, "quite another text that stands under the same id as the first one does"),
+            (None, base + " and slept"), (None, f"before it {item} after it"), (None, "yes"), (None, None), (2, None), (2, ""),
+            (3, f"yes {item}"), (4, "he said yes and no"), (5, base + " and slept"), (6, "six words that are like none else"),
+            (6, "six words that are like none else")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _row int").repartition(3)
+    spark.createDataFrame([(1, item), (2, "yes"), (None, "he said yes and no"), (4, None), (5, "")], "item_id long, text string") \
+        .write.parquet(f"{tmp_path}/benchmark.parquet")
+    flat = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").translate(LOWER)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = cp.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted((r for r in rows if flat(item) not in flat(r[1])), key=key)
+
+    single = cp.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    want, seen = [], set()
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        s = frozenset(shingles(r[1]))
+        if not s or not any(100 * len(s & o) >= 75 * len(s | o) for o in seen):
+            want.append(r)
+        seen.add(s)
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=key) == sorted(want, key=key)
