@@ -99,7 +99,7 @@ def test_rows_with_null_and_shared_ids(spark, tmp_path):
     spark.createDataFrame([(1, item), (2, "yes"), (None, "he said yes and no"), (4, None), (5, "")], "item_id long, text string") \
         .write.parquet(f"{tmp_path}/benchmark.parquet")
     flat = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").translate(LOWER)))
-    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     got = cp.drop_contaminated(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted((r for r in rows if flat(item) not in flat(r[1])), key=key)
