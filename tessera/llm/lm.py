@@ -51,6 +51,8 @@ BUCKETS, DIMS = 1 << 13, 128
 SAMPLE = 1500
 #: Bytes of training text of one block, whose weights start from the first ones.
 TRAIN_BYTES = 16 << 20
+#: Bytes of text after which a block's subwords learn what its words did.
+SLICE = 1 << 20
 _encoders: dict = {}
 
 
@@ -161,6 +163,26 @@ class Model:
         z -= np.log(np.exp(z).sum(-1, keepdims=True))
         return z, (q, k, v, a, m, h)
 
+    def target_logs(self, x: np.ndarray, target: np.ndarray, scored: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat places of the scored positions and the log probability of each one's target.
+        The output layer runs on these positions only."""
+        d = WIDTH
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        joint = np.concatenate([self.q / np.float32(d ** 0.5), self.k, self.v], 1)
+        q, k, v = np.split((flat(x) @ joint).reshape(*x.shape[:2], 3 * d), 3, axis=2)
+        a = q @ k.transpose(0, 2, 1)
+        a += mask
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        total = a.sum(-1, keepdims=True)
+        m = (a @ v) / total
+        rows = np.flatnonzero(scored)
+        z = (flat(x)[rows] + flat(m)[rows] @ self.o) @ self.out
+        z += self.bias
+        z -= z.max(-1, keepdims=True)
+        hit = z[np.arange(len(rows)), target.ravel()[rows]]
+        return rows, hit - np.log(np.exp(z, out=z).sum(-1))
+
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, mask: np.ndarray):
         """Mean loss over the weighted positions, gradients of the parts and of the inputs.
         Products over all positions are taken once for q, k and v together."""
@@ -320,21 +342,25 @@ def train_on(model: Model, texts, path: str, epochs: int, rate: float) -> Model:
     return model
 
 
-def refine_on(model: Model, texts, path: str, rate: float, size: int = 192) -> Model:
-    """One pass of Adagrad over every token of the texts (slices of a table).  A slice's words
-    get their vectors once and hand what they learnt to their subwords at its end; windows
-    do not overlap, as each token is to be learnt from once."""
+def refine_on(model: Model, table: pa.Table, path: str, rate: float, size: int = 192) -> Model:
+    """One pass of Adagrad over every token of the texts.  Their distinct words are encoded
+    once; a slice's words get their vectors at its start and hand what they learnt to their
+    subwords at its end; windows do not overlap, as each token is to be learnt from once."""
     sums = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in Model.PARTS}
     r = np.random.default_rng(1)
-    for part in texts:
-        words = Words.of(part.column("text"))
-        lex = Lexicon(words, words.hashes(lower=True), path)
-        cls = np.append(model.classes[lex.buckets][lex.code], END).astype(np.int64)
-        known = len(lex.n)
+    whole = Words.of(table.column("text"))
+    lex = Lexicon(whole, whole.hashes(lower=True), path)
+    cls = np.append(model.classes[lex.buckets][lex.code], END).astype(np.int64)
+    known, at = len(lex.n), 0
+    owner, root = np.repeat(np.arange(known), lex.n), np.sqrt(np.maximum(lex.n, 1)).astype(np.float32)
+    rows, spot = np.unique(np.append(lex.ids, ROWS), return_inverse=True)
+    for part in slices(table, "text", SLICE):
+        first = whole.first[at:at + part.num_rows + 1]
+        at += part.num_rows
         vec = np.zeros((known + 2, WIDTH), np.float32)   # words, begin, padding
         vec[:known], vec[known] = model.vectors(lex.ids, lex.n), model.emb[ROWS]
         learnt = np.zeros_like(vec)
-        todo = list(batches(words.first, lex.code, known, size, 0))
+        todo = list(batches(first, lex.code, known, size, 0))
         for i in r.permutation(len(todo)):
             _, x, word, scored, end = todo[i]
             target = cls[np.where(end | ~scored, len(cls) - 1, np.minimum(word, len(cls) - 1))]
@@ -343,10 +369,8 @@ def refine_on(model: Model, texts, path: str, rate: float, size: int = 192) -> M
             for key, grad in g.items():
                 sums[key] += grad ** 2
                 getattr(model, key)[...] -= rate * grad / np.sqrt(sums[key])
-        owner = np.repeat(np.arange(known), lex.n)
-        rows, spot = np.unique(np.append(lex.ids, ROWS), return_inverse=True)
         grad = np.zeros((len(rows), WIDTH), np.float32)
-        _add_rows(grad, spot, np.concatenate([(learnt[:known] / np.sqrt(np.maximum(lex.n, 1))[:, None])[owner], learnt[known][None]]))
+        _add_rows(grad, spot, np.concatenate([(learnt[:known] / root[:, None])[owner], learnt[known][None]]))
         sums["emb"][rows] += grad ** 2
         model.emb[rows] -= rate * grad / np.sqrt(sums["emb"][rows])
     return model
@@ -421,7 +445,7 @@ def _first_model(classes: np.ndarray, path: str):
 def _refined(shared, path: str):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("h", "ascending"), ("text", "ascending")])
-        flat = refine_on(Model.from_bytes(shared.value), slices(t, "text", 1 << 20), path, 0.01).flat()
+        flat = refine_on(Model.from_bytes(shared.value), t, path, 0.01).flat()
         size = 1 << 14
         k = -(-len(flat) // size)
         return pa.table({"part": pa.array(np.arange(k), pa.int32()), "block": pa.array(np.full(k, t.column("block")[0].as_py()), pa.int32()),
@@ -596,10 +620,9 @@ def _score(shared, path: str, facts: dict):
             score = per(own - room[class_])
             target = np.append(class_[code], END)
             for text, x, word, scored, end in batches(words.first, code, len(h)):
-                z, _ = model.forward(vec[x], mask)
                 pick = np.where(end, END, target[np.minimum(word, len(target) - 1)])
-                got = np.where(scored, np.take_along_axis(z, pick[..., None], -1)[..., 0], 0)
-                np.add.at(score, text, got.sum(1, dtype=np.float64) / np.log(10))
+                rows, got = model.target_logs(vec[x], pick, scored, mask)
+                np.add.at(score, text[rows // CONTEXT], got.astype(np.float64) / np.log(10))
             out["score"].append(score)
         cat = lambda k, kind: pa.array(np.concatenate(out[k]) if out[k] else [], kind)
         return pa.table({"id": t.column("id"), "held_out": t.column("held_out"), "n_tokens": cat("n_tokens", pa.int64()),
