@@ -76,13 +76,10 @@ def _tokens(column) -> tuple[pa.Array, np.ndarray]:
         lead[cuts] = ok[cuts]
         tail[cuts - 1] = ok[cuts - 1]
     start, end = np.flatnonzero(lead), np.flatnonzero(tail) + 1
-    # the number of piece ends and text ends before a byte
-    stops = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(piece, out=stops[1:])
-    stops += np.searchsorted(cuts, np.arange(len(data) + 1), "right")
+    # how many pieces and texts end before a word
+    stops = np.searchsorted(np.flatnonzero(piece), start) + np.searchsorted(cuts, start, "right")
     last = np.ones(len(start), bool)
-    if len(start):
-        last[:-1] = stops[start[1:]] > stops[start[:-1]]
+    last[:-1] = stops[1:] > stops[:-1]
     at = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=at[1:])
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[ok])])
