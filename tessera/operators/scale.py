@@ -219,7 +219,7 @@ def fit_scale(df: DataFrame, cols: Sequence[str] | None = None, method: str = "s
         n = df.count()
         k = max(2, min(1000, n))
         probs = [i / (k - 1) for i in range(k)]
-        qt = quantile_table(df, cols, probs, "linear", approx=True)
+        qt = quantile_table(df, cols, probs, "linear", approx=approx)
         for c in cols:
             params[c] = {"quantiles": [qt[c][round(p, 12)] for p in probs]}
     else:

@@ -21,11 +21,14 @@ import json
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import join_small
+from .lineage import cut
 
 RANK = "_rank"
 
@@ -177,8 +180,20 @@ def _target_ranks(n: int, q: float, interpolation: str) -> tuple[int, int, float
 
 # Rows we accept inside one bracket before collecting its distinct values.
 BRACKET_LIMIT = 20_000
+# Rows of a bracket that are collected without a sketch.
+SMALL_BRACKET = 2_000
 # Accuracy of the sketch that narrows a bracket: its ranks err by at most n / SKETCH.
 SKETCH = 10_000
+# Ranks of a group beyond which all are looked up in one sorted pass.
+MANY_RANKS = 50
+
+
+def _indexed(lv: DataFrame, groups: list, by_col: str) -> DataFrame:
+    """``(_g, value)``: the number of the row's group in ``groups``; others are left out."""
+    if groups == list(range(len(groups))) and lv.schema[by_col].dataType.typeName() in ("integer", "long"):
+        return lv.select(F.col(by_col).cast("int").alias("_g"), "value")
+    place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col(by_col)).cast("int") - 1
+    return lv.select(place.alias("_g"), "value").where(F.col("_g") >= 0)
 
 
 def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name",
@@ -193,98 +208,153 @@ def exact_ranks(lv: DataFrame, wants: dict, by_col: str = "column_name",
     bracket, which holds at most about 8 / ``accuracy`` of the rows.  When a
     bracket holds ≤ ``limit`` rows its distinct values (with counts) are
     collected.  At most ``limit`` rows per wanted rank ever reach the driver.
+    A row looks up the brackets of its own group only, so the work of a row does
+    not grow with the number of groups.
     """
-    g, v = F.col(by_col), F.col("value")
+    groups = sorted(wants, key=str) if not all(isinstance(g, int) for g in wants) else sorted(wants)
+    if groups and all(isinstance(g, int) for g in groups):
+        groups = list(range(groups[-1] + 1))
+    rows = _indexed(lv, groups, by_col)
+    v = F.col("value")
     result: dict = {}
     # open brackets: (group, low, high, rows below, rows inside, ranks)
     todo = [(grp, None, None, 0, n, sorted(ranks)) for grp, (n, ranks) in wants.items()]
 
-    def inside(b):
-        c = g.eqNullSafe(F.lit(b[0]))
-        if b[1] is not None:
-            c = c & (v > F.lit(b[1]))
-        if b[2] is not None:
-            c = c & (v < F.lit(b[2]))
-        return c
-
-    def numbered(brackets, other=None):
-        out = F.lit(None).cast("int")
-        for i in reversed(range(len(brackets))):
-            out = F.when(inside(brackets[i]), F.lit(i)).otherwise(out)
-        cols = [out.alias("_b"), "value"] if other is None else [out.alias("_b"), other.alias("_z"), "value"]
-        return lv.select(*cols).where(F.col("_b").isNotNull())
-
-    while any(b[4] > limit for b in todo):
-        big = [b for b in todo if b[4] > limit]
-        todo = [b for b in todo if b[4] <= limit]
+    def numbered(brackets):
+        """``(_b, value)`` of the rows inside a bracket."""
+        own: list = [[] for _ in groups]
+        for i, b in enumerate(brackets):
+            own[groups.index(b[0])].append({"low": b[1], "high": b[2], "b": i})
+        if all(len(o) <= 1 and all(x["low"] is None and x["high"] is None for x in o) for o in own):
+            place = F.get(F.from_json(F.lit(json.dumps([o[0]["b"] if o else None for o in own])), "array<int>"), F.col("_g"))
+        else:
+            table = F.from_json(F.lit(json.dumps(own)), "array<array<struct<low:double,high:double,b:int>>>",
+                                {"allowNonNumericNumbers": "true"})
+            inside = F.filter(F.get(table, F.col("_g")), lambda x: (x["low"].isNull() | (v > x["low"])) & (x["high"].isNull() | (v < x["high"])))
+            place = F.get(inside, F.lit(0))["b"]
+        return rows.select(place.alias("_b"), "value").where(F.col("_b").isNotNull())
+
+    def zone(edges):
+        """4 zones per interval — below a, at a, between, at b (equal ends: at a is skipped)."""
+        table = F.from_json(F.lit(json.dumps(edges)), "array<array<double>>", {"allowNonNumericNumbers": "true"})
+        return F.aggregate(F.get(table, F.col("_b")), F.lit(0), lambda s, e: s + (v >= e).cast("int") + (v > e).cast("int"))
+
+    def settle(values, b):
+        """Ranks of a bracket from its distinct values and their counts."""
+        acc, at = b[3], {}
+        for value, c in sorted(values):
+            for r in b[5]:
+                if acc < r <= acc + c:
+                    at[r] = value
+            acc += c
+        result.update({(b[0], r): at.get(r) for r in b[5]})
+
+    small = min(limit, SMALL_BRACKET)
+    while any(b[4] > small for b in todo):
+        big = [b for b in todo if b[4] > small]
+        todo = [b for b in todo if b[4] <= small]
         probs: list[float] = []
         spans = []  # for each bracket and rank the positions of its two probes
         for _, _, _, below, n, ranks in big:
             slack = 2 * n / accuracy + 1
             spans.append([])
             for r in ranks:
-                spans[-1].append((r, len(probs)))
-                probs += [min(1.0, max(0.0, (r - below + d * slack) / n)) for d in (-1, 1)]
+                at = [min(1.0, max(0.0, (r - below + d * slack) / n)) for d in (-1, 1)]
+                for p in at:
+                    if p not in probs:
+                        probs.append(p)
+                spans[-1].append((r, probs.index(at[0]), probs.index(at[1])))
         sketch = {r["_b"]: r["_q"] for r in numbered(big).groupBy("_b").agg(
             F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), accuracy)
             .alias("_q")).collect()}
         cuts = []  # disjoint [a, b] per bracket with their ranks
         for i, span in enumerate(spans):
             merged: list = []
-            for r, k in span:
-                lo, hi = sketch[i][k], sketch[i][k + 1]
+            for r, k, m in span:
+                lo, hi = sketch[i][k], sketch[i][m]
                 if merged and lo <= merged[-1][1]:
                     merged[-1] = (merged[-1][0], max(hi, merged[-1][1]), merged[-1][2] + [r])
                 else:
                     merged.append((lo, hi, [r]))
             cuts.append(merged)
-        # zone: 4 per interval — below a, at a, between, at b (equal ends: at a is skipped)
-        zone = F.lit(0)
-        for i, b in reversed(list(enumerate(big))):
-            z = sum(((v >= F.lit(x)).cast("int") + (v > F.lit(x)).cast("int")
-                     for lo, hi, _ in cuts[i] for x in (lo, hi)), F.lit(0))
-            zone = F.when(inside(b), z).otherwise(zone)
+        edges = [[x for lo, hi, _ in c for x in (lo, hi)] for c in cuts]
+        placed = numbered(big).select("_b", zone(edges).alias("_z"), "value")
+        # an interval of one rank holds at most 8 n / accuracy rows between its ends: where
+        # that is few, its values come with the counts
+        few = all(8 * b[4] / accuracy + 8 <= limit for b in big)
+        between = F.when((F.col("_z") % 4 == 2) & F.lit(few), v)
         counts: dict = {}
-        for r in numbered(big, zone).groupBy("_b", "_z").count().collect():
-            counts[(r["_b"], r["_z"])] = r["count"]
+        values: dict = {}
+        for r in placed.groupBy("_b", "_z", between.alias("value")).agg(F.count(F.lit(1)).alias("_c")).collect():
+            counts[(r["_b"], r["_z"])] = counts.get((r["_b"], r["_z"]), 0) + r["_c"]
+            values.setdefault((r["_b"], r["_z"]), []).append((r["value"], r["_c"]))
         for i, (grp, low, high, below, n, ranks) in enumerate(big):
-            width = 4 * len(cuts[i])
+            width = 2 * len(edges[i])
             acc = [below]
             for z in range(width + 1):
                 acc.append(acc[-1] + counts.get((i, z), 0))
-            edges = [x for lo, hi, _ in cuts[i] for x in (lo, hi)]
             opened: dict = {}
             for r in ranks:
                 z = next(z for z in range(width + 1) if acc[z + 1] >= r)
                 if z % 2:                     # at a probe
-                    result[(grp, r)] = edges[(z - 1) // 2]
-                elif z and edges[z // 2 - 1] == (edges[z // 2] if z < width else None):
-                    result[(grp, r)] = edges[z // 2]
+                    result[(grp, r)] = edges[i][(z - 1) // 2]
+                elif z and edges[i][z // 2 - 1] == (edges[i][z // 2] if z < width else None):
+                    result[(grp, r)] = edges[i][z // 2]
                 else:
                     opened.setdefault(z, []).append(r)
             for z, rs in opened.items():
-                lo = edges[z // 2 - 1] if z else low
-                hi = edges[z // 2] if z < width else high
-                todo.append((grp, lo, hi, acc[z], acc[z + 1] - acc[z], rs))
+                lo = edges[i][z // 2 - 1] if z else low
+                hi = edges[i][z // 2] if z < width else high
+                b = (grp, lo, hi, acc[z], acc[z + 1] - acc[z], rs)
+                if few and z % 4 == 2:
+                    settle(values[(i, z)], b)
+                else:
+                    todo.append(b)
     if todo:
         vals: dict = {}
         for r in numbered(todo).groupBy("_b", "value").agg(F.count(F.lit(1)).alias("_c")).collect():
             vals.setdefault(r["_b"], []).append((r["value"], r["_c"]))
-        for i, (grp, _, _, below, _, ranks) in enumerate(todo):
-            acc, at = below, {}
-            for value, c in sorted(vals.get(i, [])):
-                for r in ranks:
-                    if acc < r <= acc + c:
-                        at[r] = value
-                acc += c
-            result.update({(grp, r): at.get(r) for r in ranks})
+        for i, b in enumerate(todo):
+            settle(vals.get(i, []), b)
     return result
 
 
+def many_ranks(lv: DataFrame, wants: dict) -> dict:
+    """``exact_ranks`` for hundreds of ranks of groups ``column_name`` (numbers from 0): equal
+    values are counted together, running totals are taken over sorted buckets of
+    (group, value), and only the rows that hold a wanted rank are collected."""
+    spark = lv.sparkSession
+    counted = cut(lv.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c")))
+    running = prefix_sums(counted, ["column_name", "value"], ["c"])
+    before, start = {}, 0
+    for g in sorted(wants):
+        before[g] = start
+        start += wants[g][0]
+    asked = {g: np.array(sorted(r), np.int64) + before[g] for g, (_, r) in wants.items()}
+    shared = spark.sparkContext.broadcast(asked)   # as many numbers as are wanted
+
+    def run(batches):
+        for b in batches:
+            g, cum, c = (b.column(k).to_numpy() for k in ("column_name", "cum_c", "c"))
+            for one in np.unique(g):
+                ranks = shared.value.get(int(one), np.zeros(0, np.int64))
+                here = np.flatnonzero(g == one)
+                lo, hi = np.searchsorted(ranks, cum[here] - c[here], "right"), np.searchsorted(ranks, cum[here], "right")
+                n = hi - lo
+                at = np.repeat(here, n)
+                which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield pa.RecordBatch.from_arrays([b.column("column_name").take(pa.array(at)), pa.array(ranks[which]),
+                                                  b.column("value").take(pa.array(at))], names=["g", "r", "value"])
+
+    found = running.select("column_name", "value", "c", "cum_c").mapInArrow(run, "g int, r long, value double")
+    return {(r["g"], r["r"] - before[r["g"]]): r["value"] for r in found.collect()}
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               interpolation: str = "linear", approx: bool = False,
               accuracy: int = 10000) -> DataFrame:
-    """Exact quantiles of many numeric columns without sorting the data.
+    """Exact quantiles of many numeric columns: a few without sorting the data
+    (:func:`exact_ranks`), many by one sorted pass (:func:`many_ranks`).
 
     Returns long form ``(column_name, prob, value)``.  ``interpolation`` is
     ``linear`` (pandas / Spark ``percentile`` / DuckDB ``quantile_cont``) or
@@ -293,35 +363,41 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """
     spark = df.sparkSession
     probs = [float(p) for p in probs]
+    cols = list(cols)
     schema = "column_name string, prob double, value double"
-    lv = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
     if approx:
-        pa = F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), accuracy)
-        agg = lv.groupBy("column_name").agg(pa.alias("_q"))
+        lv = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+        pa_ = F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), accuracy)
+        agg = lv.groupBy("column_name").agg(pa_.alias("_q"))
         return agg.select("column_name", F.posexplode("_q").alias("_i", "value")).select(
             "column_name", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
             .alias("prob"), "value")
-    counts = {r["column_name"]: r["n"] for r in
-              lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not cols:
+        return spark.createDataFrame([], schema)
+    x = [F.col(c).cast("double") for c in cols]
+    valid = df.agg(*[F.count_if(v.isNotNull() & ~F.isnan(v)).alias(f"n{i}") for i, v in enumerate(x)]).first()
     plan = {}
-    wants = {}
-    for c in cols:
-        n = counts.get(c, 0)
+    wants: dict = {}
+    for i in range(len(cols)):
+        n = valid[i]
         if not n:
             continue
         for p in probs:
             lo, hi, frac = _target_ranks(n, p, interpolation)
-            plan[(c, p)] = (lo, hi, frac)
-            wants.setdefault(c, (n, set()))[1].update({lo, hi})
-    got = exact_ranks(lv, {g: (n, sorted(rs)) for g, (n, rs) in wants.items()})
+            plan[(i, p)] = (lo, hi, frac)
+            wants.setdefault(i, (n, set()))[1].update({lo, hi})
+    # columns by number: a row finds its brackets by place
+    lv = df.select(F.posexplode(F.array(*x)).alias("column_name", "value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    find = many_ranks if len(probs) > MANY_RANKS else exact_ranks
+    got = find(lv, {g: (n, sorted(rs)) for g, (n, rs) in wants.items()}) if wants else {}
     out = []
-    for c in cols:
+    for i, c in enumerate(cols):
         for p in probs:
-            if (c, p) not in plan:
+            if (i, p) not in plan:
                 out.append((c, p, None))
                 continue
-            lo, hi, frac = plan[(c, p)]
-            a, b = got[(c, lo)], got[(c, hi)]
+            lo, hi, frac = plan[(i, p)]
+            a, b = got[(i, lo)], got[(i, hi)]
             out.append((c, p, a + (b - a) * frac if frac else a))
     return spark.createDataFrame(out, schema)
 
