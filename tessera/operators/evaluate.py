@@ -1,7 +1,7 @@
 """Model evaluation: classification and regression metrics, curves, diagnostics.
 
-Every classification metric derives from one ``groupBy(label, prediction)``
-count (bounded by classes²).  Curves aggregate by distinct score first
+Every classification metric derives from one ``groupBy(label, prediction)`` count, summed
+by class and over the classes in Spark, however many there are.  Curves aggregate by distinct score first
 (partial aggregation collapses hot scores) and then take skew-safe prefix
 sums over the distinct scores.
 """
@@ -19,87 +19,78 @@ from ..plans.ordering import exact_ranks, long_values, prefix_sums
 EPS = 2.220446049250313e-16   # machine epsilon floor for MAPE denominators
 
 
-def confusion_counts(df: DataFrame, label: str, prediction: str) -> dict:
-    rows = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).count().collect()
-    return {(r["y"], r["p"]): r["count"] for r in rows}
-
-
-def _classes(cm: dict) -> list:
-    return sorted({k[0] for k in cm} | {k[1] for k in cm}, key=lambda v: (v is None, str(v)))
-
-
-def metrics_from_confusion(cm: dict) -> dict:
-    classes = _classes(cm)
-    n = sum(cm.values())
-    t = {c: sum(v for (y, p), v in cm.items() if y == c) for c in classes}
-    p = {c: sum(v for (y, q), v in cm.items() if q == c) for c in classes}
-    tp = {c: cm.get((c, c), 0) for c in classes}
-    correct = sum(tp.values())
-    acc = correct / n if n else 0.0
-    recalls = [tp[c] / t[c] for c in classes if t[c] > 0]
-    bal = sum(recalls) / len(recalls) if recalls else 0.0
-    f1s = []
-    for c in classes:
-        prec = tp[c] / p[c] if p[c] else 0.0
-        rec = tp[c] / t[c] if t[c] else 0.0
-        f1s.append(2 * prec * rec / (prec + rec) if prec + rec else 0.0)
-    f1_macro = sum(f1s) / len(f1s) if f1s else 0.0
-    sum_tp = sum(t[c] * p[c] for c in classes)
-    cov_ytyp = correct * n - sum_tp
-    cov_ypyp = n * n - sum(p[c] ** 2 for c in classes)
-    cov_ytyt = n * n - sum(t[c] ** 2 for c in classes)
-    den = cov_ytyt * cov_ypyp
-    mcc = cov_ytyp / math.sqrt(den) if den > 0 else 0.0
-    po = acc
-    pe = sum_tp / (n * n) if n else 0.0
-    kappa = (po - pe) / (1 - pe) if pe != 1 else 0.0
-    return {"accuracy": acc, "balanced_accuracy": bal, "f1_macro": f1_macro, "mcc": mcc,
-            "cohen_kappa": kappa, "n": n}
+def per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``(class, t, p, tp)``: rows of each class, rows predicted as it, and rows that are both;
+    null is a class.  Only a row per class results, and it stays in Spark."""
+    counts = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    n, none = F.col("n"), F.lit(0).cast("long")
+    both = F.when(F.col("y").eqNullSafe(F.col("p")), n).otherwise(none)
+    sides = F.array(F.struct(F.col("y").alias("class"), n.alias("t"), none.alias("p"), both.alias("tp")),
+                    F.struct(F.col("p").alias("class"), none.alias("t"), n.alias("p"), none.alias("tp")))
+    return counts.select(F.inline(sides)).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("t", "p", "tp")])
+
+
+def _rates(classes: DataFrame) -> DataFrame:
+    """Adds precision, recall and f1 (0 where there is nothing to divide by)."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = classes.withColumn("precision", share("tp", "p")).withColumn("recall", share("tp", "t"))
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
+def class_metrics(df: DataFrame, label: str, prediction: str) -> dict:
+    """Accuracy, balanced accuracy, macro F1, Matthews correlation and Cohen's kappa; sums over
+    the classes are taken in Spark, one row of them is read."""
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    r = _rates(per_class(df, label, prediction)).agg(
+        F.sum("t").alias("n"), F.sum("tp").alias("correct"), F.avg(F.when(F.col("t") > 0, F.col("recall"))).alias("recall"),
+        F.avg("f1").alias("f1"), F.sum(exact("t") * exact("p")).alias("tp"), F.sum(exact("t") * exact("t")).alias("tt"),
+        F.sum(exact("p") * exact("p")).alias("pp")).first()
+    n, correct = int(r["n"] or 0), int(r["correct"] or 0)
+    tp, tt, pp = (int(r[c] or 0) for c in ("tp", "tt", "pp"))
+    spread = (n * n - tt) * (n * n - pp)
+    accuracy = correct / n if n else 0.0
+    chance = tp / (n * n) if n else 0.0
+    return {"accuracy": accuracy, "balanced_accuracy": r["recall"] or 0.0, "f1_macro": r["f1"] or 0.0,
+            "mcc": (correct * n - tp) / math.sqrt(spread) if spread > 0 else 0.0,
+            "cohen_kappa": (accuracy - chance) / (1 - chance) if chance != 1 else 0.0, "n": n}
 
 
 def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    m = metrics_from_confusion(confusion_counts(df, label, prediction))
+    m = class_metrics(df, label, prediction)
     return df.sparkSession.createDataFrame(
-        [(m["accuracy"], m["balanced_accuracy"], m["f1_macro"], m["mcc"], m["cohen_kappa"],
-          int(m["n"]))],
+        [(m["accuracy"], m["balanced_accuracy"], m["f1_macro"], m["mcc"], m["cohen_kappa"], m["n"])],
         "accuracy double, balanced_accuracy double, f1_macro double, mcc double, "
         "cohen_kappa double, n long")
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Per class precision / recall / f1 / support, then macro and weighted avg."""
-    cm = confusion_counts(df, label, prediction)
-    classes = _classes(cm)
-    rows = []
-    n = sum(cm.values())
-    for c in classes:
-        tp = cm.get((c, c), 0)
-        t = sum(v for (y, _), v in cm.items() if y == c)
-        p = sum(v for (_, q), v in cm.items() if q == c)
-        prec = tp / p if p else 0.0
-        rec = tp / t if t else 0.0
-        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
-        rows.append((str(c), prec, rec, f1, t))
-    k = len(rows)
-    macro = tuple(sum(r[i] for r in rows) / k for i in (1, 2, 3))
-    weighted = tuple(sum(r[i] * r[4] for r in rows) / n for i in (1, 2, 3))
-    rows.append(("macro avg", *macro, n))
-    rows.append(("weighted avg", *weighted, n))
-    return df.sparkSession.createDataFrame(
-        rows, "class string, precision double, recall double, f1 double, support long")
+    """Per class precision / recall / f1 / support, then macro and weighted avg (null for a
+    table without rows)."""
+    rates = _rates(per_class(df, label, prediction))
+    parts = ("precision", "recall", "f1")
+    total = F.sum("t")
+    each = rates.select(F.coalesce(F.col("class").cast("string"), F.lit("None")).alias("class"), *parts, F.col("t").alias("support"))
+    macro = rates.agg(*[F.avg(c).alias(c) for c in parts], total.alias("support"))
+    weighted = rates.agg(*[F.try_divide(F.sum(F.col(c) * F.col("t")), total.cast("double")).alias(c) for c in parts], total.alias("support"))
+    named = lambda d, name: d.select(F.lit(name).alias("class"), *parts, "support")
+    return each.unionByName(named(macro, "macro avg")).unionByName(named(weighted, "weighted avg"))
+
+
+#: Parts that the cells of a class are dealt over.
+CELL_PARTS = 64
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """label × prediction counts, zero-filled over the union of classes.  Classes are
-    joined with classes (a row per cell is the result), the counts by their keys."""
+    """label × prediction counts, zero-filled over the union of classes (a row per cell is
+    the result).  Every class meets the others part by part, so no task makes all cells."""
     counts = df.groupBy(F.col(label).cast("string").alias("label"),
                         F.col(prediction).cast("string").alias("prediction")).count()
     classes = counts.select(F.explode(F.array("label", "prediction")).alias("class")).distinct()
-    cells = classes.select(F.col("class").alias("label"), F.lit(1).alias("one")).join(
-        classes.select(F.col("class").alias("prediction"), F.lit(1).alias("one")), "one")
-    same = cells["label"].eqNullSafe(counts["label"]) & cells["prediction"].eqNullSafe(counts["prediction"])
-    return cells.join(counts, same, "left").select(
-        cells["label"], cells["prediction"], F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    rows = classes.select(F.col("class").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(CELL_PARTS - 1))).alias("part"))
+    across = classes.select(F.col("class").alias("prediction"), F.pmod(F.xxhash64("class"), F.lit(CELL_PARTS)).cast("int").alias("part"))
+    zero = rows.join(across, "part").select("label", "prediction", F.lit(0).cast("long").alias("count"))
+    return zero.unionByName(counts).groupBy("label", "prediction").agg(F.sum("count").alias("count"))
 
 
 def _score_table(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:

@@ -15,8 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
+                                       RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
@@ -126,16 +126,6 @@ def make_estimator(model_type: str, problem: str, params: dict | None = None,
     if mt == "decision_tree":
         c = DecisionTreeClassifier if cls else DecisionTreeRegressor
         return c(seed=seed, **common, **_translate(c, params, problem))
-    if mt == "svm":
-        if cls:
-            p = {"maxIter": 100, "regParam": 1.0 / max(n_rows or 1, 1)}
-            p.update(_translate(LinearSVC, params, problem, n_rows))
-            svc = LinearSVC(**p)
-            if n_classes > 2:
-                return OneVsRest(classifier=svc, featuresCol=FEATURES, labelCol=LABEL)
-            return LinearSVC(**common, **p)
-        # ε-insensitive regression approximated by the Huber loss
-        return LinearRegression(loss="huber", **common)
     raise ValueError(f"{model_type} has no single pyspark.ml estimator")
 
 
@@ -146,42 +136,12 @@ def feature_stage(features: Sequence[str]) -> Transformer:
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 
-def rff_stage(n_in: int, n_out: int = 200, gamma: float | None = None, seed: int = 42,
-              degree: int | None = None) -> Transformer:
-    """Random Fourier features (rbf kernel) — or degree-2 products for the poly
-    kernel — written as SQL expressions over the coerced inputs ``_x_i``."""
-    if degree:
-        terms = [f"_x_{i} * _x_{j} AS `_k_{i}_{j}`" for i in range(n_in) for j in range(i, n_in)]
-        return SQLTransformer(statement="SELECT *, " + ", ".join(terms) + " FROM __THIS__")
-    g = gamma if gamma is not None else 1.0 / max(n_in, 1)
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2 * g), size=(n_out, n_in))
-    b = rng.uniform(0, 2 * math.pi, size=n_out)
-    s = math.sqrt(2.0 / n_out)
-    terms = []
-    for k in range(n_out):
-        lin = " + ".join(f"({float(W[k, i])!r}) * _x_{i}" for i in range(n_in))
-        terms.append(f"{float(s)!r} * cos({lin} + ({float(b[k])!r})) AS `_k_{k}`")
-    return SQLTransformer(statement="SELECT *, " + ", ".join(terms) + " FROM __THIS__")
-
-
 def build_pipeline(features: Sequence[str], model_type: str, problem: str, params=None,
                    n_classes: int = 2, n_rows: int | None = None, label: str | None = None,
                    seed: int = 42) -> Pipeline:
     features = list(features)
     stages = [feature_stage(features)]
     inputs = [f"_x_{i}" for i in range(len(features))]
-    kernel = (params or {}).get("kernel", "linear")
-    if canonical(model_type) == "svm" and kernel in ("rbf", "poly"):
-        st = rff_stage(len(features), degree=2 if kernel == "poly" else None,
-                       gamma=(params or {}).get("gamma") if isinstance(
-                           (params or {}).get("gamma"), (int, float)) else None, seed=seed)
-        stages.append(st)
-        if kernel == "poly":
-            inputs = inputs + [f"_k_{i}_{j}" for i in range(len(features))
-                               for j in range(i, len(features))]
-        else:
-            inputs = [f"_k_{k}" for k in range(200)]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="keep"))
     stages.append(make_estimator(model_type, problem, params, n_classes, n_rows, seed))
     return Pipeline(stages=stages)
@@ -203,7 +163,7 @@ def prepare_label(df: DataFrame, label: str, problem: str):
 
 def score(pred: DataFrame, problem: str) -> dict:
     if problem.lower().startswith("class"):
-        m = EV.metrics_from_confusion(EV.confusion_counts(pred, LABEL, PRED))
+        m = EV.class_metrics(pred, LABEL, PRED)
         return {"accuracy": m["accuracy"], "f1_macro": m["f1_macro"],
                 "balanced_accuracy": m["balanced_accuracy"], "mcc": m["mcc"]}
     y, p = F.col(LABEL), F.col(PRED)
@@ -290,15 +250,21 @@ def _meta_columns(t: DataFrame, k: int, n_classes: int) -> list[str]:
         [f"_p{i}_{j}" for j in range(1, n_classes)] if _is_array(t, i) else [f"_p{i}"])]
 
 
-def _fit_one(train_df, features, model_type, problem, params, n_classes, seed):
+def _fit_one(train_df, features, model_type, problem, params, n_classes, seed, only_score=False):
     """Fit on the rows given.  The penalty ``C`` counts losses, Spark's their mean:
-    models that take it need the number of training rows."""
+    models that take it need the number of training rows.  ``only_score``: class
+    probabilities that cost fits of their own are left out."""
     mt = canonical(model_type)
-    n_rows = train_df.count() if mt in ("logistic_regression", "svm", "voting", "stacking") else None
+    n_rows = train_df.count() if mt in ("logistic_regression", "voting", "stacking") else None
+    if mt == "svm":
+        from .svm import fit_svm
+        more = {"probability": False} if only_score else {}
+        return fit_svm(train_df, [feature_stage(features)], [f"_x_{i}" for i in range(len(features))], LABEL, problem,
+                       {**(params or {}), **more}, n_classes, seed, PRED)
     if mt == "knn":
         from .neighbors import KNNModel
         return KNNModel(features, (params or {}).get("n_neighbors", 5),
-                        (params or {}).get("weights", "uniform"), problem).fit(train_df)
+                        (params or {}).get("weights", "uniform"), problem, n_classes).fit(train_df)
     if mt in ("voting", "stacking"):
         bases = [build_pipeline(features, m, problem, None, n_classes, n_rows, seed=seed)
                  .fit(train_df) for m in ("random_forest", "gradient_boosting",
@@ -384,7 +350,7 @@ def cross_val_score(d: DataFrame, features, model_type, problem, params, key, me
 
     def run(i):
         tr, te = pairs[i]
-        m = _fit_one(tr, features, model_type, problem, params, n_classes, seed)
+        m = _fit_one(tr, features, model_type, problem, params, n_classes, seed, only_score=True)
         return i, score(m.transform(te), problem)[primary(problem)]
 
     with ThreadPoolExecutor(max_workers=min(kk, 4)) as ex:
@@ -414,7 +380,7 @@ def compare_models(df: DataFrame, features, label, problem="classification",
 
     def run(mt):
         try:
-            m = _fit_one(tr, features, mt, problem, (params or {}).get(mt), len(classes or []), seed)
+            m = _fit_one(tr, features, mt, problem, (params or {}).get(mt), len(classes or []), seed, only_score=True)
             s = score(m.transform(te), problem)
             return (mt, float(s[metric]), None)
         except Exception as exc:  # noqa: BLE001 - reported per model
@@ -432,17 +398,14 @@ def compare_models(df: DataFrame, features, label, problem="classification",
 
 def predict(model, df: DataFrame, classes=None) -> DataFrame:
     """Score a batch or streaming DataFrame; class indices mapped back to labels.
-    ``class_probabilities`` holds one number per class where the model has them (a
-    linear SVM: the logistic of its margin), null otherwise."""
+    ``class_probabilities`` holds one number per class where the model has them, null
+    otherwise."""
     out = model.transform(df)
     kinds = dict(out.dtypes)
     if kinds.get("probability") == "vector":
         proba = vector_to_array("probability")
     elif kinds.get("probability", "").startswith("array"):
         proba = F.col("probability")
-    elif kinds.get("rawPrediction") == "vector" and classes and len(classes) == 2:
-        margin = F.element_at(vector_to_array("rawPrediction"), 2)
-        proba = F.array(1 - 1 / (1 + F.exp(-margin)), 1 / (1 + F.exp(-margin)))
     else:
         proba = F.lit(None).cast("array<double>")
     out = out.withColumn("class_probabilities", proba)
@@ -483,7 +446,7 @@ def learning_curve(df: DataFrame, features, label, model_type="random_forest",
         f, fr = job
         tr = fd.where((F.col(FOLD) != f) & (F.col("_u") < fr))
         te = fd.where(F.col(FOLD) == f)
-        m = _fit_one(tr, features, model_type, problem, None, len(classes or []), seed)
+        m = _fit_one(tr, features, model_type, problem, None, len(classes or []), seed, only_score=True)
         met = primary(problem)
         return fr, score(m.transform(tr), problem)[met], score(m.transform(te), problem)[met]
 
