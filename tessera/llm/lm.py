@@ -52,7 +52,7 @@ SAMPLE = 1500
 #: Bytes of training text of one block, whose weights start from the first ones.
 TRAIN_BYTES = 16 << 20
 #: Bytes of text after which a block's subwords learn what its words did.
-SLICE = 1 << 20
+SLICE = 2 << 20
 _encoders: dict = {}
 
 
@@ -343,24 +343,20 @@ def train_on(model: Model, texts, path: str, epochs: int, rate: float) -> Model:
 
 
 def refine_on(model: Model, table: pa.Table, path: str, rate: float, size: int = 192) -> Model:
-    """One pass of Adagrad over every token of the texts.  Their distinct words are encoded
-    once; a slice's words get their vectors at its start and hand what they learnt to their
-    subwords at its end; windows do not overlap, as each token is to be learnt from once."""
+    """One pass of Adagrad over every token of the texts.  A slice's words get their vectors at
+    its start and hand what they learnt to their subwords at its end; windows do not overlap,
+    as each token is to be learnt from once."""
     sums = {k: np.full(getattr(model, k).shape, 1e-4, np.float32) for k in Model.PARTS}
     r = np.random.default_rng(1)
-    whole = Words.of(table.column("text"))
-    lex = Lexicon(whole, whole.hashes(lower=True), path)
-    cls = np.append(model.classes[lex.buckets][lex.code], END).astype(np.int64)
-    known, at = len(lex.n), 0
-    owner, root = np.repeat(np.arange(known), lex.n), np.sqrt(np.maximum(lex.n, 1)).astype(np.float32)
-    rows, spot = np.unique(np.append(lex.ids, ROWS), return_inverse=True)
     for part in slices(table, "text", SLICE):
-        first = whole.first[at:at + part.num_rows + 1]
-        at += part.num_rows
+        words = Words.of(part.column("text"))
+        lex = Lexicon(words, words.hashes(lower=True), path)
+        cls = np.append(model.classes[lex.buckets][lex.code], END).astype(np.int64)
+        known = len(lex.n)
         vec = np.zeros((known + 2, WIDTH), np.float32)   # words, begin, padding
         vec[:known], vec[known] = model.vectors(lex.ids, lex.n), model.emb[ROWS]
         learnt = np.zeros_like(vec)
-        todo = list(batches(first, lex.code, known, size, 0))
+        todo = list(batches(words.first, lex.code, known, size, 0))
         for i in r.permutation(len(todo)):
             _, x, word, scored, end = todo[i]
             target = cls[np.where(end | ~scored, len(cls) - 1, np.minimum(word, len(cls) - 1))]
@@ -369,15 +365,18 @@ def refine_on(model: Model, table: pa.Table, path: str, rate: float, size: int =
             for key, grad in g.items():
                 sums[key] += grad ** 2
                 getattr(model, key)[...] -= rate * grad / np.sqrt(sums[key])
+        owner = np.repeat(np.arange(known), lex.n)
+        rows, spot = np.unique(np.append(lex.ids, ROWS), return_inverse=True)
         grad = np.zeros((len(rows), WIDTH), np.float32)
-        _add_rows(grad, spot, np.concatenate([(learnt[:known] / root[:, None])[owner], learnt[known][None]]))
+        _add_rows(grad, spot, np.concatenate([(learnt[:known] / np.sqrt(np.maximum(lex.n, 1))[:, None])[owner], learnt[known][None]]))
         sums["emb"][rows] += grad ** 2
         model.emb[rows] -= rate * grad / np.sqrt(sums["emb"][rows])
     return model
 
 
 def _add_rows(out: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    o = np.argsort(index, kind="stable")
+    # short numbers are sorted by their digits
+    o = np.argsort(index.astype(np.uint16) if len(out) <= 1 << 16 else index, kind="stable")
     i = index[o]
     head = np.flatnonzero(np.diff(i, prepend=-1))
     if len(head):

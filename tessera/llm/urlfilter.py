@@ -178,11 +178,10 @@ def with_rules(rows: DataFrame, rules: DataFrame, literal_bytes: int = LITERAL_B
         .drop("best", "rules")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url",
+def judge(pages: DataFrame, weights: Sequence[int], rules: DataFrame, id_col: str = "page_id", url: str = "url",
           threshold: float = 0.5, literal_bytes: int = LITERAL_BYTES) -> DataFrame:
-    """``id_col, host, path, rule, verdict, score`` for every row; score: the model's
-    probability that the url is to be blocked, which decides where no rule fits."""
-    weights = train(labelled)
+    """``id_col, host, path, rule, verdict, score`` for every row; score: the probability that
+    the url is to be blocked by the ``weights`` of ``train``, which decides where no rule fits."""
     rows = featured(pages.select(F.col(id_col).alias("id"), F.col(url).alias("u")), "u") \
         .withColumn("score", probability(weights)).drop("x", "u")
     return with_rules(rows, rules, literal_bytes).select(
@@ -191,7 +190,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: DataFrame, id_col: str =
 
 
 def op12_urls(spark, sf_dir):
-    return judge(table(spark, sf_dir, "pages"), labelled_urls(spark), rule_table(spark))
+    return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)), rule_table(spark))
 
 
 def _sql() -> str:

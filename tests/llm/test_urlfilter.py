@@ -44,6 +44,11 @@ def fit():
     return w
 
 
+@pytest.fixture(scope="module")
+def weights():
+    return fit()
+
+
 def rule_of(host, path, rules=RULES):
     fits = [(len(h + p), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[1:] if fits else (None, None)
@@ -59,13 +64,13 @@ def some():
                    "http://" + "a." * 3000 + "net/" + "p/" * 20000, "http://" + "z" * 50000]
 
 
-def test_parts_rules_and_scores(spark):
+def test_parts_rules_and_scores(spark, weights):
     urls = some()
     df = spark.createDataFrame([(i, u, "html", 1, "x") for i, u in enumerate(urls)] + [(None, urls[0], "h", 2, "y"), (3, urls[3], "h", 1, "x")],
                                "page_id long, url string, html string, score int, rule string").repartition(4)
-    w = fit()
-    assert train(labelled_urls(spark)) == w
-    got = judge(df, labelled_urls(spark), rule_table(spark)).collect()
+    w = train(labelled_urls(spark))
+    assert w == weights
+    got = judge(df, w, rule_table(spark)).collect()
     assert len(got) == len(urls) + 2
     by_id = {r.page_id: r for r in got if r.page_id is not None}
     for i, u in enumerate(urls):
@@ -76,12 +81,12 @@ def test_parts_rules_and_scores(spark):
         assert r.score == pytest.approx(p, abs=1e-9) and r.verdict == (verdict or ("block" if p >= 0.5 else "allow"))
 
 
-def test_many_rules_by_join_give_the_same(spark):
+def test_many_rules_by_join_give_the_same(spark, weights):
     rules = [(f"h{i}.test", f"/{i % 3}/", "block") for i in range(50)] + list(RULES) + [("test", "/0/", "allow"), ("h3.test", "/", "allow")]
     rows = [(i, f"http://{'www.' * (i % 3)}h{i % 60}.test/{i % 4}/x") for i in range(300)] + [(500, None), (501, "http://a.b.org/fr/")]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    few = judge(df, labelled_urls(spark), rule_table(spark, rules)).collect()
-    many = judge(df, labelled_urls(spark), rule_table(spark, rules), literal_bytes=0).collect()
+    few = judge(df, weights, rule_table(spark, rules)).collect()
+    many = judge(df, weights, rule_table(spark, rules), literal_bytes=0).collect()
     assert sorted(map(str, few)) == sorted(map(str, many))
     for r in few:
         assert (r.rule is None) == (rule_of(r.host, r.path, rules)[0] is None)
@@ -89,14 +94,14 @@ def test_many_rules_by_join_give_the_same(spark):
             assert (r.verdict, r.rule) == rule_of(r.host, r.path, rules)
 
 
-def test_learns_what_it_was_shown_and_more(spark):
+def test_learns_what_it_was_shown_and_more(spark, weights):
     got = judge(labelled_urls(spark).withColumnRenamed("url", "u").withColumnRenamed("label", "page_id"),
-                labelled_urls(spark), rule_table(spark, ()), url="u").collect()
+                weights, rule_table(spark, ()), url="u").collect()
     assert all((r.verdict == "block") == (r.page_id == 1) for r in got)
     urls = {"http://mega-casino.org/": "block", "https://www.cheap-pills-shop.com/buy": "block", "http://city-museum.org/en/tickets": "allow",
             "https://blog.weatherman.org/en/12": "allow", "http://best-bets.org/odds": "block", "http://school-books.org/en/3": "allow"}
     df = spark.createDataFrame(list(urls.items()), "url string, page_id string")
-    assert all(r.verdict == r.page_id for r in judge(df, labelled_urls(spark), rule_table(spark, ())).collect())
+    assert all(r.verdict == r.page_id for r in judge(df, weights, rule_table(spark, ())).collect())
 
 
 def test_labels_left_out_one_by_one_are_mostly_found():
@@ -118,9 +123,10 @@ def test_native_plan_only(spark):
     assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, weights):
     none = spark.createDataFrame([], "page_id long, url string")
-    assert judge(none, labelled_urls(spark), rule_table(spark)).count() == 0
+    assert judge(none, weights, rule_table(spark)).count() == 0
     one = spark.createDataFrame([(1, "http://casino.test/")], "page_id long, url string")
-    got = judge(one, labelled_urls(spark).where("false"), rule_table(spark).where("false")).collect()
+    untrained = train(labelled_urls(spark).where("false"), rounds=2)
+    got = judge(one, untrained, rule_table(spark).where("false")).collect()
     assert [(r.rule, r.verdict, r.score) for r in got] == [(None, "block", 0.5)]
