@@ -169,26 +169,35 @@ class Packing:
             F.lit((1 << self.bits) - 1))
 
 
-def _runs(batches):
+def _runs(batches, vocabulary):
     """Each block's word numbers in order (0: too rare), and which word and its follower make
-    a pair: both count, and no piece ends between them."""
+    a pair: both count, and no piece ends between them.  ``vocabulary``: a broadcast of each
+    language's words and the number of the first; None where blocks bring the numbers."""
     for batch in batches:
-        for local, ids, tokens, stops in zip(*(batch.column(c) for c in ("local", "ids", "tokens", "stops"))):
+        for i in range(batch.num_rows):
+            tokens, stops = batch.column("tokens")[i], batch.column("stops")[i]
+            if vocabulary is None:
+                local, ids = (ints(batch.column(c)[i].values) for c in ("local", "ids"))
+            else:
+                names, first = vocabulary.value.get(batch.column("lang")[i].as_py(), (pa.array([], pa.string()), 1))
+                at = pc.index_in(batch.column("words")[i].values, value_set=names).fill_null(-1).to_numpy()
+                local = np.flatnonzero(at >= 0)
+                ids = at[local].astype(np.int64) + first
             code = _numbers(tokens.as_buffer())
             n = len(code)
             last = np.unpackbits(np.frombuffer(stops.as_buffer(), np.uint8), count=n).astype(bool)
             number = np.zeros(int(code.max()) + 1, np.int64)
-            number[ints(local.values)] = ints(ids.values)
+            number[local] = ids
             run = number[code]
             pair = np.zeros(n, bool)
             pair[:-1] = (run[:-1] > 0) & (run[1:] > 0) & ~last[:-1]
             yield run, pair
 
 
-def _pairs(packing: Packing):
+def _pairs(packing: Packing, vocabulary):
     """Blocks → their distinct pairs of words, packed in one long, and how often each occurs."""
     def run(batches):
-        for ids, pair in _runs(batches):
+        for ids, pair in _runs(batches, vocabulary):
             at = np.flatnonzero(pair)
             keys, counts = np.unique(ids[at] << packing._shift(0) | ids[at + 1] << packing._shift(1), return_counts=True)
             if len(keys):
@@ -196,11 +205,11 @@ def _pairs(packing: Packing):
     return run
 
 
-def _windows(packing: Packing, frequent):
+def _windows(packing: Packing, vocabulary, frequent):
     """Blocks → distinct windows of two words or more with their count in the block.  A window
     ends where a pair is not ``frequent`` (a broadcast of sorted pairs; None: not known)."""
     def run(batches):
-        for ids, pair in _runs(batches):
+        for ids, pair in _runs(batches, vocabulary):
             n = len(ids)
             if frequent is not None and len(frequent.value):
                 at = np.flatnonzero(pair)
@@ -230,21 +239,6 @@ def _windows(packing: Packing, frequent):
     return run
 
 
-def _known(shared):
-    """Blocks → the numbers of those of their words that have one."""
-    def run(batches):
-        for batch in batches:
-            for lang, words, tokens, stops in zip(*(batch.column(c) for c in ("lang", "words", "tokens", "stops"))):
-                names, first = shared.value.get(lang.as_py(), (pa.array([], pa.string()), 1))
-                at = pc.index_in(words.values, value_set=names).fill_null(-1).to_numpy()
-                local = np.flatnonzero(at >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(x)) for x in (local.astype(np.int32), at[local].astype(np.int64) + first)]
-                    + [pa.array([tokens.as_py()], pa.binary()), pa.array([stops.as_py()], pa.binary())],
-                    names=["local", "ids", "tokens", "stops"])
-    return run
-
-
 def _count_runs(packing: Packing, min_count: int):
     """Windows in prefix order → phrases with their counts.  What the partition's edges cut
     is given whatever its count; all else only from ``min_count``."""
@@ -385,9 +379,9 @@ def vocabulary(blocks: DataFrame, min_count: int) -> DataFrame:
                  .select(F.col(RANK).alias("id"), "lang", "word", "f", "total"))
 
 
-def numbered(blocks: DataFrame, words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Blocks ``(local, ids, tokens, stops)`` with the numbers of their words: looked up in the
-    vocabulary where its size allows to send it everywhere, asked for in a join beyond."""
+def numbered(blocks: DataFrame, words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
+    """Blocks and a broadcast vocabulary where its size allows to send it everywhere; beyond,
+    blocks ``(local, ids, tokens, stops)`` with the numbers of their words, and None."""
     size = words.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
     if size <= broadcast_bytes:
         table: dict = {}
@@ -395,30 +389,29 @@ def numbered(blocks: DataFrame, words: DataFrame, broadcast_bytes: int = BROADCA
         for r in words.orderBy("id").select("id", "lang", "word").toLocalIterator():
             table.setdefault(r["lang"], (r["id"], []))[1].append(r["word"])
         shared = blocks.sparkSession.sparkContext.broadcast({k: (pa.array(w, pa.string()), i) for k, (i, w) in table.items()})
-        return blocks.select("lang", "words", "tokens", "stops").mapInArrow(
-            _known(shared), "local array<int>, ids array<long>, tokens binary, stops binary")
+        return blocks.select("lang", "words", "tokens", "stops"), shared
     asked = blocks.select("block", "lang", F.posexplode("words").alias("local", "word")) \
         .join(words.select("lang", "word", "id").hint("merge"), ["lang", "word"])
     known = asked.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("w")) \
         .select("block", F.col("w.local").alias("local"), F.col("w.id").alias("ids"))
     return store(blocks.select("block", "tokens", "stops").join(known.hint("merge"), "block")
-                 .select("local", "ids", "tokens", "stops"))
+                 .select("local", "ids", "tokens", "stops")), None
 
 
 def phrases(blocks: DataFrame, words: DataFrame, packing: Packing, min_count: int,
             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(p..., s..., n, f)`` of all phrases of 1 to 5 words that reach ``min_count``:
     packed in order (``p``) and reversed (``s``)."""
-    coded = numbered(blocks, words, broadcast_bytes)
+    coded, vocabulary_ = numbered(blocks, words, broadcast_bytes)
     keys = packing.names("p")
     frequent = None
     if packing.per > 1:
-        pairs = store(coded.mapInArrow(_pairs(packing), "p0 long, f long").groupBy("p0").agg(F.sum("f").alias("f"))
+        pairs = store(coded.mapInArrow(_pairs(packing, vocabulary_), "p0 long, f long").groupBy("p0").agg(F.sum("f").alias("f"))
                       .where(F.col("f") >= min_count).select("p0"))
         if 8 * pairs.count() <= broadcast_bytes:
             frequent = blocks.sparkSession.sparkContext.broadcast(
                 np.sort(np.array([r["p0"] for r in pairs.collect()], np.int64)))
-    windows = coded.mapInArrow(_windows(packing, frequent), ", ".join(f"{c} long" for c in [*keys, "f"]))
+    windows = coded.mapInArrow(_windows(packing, vocabulary_, frequent), ", ".join(f"{c} long" for c in [*keys, "f"]))
     sorted_ = windows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     counted = sorted_.mapInArrow(_count_runs(packing, min_count),
                                  ", ".join([f"{c} long" for c in keys] + ["n int", "f long"])) \
