@@ -4,8 +4,10 @@
 * ``isolation_forest``: per-tree samples of ≤ 256 rows chosen by seeded
   hashes (candidates filtered by hash first, so no tree's sample scales with
   the table), trees grown in ``applyInPandas`` (one group per tree), then a
-  vectorised ``mapInPandas`` scoring pass over all rows.  Threshold = exact
-  score quantile at the contamination rate.
+  ``mapInPandas`` scoring pass in which a batch of rows walks down all trees at
+  once.  Threshold = exact score quantile at the contamination rate.
+* ``grouped_forest``: univariate forests for many groups in one pass; the series
+  anomalies and the outliers of many columns use it.
 * ``one_class_svm``: random Fourier features (Rahimi & Recht 2007) and a
   primal ν-one-class objective minimised by full-batch subgradient steps, each
   step one aggregate over the table.
@@ -18,13 +20,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import coerce_numeric, numeric_cols
+from ..plans.joins import MAX_BROADCAST_BYTES
 from ..plans.lineage import cut
-from ..plans.ordering import quantile_table
+from ..plans.ordering import GROUP_N, RANK, quantile_table, ranked
 from .scale import fit_scale
 
 
@@ -36,18 +40,22 @@ def outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
     (interpolated quartiles); zscore: |x − mean| / sample std > t."""
     cols = list(cols) if cols else numeric_cols(df, exclude=[key] if key else [])
     if method == "isolation_forest":
-        # per-column univariate forest (contamination 0.1); needs a row key
+        # univariate forests of all columns in one pass (contamination 0.1); needs a row key
         if key is None:
             raise ValueError("the forest variant needs a key column")
-        rows = []
-        for c in cols:
-            sub = df.select(key, c).where(F.col(c).isNotNull())
-            flagged = isolation_forest(sub, [c], key, contamination=0.1)
-            r = flagged.agg(F.sum(F.col("is_anomaly").cast("long")).alias("m"),
-                            F.count(F.lit(1)).alias("n")).first()
-            rows.append((c, int(r["m"] or 0), (r["m"] or 0) / r["n"] * 100.0 if r["n"] else 0.0))
-        return df.sparkSession.createDataFrame(
-            rows, "column_name string, outlier_count long, outlier_pct double")
+        long = df.select(F.col(key).alias("_id"), F.inline(F.array(*[F.struct(
+            F.lit(c).alias("column_name"), coerce_numeric(c).cast("double").alias("value")) for c in cols]))) \
+            .where((F.abs(F.col("value")) < float("inf")) & ~F.isnan("value"))
+        flagged = cut(grouped_forest(long, ["column_name"], "_id", "value", contamination=0.1))
+        counts = flagged.groupBy("column_name").agg(F.count_if("is_anomaly").alias("outlier_count"),
+                                                    (F.count_if("is_anomaly") / F.count(F.lit(1)) * 100.0).alias("outlier_pct"))
+        first = Window.partitionBy("column_name").orderBy("_id")
+        ids = flagged.where("is_anomaly").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_ids) \
+            .groupBy("column_name").agg(F.sort_array(F.collect_list("_id")).alias("outlier_ids"))
+        every = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+        return every.join(counts, "column_name", "left").join(ids, "column_name", "left").select(
+            "column_name", F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"),
+            F.coalesce("outlier_pct", F.lit(0.0)).alias("outlier_pct"), "outlier_ids")
     conds = {}
     if method == "iqr":
         qt = quantile_table(df, cols, [0.25, 0.75], "linear")
@@ -98,16 +106,16 @@ def _c(n: int) -> float:
 
 
 def _grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Isolation tree as flat arrays (feature, threshold, left, right, size)."""
-    feat, thr, left, right, size = [], [], [], [], []
+    """Isolation tree as flat arrays: feature and threshold of each node, its two children
+    (a leaf's are itself) and the path length that ends in it."""
+    feat, thr, kids, length = [], [], [], []
 
     def node(idx, depth):
         i = len(feat)
-        feat.append(-1)
+        feat.append(0)
         thr.append(0.0)
-        left.append(-1)
-        right.append(-1)
-        size.append(len(idx))
+        kids.extend((i, i))
+        length.append(depth + _c(len(idx)))
         if depth >= max_depth or len(idx) <= 1:
             return i
         sub = X[idx]
@@ -118,30 +126,37 @@ def _grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
         f = int(rng.choice(cand))
         t = float(rng.uniform(lo[f], hi[f]))
         feat[i], thr[i] = f, t
-        li = idx[sub[:, f] < t]
-        ri = idx[sub[:, f] >= t]
-        left[i] = node(li, depth + 1)
-        right[i] = node(ri, depth + 1)
+        kids[2 * i] = node(idx[sub[:, f] < t], depth + 1)
+        kids[2 * i + 1] = node(idx[sub[:, f] >= t], depth + 1)
         return i
 
     node(np.arange(len(X)), 0)
-    return feat, thr, left, right, size
+    return feat, thr, kids, length
+
+
+class Forest:
+    """Trees one after the other in flat arrays; rows walk down all of them at once."""
 
+    def __init__(self, feat, thr, kids, length, start):
+        self.feat, self.kids, self.start = (np.asarray(a, np.int64) for a in (feat, kids, start))
+        self.thr, self.length = np.asarray(thr, float), np.asarray(length, float)
 
-def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, size = (np.asarray(a) for a in tree)
-    cur = np.zeros(len(X), dtype=np.int64)
-    depth = np.zeros(len(X))
-    active = feat[cur] >= 0
-    while active.any():
-        f = feat[cur[active]]
-        go_left = X[active, f] < thr[cur[active]]
-        nxt = np.where(go_left, left[cur[active]], right[cur[active]])
-        cur[active] = nxt
-        depth[active] += 1
-        active = feat[cur] >= 0
-    leaf_sizes = size[cur]
-    return depth + np.array([_c(int(s)) for s in leaf_sizes])
+    @classmethod
+    def of(cls, trees) -> "Forest":
+        at = np.cumsum([0] + [len(t[0]) for t in trees])[:-1]
+        return cls(*[np.concatenate([np.asarray(t[k]) + (o if k == 2 else 0) for t, o in zip(trees, at)]) for k in range(4)], at)
+
+    def mean_length(self, X: np.ndarray, depth: int, step: int = 4096) -> np.ndarray:
+        """Mean path length of each row; ``depth``: of the deepest tree."""
+        out = np.empty(len(X))
+        for lo in range(0, len(X), step):
+            x = X[lo:lo + step]
+            rows = np.arange(len(x))[:, None]
+            at = np.repeat(self.start[None, :], len(x), 0)
+            for _ in range(depth):
+                at = self.kids[2 * at + (x[rows, self.feat[at]] >= self.thr[at])]
+            out[lo:lo + step] = self.length[at].mean(1)
+        return out
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int = 100,
@@ -175,28 +190,24 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int
     cand = cand.dropDuplicates(["_tree", key]).withColumn(
         "_h", F.pmod(F.xxhash64(F.col(key), F.col("_tree"), F.lit(seed + 2)), F.lit(2 ** 31)))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    tree_schema = ("_tree int, feat array<int>, thr array<double>, left array<int>, "
-                   "right array<int>, size array<int>")
+    tree_schema = "_tree int, feat array<int>, thr array<double>, kids array<int>, length array<double>"
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", key]).head(psi)
         t = int(pdf["_tree"].iloc[0])
         X = pdf[fcols].to_numpy(dtype=float)
         rng = np.random.default_rng(seed * 100003 + t)
-        f, th, lf, rt, sz = _grow_tree(X, rng, max_depth)
-        return pd.DataFrame([{"_tree": t, "feat": f, "thr": th, "left": lf, "right": rt,
-                              "size": sz}])
+        return pd.DataFrame([dict(zip(("_tree", "feat", "thr", "kids", "length"), (t, *_grow_tree(X, rng, max_depth))))])
 
     forest = cand.groupBy("_tree").applyInPandas(grow, tree_schema).collect()
-    model = [(r["feat"], r["thr"], r["left"], r["right"], r["size"]) for r in forest]
+    model = Forest.of([r[1:] for r in sorted(forest)]) if forest else None
     cn = _c(psi)
-    bc = df.sparkSession.sparkContext.broadcast(model)
+    bc = df.sparkSession.sparkContext.broadcast(model)  # at most trees x 2 x sample nodes
 
     def score(it):
-        trees_ = bc.value
         for pdf in it:
             X = pdf[fcols].to_numpy(dtype=float)
-            h = np.mean([_path_lengths(X, t) for t in trees_], axis=0) if len(X) else np.array([])
+            h = bc.value.mean_length(X, max_depth)
             out = pdf.drop(columns=fcols)
             out["anomaly_score"] = 2.0 ** (-h / cn)
             yield out
@@ -210,6 +221,114 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(t))
 
 
+#: Rows of a series that its trees draw their samples from; rows of one copy of its trees.
+CANDIDATES, ROWS_A_COPY = 1000, 1_000_000
+
+
+def grouped_forest(rows: DataFrame, by: Sequence[str], id_col: str, value: str, n_trees: int = 100, sample_size: int = 256,
+                   contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """A univariate forest for every group, all in one pass: ``rows`` with ``score`` (the higher
+    the more ordinary; below 0 for the ``contamination`` share) and ``is_anomaly``.
+
+    A group's trees draw their samples from at most ``CANDIDATES`` of its rows, chosen by
+    hash.  Trees and rows meet sorted by group, trees first; a group of many rows has
+    several copies of its trees, and its rows are dealt over them.  The threshold is the exact
+    quantile of each group's scores.  ``id_col`` is unique within a group; groups are not
+    null, values neither null nor NaN or infinite."""
+    by = list(by)
+    if "_forest" in by:
+        raise ValueError("_forest is taken")
+    own = cut(rows)
+    pick = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    few = own.select(*by, F.col(value).cast("double").alias("_v"), F.row_number().over(pick).alias("_n")).where(F.col("_n") <= CANDIDATES)
+
+    def grow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_n")
+        x = t.column("_v").to_numpy()[:, None]
+        psi = min(sample_size, len(x))
+        depth = int(math.ceil(math.log2(max(psi, 2))))
+        trees = []
+        for k in range(n_trees):
+            rng = np.random.default_rng([seed, k])
+            trees.append(_grow_tree(x[rng.choice(len(x), psi, replace=False)], rng, depth))
+        f = Forest.of(trees)
+        columns = {"thr": (f.thr, pa.float64()), "kids": (f.kids, pa.int64()), "length": (f.length, pa.float64()), "start": (f.start, pa.int64())}
+        return pa.table({**{c: t.column(c)[:1] for c in by}, "psi": pa.array([psi], pa.int32()),
+                         **{c: pa.array([a], pa.list_(k)) for c, (a, k) in columns.items()}})
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    trees = cut(few.groupBy(*by).applyInArrow(
+        lambda t: grow(t), f"{kinds}, psi int, thr array<double>, kids array<long>, length array<double>, start array<long>")
+        .withColumn("_forest", F.monotonically_increasing_id()))
+    sizes = own.groupBy(*by).agg((F.floor((F.count(F.lit(1)) - 1) / ROWS_A_COPY) + 1).cast("int").alias("_copies"))
+    known = trees.select(*by, "_forest").join(sizes, by)
+    small = known.agg(F.sum(F.length(F.to_json(F.struct(*by))) + 16)).first()[0] or 0
+    known = F.broadcast(known) if small <= MAX_BROADCAST_BYTES else known
+    asks = own.join(known, by).select(*own.columns, "_forest", F.pmod(
+        F.xxhash64(id_col), F.col("_copies")).cast("int").alias("_copy"))
+    models = trees.join(known.select("_forest", "_copies"), "_forest") \
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop(*by, "_copies")
+    both = models.withColumn("_kind", F.lit(0)).unionByName(asks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("_forest", "_copy").sortWithinPartitions("_forest", "_copy", "_kind")
+    names = own.columns
+
+    def run(batches):
+        at, forest, psi = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            number, copy, kind = (b.column(c).to_numpy() for c in ("_forest", "_copy", "_kind"))
+            turn = (np.diff(number) != 0) | (np.diff(copy) != 0) | (np.diff(kind) != 0)
+            edges = [0, *(np.flatnonzero(turn) + 1), len(kind)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if kind[lo] == 0:
+                    at, psi = (number[lo], copy[lo]), b.column("psi")[lo].as_py()
+                    arrays = [b.column(c)[lo].values.to_numpy(zero_copy_only=False) for c in ("thr", "kids", "length", "start")]
+                    forest = Forest(np.zeros(len(arrays[0])), *arrays)
+                elif at == (number[lo], copy[lo]):
+                    part = b.slice(lo, hi - lo).select(names)
+                    x = part.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None]
+                    h = forest.mean_length(x, int(math.ceil(math.log2(max(psi, 2)))))
+                    score = 2.0 ** (-h / _c(psi)) if psi > 1 else np.full(len(x), 0.5)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*names, "_score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    scored = cut(dealt.mapInArrow(run, f"{kinds}, _score double"))
+    placed = cut(ranked(scored, ["_score", id_col], by=by))
+    spot = (F.col(GROUP_N) - 1) * (1.0 - contamination)
+    ends = placed.select(*by, "_score", F.col(RANK).alias("_r"), spot.alias("_s")).where(
+        (F.col("_r") == F.floor("_s") + 1) | (F.col("_r") == F.ceil("_s") + 1)).groupBy(*by).agg(
+        (F.min("_score") + (F.max("_score") - F.min("_score")) * (F.max("_s") - F.floor(F.max("_s")))).alias("_limit"))
+    ends = F.broadcast(ends) if small <= MAX_BROADCAST_BYTES else ends
+    return placed.join(ends, by).select(
+        *names, (F.col("_limit") - F.col("_score")).alias("score"), (F.col("_score") > F.col("_limit")).alias("is_anomaly"))
+
+
+def series_anomalies(df: DataFrame, value: str, order: str, by: Sequence[str] = (), contamination: float = 0.05,
+                     min_points: int = 10, n_trees: int = 100, seed: int = 42) -> DataFrame:
+    """``by..., index, order, value, score, is_anomaly, status`` for every present value of
+    every series; ``index`` counts them from 0 in ``order``.  A series of fewer than
+    ``min_points`` values has one row, with status ``too_short``.  Equal places in the order
+    are put in the order of their values."""
+    by = list(by)
+    x = coerce_numeric(value).cast("double")
+    # a series is known by a text that null parts have too
+    series = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = df.select(*by, series.alias("_series"), F.col(order), x.alias("value")) \
+        .where((F.abs(F.col("value")) < float("inf")) & ~F.isnan("value"))
+    placed = cut(ranked(rows, [order, "value"], by=["_series"]).withColumn("index", F.col(RANK) - 1).drop(RANK))
+    long = placed.where(F.col(GROUP_N) >= min_points).drop(GROUP_N)
+    found = grouped_forest(long, ["_series"], "index", "value", n_trees, contamination=contamination, seed=seed)
+    ok = found.select(*by, "index", order, "value", "score", "is_anomaly", F.lit("ok").alias("status"))
+    # every series of the table, also one without any value
+    counted = df.select(*by, F.when((F.abs(x) < float("inf")) & ~F.isnan(x), 1).alias("one"))
+    counted = counted.groupBy(*by).agg(F.count("one").alias("n")) if by else counted.agg(F.count("one").alias("n"))
+    short = counted.where(F.col("n") < min_points)
+    blank = lambda c: F.lit(None).cast(ok.schema[c].dataType).alias(c)
+    return ok.unionByName(short.select(*by, *[blank(c) for c in ("index", order, "value", "score", "is_anomaly")],
+                                       F.lit("too_short").alias("status")))
+
+
 def one_class_svm(df: DataFrame, cols: Sequence[str], key: str, nu: float = 0.1,
                   gamma: float | None = None, n_features: int = 64, iters: int = 30,
                   seed: int = 42) -> DataFrame:

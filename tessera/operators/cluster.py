@@ -4,7 +4,7 @@ Inputs are standardised first (population std).  k-means and bisecting
 k-means are ``pyspark.ml``; Ward clustering agglomerates at most ``m``
 weighted k-means micro-clusters (exact grouping when rows ≤ m); spectral
 clustering is power iteration (Lin & Cohen 2010) on exact k-NN affinity
-edges; DBSCAN is the join-based operator in :mod:`neighbors`.
+edges; DBSCAN is the join-based operator in :mod:`neighbors`, HDBSCAN that of :mod:`hdbscan`.
 
 Quality indices come from per-cluster aggregates (count, Σx, Σ‖x‖²) — O(n·k),
 never all pairs.  The silhouette is the squared-Euclidean form that these
@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import coerce_numeric
+from ..plans.lineage import cut
 from .scale import fit_scale
 
-VEC = "_features"
+VEC, ROW = "_features", "_row_number"
 
 
 def standardized(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -41,72 +42,82 @@ def _vec(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _ward(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration of weighted points down to k groups → group per point."""
-    groups = {i: [i] for i in range(len(centers))}
-    cen = {i: centers[i].astype(float) for i in range(len(centers))}
-    w = {i: float(weights[i]) for i in range(len(centers))}
-    while len(groups) > k:
-        keys = sorted(groups)
-        best = None
-        for ai, a in enumerate(keys):
-            for b in keys[ai + 1:]:
-                cost = w[a] * w[b] / (w[a] + w[b]) * float(np.sum((cen[a] - cen[b]) ** 2))
-                if best is None or cost < best[0]:
-                    best = (cost, a, b)
-        _, a, b = best
-        cen[a] = (cen[a] * w[a] + cen[b] * w[b]) / (w[a] + w[b])
+    """Ward agglomeration of weighted points down to k groups → group per point.  Each
+    step merges the cheapest pair of the whole table of costs."""
+    c, w = centers.astype(float).copy(), weights.astype(float).copy()
+    group = np.arange(len(c))
+    alive = np.ones(len(c), bool)
+
+    def costs(i):
+        d = ((c - c[i]) ** 2).sum(1) * (w * w[i] / (w + w[i]))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        return d
+
+    table = np.stack([costs(i) for i in range(len(c))])
+    for _ in range(len(c) - k):
+        a, b = sorted(divmod(int(table.argmin()), len(c)))
+        c[a] = (c[a] * w[a] + c[b] * w[b]) / (w[a] + w[b])
         w[a] += w[b]
-        groups[a] += groups.pop(b)
-        del cen[b], w[b]
-    out = np.zeros(len(centers), dtype=int)
-    for lab, g in enumerate(sorted(groups, key=lambda x: min(groups[x]))):
-        for i in groups[g]:
-            out[i] = lab
-    return out
+        alive[b] = False
+        group[group == b] = a
+        table[b], table[:, b] = np.inf, np.inf
+        table[a] = costs(a)
+        table[:, a] = table[a]
+    return np.unique(group, return_inverse=True)[1]
 
 
 def cluster(df: DataFrame, cols: Sequence[str], key: str, method: str = "kmeans", k: int = 3,
             seed: int = 42, eps: float = 0.5, min_samples: int = 5, micro: int = 200,
-            n_neighbors: int = 10) -> DataFrame:
-    """Adds ``cluster`` to ``df`` (``key`` identifies rows)."""
+            n_neighbors: int = 10, min_cluster_size: int = 5) -> DataFrame:
+    """Adds ``cluster`` to ``df`` (and ``probability``, with ``hdbscan``).  Rows are numbered
+    first, so rows that repeat a ``key``, or have none, are rows of their own.
+
+    ``micro``: k-means centres that ``hierarchical`` merges (at most one for each row)."""
     cols = list(cols)
-    n = df.count()
+    rows = cut(df.withColumn(ROW, F.monotonically_increasing_id()))
+    n = rows.count()
     k = max(1, min(k, n - 1))
-    z = standardized(df, cols, keep=[key])
+    z = standardized(rows, cols, keep=[ROW])
+    found = _clustered(rows, z, cols, key, method, k, seed, eps, min_samples, micro, n_neighbors, min_cluster_size, n)
+    return rows.join(found, ROW, "left").select(*df.columns, *[
+        F.coalesce(c, F.lit(-1 if c == "cluster" else 0.0)).alias(c) for c in found.columns if c != ROW])
+
+
+def _clustered(rows, z, cols, key, method, k, seed, eps, min_samples, micro, n_neighbors, min_cluster_size, n) -> DataFrame:
+    """``(ROW, cluster)`` of the rows that have one."""
     if method == "dbscan":
         from .neighbors import dbscan
-        return dbscan(z, key, cols, eps, min_samples).select(key, "cluster").join(df, key)
+        return dbscan(z, ROW, cols, eps, min_samples).select(ROW, "cluster")
+    if method == "hdbscan":
+        from .hdbscan import hdbscan
+        return hdbscan(z, ROW, cols, min_cluster_size).select(ROW, "cluster", "probability")
     if method in ("kmeans", "bisecting"):
         est = (KMeans if method == "kmeans" else BisectingKMeans)(
             k=k, seed=seed, featuresCol=VEC, predictionCol="cluster")
         m = est.fit(_vec(z, cols))
-        lab = m.transform(_vec(z, cols)).select(key, F.col("cluster").cast("int"))
-        return df.join(lab, key)
+        return m.transform(_vec(z, cols)).select(ROW, F.col("cluster").cast("int"))
     if method in ("hierarchical", "ward"):
         m_k = int(min(micro, n))
         km = KMeans(k=m_k, seed=seed, featuresCol=VEC, predictionCol="_micro").fit(_vec(z, cols))
-        assigned = km.transform(_vec(z, cols)).select(key, "_micro")
+        assigned = km.transform(_vec(z, cols)).select(ROW, "_micro")
         sizes = {r["_micro"]: r["count"] for r in assigned.groupBy("_micro").count().collect()}
         centers = np.array(km.clusterCenters())
         ids = sorted(sizes)
-        groups = _ward(centers[ids], np.array([sizes[i] for i in ids]), k)
-        spark = df.sparkSession
-        mp = spark.createDataFrame([(int(i), int(g)) for i, g in zip(ids, groups)],
-                                   "_micro int, cluster int")
-        return df.join(assigned.join(F.broadcast(mp), "_micro").select(key, "cluster"), key)
+        groups = _ward(centers[ids], np.array([sizes[i] for i in ids]), min(k, len(ids)))
+        mp = rows.sparkSession.createDataFrame([(int(i), int(g)) for i, g in zip(ids, groups)],
+                                               "_micro int, cluster int")
+        return assigned.join(F.broadcast(mp), "_micro").select(ROW, "cluster")
     if method == "spectral":
         from .neighbors import knn_pairs
-        nn = knn_pairs(z, z, key, cols, n_neighbors)
+        nn = knn_pairs(z, z, ROW, cols, n_neighbors)
         gamma = 1.0
         # each pair once, whichever of the two names the other
-        edges = nn.select(F.least("q", "p").cast("long").alias("src"), F.greatest("q", "p").cast("long").alias("dst"),
+        edges = nn.select(F.least("q", "p").alias("src"), F.greatest("q", "p").alias("dst"),
                           F.exp(-gamma * F.col("d2")).alias("weight")) \
             .groupBy("src", "dst").agg(F.max("weight").alias("weight"))
         pic = PowerIterationClustering(k=k, maxIter=30, weightCol="weight", initMode="degree")
-        assign = pic.assignClusters(edges).select(F.col("id").alias(key),
-                                                  F.col("cluster").cast("int"))
-        return df.join(assign, key, "left").withColumn(
-            "cluster", F.coalesce(F.col("cluster"), F.lit(-1)))
+        return pic.assignClusters(edges).select(F.col("id").alias(ROW), F.col("cluster").cast("int"))
     raise ValueError(f"unknown clustering method {method}")
 
 

@@ -48,9 +48,9 @@ def knn_pairs(queries: DataFrame, points: DataFrame, key: str, feats: Sequence[s
 class KNNModel:
     """k-nearest-neighbour classifier / regressor as a Spark join at predict time."""
 
-    def __init__(self, features, k=5, weights="uniform", problem="classification"):
+    def __init__(self, features, k=5, weights="uniform", problem="classification", n_classes=0):
         self.features, self.k, self.weights, self.problem = list(features), k, weights, problem
-        self.train = None
+        self.n_classes, self.train = n_classes, None
 
     def fit(self, df: DataFrame):
         feats = [coerce_numeric(c).alias(f"_x_{i}") for i, c in enumerate(self.features)]
@@ -73,8 +73,12 @@ class KNNModel:
         nn = nn.withColumn("_w", wt)
         if self.problem.lower().startswith("class"):
             votes = nn.groupBy("q", "_y").agg(F.sum("_w").alias("_s"))
-            pred = votes.groupBy("q").agg(F.min_by("_y", F.struct(-F.col("_s"), F.col("_y")))
-                                          .alias("prediction"))
+            pred = votes.groupBy("q").agg(
+                F.min_by("_y", F.struct(-F.col("_s"), F.col("_y"))).alias("prediction"), F.sum("_s").alias("_all"),
+                F.map_from_entries(F.collect_list(F.struct(F.col("_y").cast("int"), "_s"))).alias("_votes"))
+            share = F.transform(F.sequence(F.lit(0), F.lit(max(self.n_classes, 1) - 1)),
+                                lambda c: F.coalesce(F.col("_votes")[c], F.lit(0.0)) / F.col("_all"))
+            pred = pred.select("q", "prediction", *([share.alias("probability")] if self.n_classes else []))
         else:
             pred = nn.groupBy("q").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w"))
                                        .alias("prediction"))

@@ -59,9 +59,16 @@ RANGES = {  # (low, high, kind) for the Parzen search; lists are categorical
 }
 
 
+def _in_use(p: dict) -> dict:
+    """A point without the parameters that its kernel has not."""
+    unused = {"linear": ("gamma", "degree"), "rbf": ("degree",)}.get(p.get("kernel"), ())
+    return {k: v for k, v in p.items() if k not in unused}
+
+
 def _grid_points(space: dict) -> list[dict]:
     keys = sorted(space)
-    return [dict(zip(keys, vals)) for vals in itertools.product(*[space[k] for k in keys])]
+    points = [_in_use(dict(zip(keys, vals))) for vals in itertools.product(*[space[k] for k in keys])]
+    return list({str(p): p for p in points}.values())
 
 
 def _clean(p: dict) -> dict:
@@ -91,7 +98,7 @@ class _Evaluator:
             tr = self.folds.where(F.col(FOLD) != f)
             te = self.folds.where(F.col(FOLD) == f)
             m = L._fit_one(tr, self.features, self.model_type, self.problem, _clean(params),
-                           self.n_classes, self.seed)
+                           self.n_classes, self.seed, only_score=True)
             scores.append(L.score(m.transform(te), self.problem)[L.primary(self.problem)])
         mean = sum(scores) / len(scores)
         std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
@@ -131,9 +138,9 @@ def search(df: DataFrame, features, label, model_type="random_forest", problem="
         elif method == "random":
             # points without repetition from the choices, whose product is never listed
             rng, choices, seen, pts = random.Random(seed), space or DISTRIBUTIONS.get(mt, GRIDS[mt]), set(), []
-            most = math.prod(len(v) for v in choices.values())
+            most = len(_grid_points(choices)) if "kernel" in choices else math.prod(len(v) for v in choices.values())
             while len(pts) < min(budget, most):
-                p = {k: rng.choice(v) for k, v in sorted(choices.items())}
+                p = _in_use({k: rng.choice(v) for k, v in sorted(choices.items())})
                 if str(p) not in seen:
                     seen.add(str(p))
                     pts.append(p)
@@ -149,6 +156,18 @@ def search(df: DataFrame, features, label, model_type="random_forest", problem="
     return best[0], best[1], _trials_df(df.sparkSession, results, metric)
 
 
+def search_and_fit(df: DataFrame, features, label, model_type="random_forest", problem="classification", key=None, **options):
+    """``search``, then the best parameters fitted on all rows: ``(model, best_params,
+    best_score, trials_df)``."""
+    best, value, trials = search(df, features, label, model_type, problem, key, **options)
+    if best is None:
+        raise ValueError("no trial succeeded")
+    d, classes = L.prepare_label(df, label, problem)
+    model = L._fit_one(d.withColumn("_row_key", F.col(key)), list(features), model_type, problem, _clean(best),
+                       len(classes or []), options.get("seed", 42))
+    return model, best, value, trials
+
+
 def _sample(space, rng, good=None):
     p = {}
     for name, spec in space.items():

@@ -63,14 +63,33 @@ def one_class_svm(spark, sf):
     return out.select("c_custkey", "decision", "is_anomaly")
 
 
+def _daily(spark, sf, *by):
+    o = table(spark, sf, "orders")
+    return o.groupBy(*by, "o_orderdate").agg(F.sum("o_totalprice").alias("total"))
+
+
 @query("series_anomalies")
 def series_anomalies(spark, sf):
     """Univariate forest over the daily order total, contamination 0.05."""
-    o = table(spark, sf, "orders")
-    d = o.groupBy("o_orderdate").agg(F.sum("o_totalprice").alias("total")) \
-        .withColumn("day", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01")))
-    out = A.isolation_forest(d, ["total"], "day", contamination=0.05)
-    return out.where("is_anomaly").select("day", "o_orderdate", "total", "anomaly_score")
+    out = A.series_anomalies(_daily(spark, sf), "total", "o_orderdate")
+    return out.where("is_anomaly").select("index", "o_orderdate", "value", "score")
+
+
+@query("series_anomalies_by", """WITH d AS (SELECT o_orderpriority, o_orderdate FROM orders GROUP BY 1, 2),
+s AS (SELECT o_orderpriority, count(*) AS n_values FROM d GROUP BY 1)
+SELECT o_orderpriority, n_values, 'ok' AS status FROM s
+UNION ALL SELECT 'none', 0, 'too_short'""")
+def series_anomalies_by(spark, sf):
+    """A forest for every priority's daily total, all in one pass; a series without values
+    says so.  Which days are anomalous is tested, here the series are counted."""
+    d = _daily(spark, sf, "o_orderpriority")
+    d = d.unionByName(d.limit(1).withColumn("o_orderpriority", F.lit("none")).withColumn("total", F.lit(None).cast("double")))
+    out = A.series_anomalies(d, "total", "o_orderdate", by=["o_orderpriority"])
+    flagged = F.count_if("is_anomaly")
+    share = out.groupBy("o_orderpriority", "status").agg(F.count("index").alias("n_values"), flagged.alias("m"))
+    # the contamination is met to within what ties leave
+    return share.where((F.col("status") == "too_short") | (F.abs(F.col("m") - 0.05 * F.col("n_values")) <= 0.02 * F.col("n_values"))) \
+        .select("o_orderpriority", "n_values", "status")
 
 
 @query("outliers_isolation_forest")

@@ -287,12 +287,56 @@ def balance_adasyn(spark, sf):
     return out.groupBy("toxic", "_synthetic").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("knn_neighbors")
+@query("knn_neighbors", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id AS q, b.vec_id AS p,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT q, p, d2, row_number() OVER (PARTITION BY q ORDER BY d2, p) AS nn_rank FROM d)
+SELECT q, p, nn_rank::INTEGER AS nn_rank, round(sqrt(d2), 6) AS distance FROM r WHERE nn_rank <= 5""")
 def knn_neighbors(spark, sf):
     """Exact 5 nearest embeddings of every embedding."""
     e = embeddings(spark, sf)
-    return NB.knn_pairs(e, e, "vec_id", EMB_COLS, 5).select("q", "p", "nn_rank",
-                                                            F.sqrt("d2").alias("distance"))
+    return round_doubles(NB.knn_pairs(e, e, "vec_id", EMB_COLS, 5).select(
+        "q", "p", "nn_rank", F.sqrt("d2").alias("distance")), 6)
+
+
+@query("loo_linear", """WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my,
+    regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)
+SELECT l_orderkey * 10 + l_linenumber AS li_key, round(l_extendedprice - (l_extendedprice - my - b * (l_quantity - mx))
+    / (1 - 1.0 / n - (l_quantity - mx) * (l_quantity - mx) / sxx), 2) AS loo_prediction FROM lineitem, s""")
+def loo_linear(spark, sf):
+    """Every line's price by a line through all others."""
+    from ..operators.loo import loo_linear as run
+    return round_doubles(run(lineitem_cls(spark, sf), ["l_quantity"], "l_extendedprice").select("li_key", "loo_prediction"), 2)
+
+
+@query("loo_knn", """WITH p AS (SELECT c_custkey, c_acctbal, c_nationkey FROM customer),
+r AS (SELECT a.c_custkey AS q, b.c_nationkey AS y, row_number() OVER (PARTITION BY a.c_custkey
+    ORDER BY (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal), b.c_custkey) AS k
+  FROM p a JOIN p b ON a.c_custkey <> b.c_custkey),
+v AS (SELECT q, avg(y) AS m FROM r WHERE k <= 5 GROUP BY q)
+SELECT q AS c_custkey, round(m, 6) AS loo_prediction FROM v""")
+def loo_knn(spark, sf):
+    """Every customer's nation number by the five others nearest in balance, ties by key."""
+    from ..operators.loo import loo_knn as run
+    c = customer_cls(spark, sf)
+    return round_doubles(run(c, ["c_acctbal"], "c_nationkey", 5, "regression", key="c_custkey").select("c_custkey", "loo_prediction"), 6)
+
+
+@query("cluster_hdbscan")
+def cluster_hdbscan(spark, sf):
+    return CL.cluster(embeddings(spark, sf), EMB_COLS, "vec_id", "hdbscan").select("vec_id", "label", "cluster", "probability")
+
+
+@query("umap")
+def umap(spark, sf):
+    """Two coordinates of every embedding that keep its neighbours."""
+    from ..operators.umap import umap as run
+    return round_doubles(run(embeddings(spark, sf), "vec_id", EMB_COLS), 4)
+
+
+query("train_svm_regression")(_train_query("svm", "regression", {"kernel": "linear"}))
+query("train_svm_linear")(_train_query("svm", params={"kernel": "linear"}))
 
 
 @query("kernel_shap")

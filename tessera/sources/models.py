@@ -1,4 +1,4 @@
-"""Model store: fitted ``PipelineModel`` directories plus a metadata row each
+"""Model store: fitted models (pipelines, neighbours, votes and stacks) plus a metadata row each
 (model type, problem type, feature names, hyper-parameters, metrics)."""
 
 from __future__ import annotations
@@ -7,7 +7,6 @@ import datetime as _dt
 import json
 import uuid
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -34,11 +33,12 @@ class ModelStore:
     def _dir(self, model_id: str) -> str:
         return files.join(self.root, model_id)
 
-    def save(self, model: PipelineModel, model_type: str, problem_type: str,
+    def save(self, model, model_type: str, problem_type: str,
              feature_names: list[str], label: str, params: dict | None = None,
              metrics: dict | None = None, model_id: str | None = None) -> str:
+        from ..operators import composite
         model_id = model_id or uuid.uuid4().hex
-        model.write().overwrite().save(files.join(self._dir(model_id), "model"))
+        composite.save(self.spark, model, files.join(self._dir(model_id), "model"))
         meta = {"model_id": model_id, "model_type": model_type, "problem_type": problem_type,
                 "feature_names": list(feature_names), "label": label,
                 "params_json": json.dumps(params or {}, default=str, sort_keys=True),
@@ -48,8 +48,9 @@ class ModelStore:
             "overwrite").parquet(files.join(self._dir(model_id), "meta"))
         return model_id
 
-    def load(self, model_id: str) -> tuple[PipelineModel, dict]:
-        model = PipelineModel.load(files.join(self._dir(model_id), "model"))
+    def load(self, model_id: str) -> tuple:
+        from ..operators import composite
+        model = composite.load(self.spark, files.join(self._dir(model_id), "model"))
         meta = self.spark.read.parquet(files.join(self._dir(model_id), "meta")).first().asDict()
         return model, meta
 

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from tessera.session import build_session
-    s = build_session("local[4]", app="tessera-tests", shuffle_partitions=8)
+    s = build_session("local[4]", app="tessera-tests", shuffle_partitions=4)
     yield s
     s.stop()
 
