@@ -47,7 +47,7 @@ from .common import ints, slices, store, table, text_buffers
 
 WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Bytes of text that make one block with a dictionary of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of the vocabulary, and of the frequent pairs, that are sent to every task.
 BROADCAST_BYTES = 64 << 20
 #: Parts of a language that are cut to its first rows before the rest is put in order.
