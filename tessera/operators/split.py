@@ -31,7 +31,7 @@ def split_random(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42
     """The first ceil(n·test_size) rows in hash order are ``test``."""
     n = df.count()
     n_test = int(math.ceil(n * test_size))
-    r = ranked(_hashed(df, key, seed, portable), ["_h", key], with_group_size=False)
+    r = ranked(_hashed(df, key, seed, portable), ["_h", key], with_group_size=False, hashed=not portable)
     return r.withColumn(SPLIT, F.when(F.col(RANK) <= n_test, "test").otherwise("train")) \
             .drop(RANK, "_h")
 
@@ -65,7 +65,7 @@ def split_stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2
     label_type = df.schema[label].dataType.simpleString()
     at = spark.createDataFrame([(k, v) for k, v in alloc.items()], f"{label} {label_type}, _alloc long")
     r = ranked(_hashed(df, key, seed, portable), ["_h", key], by=[label],
-               with_group_size=False, max_groups=len(counts))
+               with_group_size=False, max_groups=len(counts), hashed=not portable)
     r = join_small(r, at, on=label, how="left", known_rows=len(alloc))
     return r.withColumn(SPLIT, F.when(F.col(RANK) <= F.col("_alloc"), "test").otherwise("train")) \
             .drop(RANK, "_h", "_alloc")
@@ -119,12 +119,12 @@ def assign_folds(df: DataFrame, key: str, method: str = "kfold", k: int = 5,
         if len(counts) >= 2 and smallest >= 2:
             kk = max(2, min(k, smallest))
             r = ranked(_hashed(df, key, seed, portable), ["_h", key], by=[label],
-                       with_group_size=False, max_groups=len(counts))
+                       with_group_size=False, max_groups=len(counts), hashed=not portable)
             return r.withColumn(FOLD, ((F.col(RANK) - 1) % kk).cast("int")).drop(RANK, "_h"), kk
         method = "kfold"
     n = df.count()
     if method == "loo":
-        r = ranked(_hashed(df, key, seed, portable), ["_h", key], with_group_size=False)
+        r = ranked(_hashed(df, key, seed, portable), ["_h", key], with_group_size=False, hashed=not portable)
         return r.withColumn(FOLD, (F.col(RANK) - 1).cast("int")).drop(RANK, "_h"), n
     if method == "timeseries":
         r = ranked(df, list(order or [key]), with_group_size=False)
@@ -133,7 +133,7 @@ def assign_folds(df: DataFrame, key: str, method: str = "kfold", k: int = 5,
         f = F.when(F.col(RANK) <= start, F.lit(-1)).otherwise(
             ((F.col(RANK) - start - 1) / F.lit(max(test, 1))).cast("int"))
         return r.withColumn(FOLD, f.cast("int")).drop(RANK), k
-    r = ranked(_hashed(df, key, seed, portable), ["_h", key], with_group_size=False)
+    r = ranked(_hashed(df, key, seed, portable), ["_h", key], with_group_size=False, hashed=not portable)
     return r.withColumn(FOLD, _chunk_fold(F.col(RANK), n, k)).drop(RANK, "_h"), k
 
 
