@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import evaluate as EV
+from .binning import WEIGHT, Cells, cells
 from .split import FOLD, assign_folds
 
 LABEL = "_label"
@@ -147,6 +148,66 @@ def build_pipeline(features: Sequence[str], model_type: str, problem: str, param
     return Pipeline(stages=stages)
 
 
+#: Learners whose trees may be grown from cells.
+TREES = ("decision_tree", "gradient_boosting", *PRESETS)
+
+
+def _maker(est: Estimator) -> Estimator:
+    """The trees' estimator: that of one class against the others has it inside."""
+    return est.getClassifier() if isinstance(est, OneVsRest) else est
+
+
+def _sees_cells(est: Estimator) -> bool:
+    """Whether rows that agree in their bins are one to the learner: trees that draw no rows,
+    with a loss that is a sum over the rows of a cell."""
+    est = _maker(est)
+    if isinstance(est, (DecisionTreeClassifier, DecisionTreeRegressor)):
+        return True
+    return isinstance(est, (GBTClassifier, GBTRegressor)) and est.getSubsamplingRate() == 1.0 and \
+        est.getLossType() in ("logistic", "squared")
+
+
+def feature_cells(train_df: DataFrame, features: Sequence[str], problem: str, max_bins: int = 32) -> Cells:
+    """The training rows as cells (:mod:`.binning`), for any number of tree fits."""
+    inputs = [f"_x_{i}" for i in range(len(features))]
+    ready = feature_stage(features).transform(train_df).select(*inputs, LABEL)
+    return cells(ready, inputs, LABEL, problem.lower().startswith("class"), max_bins)
+
+
+def _fit_pipeline(train_df: DataFrame, features: Sequence[str], model_type: str, problem: str, params=None,
+                  n_classes: int = 2, n_rows: int | None = None, seed: int = 42, made: Cells | None = None) -> PipelineModel:
+    """Fits ``build_pipeline``; trees on the cells of the rows (``made``, if known), binned by a
+    stage of the fitted pipeline."""
+    features = list(features)
+    plain = build_pipeline(features, model_type, problem, params, n_classes, n_rows, seed=seed)
+    est = plain.getStages()[-1]
+    if not _sees_cells(est):
+        return plain.fit(train_df)
+    own = made is None or made.max_bins != _maker(est).getMaxBins()
+    if own:
+        made = feature_cells(train_df, features, problem, _maker(est).getMaxBins())
+    tree = _maker(est)
+    least = tree.getMinInstancesPerNode()
+    if least > 1:
+        # so many rows, which a cell holds by its weight
+        share = (least - 0.5) / max(made.n_rows, 1)
+        tree.setMinInstancesPerNode(1)
+        if share < 0.5:
+            tree.setMinWeightFractionPerNode(share)
+        else:
+            tree.setMaxDepth(0)
+    # the bins are found: every cell, not a sample of them, names their borders
+    tree.setMaxBins(max(2, tree.getMaxBins() + 1, math.ceil(math.sqrt(made.n_cells)) + 1))
+    tree.setWeightCol(WEIGHT)
+    if est is not tree:
+        est.setClassifier(tree).setWeightCol(WEIGHT)
+    assemble = VectorAssembler(inputCols=made.names, outputCol=FEATURES, handleInvalid="keep")
+    fitted = est.fit(assemble.transform(made.rows))
+    if own:
+        made.close()
+    return PipelineModel(stages=[feature_stage(features), made.bucketizer, assemble, fitted])
+
+
 def prepare_label(df: DataFrame, label: str, problem: str):
     """Classification labels → 0..k−1 doubles (alphabetical); regression → double.
     Rows with a null label have no class and are left out."""
@@ -250,10 +311,10 @@ def _meta_columns(t: DataFrame, k: int, n_classes: int) -> list[str]:
         [f"_p{i}_{j}" for j in range(1, n_classes)] if _is_array(t, i) else [f"_p{i}"])]
 
 
-def _fit_one(train_df, features, model_type, problem, params, n_classes, seed, only_score=False):
+def _fit_one(train_df, features, model_type, problem, params, n_classes, seed, only_score=False, made=None):
     """Fit on the rows given.  The penalty ``C`` counts losses, Spark's their mean:
     models that take it need the number of training rows.  ``only_score``: class
-    probabilities that cost fits of their own are left out."""
+    probabilities that cost fits of their own are left out.  ``made``: the rows as cells."""
     mt = canonical(model_type)
     n_rows = train_df.count() if mt in ("logistic_regression", "voting", "stacking") else None
     if mt == "svm":
@@ -266,8 +327,8 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, seed, o
         return KNNModel(features, (params or {}).get("n_neighbors", 5),
                         (params or {}).get("weights", "uniform"), problem, n_classes).fit(train_df)
     if mt in ("voting", "stacking"):
-        bases = [build_pipeline(features, m, problem, None, n_classes, n_rows, seed=seed)
-                 .fit(train_df) for m in ("random_forest", "gradient_boosting",
+        bases = [_fit_pipeline(train_df, features, m, problem, None, n_classes, n_rows, seed)
+                 for m in ("random_forest", "gradient_boosting",
                                           "logistic_regression" if problem.lower().startswith(
                                               "class") else "linear_regression")]
         if mt == "voting":
@@ -284,8 +345,7 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, seed, o
 
         def fold_preds(f):
             tr, te = folds.where(F.col(FOLD) != f), folds.where(F.col(FOLD) == f)
-            ms = [build_pipeline(features, m, problem, None, n_classes, n_rows, seed=seed).fit(tr)
-                  for m in base_types]
+            ms = [_fit_pipeline(tr, features, m, problem, None, n_classes, n_rows, seed) for m in base_types]
             return Ensemble("stacking", ms, problem)._base_preds(te)
 
         with ThreadPoolExecutor(max_workers=k) as ex:
@@ -299,8 +359,7 @@ def _fit_one(train_df, features, model_type, problem, params, n_classes, seed, o
                                None, n_classes, n_rows, seed=seed).fit(
             _meta_features(oof, len(base_types), n_classes))
         return Ensemble("stacking", bases, problem, final=final, n_classes=n_classes)
-    return build_pipeline(features, model_type, problem, params, n_classes, n_rows,
-                          seed=seed).fit(train_df)
+    return _fit_pipeline(train_df, features, model_type, problem, params, n_classes, n_rows, seed, made)
 
 
 def train(df: DataFrame, features: Sequence[str], label: str, model_type: str = "random_forest",

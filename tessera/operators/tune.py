@@ -91,6 +91,9 @@ class _Evaluator:
         self.features, self.model_type, self.problem = list(features), model_type, problem
         self.n_classes = len(classes or [])
         self.seed = seed
+        # trees see cells of binned features: counted once for each fold, not once a trial
+        self.made = [L.feature_cells(self.folds.where(F.col(FOLD) != f), self.features, problem) for f in range(self.k)] \
+            if model_type in L.TREES else None
 
     def __call__(self, params: dict) -> tuple[float, float]:
         scores = []
@@ -98,7 +101,7 @@ class _Evaluator:
             tr = self.folds.where(F.col(FOLD) != f)
             te = self.folds.where(F.col(FOLD) == f)
             m = L._fit_one(tr, self.features, self.model_type, self.problem, _clean(params),
-                           self.n_classes, self.seed, only_score=True)
+                           self.n_classes, self.seed, only_score=True, made=self.made and self.made[f])
             scores.append(L.score(m.transform(te), self.problem)[L.primary(self.problem)])
         mean = sum(scores) / len(scores)
         std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
@@ -106,6 +109,8 @@ class _Evaluator:
 
     def close(self):
         self.folds.unpersist()
+        for made in self.made or ():
+            made.close()
 
 
 def _run_trials(ev, points, parallel=4):
