@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 #: Columns of a kernel map, folds of the probabilities, widths of the rounded corners.
 MAP, FOLDS = 200, 5
 WIDTHS = (2.0, 0.3, 0.05, 8e-3, 1e-3)
-#: Newton steps of one width, halvings of a step, doubles in one part of the sums.
-STEPS, HALVINGS, PART = 12, 8, 8192
+#: Newton steps of one width, halvings of a step, doubles in one part of the sums, bytes of a block of rows.
+STEPS, HALVINGS, PART, BLOCK = 12, 8, 8192, 1 << 19
 
 
 def resolve_gamma(df: DataFrame, inputs: Sequence[Column], gamma) -> float:
@@ -94,6 +94,26 @@ def kernel_map(names: Sequence[str], kernel: str, gamma: float = 1.0, degree: in
     return out
 
 
+def kernel_points(x: np.ndarray, kernel: str, gamma: float = 1.0, degree: int = 3, seed: int = 42, size: int = MAP) -> np.ndarray:
+    """``kernel_map`` of the rows of ``x``, for tasks that hold inputs and not their map."""
+    d = x.shape[1]
+    if kernel == "linear":
+        return x
+    r = np.random.default_rng(seed)
+    if kernel == "rbf":
+        w, b = r.normal(0.0, math.sqrt(2 * gamma), (size, d)), r.uniform(0, 2 * math.pi, size)
+        return math.sqrt(2.0 / size) * np.cos(x @ w.T + b)
+    degree = int(degree)
+    if math.comb(d + degree - 1, degree) <= size:
+        out = []
+        for combo in itertools.combinations_with_replacement(range(d), degree):
+            ways = math.factorial(degree) / math.prod(math.factorial(combo.count(i)) for i in set(combo))
+            out.append(math.sqrt(ways * gamma ** degree) * x[:, combo].prod(1))
+        return np.stack(out, 1)
+    out = [math.sqrt(gamma ** degree / size) * (x @ r.choice([-1.0, 1.0], (degree, d)).T).prod(1) for _ in range(size)]
+    return np.stack(out, 1)
+
+
 def _rounded(u: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """max(0, u) with its corner rounded over [-h, h]: value and two derivatives."""
     inside = np.clip((u + h) / (2 * h), 0, 1)
@@ -119,11 +139,12 @@ class Machine:
                  scale: float = 1.0):
         self.n, self.c, self.side, self.without, self.epsilon, self.scale = max(n, 1), c, side, without, epsilon, scale
 
-    def part(self, x, y, fold):
-        """Its rows and their targets."""
+    def part(self, x, y, fold, n):
+        """Its rows, their targets and how often each counts."""
         if self.without is not None:
-            x, y = x[fold != self.without], y[fold != self.without]
-        return x, (y if self.side is None else np.where(y == self.side, 1.0, -1.0))
+            mine = fold != self.without
+            x, y, n = x[mine], y[mine], n[mine]
+        return x, (y if self.side is None else np.where(y == self.side, 1.0, -1.0)), n
 
     def descend(self, dims: int):
         """Newton steps as a generator: asks for the sums at a point and a width, is sent value,
@@ -157,21 +178,31 @@ class Machine:
         return w
 
 
-def _sums(asked: list):
+def _packed(batches):
+    """Rows ``(x, y, fold, n)`` as blocks of doubles, which a pass reads as they lie."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        table = np.column_stack([x, *(b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold", "n"))]).astype(float)
+        step = max(1, BLOCK // (8 * table.shape[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([table[i:i + step].tobytes() for i in range(0, len(table), step)], pa.binary())], names=["block"])
+
+
+def _sums(asked: list, inputs: int, mapped):
     """``asked (number, machine, w, h)``: a task's sums for each machine, in parts."""
     def run(batches):
         totals: dict = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        for block in (v for b in batches for v in b.column("block")):
+            table = np.frombuffer(block.as_buffer()).reshape(-1, inputs + 3)
+            x = mapped(table[:, :inputs])
             x = np.concatenate([x, np.ones((len(x), 1))], 1)
-            y, fold = (b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
+            y, fold, n = (table[:, inputs + i] for i in range(3))
             for number, machine, w, h in asked:
-                mine, target = machine.part(x, y, fold)
+                mine, target, often = machine.part(x, y, fold, n)
                 d = len(w)
                 total = totals.setdefault(number, np.zeros(1 + d + d * d))
-                v, g, c = losses(mine @ w, target, machine.epsilon, h)
+                v, g, c = (s * often for s in losses(mine @ w, target, machine.epsilon, h))
                 bent = np.flatnonzero(c)
                 total[0] += v.sum()
                 total[1:1 + d] += g @ mine
@@ -190,9 +221,15 @@ def _added(t: pa.Table) -> pa.Table:
     return pa.table({"machine": t.column("machine")[:1], "part": t.column("part")[:1], "total": pa.array([total.tobytes()], pa.binary())})
 
 
-def solve(rows: DataFrame, dims: int, machines: Sequence[Machine]) -> list[np.ndarray]:
+def solve(rows: DataFrame, dims: int, machines: Sequence[Machine], inputs: int | None = None, mapped=None) -> list[np.ndarray]:
     """Weights and the intercept (last) of every machine for rows ``(x array<double>, y double,
-    fold int)``.  All machines share the passes: one answers what each of them asks next."""
+    fold int)`` that count once, or ``n`` times.  All machines share the passes: one answers what
+    each of them asks next.  ``mapped``: the ``dims`` points that a task makes of ``inputs`` values of
+    a row in every pass, so that only the inputs are held."""
+    if "n" not in rows.columns:
+        rows = rows.withColumn("n", F.lit(1))
+    inputs, mapped = inputs or dims, mapped or (lambda x: x)
+    held = rows.select("x", "y", "fold", "n").mapInArrow(lambda batches: _packed(batches), "block binary").cache()
     schema = "machine int, part int, total binary"
     runs = [m.descend(dims) for m in machines]
     asks = {i: next(r) for i, r in enumerate(runs)}
@@ -200,7 +237,7 @@ def solve(rows: DataFrame, dims: int, machines: Sequence[Machine]) -> list[np.nd
     while asks:
         asked = [(i, machines[i], w, h) for i, (w, h) in asks.items()]
         found: dict = {}
-        for r in rows.mapInArrow(_sums(asked), schema).groupBy("machine", "part") \
+        for r in held.mapInArrow(_sums(asked, inputs, mapped), schema).groupBy("machine", "part") \
                 .applyInArrow(lambda t: _added(t), schema).collect():
             found.setdefault(r["machine"], {})[r["part"]] = np.frombuffer(bytes(r["total"]))
         for i in list(asks):
@@ -210,6 +247,7 @@ def solve(rows: DataFrame, dims: int, machines: Sequence[Machine]) -> list[np.nd
             except StopIteration as end:
                 out[i] = end.value
                 del asks[i]
+    held.unpersist()
     return out
 
 
@@ -219,13 +257,15 @@ def _fold(inputs: Sequence[str], label: str) -> Column:
 
 
 def platt(margins: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of the sigmoid of ``margins (m double, positive boolean)``, with
-    Platt's targets that leave room for error."""
-    r = margins.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).first()
-    high, low = (r["p"] + 1.0) / (r["p"] + 2.0), 1.0 / (r["n"] + 2.0)
+    """Slope and intercept of the sigmoid of ``margins (m double, positive boolean)`` that count once,
+    or ``n`` times, with Platt's targets that leave room for error."""
+    often = F.col("n") if "n" in margins.columns else F.lit(1)
+    r = margins.agg(F.sum(F.when(F.col("positive"), often)).alias("p"), F.sum(F.when(~F.col("positive"), often)).alias("n")).first()
+    positive, negative = r["p"] or 0, r["n"] or 0
+    high, low = (positive + 1.0) / (positive + 2.0), 1.0 / (negative + 2.0)
     target = F.when(F.col("positive"), high).otherwise(low)
-    rows = margins.select("m", F.inline(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("wt")),
-                                                F.struct(F.lit(0.0).alias("y"), (1 - target).alias("wt")))))
+    rows = margins.select("m", F.inline(F.array(F.struct(F.lit(1.0).alias("y"), (often * target).alias("wt")),
+                                                F.struct(F.lit(0.0).alias("y"), (often * (1 - target)).alias("wt")))))
     fit = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="f"),
                            LogisticRegression(featuresCol="f", labelCol="y", weightCol="wt", regParam=0.0, maxIter=100,
                                               tol=1e-9, standardization=False)]).fit(rows).stages[-1]
@@ -243,25 +283,30 @@ def fit_svm(df: DataFrame, stages: list, inputs: Sequence[str], label: str, prob
         ready = s.transform(ready)
     gamma = 1.0 if p["kernel"] == "linear" else resolve_gamma(ready, [F.col(c) for c in inputs], p["gamma"])
     terms = kernel_map(inputs, p["kernel"], gamma, p["degree"], seed)
-    rows = ready.select(F.array(*[F.expr(t) for t in terms]).alias("x"), F.col(label).cast("double").alias("y"),
-                        _fold(inputs, label).alias("fold")).where("y is not null").cache()
-    n, dims, c = rows.count(), len(terms), float(p["C"])
+    # inputs, not their map of up to MAP columns, are held; equal rows once, with their number
+    mapped = lambda x: kernel_points(x, p["kernel"], gamma, p["degree"], seed)
+    rows = ready.select(*inputs, F.col(label).cast("double").alias("y"), _fold(inputs, label).alias("fold")).where("y is not null") \
+        .groupBy(*inputs, "y", "fold").agg(F.count(F.lit(1)).alias("n")).cache()
+    held = rows.select(F.array(*inputs).alias("x"), "y", "fold", "n")
+    points = rows.select(F.array(*[F.expr(t) for t in terms]).alias("x"), "y", "fold", "n")
+    n, dims, c = rows.agg(F.sum("n")).first()[0] or 0, len(terms), float(p["C"])
     if not n:
         raise ValueError("no rows to fit")
     names = [f"_k_{j}" for j in range(dims)]
     made = SQLTransformer(statement="SELECT *, " + ", ".join(f"{t} AS `{k}`" for t, k in zip(terms, names)) + " FROM __THIS__")
     drop = ", ".join(f"`{k}`" for k in names)
     if not problem.lower().startswith("class"):
-        spread = rows.agg(F.stddev_pop("y")).first()[0] or 1.0
-        w = solve(rows, dims, [Machine(n, c, epsilon=float(p["epsilon"]), scale=spread)])[0]
+        mean = rows.agg(F.sum(F.col("y") * F.col("n"))).first()[0] / n
+        spread = math.sqrt(rows.agg(F.sum((F.col("y") - mean) ** 2 * F.col("n"))).first()[0] / n) or 1.0
+        w = solve(held, dims, [Machine(n, c, epsilon=float(p["epsilon"]), scale=spread)], len(inputs), mapped)[0]
         rows.unpersist()
         out = SQLTransformer(statement=f"SELECT * EXCEPT ({drop}), {_linear(w[:-1], names, w[-1])} AS `{prediction}` FROM __THIS__")
         return PipelineModel(stages=[*stages, made, out])
     # two classes have one machine, more one for each class against the others; and one without each fold
     targets = [1] if n_classes <= 2 else list(range(n_classes))
-    folds = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()} if p["probability"] else {}
+    folds = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.sum("n").alias("n")).collect()} if p["probability"] else {}
     machines = [Machine(n - folds.get(f, 0), c, k, f) for k in targets for f in (None, *sorted(folds))]
-    weights = iter(solve(rows, dims, machines))
+    weights = iter(solve(held, dims, machines, len(inputs), mapped))
     margins, odds = [], []
     for k in targets:
         w = next(weights)
@@ -273,7 +318,7 @@ def fit_svm(df: DataFrame, stages: list, inputs: Sequence[str], label: str, prob
                 dot = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in wf[:-1]]), lambda a, b: a * b),
                                   F.lit(float(wf[-1])), lambda s, v: s + v)
                 seen = F.when(F.col("fold") == f, dot) if seen is None else seen.when(F.col("fold") == f, dot)
-            odds.append(platt(rows.select(seen.alias("m"), (F.col("y") == k).alias("positive"))))
+            odds.append(platt(points.select(seen.alias("m"), (F.col("y") == k).alias("positive"), "n")))
     rows.unpersist()
     found = SQLTransformer(statement="SELECT *, array(" + ", ".join(margins) + ") AS _margins FROM __THIS__")
     if len(targets) == 1:
