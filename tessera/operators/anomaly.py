@@ -158,6 +158,13 @@ class Forest:
             out[lo:lo + step] = self.length[at].mean(1)
         return out
 
+    def steps(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Trees of one feature: all thresholds in order, and the mean path lengths below the first
+        and from each on.  Between two thresholds no tree tells values apart."""
+        inner = self.kids[::2] != np.arange(len(self.thr))
+        cuts = np.unique(self.thr[inner])
+        return cuts, self.mean_length(np.concatenate([[-np.inf], cuts])[:, None], depth)
+
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: str, n_trees: int = 100,
                      sample_size: int = 256, contamination: float = 0.1,
@@ -232,8 +239,9 @@ def grouped_forest(rows: DataFrame, by: Sequence[str], id_col: str, value: str,
 
     A group's trees draw their samples from at most ``CANDIDATES`` of its rows, chosen by
     hash.  Trees and rows meet sorted by group, trees first; a group of many rows has
-    several copies of its trees, and its rows are dealt over them.  The threshold is the exact
-    quantile of each group's scores.  ``id_col`` is unique within a group; groups are not
+    several copies of its trees, and its rows are dealt over them.  One value decides a row's
+    place, so many rows are looked up among the thresholds of all trees.  The limit is the
+    exact quantile of each group's scores, from the count of each different one.  ``id_col`` is unique within a group; groups are not
     null, values neither null nor NaN or infinite."""
     by = list(by)
     if "_forest" in by:
@@ -257,6 +265,7 @@ def grouped_forest(rows: DataFrame, by: Sequence[str], id_col: str, value: str,
                          **{c: pa.array([a], pa.list_(k)) for c, (a, k) in columns.items()}})
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    # rows without trees have empty arrays: Arrow batches take long to size with null ones
     trees = cut(few.groupBy(*by).applyInArrow(
         lambda t: grow(t), f"{kinds}, psi int, thr array<double>, kids array<long>, length array<double>, start array<long>")
         .withColumn("_forest", F.monotonically_increasing_id()))
@@ -268,12 +277,13 @@ def grouped_forest(rows: DataFrame, by: Sequence[str], id_col: str, value: str,
         F.xxhash64(id_col), F.col("_copies")).cast("int").alias("_copy"))
     models = trees.join(known.select("_forest", "_copies"), "_forest") \
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop(*by, "_copies")
-    both = models.withColumn("_kind", F.lit(0)).unionByName(asks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    both = models.withColumn("_kind", F.lit(0)).unionByName(asks.withColumn("_kind", F.lit(1)).select("*", *[
+        F.array().cast(trees.schema[c].dataType).alias(c) for c in ("thr", "kids", "length", "start")]), allowMissingColumns=True)
     dealt = both.repartition("_forest", "_copy").sortWithinPartitions("_forest", "_copy", "_kind")
     names = own.columns
 
     def run(batches):
-        at, forest, psi = None, None, 0
+        at, forest, psi, steps, seen = None, None, 0, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -284,23 +294,31 @@ def grouped_forest(rows: DataFrame, by: Sequence[str], id_col: str, value: str,
                 if kind[lo] == 0:
                     at, psi = (number[lo], copy[lo]), b.column("psi")[lo].as_py()
                     arrays = [b.column(c)[lo].values.to_numpy(zero_copy_only=False) for c in ("thr", "kids", "length", "start")]
-                    forest = Forest(np.zeros(len(arrays[0])), *arrays)
+                    forest, steps, seen = Forest(np.zeros(len(arrays[0])), *arrays), None, 0
                 elif at == (number[lo], copy[lo]):
                     part = b.slice(lo, hi - lo).select(names)
-                    x = part.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None]
-                    h = forest.mean_length(x, int(math.ceil(math.log2(max(psi, 2)))))
+                    x = part.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    depth = int(math.ceil(math.log2(max(psi, 2))))
+                    seen += len(x)
+                    # few rows walk down the trees; for many, each place between thresholds does so once
+                    if steps is None and seen > len(forest.thr) // 2:
+                        steps = forest.steps(depth)
+                    h = forest.mean_length(x[:, None], depth) if steps is None else steps[1][np.searchsorted(steps[0], x, "right")]
                     score = 2.0 ** (-h / _c(psi)) if psi > 1 else np.full(len(x), 0.5)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*names, "_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
     scored = cut(dealt.mapInArrow(run, f"{kinds}, _score double"))
-    placed = cut(ranked(scored, ["_score", id_col], by=by))
-    spot = (F.col(GROUP_N) - 1) * (1.0 - contamination)
-    ends = placed.select(*by, "_score", F.col(RANK).alias("_r"), spot.alias("_s")).where(
-        (F.col("_r") == F.floor("_s") + 1) | (F.col("_r") == F.ceil("_s") + 1)).groupBy(*by).agg(
+    # a group has at most as many different scores as its trees have thresholds, and one more
+    counted = scored.groupBy(*by, "_score").agg(F.count(F.lit(1)).alias("_m"))
+    up = Window.partitionBy(*by).orderBy("_score").rowsBetween(Window.unboundedPreceding, 0)
+    spot = (F.sum("_m").over(Window.partitionBy(*by)) - 1) * (1.0 - contamination)
+    counted = counted.select(*by, "_score", "_m", F.sum("_m").over(up).alias("_last"), spot.alias("_s"))
+    holds = lambda r: (F.col("_last") >= r) & (F.col("_last") - F.col("_m") < r)
+    ends = counted.where(holds(F.floor("_s") + 1) | holds(F.ceil("_s") + 1)).groupBy(*by).agg(
         (F.min("_score") + (F.max("_score") - F.min("_score")) * (F.max("_s") - F.floor(F.max("_s")))).alias("_limit"))
     ends = F.broadcast(ends) if small <= MAX_BROADCAST_BYTES else ends
-    return placed.join(ends, by).select(
+    return scored.join(ends, by).select(
         *names, (F.col("_limit") - F.col("_score")).alias("score"), (F.col("_score") > F.col("_limit")).alias("is_anomaly"))
 
 
