@@ -11,13 +11,14 @@ summed over blocks of rows (``series_fit``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ordering import GROUP_N, RANK, ranked
-from .impute import fill_directional
 from .series_fit import adf_test, forecast_arma, forecast_trend  # noqa: F401
 
 
@@ -137,11 +138,17 @@ def regularize(df: DataFrame, date: str, values: Sequence[str], by: Sequence[str
                   F.struct(ts.alias("_t"), *[F.col(t) for t in tiebreak]).alias("_t"),
                   *values).where(F.col("_p").isNotNull())
     last = d.groupBy(*by, "_p").agg(*[F.max_by(F.col(v), F.col("_t")).alias(v) for v in values])
-    span = d.groupBy(*by).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    grid = span.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}")))
-                       .alias("_p"))
-    full = grid.join(last, [*by, "_p"], "left").withColumnRenamed("_p", date)
-    return fill_directional(full, values, [date], by=by, direction="both")
+    # a series has at most one row a period here, however many rows it has in the table; each
+    # stands for the periods up to the next, so the grid is filled as it is made
+    w = Window.partitionBy(*by).orderBy("_p")
+    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # a series without a name has periods, but no values
+    named = [F.col(c).isNotNull() for c in by]
+    fill = lambda v: F.coalesce(F.last(v, ignorenulls=True).over(past), F.first(v, ignorenulls=True).over(ahead))
+    filled = last.select(*by, "_p", F.lead("_p").over(w).alias("_to"), *[
+        F.when(reduce(and_, named), fill(v)).alias(v) if by else fill(v).alias(v) for v in values])
+    grid = F.sequence("_p", F.coalesce(F.col("_to") - F.expr(f"INTERVAL {step}"), F.col("_p")), F.expr(f"INTERVAL {step}"))
+    return filled.select(*by, F.explode(grid).alias(date), *values)
 
 
 def forecast(df: DataFrame, order: Sequence[str], value: str, by: Sequence[str] = (),
