@@ -94,3 +94,31 @@ def test_partitions_do_not_matter(spark, small_blocks):
     df = frame(spark, np.round(r.normal(size=(150, 2)), 1).tolist())
     one = found(NB.knn_pairs(df.coalesce(1), df, "k", ["x0", "x1"], 3))
     assert one == found(NB.knn_pairs(df.repartition(9), df.orderBy(F.desc("k")), "k", ["x0", "x1"], 3))
+
+
+def test_one_coordinate_is_searched_in_order(spark, small_blocks, monkeypatch):
+    """Copies, groups, windows of few values and ties by rounding; blocks only for the rest."""
+    monkeypatch.setattr(NB, "IN_ORDER", 9)
+    asked = []
+    plain = NB.nearest
+    monkeypatch.setattr(NB, "nearest", lambda q, *a, **k: asked.append(q.count()) or plain(q, *a, **k))
+    r = np.random.default_rng(6)
+    x = [[float(v)] for v in np.round(r.normal(size=150), 2)] + [[0.5]] * 30 + [[None], [float("nan")], [float("inf")], [-0.0], [0.0]]
+    df = frame(spark, x)
+    assert found(NB.knn_pairs(df, df, "k", ["x0"], 4)) == brute(x, 4)
+    assert found(NB.knn_pairs(df, df, "k", ["x0"], 4, include_self=True)) == brute(x, 4, include_self=True)
+    groups = [0] * 140 + [1] * 3 + [2] + [None] * 11 + [3] * 30
+    df = frame(spark, x, groups)
+    assert found(NB.knn_pairs(df, df, "k", ["x0"], 5, by=["g"])) == brute(x, 5, groups)
+    assert sum(asked) == 0
+    # squares of so small gaps are all 0: the smallest keys count, wherever they lie
+    tiny = [[float(v) * 1e-200] for v in r.permutation(60)]
+    df = frame(spark, tiny)
+    assert found(NB.knn_pairs(df, df, "k", ["x0"], 3)) == brute(tiny, 3) and sum(asked) > 0
+    # queries between the points
+    some = df.where("k % 3 > 0")
+    got = found(NB.knn_pairs(frame(spark, x), frame(spark, x).where("k % 3 > 0"), "k", ["x0"], 3))
+    d2 = lambda i, j: (x[i][0] - x[j][0]) * (x[i][0] - x[j][0])
+    ok = [i for i, v in enumerate(x) if v[0] is not None and np.isfinite(v[0])]
+    assert some.count() == 40 and got == {(i, j, n, d) for i in ok for n, (d, j) in enumerate(
+        sorted((d2(i, j), j) for j in ok if j % 3 and j != i)[:3], 1)}
