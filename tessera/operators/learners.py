@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import evaluate as EV
+from . import forest
 from .binning import WEIGHT, Cells, cells
 from .split import FOLD, assign_folds
 
@@ -181,6 +182,8 @@ def _fit_pipeline(train_df: DataFrame, features: Sequence[str], model_type: str,
     features = list(features)
     plain = build_pipeline(features, model_type, problem, params, n_classes, n_rows, seed=seed)
     est = plain.getStages()[-1]
+    if isinstance(est, (RandomForestClassifier, RandomForestRegressor)):
+        return _fit_forest(train_df, features, problem, plain, made)
     if not _sees_cells(est):
         return plain.fit(train_df)
     own = made is None or made.max_bins != _maker(est).getMaxBins()
@@ -208,6 +211,24 @@ def _fit_pipeline(train_df: DataFrame, features: Sequence[str], model_type: str,
     return PipelineModel(stages=[feature_stage(features), made.bucketizer, assemble, fitted])
 
 
+def _fit_forest(train_df: DataFrame, features: list[str], problem: str, plain: Pipeline, made: Cells | None) -> PipelineModel:
+    """A forest on cells (:mod:`.forest`); on the rows, where cells are not many times fewer."""
+    est = plain.getStages()[-1]
+    own = made is None or made.max_bins != est.getMaxBins()
+    if own:
+        made = feature_cells(train_df, features, problem, est.getMaxBins())
+    if forest.pays(made):
+        stages = [feature_stage(features), made.bucketizer]
+        binned = PipelineModel(stages=stages).transform(train_df).select(*made.names, LABEL)
+        fitted = PipelineModel(stages=[*stages, VectorAssembler(inputCols=made.names, outputCol=FEATURES, handleInvalid="keep"),
+                                       forest.fit_forest(est, made, binned, LABEL, FEATURES)])
+    else:
+        fitted = None
+    if own:
+        made.close()
+    return fitted or plain.fit(train_df)
+
+
 def prepare_label(df: DataFrame, label: str, problem: str):
     """Classification labels → 0..k−1 doubles (alphabetical); regression → double.
     Rows with a null label have no class and are left out."""
