@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from . import evaluate as EV
 from . import forest
-from .binning import WEIGHT, Cells, cells
+from .binning import PART, WEIGHT, Cells, cells
 from .split import FOLD, assign_folds
 
 LABEL = "_label"
@@ -184,6 +184,8 @@ def _fit_pipeline(train_df: DataFrame, features: Sequence[str], model_type: str,
     est = plain.getStages()[-1]
     if isinstance(est, (RandomForestClassifier, RandomForestRegressor)):
         return _fit_forest(train_df, features, problem, plain, made)
+    if isinstance(est, LogisticRegression):
+        return _fit_logistic(train_df, features, plain)
     if not _sees_cells(est):
         return plain.fit(train_df)
     own = made is None or made.max_bins != _maker(est).getMaxBins()
@@ -229,6 +231,23 @@ def _fit_forest(train_df: DataFrame, features: list[str], problem: str, plain: P
     return fitted or plain.fit(train_df)
 
 
+def _fit_logistic(train_df: DataFrame, features: list[str], plain: Pipeline) -> PipelineModel:
+    """The loss is a sum over rows: rows that agree in all features and their class count as one
+    with their number as weight, where these are many times fewer than the rows."""
+    inputs = [f"_x_{i}" for i in range(len(features))]
+    ready = feature_stage(features).transform(train_df).select(*inputs, LABEL)
+    size = ready.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*inputs, LABEL)).alias("kinds")).first()
+    if size["kinds"] * forest.ROWS_A_CELL > size["n"]:
+        return plain.fit(train_df)
+    rows = ready.groupBy(*inputs, LABEL).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    # few partitions of a fixed order: many short jobs follow, and reruns add up alike
+    rows = rows.repartition(math.ceil(size["kinds"] / PART), *inputs).sortWithinPartitions(*inputs, LABEL).cache()
+    first, assemble, est = plain.getStages()
+    fitted = est.setWeightCol(WEIGHT).fit(assemble.transform(rows))
+    rows.unpersist()
+    return PipelineModel(stages=[first, assemble, fitted])
+
+
 def prepare_label(df: DataFrame, label: str, problem: str):
     """Classification labels → 0..k−1 doubles (alphabetical); regression → double.
     Rows with a null label have no class and are left out."""

@@ -59,3 +59,14 @@ def test_sums_of_a_stream():
         for c, s in forest._summed(iter(parts), 2, most):
             got[c] += s
         assert np.array_equal(got, want)
+
+
+def test_equal_rows_are_one_to_the_logistic_loss(spark, monkeypatch):
+    df = table(spark)
+    weighted, m1, _, _ = L.train(df, ["a", "b"], "y", "logistic_regression", key="k")
+    monkeypatch.setattr(forest, "ROWS_A_CELL", 10 ** 9)
+    rows, m2, _, _ = L.train(df, ["a", "b"], "y", "logistic_regression", key="k")
+    a, b = weighted.stages[-1], rows.stages[-1]
+    assert a.hasParam("weightCol") and a.isSet("weightCol") and not b.isSet("weightCol")
+    assert np.allclose(a.coefficients, b.coefficients, rtol=1e-3) and abs(a.intercept - b.intercept) < 1e-2 * (1 + abs(b.intercept))
+    assert m1["accuracy"] == m2["accuracy"]
