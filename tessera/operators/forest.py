@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 
 from .binning import PART, WEIGHT, Cells
 
+#: Fewer rows are fitted sooner as they are than the trees one by one.
+LEAST_ROWS = 300_000
 #: Cells pay where so many rows share one; tree fits at a time; bytes of sums that a task holds;
 #: draws at a time.
 ROWS_A_CELL, AT_ONCE, HELD_BYTES, DRAWS = 10, 8, 64 << 20, 1 << 20
 
 
 def pays(made: Cells) -> bool:
-    """Whether cells are few against the rows, and one number can name each."""
-    return made.n_cells * ROWS_A_CELL <= made.n_rows and math.prod(_bins(made)) < 2 ** 62
+    """Whether rows are many, cells few against them, and one number can name each."""
+    return made.n_rows >= LEAST_ROWS and made.n_cells * ROWS_A_CELL <= made.n_rows and math.prod(_bins(made)) < 2 ** 62
 
 
 def _bins(made: Cells) -> list[int]:

@@ -18,6 +18,7 @@ def plain(monkeypatch):
 
 def test_a_forest_grows_on_cells_and_agrees_with_that_on_rows(spark, monkeypatch, tmp_path):
     df, seen = table(spark), []
+    monkeypatch.setattr(forest, "LEAST_ROWS", 0)
     fit = RandomForestClassifier.fit
     monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, d, *p: seen.append(d.count()) or fit(self, d, *p))
     for label, problem in (("y", "classification"), ("v", "regression")):
