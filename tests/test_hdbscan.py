@@ -142,3 +142,13 @@ def test_all_noise_and_unusable_rows(spark):
     assert run(spark, [(1.0, 1.0)], 2) == {0: (-1, 0.0)}
     df = spark.createDataFrame([], "k long, x0 double")
     assert H.hdbscan(df, "k", ["x0"]).count() == 0
+
+
+def test_many_features(spark, small_blocks):
+    """The filter of usable rows does not multiply with the number of features (40 did not end)."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(c, 0.1, (14, 40)) for c in (0, 3)]).tolist()
+    x[3][2] = None
+    got = run(spark, x, 5)
+    assert {c for c, _ in got.values()} >= {0, 1} and all(got[i][0] in (0, -1) for i in range(14))
+    assert all(got[i][0] in (1, -1) for i in range(14, 28))
