@@ -122,3 +122,19 @@ def test_one_coordinate_is_searched_in_order(spark, small_blocks, monkeypatch):
     ok = [i for i, v in enumerate(x) if v[0] is not None and np.isfinite(v[0])]
     assert some.count() == 40 and got == {(i, j, n, d) for i in ok for n, (d, j) in enumerate(
         sorted((d2(i, j), j) for j in ok if j % 3 and j != i)[:3], 1)}
+
+
+def test_a_query_goes_once_to_a_span(spark, monkeypatch):
+    """However many blocks it visits; the neighbours are those of all points."""
+    monkeypatch.setattr(pivots, "BLOCK", 8)
+    monkeypatch.setattr(pivots, "STEP", 50)
+    x = np.random.default_rng(3).normal(size=(300, 24))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "k long, " + ", ".join(f"x{j} double" for j in range(24)))
+    top, visits, blocks = pivots.nearest(df, df, "k", [f"x{j}" for j in range(24)], 4)
+    assert blocks.rings.count() > 30 and visits.groupBy("q", "span").count().where("count > 1").isEmpty()
+    assert visits.count() <= 300 * pivots.SPANS
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["q"], r["nn_rank"]): r["p"] for r in top.collect()}
+    want = np.argsort(d, 1, kind="stable")[:, :4]
+    assert got == {(i, j + 1): want[i, j] for i in range(300) for j in range(4)}
