@@ -129,9 +129,11 @@ class Classifier:
         for n, rows in enumerate(gram_rows(hashes), 1):
             upto = np.zeros((len(rows) + 1, len(self.bias)))
             np.cumsum(self.weights[rows], axis=0, out=upto[1:], dtype=np.float64)
-            stop = np.maximum(begin, np.minimum(end - n + 1, len(rows)))
-            out += upto[stop] - upto[np.minimum(begin, len(rows))]
-            total += stop - begin
+            # a piece of fewer words than `n` has no gram, also where it is the last
+            start = np.minimum(begin, len(rows))
+            stop = np.maximum(start, np.minimum(end - n + 1, len(rows)))
+            out += upto[stop] - upto[start]
+            total += stop - start
         return out / np.sqrt(np.maximum(total, 1))[:, None] + self.bias
 
     def families(self, p: Paragraphs) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tessera.llm import licenses
 
 
@@ -64,3 +67,16 @@ def test_wrapped_notices(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(df, licenses.train(df)).count() == 0
+
+
+def test_pieces_of_one_word_at_the_end():
+    """A slice may end with lines of fewer words than a gram has."""
+    r = np.random.default_rng(4)
+    net = licenses.Classifier(r.normal(size=(licenses.ROWS, licenses.UNKNOWN + 1)).astype(np.float32), np.zeros(licenses.UNKNOWN + 1))
+    for text in ("one", "one\ntwo", "one\n\ntwo\n\nthree", "a b c d e\n\nf g\n\nh", " ".join("abcdefgh" * 3) + "\n\nend\n"):
+        p = licenses.Paragraphs(pa.array([text]))
+        got = net.logits(p.hashes, p.begin, p.end)
+        for z, a, b in zip(got, p.begin, p.end):
+            rows = np.concatenate(licenses.gram_rows(p.hashes[a:b]))
+            assert np.allclose(z, net.weights[rows].astype(float).sum(0) / np.sqrt(max(1, len(rows))))
+        net.families(p)
