@@ -64,15 +64,20 @@ def cuts(values: np.ndarray, counts: np.ndarray, max_bins: int) -> list[float]:
 
 
 def thresholds(df: DataFrame, inputs: Sequence[str], max_bins: int) -> dict[str, list[float]]:
-    """The thresholds of every input; NaN lies beyond all of them."""
-    kinds = df.agg(*[F.approx_count_distinct(c).alias(c) for c in inputs]).first()
+    """The thresholds of every input; NaN lies beyond all of them, a null is left out."""
+    if len(inputs) <= WIDE:
+        kinds = df.agg(*[F.approx_count_distinct(c).alias(c) for c in inputs]).first()
+    else:       # a group each, as a row of so many sketches is slow to make and to add up
+        long = df.select(F.posexplode(F.array(*inputs)).alias("i", "v"))
+        kinds = dict.fromkeys(inputs, 0) | {
+            inputs[r["i"]]: r["n"] for r in long.groupBy("i").agg(F.approx_count_distinct("v").alias("n")).collect()}
     few = [c for c in inputs if (kinds[c] or 0) <= MANY]
     out: dict[str, list[float]] = {c: [] for c in inputs}
     for at in range(0, len(few), WIDE):
         some = few[at:at + WIDE]
         long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(some)])))
         counted: dict = {}
-        for r in long.where(~F.isnan("v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).collect():
+        for r in long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).collect():
             counted.setdefault(r["i"], []).append((r["v"], r["n"]))
         for i, pairs in counted.items():
             values, counts = (np.array(x, float) for x in zip(*sorted(pairs)))

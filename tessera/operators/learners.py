@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from . import evaluate as EV
-from . import forest
+from . import forest, grove
 from .binning import PART, WEIGHT, Cells, cells
 from .split import FOLD, assign_folds
 
@@ -175,6 +175,16 @@ def feature_cells(train_df: DataFrame, features: Sequence[str], problem: str, ma
     return cells(ready, inputs, LABEL, problem.lower().startswith("class"), max_bins)
 
 
+def grove_for(df: DataFrame, features: Sequence[str], model_type: str, problem: str, n_classes: int,
+              subsets: Sequence[grove.Subset], made: Sequence[Cells] | None = None) -> grove.Grove | None:
+    """The subsets' cells, to grow all their decision trees at once (:mod:`.grove`); None for other
+    learners and where cells are not few.  ``made``: the cells that each learns from, if known."""
+    if canonical(model_type) != "decision_tree" or not problem.lower().startswith("class"):
+        return None
+    return grove.plant(feature_stage(features).transform(df), [f"_x_{i}" for i in range(len(features))], LABEL, n_classes, subsets,
+                       made and [m.bucketizer for m in made])
+
+
 def _fit_pipeline(train_df: DataFrame, features: Sequence[str], model_type: str, problem: str, params=None,
                   n_classes: int = 2, n_rows: int | None = None, seed: int = 42, made: Cells | None = None) -> PipelineModel:
     """Fits ``build_pipeline``; trees on the cells of the rows (``made``, if known), binned by a
@@ -533,7 +543,8 @@ def learning_curve(df: DataFrame, features, label, model_type="random_forest",
                    problem="classification", key=None, k=5,
                    fractions=tuple(i / 10 for i in range(1, 11)), seed=42) -> DataFrame:
     """Mean train and test score per training fraction over k folds, plus the
-    diagnosis on the largest fraction.  Fold × fraction fits run concurrently."""
+    diagnosis on the largest fraction.  Fold × fraction fits run concurrently; decision trees
+    are grown together where their cells are few."""
     d, classes = prepare_label(df, label, problem)
     fd, kk = assign_folds(d, key, "stratified" if classes else "kfold", k,
                           label=LABEL if classes else None, seed=seed)
@@ -541,8 +552,18 @@ def learning_curve(df: DataFrame, features, label, model_type="random_forest",
                        / 1e6).withColumn("_row_key", F.col(key)).cache()
     jobs = [(f, fr) for fr in fractions for f in range(kk)]
 
+    together = grove_for(fd, features, model_type, problem, len(classes or []),
+                         [grove.Subset((F.col(FOLD) != f) & (F.col("_u") < fr), F.col(FOLD) == f) for f, fr in jobs])
+    known = {}
+    if together is not None:
+        one = grove.setting(None)
+        known = {jobs[i]: scores for (i, _), scores in together.scores([one]).items()}
+        together.close()
+
     def run(job):
         f, fr = job
+        if job in known:
+            return fr, *known[job]
         tr = fd.where((F.col(FOLD) != f) & (F.col("_u") < fr))
         te = fd.where(F.col(FOLD) == f)
         m = _fit_one(tr, features, model_type, problem, None, len(classes or []), seed, only_score=True)

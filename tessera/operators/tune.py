@@ -1,7 +1,8 @@
 """Hyper-parameter search: grid, random and a tree-structured Parzen search.
 
 Every trial is a cross-validated fit (folds assigned once, data cached);
-trials within a batch run concurrently.  Parameter names follow the common
+trials within a batch run concurrently, and decision trees of a batch are grown
+together (:mod:`grove`).  Parameter names follow the common
 single-table ML vocabulary and are translated to ``pyspark.ml`` by
 :mod:`learners`.
 """
@@ -17,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grove
 from . import learners as L
 from .split import FOLD, assign_folds
 
@@ -92,12 +94,30 @@ class _Evaluator:
         self.n_classes = len(classes or [])
         self.seed = seed
         # trees see cells of binned features: counted once for each fold, not once a trial
-        self.made = [L.feature_cells(self.folds.where(F.col(FOLD) != f), self.features, problem) for f in range(self.k)] \
-            if model_type in L.TREES else None
+        self.made = None
+        if model_type in L.TREES:
+            rows = grove.dense(self.folds)
+            with ThreadPoolExecutor(max_workers=4) as ex:
+                self.made = list(ex.map(lambda f: L.feature_cells(rows.where(F.col(FOLD) != f), self.features, problem), range(self.k)))
+        # decision trees of a batch are grown at once; what they scored, by fold and setting
+        self.grove = L.grove_for(self.folds, self.features, model_type, problem, self.n_classes,
+                                 [grove.Subset(F.col(FOLD) != f, F.col(FOLD) == f) for f in range(self.k)], self.made)
+        self.known: dict = {}
+
+    def prepare(self, points: list[dict]):
+        """Scores the trees of all ``points`` in one job, where these can be grown together."""
+        if self.grove is not None:
+            new = {s for s in (grove.setting(_clean(p)) for p in points) if s is not None and (0, s) not in self.known}
+            if new:
+                self.known.update(self.grove.scores(sorted(new)))
 
     def __call__(self, params: dict) -> tuple[float, float]:
         scores = []
+        grown = grove.setting(_clean(params)) if self.grove is not None else None
         for f in range(self.k):
+            if (f, grown) in self.known:
+                scores.append(self.known[(f, grown)][1])
+                continue
             tr = self.folds.where(F.col(FOLD) != f)
             te = self.folds.where(F.col(FOLD) == f)
             m = L._fit_one(tr, self.features, self.model_type, self.problem, _clean(params),
@@ -111,6 +131,8 @@ class _Evaluator:
         self.folds.unpersist()
         for made in self.made or ():
             made.close()
+        if self.grove is not None:
+            self.grove.close()
 
 
 def _run_trials(ev, points, parallel=4):
@@ -120,6 +142,7 @@ def _run_trials(ev, points, parallel=4):
             return p, m, s, None
         except Exception as exc:  # noqa: BLE001 - a failing trial scores nothing
             return p, None, None, str(exc)[:300]
+    ev.prepare(points)
     with ThreadPoolExecutor(max_workers=parallel) as ex:
         return list(ex.map(one, points))
 
